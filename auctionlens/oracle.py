@@ -613,7 +613,7 @@ SELECT e.cohort, e.error_code, e.n_base, e.n_cand, m.imps_base, m.imps_cand,
 FROM errs e JOIN imps m ON e.cohort = m.cohort
 """)
 
-# D11 guardrail: 90-day windows (testdata is sparse in time), min_n 15, tol 0.3
+# D11 guardrail: 90-day windows (testdata is sparse in time), min_n 10, tol 0.3
 GUARD = f"""
 x AS (
   SELECT r.request_ts AS ts, r.sdk_version, r.os_version, r.ad_format, i.billable
@@ -628,7 +628,7 @@ g AS (
 w AS (
   SELECT window_start, window_start + INTERVAL '90 days' AS window_end, os_version, ad_format, n_base, n_cand,
          {r(div("b_base", "n_base"), 4)} AS conv_base, {r(div("b_cand", "n_cand"), 4)} AS conv_cand,
-         COALESCE(n_base >= 15 AND n_cand >= 15 AND {div("b_cand", "n_cand")} < {div("b_base", "n_base")} - 0.3, FALSE) AS alert
+         COALESCE(n_base >= 10 AND n_cand >= 10 AND {div("b_cand", "n_cand")} < {div("b_base", "n_base")} - 0.3, FALSE) AS alert
   FROM g
 )"""
 QUERIES["guardrail_batch"] = _q(f"""{GUARD}
