@@ -737,3 +737,10 @@ def _contract_sql() -> str:
 
 
 QUERIES["contract_check"] = _contract_sql()
+
+# D12 guardrail_stream: the D11 windows the stream closes, i.e. those ending at
+# or before the final watermark (latest event time minus the 366-day delay).
+QUERIES["guardrail_stream"] = _q(f"""{GUARD}
+SELECT * FROM w
+WHERE window_end <= (SELECT MAX(r.request_ts) FROM impressions i JOIN ad_requests r USING (request_id)) - INTERVAL 366 DAY
+""")
