@@ -133,14 +133,24 @@ def _billing_signal(billing_type: Column, viewable: Column, video_completed: Col
     )
 
 
+def join_winning_bid(x: DataFrame, t: AdTables, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Attach winning-bid columns to impression rows (``bid_id = winning_bid_id``).
+
+    When the tables declare ``winning_bid_in_request`` the join also matches
+    ``request_id``: the same pairs, but tables bucketed by request_id join
+    in place instead of shuffling the bids table on bid_id.
+    """
+    keys = ["request_id", "winning_bid_id"] if t.winning_bid_in_request else ["winning_bid_id"]
+    extra = ["request_id"] if t.winning_bid_in_request else []
+    bids = t.bids.select(F.col("bid_id").alias("winning_bid_id"), *extra, *[c for c in cols if c not in extra])
+    return x.join(bids, keys, how)
+
+
 def impression_context(t: AdTables, request_cols: Sequence[str], with_buyer: bool = True, how: str = "inner") -> DataFrame:
     """Impressions with request attributes, their winning bid's TTL / price and
     (optionally) the buyer's billing type."""
     req = t.ad_requests.select("request_id", *request_cols)
-    bids = t.bids.select(
-        F.col("bid_id").alias("winning_bid_id"), "bid_ttl_ms", "cleared_price", "buyer_id"
-    )
-    x = t.impressions.join(req, "request_id", how).join(bids, "winning_bid_id", how)
+    x = join_winning_bid(t.impressions.join(req, "request_id", how), t, ["bid_ttl_ms", "cleared_price", "buyer_id"], how)
     if with_buyer:
         x = x.join(bounded_broadcast(t.buyers.select("buyer_id", "billing_type")), "buyer_id", how)
     return x

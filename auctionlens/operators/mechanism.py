@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auctionlens.functions.exprs import case_label, count_if, dround, is_true, os_major, ratio, ts_lit, version_rate
 from auctionlens.operators.cohorts import DEFAULT_COHORT, _match, rendered_post
-from auctionlens.operators.funnel import BASE, CAND, REFERENCE_HINGE
+from auctionlens.operators.funnel import BASE, CAND, REFERENCE_HINGE, join_winning_bid
 from auctionlens.plans.joins import bounded_broadcast
 from auctionlens.sources.schema import AdTables
 
@@ -19,8 +19,7 @@ INTERSTITIAL_COHORT = {"os": "iOS", "ad_format": "interstitial"}
 
 def _with_bid(x: DataFrame, t: AdTables, cols: Sequence[str]) -> DataFrame:
     """Attach winning-bid columns (``bid_id`` join on ``winning_bid_id``)."""
-    bids = t.bids.select(F.col("bid_id").alias("winning_bid_id"), *cols)
-    return x.join(bids, "winning_bid_id")
+    return join_winning_bid(x, t, cols)
 
 
 def latency_vs_ttl(

@@ -101,6 +101,7 @@ def contract_check(t: AdTables) -> DataFrame:
         cols = [F.struct(*_row("null_count", name, cn, count_if(F.col(cn).isNull()))) for cn in df.columns]
         cols += [F.struct(*_row(chk, name, cn, count_if(p))) for chk, cn, p in rules.get(name, [])]
         parts.append(df.agg(F.array(*cols).alias("_r")).select(F.inline("_r")))
+    # on the bid id alone: this is the check of the same-request guarantee
     bids = t.bids.select(F.col("bid_id").alias("winning_bid_id"), F.col("request_id").alias("_bid_req"), "is_winner")
     x = t.impressions.select("winning_bid_id", "request_id").join(bids, "winning_bid_id")
     parts.append(

@@ -7,9 +7,10 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every operator assumes: AQE on (runtime coalescing, skew-join
-# splitting, broadcast conversion), UTC session zone (event-time windows
-# are aligned to UTC midnight), UI off.
+# Settings the operators are tuned for (none is needed for correct
+# results): AQE on (runtime coalescing, skew-join splitting, broadcast
+# conversion), UTC session zone (event-time windows align to UTC
+# midnight), co-partitioned joins on a subset of keys, UI off.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,6 +19,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.shuffle.partitions": "8",
+    # let a join on (request_id, x) use tables bucketed by request_id alone
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

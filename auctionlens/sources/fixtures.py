@@ -290,6 +290,7 @@ def derived_tables(spark: SparkSession, sf_dir: str, hinge: str = FIXTURE_HINGE)
         sdk_events=_sdk_events(imp_full),
         buyers=buyers,
         publishers=publishers_view(spark, sf_dir),
+        winning_bid_in_request=True,
     )
 
 
@@ -341,6 +342,6 @@ def fixture_tables(
         write_tables({"sdk_events": _sdk_events(imp_full)}, root, prefix, n)
         mark_ready(spark, root, n)
     register_tables(spark, root, prefix, [*FACTS, *DIMENSIONS], n)
-    t = stored_tables(spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS})
+    t = stored_tables(spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS}, winning_bid_in_request=True)
     _MEMO[memo] = t
     return t

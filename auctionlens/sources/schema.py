@@ -6,7 +6,7 @@ views; no operator depends on the id type, only on equality.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -81,9 +81,19 @@ REFERENCE_ROW_COUNTS: dict[str, int] = {
 }
 
 
+TABLE_NAMES = ("ad_requests", "bids", "impressions", "sdk_events", "buyers", "publishers")
+
+
 @dataclass(frozen=True)
 class AdTables:
-    """The six tables every operator reads. All are lazy DataFrames."""
+    """The six tables every operator reads. All are lazy DataFrames.
+
+    ``winning_bid_in_request`` declares that every impression's winning bid
+    belongs to the impression's own request (``contract_check`` verifies it:
+    ``rule_winning_bid_other_request`` = 0). Operators then join impressions
+    to bids on (request_id, bid_id), which tables bucketed by request_id
+    answer without a shuffle; otherwise they join on the bid id alone.
+    """
 
     ad_requests: DataFrame
     bids: DataFrame
@@ -91,6 +101,7 @@ class AdTables:
     sdk_events: DataFrame
     buyers: DataFrame
     publishers: DataFrame
+    winning_bid_in_request: bool = False
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in TABLE_NAMES}

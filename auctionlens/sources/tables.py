@@ -80,7 +80,13 @@ def register_tables(spark: SparkSession, root: str, prefix: str, names: list[str
         spark.sql(f"CREATE TABLE {tn} ({cols}) USING parquet {clustered} LOCATION '{root}/{name}'")
 
 
-def stored_tables(spark: SparkSession, root: str, prefix: str, columns: Mapping[str, list[str]] | None = None) -> AdTables:
+def stored_tables(
+    spark: SparkSession,
+    root: str,
+    prefix: str,
+    columns: Mapping[str, list[str]] | None = None,
+    winning_bid_in_request: bool = False,
+) -> AdTables:
     """The six tables read from the catalog, optionally projected to the
     public columns (helper columns stay on disk and are pruned at the scan)."""
     out = {}
@@ -88,7 +94,7 @@ def stored_tables(spark: SparkSession, root: str, prefix: str, columns: Mapping[
         df = spark.table(_table_name(prefix, name))
         cols = (columns or {}).get(name)
         out[name] = df.select(*cols) if cols else df
-    return AdTables(**out)
+    return AdTables(**out, winning_bid_in_request=winning_bid_in_request)
 
 
 def load_reference_tables(spark: SparkSession, root: str) -> AdTables:

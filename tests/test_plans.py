@@ -53,3 +53,16 @@ def test_bucketed_fact_join_needs_no_shuffle_of_facts(spark, t001):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     assert "SortMergeJoin" in p
     assert "Exchange hashpartitioning(request_id" not in p
+
+
+def test_winning_bid_join_is_colocated(spark, t001):
+    """Declared same-request bids: the impression -> bid join reads buckets in place."""
+    assert t001.winning_bid_in_request
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(mechanism.latency_vs_ttl(t001, hinge=H))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert "Exchange hashpartitioning(winning_bid_id" not in p and "Exchange hashpartitioning(bid_id" not in p
+    assert "Exchange hashpartitioning(request_id" not in p
