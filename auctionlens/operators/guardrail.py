@@ -16,16 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auctionlens.functions.exprs import count_if, dround, ratio, ts_lit
-from auctionlens.operators.funnel import BASE, CAND, REFERENCE_HINGE
+from auctionlens.operators.funnel import BASE, CAND, REFERENCE_HINGE, join_winning_bid
+from auctionlens.plans.joins import bounded_broadcast
 from auctionlens.sources.schema import AdTables
 
 GUARDRAIL_KEYS = ("os_version", "ad_format")
 
 
 def won_impressions(t: AdTables, keys: Sequence[str] = GUARDRAIL_KEYS) -> DataFrame:
-    """Won impressions with event time ``ts``, version and cohort keys."""
-    req = t.ad_requests.select("request_id", F.col("request_ts").alias("ts"), "sdk_version", *keys)
-    return t.impressions.select("impression_id", "request_id", "billable").join(req, "request_id")
+    """Won impressions with event time ``ts``, version, cohort keys, billable
+    flag and render latency. ``billing_type`` may be a key: the buyer is then
+    attached through the winning bid (a viewable-only fault is diluted when
+    buyers of every billing type share one cohort)."""
+    req_keys = [k for k in keys if k != "billing_type"]
+    req = t.ad_requests.select("request_id", F.col("request_ts").alias("ts"), "sdk_version", *req_keys)
+    x = t.impressions.select("impression_id", "request_id", "winning_bid_id", "billable", "render_latency_ms").join(req, "request_id")
+    if "billing_type" in keys:
+        x = join_winning_bid(x, t, ["buyer_id"])
+        x = x.join(bounded_broadcast(t.buyers.select("buyer_id", "billing_type")), "buyer_id")
+    return x.select("impression_id", "request_id", "ts", "sdk_version", *keys, "billable", "render_latency_ms")
 
 
 def guardrail_windows(
@@ -38,23 +47,40 @@ def guardrail_windows(
     min_n: int = 15,
     tol: float = 0.3,
     ts_col: str = "ts",
+    z_min: float | None = None,
+    latency_probs: Sequence[float] = (),
+    accuracy: int = 10000,
 ) -> DataFrame:
-    """Per window and cohort: volume and conversion of each version, and the
-    alert flag ``n_base >= min_n AND n_cand >= min_n AND conv_cand < conv_base - tol``.
+    """Per window and cohort: volume and conversion of each version, the pooled
+    two-proportion z-score of the drop, and the alert flag
+    ``n_base >= min_n AND n_cand >= min_n AND conv_cand < conv_base - tol``
+    (``AND z_score >= z_min`` when ``z_min`` is given).
 
     Works on a batch or a streaming DataFrame with columns ``ts_col``,
-    ``sdk_version``, ``billable`` and ``keys``.
+    ``sdk_version``, ``billable`` and ``keys``; ``latency_probs`` adds
+    approximate candidate render-latency percentiles (fixed-size state).
     """
     w = F.window(ts_col, window, slide) if slide else F.window(ts_col, window)
     is_b, is_c, bill = F.col("sdk_version") == base, F.col("sdk_version") == cand, F.col("billable")
+    lat_names = [f"p{int(round(p * 100))}_latency_cand" for p in latency_probs]
+    lat = [
+        F.percentile_approx(F.when(is_c, F.col("render_latency_ms")), p, accuracy).alias(name)
+        for p, name in zip(latency_probs, lat_names)
+    ]
     g = df.groupBy(w.alias("w"), *keys).agg(
         count_if(is_b).alias("n_base"),
         count_if(is_c).alias("n_cand"),
         count_if(is_b & bill).alias("b_base"),
         count_if(is_c & bill).alias("b_cand"),
+        *lat,
     )
     conv_b, conv_c = ratio("b_base", "n_base"), ratio("b_cand", "n_cand")
+    pooled = ratio(F.col("b_base") + F.col("b_cand"), F.col("n_base") + F.col("n_cand"))
+    se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (ratio(F.lit(1.0), "n_base") + ratio(F.lit(1.0), "n_cand")))
+    z = F.try_divide(conv_b - conv_c, F.nullif(se, F.lit(0.0)))
     alert = (F.col("n_base") >= min_n) & (F.col("n_cand") >= min_n) & (conv_c < conv_b - F.lit(tol))
+    if z_min is not None:
+        alert = alert & (z >= F.lit(float(z_min)))
     return g.select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
         F.col("w.end").cast("timestamp_ntz").alias("window_end"),
@@ -62,7 +88,9 @@ def guardrail_windows(
         "n_base", "n_cand",
         dround(conv_b, 4).alias("conv_base"),
         dround(conv_c, 4).alias("conv_cand"),
+        dround(z, 3).alias("z_score"),
         F.coalesce(alert, F.lit(False)).alias("alert"),
+        *lat_names,
     )
 
 

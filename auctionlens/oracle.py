@@ -613,33 +613,52 @@ SELECT e.cohort, e.error_code, e.n_base, e.n_cand, m.imps_base, m.imps_cand,
 FROM errs e JOIN imps m ON e.cohort = m.cohort
 """)
 
-# D11 guardrail: 90-day windows (testdata is sparse in time), min_n 10, tol 0.3
-GUARD = f"""
+# D11 guardrail: 90-day windows (testdata is sparse in time), min_n 10, tol 0.3,
+# pooled two-proportion z-score of the drop.
+def guard_sql(keys: tuple[str, ...] = ("os_version", "ad_format")) -> str:
+    cols = ", ".join(keys)
+    sel = ", ".join(f"x.{k}" if k == "billing_type" else f"r.{k}" for k in keys)
+    buyer = ""
+    if "billing_type" in keys:
+        sel = sel.replace("x.billing_type", "y.billing_type")
+        buyer = "JOIN bids b ON i.winning_bid_id = b.bid_id JOIN buyers y ON b.buyer_id = y.buyer_id"
+    pooled = div("b_base + b_cand", "n_base + n_cand")
+    se = f"sqrt({pooled} * (1.0 - {pooled}) * ({div('1.0', 'n_base')} + {div('1.0', 'n_cand')}))"
+    z = f"({div('b_base', 'n_base')} - {div('b_cand', 'n_cand')}) / NULLIF({se}, 0)"
+    return f"""
 x AS (
-  SELECT r.request_ts AS ts, r.sdk_version, r.os_version, r.ad_format, i.billable
-  FROM impressions i JOIN ad_requests r USING (request_id)
+  SELECT r.request_ts AS ts, r.sdk_version, {sel}, i.billable
+  FROM impressions i JOIN ad_requests r USING (request_id) {buyer}
 ),
 g AS (
-  SELECT time_bucket(INTERVAL '90 days', ts, TIMESTAMP '1970-01-01') AS window_start, os_version, ad_format,
+  SELECT time_bucket(INTERVAL '90 days', ts, TIMESTAMP '1970-01-01') AS window_start, {cols},
          {cnt("sdk_version = '8.1.0'")} AS n_base, {cnt("sdk_version = '8.2.0'")} AS n_cand,
          {cnt("sdk_version = '8.1.0' AND billable")} AS b_base, {cnt("sdk_version = '8.2.0' AND billable")} AS b_cand
-  FROM x GROUP BY 1, 2, 3
+  FROM x GROUP BY ALL
 ),
 w AS (
-  SELECT window_start, window_start + INTERVAL '90 days' AS window_end, os_version, ad_format, n_base, n_cand,
+  SELECT window_start, window_start + INTERVAL '90 days' AS window_end, {cols}, n_base, n_cand,
          {r(div("b_base", "n_base"), 4)} AS conv_base, {r(div("b_cand", "n_cand"), 4)} AS conv_cand,
+         {r(z, 3)} AS z_score,
          COALESCE(n_base >= 10 AND n_cand >= 10 AND {div("b_cand", "n_cand")} < {div("b_base", "n_base")} - 0.3, FALSE) AS alert
   FROM g
 )"""
+
+
+GUARD = guard_sql()
 QUERIES["guardrail_batch"] = _q(f"""{GUARD}
 SELECT * FROM w
 """)
-QUERIES["guardrail_first_alert"] = _q(f"""{GUARD}
-SELECT os_version, ad_format, MIN(window_start) AS first_alert_start, MIN(window_end) AS first_alert_end,
+FIRST_ALERT = f"""
+SELECT {{keys}}, MIN(window_start) AS first_alert_start, MIN(window_end) AS first_alert_end,
        CAST(date_diff('hour', TIMESTAMP '{HINGE}', MIN(window_end)) AS BIGINT) AS hours_after_hinge,
        COUNT(*) AS n_alert_windows
-FROM w WHERE alert GROUP BY os_version, ad_format
-""")
+FROM w WHERE alert GROUP BY {{keys}}
+"""
+QUERIES["guardrail_first_alert"] = _q(GUARD + FIRST_ALERT.format(keys="os_version, ad_format"))
+QUERIES["guardrail_first_alert_by_buyer"] = _q(
+    guard_sql(("os", "ad_format", "billing_type")) + FIRST_ALERT.format(keys="os, ad_format, billing_type")
+)
 
 # D13 publisher scope: funnel per tier x era, and the daily funnel on Tier-1 only
 QUERIES["publisher_scope"] = _q(f"""

@@ -1 +1,6 @@
-from auctionlens.streaming.guardrail import guardrail_events, replay_guardrail, start_guardrail_stream  # noqa: F401
+from auctionlens.streaming.guardrail import (  # noqa: F401
+    enrich_with_requests,
+    guardrail_events,
+    replay_guardrail,
+    start_guardrail_stream,
+)

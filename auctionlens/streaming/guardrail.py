@@ -31,6 +31,16 @@ def guardrail_events(stream: DataFrame, watermark: str = "2 days", ts_col: str =
     return ev.dropDuplicatesWithinWatermark([id_col])
 
 
+def enrich_with_requests(events: DataFrame, requests: DataFrame, keys: Sequence[str] = GUARDRAIL_KEYS) -> DataFrame:
+    """Attach version and cohort keys from the requests table to a bare
+    impression stream (a stateless stream-static inner join on request_id).
+
+    Use it when the telemetry does not carry the cohort attributes itself;
+    each micro-batch joins only its own rows, so state does not grow.
+    """
+    return events.join(requests.select("request_id", "sdk_version", *keys), "request_id")
+
+
 def start_guardrail_stream(
     spark: SparkSession,
     source_path: str,
@@ -47,18 +57,25 @@ def start_guardrail_stream(
     max_files_per_trigger: int | None = 1,
     available_now: bool = True,
     processing_time: str | None = None,
+    requests: DataFrame | None = None,
+    z_min: float | None = None,
+    latency_probs: Sequence[float] = (),
 ) -> StreamingQuery:
     """Start the guardrail stream; returns the running query.
 
     ``available_now`` processes what is in the folder and stops (for batch
     schedulers and tests); otherwise a processing-time trigger keeps it
-    running.
+    running. With ``requests`` the source only needs ``impression_id``,
+    ``request_id``, ``ts`` and ``billable``; version and keys come from the
+    static requests table.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     ev = guardrail_events(reader.parquet(source_path), watermark)
-    out = guardrail_windows(ev, base, cand, keys, window=window, min_n=min_n, tol=tol)
+    if requests is not None:
+        ev = enrich_with_requests(ev, requests, keys)
+    out = guardrail_windows(ev, base, cand, keys, window=window, min_n=min_n, tol=tol, z_min=z_min, latency_probs=latency_probs)
     w = (
         out.writeStream.outputMode("append")
         .format("parquet")

@@ -61,3 +61,30 @@ def test_replay_equals_batch_on_closed_windows(spark, t001):
     closed = batch.filter(F.col("window_end") <= F.lit(cut) - F.expr("INTERVAL 366 DAYS"))
     key = lambda df: sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
     assert key(stream) == key(closed)
+
+
+def test_stream_static_enrichment_and_latency_percentiles(spark):
+    """S01 + S05: a bare impression stream joined to the static requests
+    table, with an approximate latency percentile in the streaming state."""
+    run = f"{ensure_checkpoint_dir(spark)}/test_stream/{uuid.uuid4().hex}"
+    requests = spark.createDataFrame(
+        [("R1", "8.1.0", "17.0", "rewarded_video"), ("R2", "8.2.0", "17.0", "rewarded_video"),
+         ("R3", "8.2.0", "17.0", "rewarded_video"), ("R9", "8.2.0", "18.0", "banner")],
+        "request_id string, sdk_version string, os_version string, ad_format string",
+    )
+    schema = "impression_id string, request_id string, ts timestamp_ntz, billable boolean, render_latency_ms int"
+    files = [
+        [("I1", "R1", datetime(2026, 5, 1, 1), True, 400), ("I2", "R2", datetime(2026, 5, 1, 2), False, 2500),
+         ("I3", "R3", datetime(2026, 5, 1, 3), False, 2600), ("IX", "R404", datetime(2026, 5, 1, 4), True, 1)],
+        [("I9", "R9", datetime(2026, 5, 10), True, 300)],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{run}/src")
+    q = start_guardrail_stream(
+        spark, f"{run}/src", spark.read.parquet(f"{run}/src").schema, f"{run}/out", f"{run}/ck",
+        window="1 day", watermark="1 day", min_n=1, tol=0.3, requests=requests, latency_probs=(0.5,),
+    )
+    q.awaitTermination()
+    (r,) = [x for x in spark.read.parquet(f"{run}/out").collect() if x["window_start"].day == 1]
+    assert (r["n_base"], r["n_cand"]) == (1, 2)  # the impression of an unknown request is dropped by the join
+    assert r["alert"] is True and r["p50_latency_cand"] == 2500
