@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ from auctionlens.sources.schema import AdTables
 from auctionlens.sources.tables import (
     DIMENSIONS,
     FACTS,
-    default_buckets,
+    choose_buckets,
     mark_ready,
     register_tables,
+    source_bytes,
     source_signature,
     stored_tables,
     tables_ready,
@@ -275,6 +277,7 @@ def _sdk_events(imp_full: DataFrame) -> DataFrame:
 SOURCES = ["supplier", "nation", "region", "orders", "customer", "lineitem"]
 FIXTURE_VERSION = "1"
 _MEMO: dict[tuple[str, str], AdTables] = {}
+_BUILD_LOCK = threading.Lock()
 
 
 def derived_tables(spark: SparkSession, sf_dir: str, hinge: str = FIXTURE_HINGE) -> AdTables:
@@ -316,15 +319,20 @@ def fixture_tables(
     """
     if not materialize:
         return derived_tables(spark, sf_dir, hinge)
-    sig = source_signature([f"{sf_dir}/{n}.parquet" for n in SOURCES])
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{sig}|{hinge}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
+    paths = [f"{sf_dir}/{n}.parquet" for n in SOURCES]
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{source_signature(paths)}|{hinge}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
     memo = (_app_id(spark), key)
-    if memo in _MEMO:
-        return _MEMO[memo]
+    with _BUILD_LOCK:
+        if memo not in _MEMO:
+            _MEMO[memo] = _load_or_build(spark, sf_dir, hinge, key, buckets or choose_buckets(spark, source_bytes(paths)))
+    return _MEMO[memo]
+
+
+def _load_or_build(spark: SparkSession, sf_dir: str, hinge: str, key: str, buckets: int) -> AdTables:
     root, prefix = views_root(spark, key), f"al_{key}"
     n = tables_ready(spark, root)
     if n is None:
-        n = buckets or default_buckets(spark)
+        n = buckets
         buyers = buyers_view(spark, sf_dir)
         write_tables(
             {
@@ -342,6 +350,4 @@ def fixture_tables(
         write_tables({"sdk_events": _sdk_events(imp_full)}, root, prefix, n)
         mark_ready(spark, root, n)
     register_tables(spark, root, prefix, [*FACTS, *DIMENSIONS], n)
-    t = stored_tables(spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS}, winning_bid_in_request=True)
-    _MEMO[memo] = t
-    return t
+    return stored_tables(spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS}, winning_bid_in_request=True)

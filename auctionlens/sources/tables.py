@@ -25,10 +25,24 @@ BUCKET_KEY = "request_id"
 READY_MARKER = "_tables_ready"
 
 
+TARGET_BUCKET_BYTES = 256 * 1024 * 1024
+MAX_BUCKETS = 1 << 16
+
+
 def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def choose_buckets(spark: SparkSession, source_bytes: int) -> int:
+    """One bucket count for all facts (co-location needs the same count):
+    at least the shuffle partition count, else about 256 MB of source per
+    bucket, as a power of two, capped at 65536. A bucketed scan reads each
+    bucket as one task, so buckets must stay task-sized at any scale."""
+    n = max(1, -(-source_bytes // TARGET_BUCKET_BYTES))
+    pow2 = 1 << (n - 1).bit_length()
+    return max(default_buckets(spark), min(pow2, MAX_BUCKETS))
+
+
 def _table_name(prefix: str, name: str) -> str:
     return f"{prefix}_{name}"
 
@@ -103,6 +117,18 @@ def load_reference_tables(spark: SparkSession, root: str) -> AdTables:
     return AdTables(**{name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}") for name in SCHEMAS})
 
 
+def source_bytes(paths: list[str]) -> int:
+    """Total size of local source files (0 where they cannot be listed)."""
+    total = 0
+    for p in paths:
+        if os.path.isdir(p):
+            for dirpath, _, files in os.walk(p):
+                total += sum(os.path.getsize(os.path.join(dirpath, f)) for f in files)
+        elif os.path.exists(p):
+            total += os.path.getsize(p)
+    return total
+
+
 def source_signature(paths: list[str]) -> str:
     """Content signature of local source files (size + mtime); other file
     systems fall back to the path names."""
