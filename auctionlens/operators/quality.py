@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionlens.functions.exprs import count_if, is_true
+from auctionlens.plans.joins import bounded_broadcast
 from auctionlens.sources.schema import FOREIGN_KEYS, PRIMARY_KEYS, AdTables
 
 
@@ -92,21 +93,29 @@ def contract_check(t: AdTables) -> DataFrame:
         dup = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c"))
         parts.append(dup.agg(*_row("pk_duplicate", name, key, F.coalesce(F.sum(F.col("c") - 1), F.lit(0)))))
     for child, ck, parent, pk in FOREIGN_KEYS:
-        kids = tables[child].select(F.col(ck).alias("_k")).filter(F.col("_k").isNotNull())
-        par = tables[parent].select(F.col(pk).alias("_k"))
-        orphans = kids.join(par, "_k", "left_anti")
+        if (child, ck) == ("impressions", "winning_bid_id"):
+            continue  # one left join below covers this key and its rules
+        kids = tables[child].select(ck).filter(F.col(ck).isNotNull())
+        par = tables[parent].select(F.col(pk).alias(ck))
+        if parent in ("buyers", "publishers"):
+            par = bounded_broadcast(par)  # never shuffle a fact to check a dimension key
+        orphans = kids.join(par, ck, "left_anti")  # request_id keys: bucket-aligned, no shuffle
         parts.append(orphans.agg(*_row("fk_orphan", child, ck, F.count(F.lit(1)))))
     rules = _rules(t)
     for name, df in tables.items():
         cols = [F.struct(*_row("null_count", name, cn, count_if(F.col(cn).isNull()))) for cn in df.columns]
         cols += [F.struct(*_row(chk, name, cn, count_if(p))) for chk, cn, p in rules.get(name, [])]
         parts.append(df.agg(F.array(*cols).alias("_r")).select(F.inline("_r")))
-    # on the bid id alone: this is the check of the same-request guarantee
-    bids = t.bids.select(F.col("bid_id").alias("winning_bid_id"), F.col("request_id").alias("_bid_req"), "is_winner")
-    x = t.impressions.select("winning_bid_id", "request_id").join(bids, "winning_bid_id")
+    # On the bid id alone: this verifies the same-request guarantee rather than assuming it.
+    bids = t.bids.select(
+        F.col("bid_id").alias("winning_bid_id"), F.col("request_id").alias("_bid_req"), "is_winner", F.lit(True).alias("_hit")
+    )
+    x = t.impressions.select("winning_bid_id", "request_id").filter(F.col("winning_bid_id").isNotNull())
+    x = x.join(bids, "winning_bid_id", "left")
     parts.append(
         x.agg(
             F.array(
+                F.struct(*_row("fk_orphan", "impressions", "winning_bid_id", count_if(F.col("_hit").isNull()))),
                 F.struct(*_row("rule_winning_bid_other_request", "impressions", "winning_bid_id", count_if(F.col("_bid_req") != F.col("request_id")))),
                 F.struct(*_row("rule_winning_bid_not_winner", "impressions", "winning_bid_id", count_if(F.col("is_winner") != 1))),
             ).alias("_r")
