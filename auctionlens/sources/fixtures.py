@@ -298,7 +298,13 @@ def derived_tables(spark: SparkSession, sf_dir: str, hinge: str = FIXTURE_HINGE)
 
 
 def _app_id(spark: SparkSession) -> str:
-    return spark.conf.get("spark.app.id", "") or spark.sparkContext.applicationId
+    app = spark.conf.get("spark.app.id", "")
+    if not app:
+        try:
+            app = spark.sparkContext.applicationId
+        except Exception:  # noqa: BLE001
+            app = str(id(spark))
+    return app
 
 
 def fixture_tables(

@@ -11,24 +11,13 @@ from auctionlens.sources.fixtures import FIXTURE_HINGE as H
 
 from conftest import SF001
 
-PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
-
-
-def plan(df) -> str:
-    """The formatted physical plan, with metadata (pushed filters) untruncated."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.maxMetadataStringLength")
-    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    try:
-        return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-    finally:
-        spark.conf.set("spark.sql.maxMetadataStringLength", prev)
+from auctionlens.plans.inspect import exchanges, python_nodes
+from auctionlens.plans.inspect import formatted_plan as plan
 
 
 @pytest.mark.parametrize("key", sorted(k for k in E.queries() if k != "guardrail_stream"))
 def test_no_python_in_plan(spark, key):
-    p = plan(E.queries()[key](spark, SF001))
-    assert not any(n in p for n in PYTHON_NODES), key
+    assert python_nodes(E.queries()[key](spark, SF001)) == [], key
 
 
 def test_hinge_and_cohort_filters_reach_the_scan(t001):
@@ -66,3 +55,26 @@ def test_winning_bid_join_is_colocated(spark, t001):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     assert "Exchange hashpartitioning(winning_bid_id" not in p and "Exchange hashpartitioning(bid_id" not in p
     assert "Exchange hashpartitioning(request_id" not in p
+
+
+FACT_KEYS = ("request_id", "bid_id", "winning_bid_id", "impression_id", "event_id")
+
+
+@pytest.mark.parametrize("key", sorted(k for k in E.queries() if k not in ("guardrail_stream", "contract_check")))
+def test_no_fact_shuffle_when_nothing_is_broadcast(spark, key):
+    """With automatic broadcast off (every fact too big to broadcast), the
+    analytical queries still never shuffle a fact table on its keys: fact
+    joins are bucket-aligned, and the remaining exchanges follow partial
+    aggregation."""
+    prev = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in prev:
+        spark.conf.set(k, "-1")
+    try:
+        ex = exchanges(E.queries()[key](spark, SF001))
+    finally:
+        for k, v in prev.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert not [e for e in ex if any(f"({k}" in e or f" {k}," in e for k in FACT_KEYS)], ex
