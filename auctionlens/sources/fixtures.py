@@ -326,7 +326,7 @@ def fixture_tables(
     if not materialize:
         return derived_tables(spark, sf_dir, hinge)
     paths = [f"{sf_dir}/{n}.parquet" for n in SOURCES]
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{source_signature(paths)}|{hinge}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{source_signature(paths, spark)}|{hinge}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
     memo = (_app_id(spark), key)
     with _BUILD_LOCK:
         if memo not in _MEMO:

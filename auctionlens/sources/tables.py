@@ -129,13 +129,17 @@ def source_bytes(paths: list[str]) -> int:
     return total
 
 
-def source_signature(paths: list[str]) -> str:
-    """Content signature of local source files (size + mtime); other file
-    systems fall back to the path names."""
+def source_signature(paths: list[str], spark: SparkSession | None = None) -> str:
+    """Signature of the source files: size + mtime of local files; for paths
+    the local file system cannot see (object stores, HDFS) the names of the
+    data files Spark lists, which change whenever the data is rewritten."""
     h = hashlib.sha1()
     for p in sorted(paths):
         h.update(p.encode())
-        if os.path.isdir(p):
+        if not os.path.exists(p) and spark is not None:
+            for f in sorted(spark.read.parquet(p).inputFiles()):
+                h.update(f.encode())
+        elif os.path.isdir(p):
             for dirpath, _, files in sorted(os.walk(p)):
                 for f in sorted(files):
                     st = os.stat(os.path.join(dirpath, f))
