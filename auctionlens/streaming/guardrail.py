@@ -60,6 +60,7 @@ def start_guardrail_stream(
     requests: DataFrame | None = None,
     z_min: float | None = None,
     latency_probs: Sequence[float] = (),
+    alerts_path: str | None = None,
 ) -> StreamingQuery:
     """Start the guardrail stream; returns the running query.
 
@@ -67,7 +68,11 @@ def start_guardrail_stream(
     schedulers and tests); otherwise a processing-time trigger keeps it
     running. With ``requests`` the source only needs ``impression_id``,
     ``request_id``, ``ts`` and ``billable``; version and keys come from the
-    static requests table.
+    static requests table. With ``alerts_path`` a ``foreachBatch`` sink
+    writes each micro-batch's closed windows under ``output_path`` and its
+    alert rows under ``alerts_path``, both in a ``batch_id=<epoch>`` folder
+    written with overwrite, so a retried batch replaces its own output
+    (exactly once with the checkpoint).
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -76,12 +81,20 @@ def start_guardrail_stream(
     if requests is not None:
         ev = enrich_with_requests(ev, requests, keys)
     out = guardrail_windows(ev, base, cand, keys, window=window, min_n=min_n, tol=tol, z_min=z_min, latency_probs=latency_probs)
-    w = (
-        out.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", output_path)
-        .option("checkpointLocation", checkpoint_path)
-    )
+    if alerts_path is None:
+        w = (
+            out.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", output_path)
+            .option("checkpointLocation", checkpoint_path)
+        )
+    else:
+
+        def write_batch(batch: DataFrame, epoch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{output_path}/batch_id={epoch_id}")
+            batch.filter("alert").write.mode("overwrite").parquet(f"{alerts_path}/batch_id={epoch_id}")
+
+        w = out.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
 

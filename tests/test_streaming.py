@@ -88,3 +88,23 @@ def test_stream_static_enrichment_and_latency_percentiles(spark):
     (r,) = [x for x in spark.read.parquet(f"{run}/out").collect() if x["window_start"].day == 1]
     assert (r["n_base"], r["n_cand"]) == (1, 2)  # the impression of an unknown request is dropped by the join
     assert r["alert"] is True and r["p50_latency_cand"] == 2500
+
+
+def test_foreach_batch_alert_table(spark):
+    """The foreachBatch sink: windows and an alerts-only table, per batch id."""
+    run = f"{ensure_checkpoint_dir(spark)}/test_stream/{uuid.uuid4().hex}"
+    files = [
+        [_row(1, 1), _row(2, 1, "8.2.0", False), _row(3, 2), _row(4, 2, "8.2.0", True)],
+        [_row(5, 10)],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{run}/src")
+    q = start_guardrail_stream(
+        spark, f"{run}/src", spark.read.parquet(f"{run}/src").schema, f"{run}/out", f"{run}/ck",
+        window="1 day", watermark="2 days", min_n=1, tol=0.3, alerts_path=f"{run}/alerts",
+    )
+    q.awaitTermination()
+    windows = spark.read.parquet(f"{run}/out").collect()
+    alerts = spark.read.parquet(f"{run}/alerts").collect()
+    assert sorted(r["window_start"].day for r in windows) == [1, 2]
+    assert [(r["window_start"].day, r["alert"]) for r in alerts] == [(1, True)]
