@@ -131,13 +131,18 @@ def requests_view(spark: SparkSession, sf_dir: str, hinge: str = FIXTURE_HINGE)
     )
 
 
-def _bids_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bids_full(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Bids with the helper columns the impression build needs.
 
     Both windows partition by l_orderkey (at most a handful of lines per
-    order), so Spark plans one exchange and two sorts.
+    order in TPC-H, so no window partition is large), so Spark plans one
+    exchange and two sorts. With ``partitions`` that exchange is made
+    explicit with the bucket count, so the result is already laid out in
+    request_id buckets for the write.
     """
     li = _read(spark, sf_dir, "lineitem")
+    if partitions:
+        li = li.repartition(partitions, "l_orderkey")
     by_order = Window.partitionBy("l_orderkey")
     li = li.withColumn(
         "rn", F.row_number().over(by_order.orderBy(*[F.col(c).asc_nulls_last() for c in LINEITEM_ORDER]))
@@ -275,7 +280,7 @@ def _sdk_events(imp_full: DataFrame) -> DataFrame:
 
 
 SOURCES = ["supplier", "nation", "region", "orders", "customer", "lineitem"]
-FIXTURE_VERSION = "1"
+FIXTURE_VERSION = "2"
 _MEMO: dict[tuple[str, str], AdTables] = {}
 _BUILD_LOCK = threading.Lock()
 
@@ -345,15 +350,17 @@ def _load_or_build(spark: SparkSession, sf_dir: str, hinge: str, key: str, bucke
                 "buyers": buyers,
                 "publishers": publishers_view(spark, sf_dir),
                 "ad_requests": requests_view(spark, sf_dir, hinge),
-                "bids": _bids_full(spark, sf_dir),
+                "bids": _bids_full(spark, sf_dir, partitions=n),
             },
-            root, prefix, n,
+            root, prefix, n, prepartitioned=("bids",),
         )
+        # Built from the stored, co-bucketed tables: the join runs bucket by
+        # bucket and its output is already laid out in request_id buckets.
         stored = {name: spark.table(f"{prefix}_{name}") for name in ("ad_requests", "bids", "buyers")}
         imp = _impressions_full(stored["ad_requests"], stored["bids"], stored["buyers"])
-        write_tables({"impressions": imp}, root, prefix, n)
+        write_tables({"impressions": imp}, root, prefix, n, prepartitioned=("impressions",))
         imp_full = spark.table(f"{prefix}_impressions")
-        write_tables({"sdk_events": _sdk_events(imp_full)}, root, prefix, n)
+        write_tables({"sdk_events": _sdk_events(imp_full)}, root, prefix, n, prepartitioned=("sdk_events",))
         mark_ready(spark, root, n)
     register_tables(spark, root, prefix, [*FACTS, *DIMENSIONS], n)
     return stored_tables(spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS}, winning_bid_in_request=True)

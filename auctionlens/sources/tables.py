@@ -52,15 +52,24 @@ def write_tables(
     root: str,
     prefix: str,
     buckets: int | None = None,
+    prepartitioned: tuple[str, ...] = (),
 ) -> None:
     """Write each table under ``{root}/{name}`` and register it in the session
-    catalog as ``{prefix}_{name}``; facts bucketed by ``request_id``."""
+    catalog as ``{prefix}_{name}``; facts bucketed by ``request_id``.
+
+    A fact named in ``prepartitioned`` is already hash-partitioned on
+    request_id into ``buckets`` partitions (e.g. by the window or bucketed
+    join that produced it), so it is written without another shuffle; each
+    task then writes one bucket file. Were that not so, a bucket would
+    span several files, which readers handle the same way.
+    """
     spark = next(iter(tables.values())).sparkSession
     n = buckets or default_buckets(spark)
     for name, df in tables.items():
         w = df
         if name in FACTS:
-            w = df.repartition(n, BUCKET_KEY).write.bucketBy(n, BUCKET_KEY).sortBy(BUCKET_KEY)
+            src = df if name in prepartitioned else df.repartition(n, BUCKET_KEY)
+            w = src.write.bucketBy(n, BUCKET_KEY).sortBy(BUCKET_KEY)
         else:
             w = df.coalesce(1).write
         spark.sql(f"DROP TABLE IF EXISTS {_table_name(prefix, name)}")
