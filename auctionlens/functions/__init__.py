@@ -6,10 +6,8 @@ from auctionlens.functions.exprs import (  # noqa: F401
     count_if,
     dround,
     era,
-    flag,
     is_true,
     money,
-    money_sum,
     os_major,
     ratio,
     ts_lit,

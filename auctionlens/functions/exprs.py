@@ -41,11 +41,6 @@ def is_true(c: ColumnOrName) -> Column:
     return F.coalesce(col(c), F.lit(False))
 
 
-def flag(p: Column) -> Column:
-    """1 when the predicate is true, 0 when false or NULL."""
-    return F.when(p, F.lit(1)).otherwise(F.lit(0))
-
-
 def count_if(p: Column) -> Column:
     """Rows where ``p`` is true, as bigint (0 for a group without such rows)."""
     return F.count_if(F.coalesce(p, F.lit(False))).cast("bigint")
@@ -61,11 +56,6 @@ def money(c: ColumnOrName) -> Column:
     return F.coalesce(col(c), F.lit(0.0)).cast(MONEY_TYPE)
 
 
-def money_sum(c: ColumnOrName) -> Column:
-    """``SUM(COALESCE(c, 0))`` in decimal, returned as double."""
-    return F.sum(money(c)).cast("double")
-
-
 def dround(c: ColumnOrName, n: int) -> Column:
     """``ROUND(c::numeric, n)``: half away from zero on a decimal, then double."""
     return F.round(col(c).cast("decimal(38,10)"), n).cast("double")
