@@ -60,3 +60,12 @@ def test_lazy_views_equal_stored_tables(spark):
     stored = fixture_tables(spark, sf, hinge=H)
     for op in (funnel.funnel_daily, lambda t: cohorts.cohort_pre_post(t, hinge=H), lambda t: impact.counterfactual_impact(t, hinge=H)):
         assert sorted(map(repr, op(lazy).collect())) == sorted(map(repr, op(stored).collect()))
+
+
+def test_command_line_writes_results(spark, tmp_path_factory, capsys):
+    from auctionlens.__main__ import main
+
+    out = f"{ensure_checkpoint_dir(spark)}/test_cli/{uuid.uuid4().hex}"
+    main(["--testdata", "/root/testdata/sf0.001", "--only", "error_trail,counterfactual_impact", "--out", out, "--rows", "3"])
+    assert "== error_trail" in capsys.readouterr().out
+    assert spark.read.parquet(f"{out}/counterfactual_impact").count() == 2
