@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -280,7 +282,7 @@ def _sdk_events(imp_full: DataFrame) -> DataFrame:
 
 
 SOURCES = ["supplier", "nation", "region", "orders", "customer", "lineitem"]
-FIXTURE_VERSION = "2"
+FIXTURE_VERSION = "3"
 _MEMO: dict[tuple[str, str], AdTables] = {}
 _BUILD_LOCK = threading.Lock()
 
@@ -312,6 +314,53 @@ def _app_id(spark: SparkSession) -> str:
     return app
 
 
+def _build(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str, n: int) -> None:
+    """Derive and write the six tables under ``root``; the ready marker last."""
+    write_tables(
+        {
+            "buyers": buyers_view(spark, sf_dir),
+            "publishers": publishers_view(spark, sf_dir),
+            "ad_requests": requests_view(spark, sf_dir, hinge),
+            "bids": _bids_full(spark, sf_dir, partitions=n),
+        },
+        root, prefix, n, prepartitioned=("bids",),
+    )
+    # Built from the stored, co-bucketed tables: the join runs bucket by
+    # bucket and its output is already laid out in request_id buckets.
+    stored = {name: spark.table(f"{prefix}_{name}") for name in ("ad_requests", "bids", "buyers")}
+    imp = _impressions_full(stored["ad_requests"], stored["bids"], stored["buyers"])
+    write_tables({"impressions": imp}, root, prefix, n, prepartitioned=("impressions",))
+    imp_full = spark.table(f"{prefix}_impressions")
+    write_tables({"sdk_events": _sdk_events(imp_full)}, root, prefix, n, prepartitioned=("sdk_events",))
+    mark_ready(spark, root, n)
+
+
+def _build_and_publish(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str, n: int) -> int:
+    """Build the tables and make them visible all at once.
+
+    On a file system with atomic rename (local, HDFS via a local mount) the
+    set is built in a private folder and renamed into place, so concurrent
+    builders never see each other's partial output; the loser of a race
+    adopts the winner's tables (its own private copy is left in place).
+    Elsewhere (object stores) it is built in
+    place, guarded by the ready marker written last.
+    """
+    parsed = urlparse(root)
+    if parsed.scheme not in ("", "file"):
+        _build(spark, sf_dir, hinge, root, prefix, n)
+        return n
+    tag = uuid.uuid4().hex[:8]
+    tmp_root, tmp_prefix = f"{root}.building-{tag}", f"{prefix}_b{tag}"
+    _build(spark, sf_dir, hinge, tmp_root, tmp_prefix, n)
+    for name in (*FACTS, *DIMENSIONS):
+        spark.sql(f"DROP TABLE IF EXISTS {tmp_prefix}_{name}")  # catalog entries only; files stay
+    try:
+        os.rename(urlparse(tmp_root).path, parsed.path)
+    except OSError:
+        pass  # another builder published first
+    return tables_ready(spark, root) or n
+
+
 def fixture_tables(
     spark: SparkSession,
     sf_dir: str,
@@ -343,24 +392,6 @@ def _load_or_build(spark: SparkSession, sf_dir: str, hinge: str, key: str, bucke
     root, prefix = views_root(spark, key), f"al_{key}"
     n = tables_ready(spark, root)
     if n is None:
-        n = buckets
-        buyers = buyers_view(spark, sf_dir)
-        write_tables(
-            {
-                "buyers": buyers,
-                "publishers": publishers_view(spark, sf_dir),
-                "ad_requests": requests_view(spark, sf_dir, hinge),
-                "bids": _bids_full(spark, sf_dir, partitions=n),
-            },
-            root, prefix, n, prepartitioned=("bids",),
-        )
-        # Built from the stored, co-bucketed tables: the join runs bucket by
-        # bucket and its output is already laid out in request_id buckets.
-        stored = {name: spark.table(f"{prefix}_{name}") for name in ("ad_requests", "bids", "buyers")}
-        imp = _impressions_full(stored["ad_requests"], stored["bids"], stored["buyers"])
-        write_tables({"impressions": imp}, root, prefix, n, prepartitioned=("impressions",))
-        imp_full = spark.table(f"{prefix}_impressions")
-        write_tables({"sdk_events": _sdk_events(imp_full)}, root, prefix, n, prepartitioned=("sdk_events",))
-        mark_ready(spark, root, n)
+        n = _build_and_publish(spark, sf_dir, hinge, root, prefix, buckets)
     register_tables(spark, root, prefix, [*FACTS, *DIMENSIONS], n)
     return stored_tables(spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS}, winning_bid_in_request=True)
