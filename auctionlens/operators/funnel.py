@@ -24,7 +24,6 @@ from auctionlens.functions.exprs import (
     ratio,
     ts_lit,
 )
-from auctionlens.plans.joins import bounded_broadcast
 from auctionlens.sources.schema import AdTables
 
 REFERENCE_HINGE = "2026-05-20"
@@ -110,13 +109,13 @@ def funnel_daily(t: AdTables, ma_rows: int = 7, requests: DataFrame | None = Non
 
 def tier_requests(t: AdTables, tiers: Sequence[str] = ("Tier-1",)) -> DataFrame:
     """Requests of publishers in ``tiers`` (semi join to a checked-size dimension)."""
-    pubs = t.publishers.filter(F.col("tier").isin(list(tiers))).select("publisher_id")
-    return t.ad_requests.join(bounded_broadcast(pubs), "publisher_id", "left_semi")
+    pubs = t.dimension("publishers", "publisher_id", "tier").filter(F.col("tier").isin(list(tiers))).select("publisher_id")
+    return t.ad_requests.join(pubs, "publisher_id", "left_semi")
 
 
 def publisher_scope(t: AdTables, hinge: str = REFERENCE_HINGE) -> DataFrame:
     """Funnel rates per publisher tier and era."""
-    pubs = bounded_broadcast(t.publishers.select("publisher_id", "tier"))
+    pubs = t.dimension("publishers", "publisher_id", "tier")
     req = t.ad_requests.join(pubs, "publisher_id", "left").withColumn("era", era("request_ts", hinge))
     rates = funnel_rates(request_grain(t, req, extra=["tier", "era"]), ["tier", "era"])
     return rates.select(
@@ -152,7 +151,7 @@ def impression_context(t: AdTables, request_cols: Sequence[str], with_buyer: boo
     req = t.ad_requests.select("request_id", *request_cols)
     x = join_winning_bid(t.impressions.join(req, "request_id", how), t, ["bid_ttl_ms", "cleared_price", "buyer_id"], how)
     if with_buyer:
-        x = x.join(bounded_broadcast(t.buyers.select("buyer_id", "billing_type")), "buyer_id", how)
+        x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id", how)
     return x
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from auctionlens.functions.exprs import count_if, dround, ratio, ts_lit
 from auctionlens.operators.funnel import BASE, CAND, REFERENCE_HINGE, join_winning_bid
-from auctionlens.plans.joins import bounded_broadcast
 from auctionlens.sources.schema import AdTables
 
 GUARDRAIL_KEYS = ("os_version", "ad_format")
@@ -33,7 +32,7 @@ def won_impressions(t: AdTables, keys: Sequence[str] = GUARDRAIL_KEYS) -> DataFr
     x = t.impressions.select("impression_id", "request_id", "winning_bid_id", "billable", "render_latency_ms").join(req, "request_id")
     if "billing_type" in keys:
         x = join_winning_bid(x, t, ["buyer_id"])
-        x = x.join(bounded_broadcast(t.buyers.select("buyer_id", "billing_type")), "buyer_id")
+        x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     return x.select("impression_id", "request_id", "ts", "sdk_version", *keys, "billable", "render_latency_ms")
 
 

@@ -12,7 +12,6 @@ from auctionlens.functions.exprs import MONEY_TYPE, any_of, case_label, count_if
 from auctionlens.operators.cohorts import DEFAULT_COHORT, _match, rendered_post
 from auctionlens.operators.funnel import BASE, CAND, REFERENCE_HINGE, _billing_signal
 from auctionlens.operators.mechanism import _with_bid
-from auctionlens.plans.joins import bounded_broadcast
 from auctionlens.sources.schema import AdTables
 
 
@@ -48,7 +47,7 @@ def cohort_impact_agg(
     if cases is None:
         cases, prefilter = default_impact_cohorts()
     x = _with_bid(rendered_post(t, hinge, prefilter), t, ["buyer_id"])
-    x = x.join(bounded_broadcast(t.buyers.select("buyer_id", "billing_type")), "buyer_id")
+    x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     x = x.withColumn("cohort", case_label(cases)).filter(F.col("cohort").isNotNull())
     is_b, is_c, bill = F.col("sdk_version") == base, F.col("sdk_version") == cand, F.col("billable")
     x = x.withColumn("_rev", money("revenue_usd"))
@@ -140,7 +139,7 @@ def ttl_what_if(
     """
     pred = _match(cohort or DEFAULT_COHORT) & (F.col("sdk_version") == cand)
     x = _with_bid(rendered_post(t, hinge, pred), t, ["bid_ttl_ms", "cleared_price", "buyer_id"])
-    x = x.join(bounded_broadcast(t.buyers.select("buyer_id", "billing_type")), "buyer_id")
+    x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     signal = is_true(_billing_signal(F.col("billing_type"), F.col("viewable"), F.col("video_completed")))
     x = x.select(
         F.explode(F.array(*[F.lit(int(d)) for d in deltas_ms])).alias("delta_ms"),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from auctionlens.functions.exprs import case_label, count_if, dround, is_true, os_major, ratio, ts_lit, version_rate
 from auctionlens.operators.cohorts import DEFAULT_COHORT, _match, rendered_post
 from auctionlens.operators.funnel import BASE, CAND, REFERENCE_HINGE, join_winning_bid
-from auctionlens.plans.joins import bounded_broadcast
 from auctionlens.sources.schema import AdTables
 
 INTERSTITIAL_COHORT = {"os": "iOS", "ad_format": "interstitial"}
@@ -63,7 +62,7 @@ def billing_type_split(
     """Billable rate by buyer billing type and version, and the candidate's
     viewable rate, inside a cohort (iOS interstitial by default)."""
     x = _with_bid(rendered_post(t, hinge, _match(cohort or INTERSTITIAL_COHORT)), t, ["buyer_id"])
-    x = x.join(bounded_broadcast(t.buyers.select("buyer_id", "billing_type")), "buyer_id")
+    x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     n_b, br_b = version_rate("sdk_version", base, F.col("billable"))
     n_c, br_c = version_rate("sdk_version", cand, F.col("billable"))
     _, vr_c = version_rate("sdk_version", cand, is_true(F.col("viewable")))

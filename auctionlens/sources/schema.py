@@ -6,7 +6,7 @@ views; no operator depends on the id type, only on equality.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -102,6 +102,17 @@ class AdTables:
     buyers: DataFrame
     publishers: DataFrame
     winning_bid_in_request: bool = False
+    _dims: dict = field(default_factory=dict, repr=False, compare=False)
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_NAMES}
+
+    def dimension(self, name: str, *cols: str) -> DataFrame:
+        """A dimension projected to ``cols``, broadcast only if a count proves
+        it small (``bounded_broadcast``); the count runs once per instance."""
+        from auctionlens.plans.joins import bounded_broadcast
+
+        key = (name, cols)
+        if key not in self._dims:
+            self._dims[key] = bounded_broadcast(getattr(self, name).select(*cols))
+        return self._dims[key]
