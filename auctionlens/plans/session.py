@@ -21,6 +21,9 @@ DEFAULT_CONF = {
     "spark.sql.shuffle.partitions": "8",
     # let a join on (request_id, x) use tables bucketed by request_id alone
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # streaming state on local disk, not the JVM heap: the dedup state holds
+    # one key per impression inside the watermark delay
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -24,11 +24,20 @@ from auctionlens.operators.guardrail import GUARDRAIL_KEYS, guardrail_windows
 from auctionlens.plans.session import ensure_checkpoint_dir
 
 
-def guardrail_events(stream: DataFrame, watermark: str = "2 days", ts_col: str = "ts", id_col: str = "impression_id") -> DataFrame:
+def guardrail_events(
+    stream: DataFrame, watermark: str = "2 days", ts_col: str = "ts", id_col: str = "impression_id", dedup: bool = True
+) -> DataFrame:
     """Event-time column as TIMESTAMP (watermarks reject timestamp_ntz), the
-    watermark, and duplicate removal on the impression id within it."""
+    watermark, and duplicate removal on the impression id within it.
+
+    State sizes: the window aggregate keeps one row per open window x
+    cohort, which is small; the dedup keeps one key per impression seen
+    within the watermark delay, which grows with traffic. That is why the
+    session default is the RocksDB state store (disk, not heap). Use
+    ``dedup=False`` for a source that already delivers exactly once.
+    """
     ev = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
-    return ev.dropDuplicatesWithinWatermark([id_col])
+    return ev.dropDuplicatesWithinWatermark([id_col]) if dedup else ev
 
 
 def enrich_with_requests(events: DataFrame, requests: DataFrame, keys: Sequence[str] = GUARDRAIL_KEYS) -> DataFrame:
@@ -61,6 +70,7 @@ def start_guardrail_stream(
     z_min: float | None = None,
     latency_probs: Sequence[float] = (),
     alerts_path: str | None = None,
+    dedup: bool = True,
 ) -> StreamingQuery:
     """Start the guardrail stream; returns the running query.
 
@@ -77,7 +87,7 @@ def start_guardrail_stream(
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = guardrail_events(reader.parquet(source_path), watermark)
+    ev = guardrail_events(reader.parquet(source_path), watermark, dedup=dedup)
     if requests is not None:
         ev = enrich_with_requests(ev, requests, keys)
     out = guardrail_windows(ev, base, cand, keys, window=window, min_n=min_n, tol=tol, z_min=z_min, latency_probs=latency_probs)
