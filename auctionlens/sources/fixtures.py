@@ -283,7 +283,7 @@ def _sdk_events(imp_full: DataFrame) -> DataFrame:
 
 SOURCES = ["supplier", "nation", "region", "orders", "customer", "lineitem"]
 FIXTURE_VERSION = "3"
-_MEMO: dict[tuple[str, str], AdTables] = {}
+_MEMO: dict[tuple[str, str, str], AdTables] = {}
 _BUILD_LOCK = threading.Lock()
 
 
@@ -379,11 +379,15 @@ def fixture_tables(
     """
     if not materialize:
         return derived_tables(spark, sf_dir, hinge)
-    paths = [f"{sf_dir}/{n}.parquet" for n in SOURCES]
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{source_signature(paths, spark)}|{hinge}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
-    memo = (_app_id(spark), key)
+    # The source signature (a file listing on remote storage) is taken once
+    # per application and path; a source rewritten while the application
+    # runs is picked up by the next application.
+    memo = (_app_id(spark), os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, hinge)
     with _BUILD_LOCK:
         if memo not in _MEMO:
+            paths = [f"{sf_dir}/{n}.parquet" for n in SOURCES]
+            sig = source_signature(paths, spark)
+            key = hashlib.sha1(f"{memo[1]}|{sig}|{hinge}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
             _MEMO[memo] = _load_or_build(spark, sf_dir, hinge, key, buckets or choose_buckets(spark, source_bytes(paths)))
     return _MEMO[memo]
 
