@@ -154,6 +154,7 @@ def replay_guardrail(
             spark, f"{run}/source", src.schema, f"{run}/out", f"{run}/checkpoint",
             base=base, cand=cand, keys=keys, window=window, watermark=watermark, min_n=min_n, tol=tol,
             max_files_per_trigger=2,
+            dedup=False,  # replaying a table whose impression_id is a checked primary key
         )
         q.awaitTermination()
         if q.exception() is not None:
