@@ -61,7 +61,7 @@ def ecpm_decomposition(t: AdTables, hinge: str = REFERENCE_HINGE) -> DataFrame:
         pct("billable_rate").alias("billable_rate_pct_chg"),
         pct("price_cpm").alias("price_pct_chg"),
         pct("ecpm").alias("ecpm_pct_chg"),
-    ).orderBy("era")
+    ).orderBy(F.col("era").asc_nulls_last())
 
 
 def geo_mix_control(
@@ -100,7 +100,7 @@ def geo_mix_control(
         "scope", "era",
         dround(ratio("rev", "n_billable") * 1000.0, 3).alias("price_cpm"),
         dround(ratio("n_low", "n"), 3).alias("low_ecpm_geo_share"),
-    ).orderBy("scope", "era")
+    ).orderBy(F.col("scope").asc_nulls_last(), F.col("era").asc_nulls_last())
 
 
 def ecpm_attribution(t: AdTables, hinge: str = REFERENCE_HINGE) -> DataFrame:

@@ -120,7 +120,7 @@ def publisher_scope(t: AdTables, hinge: str = REFERENCE_HINGE) -> DataFrame:
     rates = funnel_rates(request_grain(t, req, extra=["tier", "era"]), ["tier", "era"])
     return rates.select(
         "tier", "era", *[dround(c, 4).alias(c) for c in ("bid_rate", "win_rate", "render_rate", "billable_rate", "ecpm")]
-    ).orderBy("tier", "era")
+    ).orderBy(F.col("tier").asc_nulls_last(), F.col("era").asc_nulls_last())
 
 
 def _billing_signal(billing_type: Column, viewable: Column, video_completed: Column) -> Column:
