@@ -79,3 +79,19 @@ def test_sample_satisfies_contracts_and_counts(sample):
 def test_quoted_comma_and_dotless_version_survive(sample):
     rows = {r.request_id: r for r in sample.ad_requests.select("request_id", "device_model", os_major().alias("m")).collect()}
     assert rows["REQ_000003"].device_model == "iPhone14,5" and rows["REQ_000004"].m == "14"
+
+
+def test_command_line_on_reference_shaped_tables(spark, sample, capsys):
+    import uuid
+
+    from auctionlens.__main__ import main
+    from auctionlens.plans.session import ensure_checkpoint_dir
+
+    root = f"{ensure_checkpoint_dir(spark)}/test_ref_cli/{uuid.uuid4().hex}"
+    for name, df in sample.as_dict().items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    main(["--tables", root, "--only", "load_verification,funnel_daily", "--out", f"{root}/out"])
+    out = {r.t: r for r in spark.read.parquet(f"{root}/out/load_verification").collect()}
+    assert out["buyers"].ok and out["publishers"].ok  # the reference dimensions are complete
+    assert out["ad_requests"].n == 6 and out["ad_requests"].expected == 2600 and out["ad_requests"].ok is False
+    assert spark.read.parquet(f"{root}/out/funnel_daily").count() == 1
