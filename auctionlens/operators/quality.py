@@ -73,6 +73,7 @@ def _rules(t: AdTables) -> dict[str, list[tuple[str, str, Column]]]:
             ("rule_latency_null_iff_not_rendered", "render_latency_ms", c("render_latency_ms").isNull() != ~is_true(c("rendered"))),
             ("rule_billable_not_rendered", "billable", is_true(c("billable")) & ~is_true(c("rendered"))),
             ("rule_revenue_without_billing", "revenue_usd", ~is_true(c("billable")) & (F.coalesce(c("revenue_usd"), F.lit(0.0)) != 0.0)),
+            ("rule_complete_ts_null_iff_not_rendered", "render_complete_ts", c("render_complete_ts").isNull() != ~is_true(c("rendered"))),
         ],
     }
 
@@ -108,19 +109,34 @@ def contract_check(t: AdTables) -> DataFrame:
         parts.append(df.agg(F.array(*cols).alias("_r")).select(F.inline("_r")))
     # On the bid id alone: this verifies the same-request guarantee rather than assuming it.
     bids = t.bids.select(
-        F.col("bid_id").alias("winning_bid_id"), F.col("request_id").alias("_bid_req"), "is_winner", F.lit(True).alias("_hit")
+        F.col("bid_id").alias("winning_bid_id"), F.col("request_id").alias("_bid_req"), "is_winner",
+        "bid_ttl_ms", "cleared_price", "buyer_id", F.lit(True).alias("_hit"),
     )
-    x = t.impressions.select("winning_bid_id", "request_id").filter(F.col("winning_bid_id").isNotNull())
-    x = x.join(bids, "winning_bid_id", "left")
-    parts.append(
-        x.agg(
-            F.array(
-                F.struct(*_row("fk_orphan", "impressions", "winning_bid_id", count_if(F.col("_hit").isNull()))),
-                F.struct(*_row("rule_winning_bid_other_request", "impressions", "winning_bid_id", count_if(F.col("_bid_req") != F.col("request_id")))),
-                F.struct(*_row("rule_winning_bid_not_winner", "impressions", "winning_bid_id", count_if(F.col("is_winner") != 1))),
-            ).alias("_r")
-        ).select(F.inline("_r"))
+    x = t.impressions.select(
+        "winning_bid_id", "request_id", "rendered", "render_latency_ms", "viewable", "video_completed", "billable", "revenue_usd"
+    ).filter(F.col("winning_bid_id").isNotNull())
+    x = x.join(bids, "winning_bid_id", "left").join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id", "left")
+    # The billing rule: billable <=> rendered, rendered within the bid TTL, and
+    # the buyer's billing signal present (viewable / completed / rendered).
+    signal = (
+        F.when(F.col("billing_type") == "render", F.lit(True))
+        .when(F.col("billing_type") == "viewable", F.col("viewable"))
+        .when(F.col("billing_type") == "complete", F.col("video_completed"))
     )
+    rule = is_true(F.col("rendered") & (F.col("render_latency_ms") <= F.col("bid_ttl_ms")) & is_true(signal))
+    rev_off = F.abs(F.col("revenue_usd") - F.col("cleared_price") / 1000.0) > F.lit(1e-6)
+    checks = [
+        ("fk_orphan", "winning_bid_id", F.col("_hit").isNull()),
+        ("rule_winning_bid_other_request", "winning_bid_id", F.col("_bid_req") != F.col("request_id")),
+        ("rule_winning_bid_not_winner", "winning_bid_id", F.col("is_winner") != 1),
+        ("rule_billing_mismatch", "billable", rule != is_true(F.col("billable"))),
+        ("rule_revenue_not_cleared_price", "revenue_usd", is_true(F.col("billable")) & F.col("revenue_usd").isNotNull() & rev_off),
+    ]
+    parts.append(x.agg(F.array(*[F.struct(*_row(n, "impressions", cn, count_if(p))) for n, cn, p in checks]).alias("_r")).select(F.inline("_r")))
+    # video_completed is NULL exactly on non-video formats (request_id join: bucket-aligned)
+    v = t.impressions.select("request_id", "video_completed").join(t.ad_requests.select("request_id", "ad_format"), "request_id")
+    no_video = F.col("ad_format").isin("banner", "native")
+    parts.append(v.agg(*_row("rule_video_null_iff_not_video_format", "impressions", "video_completed", count_if(F.col("video_completed").isNull() != no_video))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -747,11 +747,24 @@ def _contract_sql() -> str:
     ]
     for check, table, column, pred in rules:
         parts.append(row(check, table, column, f"COUNT(*) FILTER (WHERE {pred})", table))
+    parts.append(row("rule_complete_ts_null_iff_not_rendered", "impressions", "render_complete_ts",
+                     "COUNT(*) FILTER (WHERE (render_complete_ts IS NULL) <> (NOT COALESCE(rendered, FALSE)))", "impressions"))
     wb = "impressions i JOIN bids b ON i.winning_bid_id = b.bid_id"
     parts.append(row("rule_winning_bid_other_request", "impressions", "winning_bid_id",
                      "COUNT(*) FILTER (WHERE b.request_id <> i.request_id)", wb))
     parts.append(row("rule_winning_bid_not_winner", "impressions", "winning_bid_id",
                      "COUNT(*) FILTER (WHERE b.is_winner <> 1)", wb))
+    wby = ("impressions i LEFT JOIN bids b ON i.winning_bid_id = b.bid_id "
+           "LEFT JOIN buyers y ON b.buyer_id = y.buyer_id WHERE i.winning_bid_id IS NOT NULL")
+    expected = f"COALESCE(i.rendered AND i.render_latency_ms <= b.bid_ttl_ms AND {SIGNAL}, FALSE)"
+    parts.append(row("rule_billing_mismatch", "impressions", "billable",
+                     f"COUNT(*) FILTER (WHERE {expected} <> COALESCE(i.billable, FALSE))", wby))
+    parts.append(row("rule_revenue_not_cleared_price", "impressions", "revenue_usd",
+                     "COUNT(*) FILTER (WHERE COALESCE(i.billable, FALSE) AND i.revenue_usd IS NOT NULL "
+                     "AND ABS(i.revenue_usd - b.cleared_price / 1000.0) > 0.000001)", wby))
+    parts.append(row("rule_video_null_iff_not_video_format", "impressions", "video_completed",
+                     "COUNT(*) FILTER (WHERE (i.video_completed IS NULL) <> (r.ad_format IN ('banner', 'native')))",
+                     "impressions i JOIN ad_requests r USING (request_id)"))
     return _q("\nUNION ALL\n".join(parts))
 
 

@@ -223,6 +223,9 @@ def test_contract_check_counts_violations(micro):
     assert out[("rule_winning_bid_other_request", "impressions", "winning_bid_id")] == 1
     assert out[("rule_winning_bid_not_winner", "impressions", "winning_bid_id")] == 1
     assert out[("null_count", "bids", "cleared_price")] == 2
+    assert out[("rule_billing_mismatch", "impressions", "billable")] == 1  # billed although not rendered
+    assert out[("rule_complete_ts_null_iff_not_rendered", "impressions", "render_complete_ts")] == 0
+    assert out[("rule_video_null_iff_not_video_format", "impressions", "video_completed")] == 0
     assert out[("pk_duplicate", "ad_requests", "request_id")] == 0
 
 
