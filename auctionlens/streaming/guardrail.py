@@ -71,6 +71,7 @@ def start_guardrail_stream(
     latency_probs: Sequence[float] = (),
     alerts_path: str | None = None,
     dedup: bool = True,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Start the guardrail stream; returns the running query.
 
@@ -83,6 +84,12 @@ def start_guardrail_stream(
     alert rows under ``alerts_path``, both in a ``batch_id=<epoch>`` folder
     written with overwrite, so a retried batch replaces its own output
     (exactly once with the checkpoint).
+
+    ``state_partitions`` fixes the number of state-store partitions at the
+    query's first start (it is then kept in the checkpoint). The window
+    aggregate's state is small (open windows x cohorts), so a few
+    partitions suffice; the dedup state grows with traffic and wants the
+    session's larger default.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -106,7 +113,14 @@ def start_guardrail_stream(
 
         w = out.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
-    return w.start()
+    if state_partitions is None:
+        return w.start()
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return w.start()  # the stream runs on a clone of the session taken here
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
 
 
 def _write_time_slices(df: DataFrame, path: str, ts_col: str = "ts", slice_years: int = 1, files_per_slice: int = 2) -> None:
@@ -155,6 +169,7 @@ def replay_guardrail(
             base=base, cand=cand, keys=keys, window=window, watermark=watermark, min_n=min_n, tol=tol,
             max_files_per_trigger=2,
             dedup=False,  # replaying a table whose impression_id is a checked primary key
+            state_partitions=8,  # state is open windows x cohorts only
         )
         q.awaitTermination()
         if q.exception() is not None:
