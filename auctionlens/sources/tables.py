@@ -30,12 +30,17 @@ MAX_BUCKETS = 1 << 16
 
 
 def default_buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    """The cluster's task parallelism (all executor cores), so a scan of a
+    bucketed table keeps every core busy."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001  (no SparkContext handle)
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def choose_buckets(spark: SparkSession, source_bytes: int) -> int:
     """One bucket count for all facts (co-location needs the same count):
-    at least the shuffle partition count, else about 256 MB of source per
+    at least the cluster parallelism, else about 256 MB of source per
     bucket, as a power of two, capped at 65536. A bucketed scan reads each
     bucket as one task, so buckets must stay task-sized at any scale."""
     n = max(1, -(-source_bytes // TARGET_BUCKET_BYTES))

@@ -36,7 +36,7 @@ def test_stored_tables_are_reused(spark, t001):
 
 
 def test_bucket_count_tracks_data_size(spark):
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = spark.sparkContext.defaultParallelism
     assert choose_buckets(spark, 10 * 1024 * 1024) == base
     assert choose_buckets(spark, 100 * 1024**4) == 1 << 16  # 100 TB: capped, ~1.5 GB per bucket
     assert choose_buckets(spark, 64 * 1024**3) == 256
