@@ -282,7 +282,7 @@ def _sdk_events(imp_full: DataFrame) -> DataFrame:
 
 
 SOURCES = ["supplier", "nation", "region", "orders", "customer", "lineitem"]
-FIXTURE_VERSION = "3"
+FIXTURE_VERSION = "4"
 _MEMO: dict[tuple[str, str, str], AdTables] = {}
 _BUILD_LOCK = threading.Lock()
 

@@ -16,6 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
+from auctionlens.plans.inspect import hash_partitioned_on
 from auctionlens.plans.session import ensure_checkpoint_dir
 from auctionlens.sources.schema import SCHEMAS, AdTables
 
@@ -62,18 +63,20 @@ def write_tables(
     """Write each table under ``{root}/{name}`` and register it in the session
     catalog as ``{prefix}_{name}``; facts bucketed by ``request_id``.
 
-    A fact named in ``prepartitioned`` is already hash-partitioned on
-    request_id into ``buckets`` partitions (e.g. by the window or bucketed
-    join that produced it), so it is written without another shuffle; each
-    task then writes one bucket file. Were that not so, a bucket would
-    span several files, which readers handle the same way.
+    A fact named in ``prepartitioned`` is expected to be hash-partitioned
+    on request_id into ``buckets`` partitions already (by the window or
+    bucketed join that produced it). The physical plan is checked, and only
+    then is the write done without another shuffle (one file per bucket).
+    Otherwise, e.g. when a dimension was too large to broadcast and the
+    join re-partitioned the rows, it is repartitioned first.
     """
     spark = next(iter(tables.values())).sparkSession
     n = buckets or default_buckets(spark)
     for name, df in tables.items():
         w = df
         if name in FACTS:
-            src = df if name in prepartitioned else df.repartition(n, BUCKET_KEY)
+            aligned = name in prepartitioned and hash_partitioned_on(df, BUCKET_KEY, n)
+            src = df if aligned else df.repartition(n, BUCKET_KEY)
             w = src.write.bucketBy(n, BUCKET_KEY).sortBy(BUCKET_KEY)
         else:
             w = df.coalesce(1).write

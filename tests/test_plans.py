@@ -78,3 +78,21 @@ def test_no_fact_shuffle_when_nothing_is_broadcast(spark, key):
             else:
                 spark.conf.set(k, v)
     assert not [e for e in ex if any(f"({k}" in e or f" {k}," in e for k in FACT_KEYS)], ex
+
+
+def test_prepartitioned_write_is_verified_on_the_plan(spark, t001):
+    """A fact is written without a new shuffle only when its plan proves the
+    request_id layout; a join re-partitioned on another key does not."""
+    from auctionlens.plans.inspect import hash_partitioned_on
+
+    n = 6
+    x = t001.bids.repartition(n, "request_id")
+    assert hash_partitioned_on(x, "request_id", n)
+    assert not hash_partitioned_on(x, "request_id", n + 1)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_buyer = x.join(t001.buyers.select("buyer_id", "billing_type"), "buyer_id")
+        assert not hash_partitioned_on(by_buyer, "request_id", n)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
