@@ -28,11 +28,12 @@ REQUEST_COLS = ["request_ts", "sdk_version", "os", "os_version", "ad_format", "c
 
 def rendered_post(t: AdTables, hinge: str, request_filter: Column | None = None) -> DataFrame:
     """Rendered impressions of requests at or after the hinge, with request
-    attributes and ``os_major``. Both filters reach the parquet scans."""
-    req = t.ad_requests.select("request_id", *REQUEST_COLS).filter(F.col("request_ts") >= ts_lit(hinge))
+    attributes and ``os_major``. Both filters reach the parquet scans, and
+    on time-partitioned tables both scans skip pre-hinge partitions."""
+    req = t.since(t.ad_requests, hinge).select("request_id", *REQUEST_COLS).filter(F.col("request_ts") >= ts_lit(hinge))
     if request_filter is not None:
         req = req.filter(request_filter)
-    imps = t.impressions.filter(F.col("rendered")).select(
+    imps = t.since(t.impressions, hinge).filter(F.col("rendered")).select(
         "request_id", "winning_bid_id", "billable", "viewable", "video_completed", "render_latency_ms", "revenue_usd"
     )
     return imps.join(req, "request_id").withColumn("os_major", os_major())

@@ -132,16 +132,19 @@ def _billing_signal(billing_type: Column, viewable: Column, video_completed: Col
     )
 
 
-def join_winning_bid(x: DataFrame, t: AdTables, cols: Sequence[str], how: str = "inner") -> DataFrame:
+def join_winning_bid(x: DataFrame, t: AdTables, cols: Sequence[str], how: str = "inner", hinge: str | None = None) -> DataFrame:
     """Attach winning-bid columns to impression rows (``bid_id = winning_bid_id``).
 
     When the tables declare ``winning_bid_in_request`` the join also matches
     ``request_id``: the same pairs, but tables bucketed by request_id join
-    in place instead of shuffling the bids table on bid_id.
+    in place instead of shuffling the bids table on bid_id. ``hinge`` (for
+    impressions already limited to post-hinge requests) lets the bids scan
+    skip pre-hinge partitions.
     """
     keys = ["request_id", "winning_bid_id"] if t.winning_bid_in_request else ["winning_bid_id"]
     extra = ["request_id"] if t.winning_bid_in_request else []
-    bids = t.bids.select(F.col("bid_id").alias("winning_bid_id"), *extra, *[c for c in cols if c not in extra])
+    bids = t.since(t.bids, hinge) if hinge else t.bids
+    bids = bids.select(F.col("bid_id").alias("winning_bid_id"), *extra, *[c for c in cols if c not in extra])
     return x.join(bids, keys, how)
 
 

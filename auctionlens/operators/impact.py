@@ -46,7 +46,7 @@ def cohort_impact_agg(
     Rows in no cohort are dropped (a CASE without ELSE, then IS NOT NULL)."""
     if cases is None:
         cases, prefilter = default_impact_cohorts()
-    x = _with_bid(rendered_post(t, hinge, prefilter), t, ["buyer_id"])
+    x = _with_bid(rendered_post(t, hinge, prefilter), t, ["buyer_id"], hinge)
     x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     x = x.withColumn("cohort", case_label(cases)).filter(F.col("cohort").isNotNull())
     is_b, is_c, bill = F.col("sdk_version") == base, F.col("sdk_version") == cand, F.col("billable")
@@ -138,7 +138,7 @@ def ttl_what_if(
     stage (``explode`` of a literal array), then one aggregate.
     """
     pred = _match(cohort or DEFAULT_COHORT) & (F.col("sdk_version") == cand)
-    x = _with_bid(rendered_post(t, hinge, pred), t, ["bid_ttl_ms", "cleared_price", "buyer_id"])
+    x = _with_bid(rendered_post(t, hinge, pred), t, ["bid_ttl_ms", "cleared_price", "buyer_id"], hinge)
     x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     signal = is_true(_billing_signal(F.col("billing_type"), F.col("viewable"), F.col("video_completed")))
     x = x.select(

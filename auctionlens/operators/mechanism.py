@@ -16,9 +16,9 @@ from auctionlens.sources.schema import AdTables
 INTERSTITIAL_COHORT = {"os": "iOS", "ad_format": "interstitial"}
 
 
-def _with_bid(x: DataFrame, t: AdTables, cols: Sequence[str]) -> DataFrame:
+def _with_bid(x: DataFrame, t: AdTables, cols: Sequence[str], hinge: str | None = None) -> DataFrame:
     """Attach winning-bid columns (``bid_id`` join on ``winning_bid_id``)."""
-    return join_winning_bid(x, t, cols)
+    return join_winning_bid(x, t, cols, hinge=hinge)
 
 
 def latency_vs_ttl(
@@ -37,7 +37,7 @@ def latency_vs_ttl(
     stays small for millisecond latencies. ``mode='approx'`` uses
     ``percentile_approx`` with a fixed-size sketch.
     """
-    x = _with_bid(rendered_post(t, hinge, _match(cohort or DEFAULT_COHORT)), t, ["bid_ttl_ms"])
+    x = _with_bid(rendered_post(t, hinge, _match(cohort or DEFAULT_COHORT)), t, ["bid_ttl_ms"], hinge)
     lat = F.col("render_latency_ms")
     pct = []
     for p in probs:
@@ -61,7 +61,7 @@ def billing_type_split(
 ) -> DataFrame:
     """Billable rate by buyer billing type and version, and the candidate's
     viewable rate, inside a cohort (iOS interstitial by default)."""
-    x = _with_bid(rendered_post(t, hinge, _match(cohort or INTERSTITIAL_COHORT)), t, ["buyer_id"])
+    x = _with_bid(rendered_post(t, hinge, _match(cohort or INTERSTITIAL_COHORT)), t, ["buyer_id"], hinge)
     x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     n_b, br_b = version_rate("sdk_version", base, F.col("billable"))
     n_c, br_c = version_rate("sdk_version", cand, F.col("billable"))
@@ -95,10 +95,10 @@ def error_trail(
     other: str = ERROR_OTHER_LABEL,
 ) -> DataFrame:
     """Error-code counts per labelled cohort on the candidate version."""
-    req = t.ad_requests.filter(
+    req = t.since(t.ad_requests, hinge).filter(
         (F.col("os") == os) & (F.col("sdk_version") == cand) & (F.col("request_ts") >= ts_lit(hinge))
     ).select("request_id", case_label(cases or default_error_cohorts(), other).alias("cohort"))
-    ev = t.sdk_events.filter(F.col("error_code").isNotNull()).select("request_id", "error_code")
+    ev = t.since(t.sdk_events, hinge).filter(F.col("error_code").isNotNull()).select("request_id", "error_code")
     out = ev.join(req, "request_id").groupBy("cohort", "error_code").agg(F.count(F.lit(1)).alias("n"))
     return out.orderBy(F.col("cohort").asc_nulls_last(), F.col("n").desc())
 
@@ -119,19 +119,19 @@ def error_rate_vs_control(
     row per cohort label (bounded by the number of cases), so it is
     broadcast without a count.
     """
-    req = t.ad_requests.filter(
+    req = t.since(t.ad_requests, hinge).filter(
         (F.col("os") == os) & F.col("sdk_version").isin(base, cand) & (F.col("request_ts") >= ts_lit(hinge))
     ).select("request_id", "sdk_version", case_label(cases or default_error_cohorts(), other).alias("cohort"))
     is_b, is_c = F.col("sdk_version") == base, F.col("sdk_version") == cand
     errs = (
-        t.sdk_events.filter(F.col("error_code").isNotNull())
+        t.since(t.sdk_events, hinge).filter(F.col("error_code").isNotNull())
         .select("request_id", "error_code")
         .join(req, "request_id")
         .groupBy("cohort", "error_code")
         .agg(count_if(is_b).alias("n_base"), count_if(is_c).alias("n_cand"))
     )
     imps = (
-        t.impressions.select("request_id")
+        t.since(t.impressions, hinge).select("request_id")
         .join(req, "request_id")
         .groupBy("cohort")
         .agg(count_if(is_b).alias("imps_base"), count_if(is_c).alias("imps_cand"))

@@ -104,7 +104,8 @@ def contract_check(t: AdTables) -> DataFrame:
         parts.append(orphans.agg(*_row("fk_orphan", child, ck, F.count(F.lit(1)))))
     rules = _rules(t)
     for name, df in tables.items():
-        cols = [F.struct(*_row("null_count", name, cn, count_if(F.col(cn).isNull()))) for cn in df.columns]
+        model_cols = [cn for cn in df.columns if cn != t.time_partition]  # the partition column is layout, not data
+        cols = [F.struct(*_row("null_count", name, cn, count_if(F.col(cn).isNull()))) for cn in model_cols]
         cols += [F.struct(*_row(chk, name, cn, count_if(p))) for chk, cn, p in rules.get(name, [])]
         parts.append(df.agg(F.array(*cols).alias("_r")).select(F.inline("_r")))
     # On the bid id alone: this verifies the same-request guarantee rather than assuming it.

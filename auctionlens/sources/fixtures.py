@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from auctionlens.functions.exprs import is_true, os_major, ts_lit
 from auctionlens.plans.joins import bounded_broadcast
-from auctionlens.sources.schema import AdTables
+from auctionlens.sources.schema import TIME_PARTITION, AdTables, period_start
 from auctionlens.sources.tables import (
     DIMENSIONS,
     FACTS,
@@ -180,11 +180,11 @@ IMPRESSION_COLUMNS = [
 ]
 
 
-def _impressions_full(requests: DataFrame, bids_full: DataFrame, buyers: DataFrame) -> DataFrame:
+def _impressions_full(requests: DataFrame, bids_full: DataFrame, buyers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     winners = bids_full.filter(F.col("is_winner") == 1).select(
         "bid_id", "request_id", "buyer_id", "bid_ttl_ms", "cleared_price", F.col("l_partkey").alias("pk")
     )
-    req = requests.select("request_id", "request_ts", "sdk_version", "os", "os_version", "ad_format")
+    req = requests.select("request_id", "request_ts", "sdk_version", "os", "os_version", "ad_format", *carry)
     dim = bounded_broadcast(buyers.select("buyer_id", "billing_type"))
     x = winners.join(req, "request_id").join(dim, "buyer_id")
     pk = F.col("pk")
@@ -203,7 +203,7 @@ def _impressions_full(requests: DataFrame, bids_full: DataFrame, buyers: DataFra
     )
     video = F.when(F.col("ad_format").isin("banner", "native"), F.lit(None).cast("boolean")).otherwise((pk * 11) % 4 != 0)
     x = x.select(
-        "bid_id", "request_id", "request_ts", "bid_ttl_ms", "cleared_price", "billing_type",
+        "bid_id", "request_id", "request_ts", "bid_ttl_ms", "cleared_price", "billing_type", *carry,
         fault_b.alias("fault_b"),
         rendered.alias("rendered"),
         latency.alias("render_latency_ms"),
@@ -233,11 +233,11 @@ def _impressions_full(requests: DataFrame, bids_full: DataFrame, buyers: DataFra
         "render_latency_ms", "rendered", "viewable", "video_completed", "billable",
         revenue.alias("revenue_usd"),
         # helpers for the telemetry build
-        "request_ts", "bid_ttl_ms", "fault_b",
+        "request_ts", "bid_ttl_ms", "fault_b", *carry,
     )
 
 
-def _sdk_events(imp_full: DataFrame) -> DataFrame:
+def _sdk_events(imp_full: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One telemetry row per outcome, in a single scan of the impressions.
 
     ``filter(array(struct...))`` + ``inline`` keeps the fan-out inside one
@@ -268,7 +268,7 @@ def _sdk_events(imp_full: DataFrame) -> DataFrame:
         ]
     )
     exploded = imp_full.select(
-        "impression_id", "request_id", "request_ts",
+        "impression_id", "request_id", "request_ts", *carry,
         F.inline(F.filter(events, lambda e: e["keep"])),
     )
     return exploded.select(
@@ -278,12 +278,13 @@ def _sdk_events(imp_full: DataFrame) -> DataFrame:
         "error_code",
         "latency_ms",
         F.col("request_ts").alias("event_ts"),
+        *carry,
     )
 
 
 SOURCES = ["supplier", "nation", "region", "orders", "customer", "lineitem"]
-FIXTURE_VERSION = "4"
-_MEMO: dict[tuple[str, str, str], AdTables] = {}
+FIXTURE_VERSION = "5"
+_MEMO: dict[tuple, AdTables] = {}
 _BUILD_LOCK = threading.Lock()
 
 
@@ -314,28 +315,37 @@ def _app_id(spark: SparkSession) -> str:
     return app
 
 
-def _build(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str, n: int) -> None:
-    """Derive and write the six tables under ``root``; the ready marker last."""
+def _build(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str, n: int, unit: str | None) -> None:
+    """Derive and write the six tables under ``root``; the ready marker last.
+
+    With ``unit`` every fact carries ``request_period`` (the first day of its
+    request's day / month / year) and is partitioned by it.
+    """
+    part = TIME_PARTITION if unit else None
+    carry = (part,) if part else ()
+    requests = requests_view(spark, sf_dir, hinge)
+    if part:
+        requests = requests.withColumn(part, period_start(F.col("request_ts"), unit))
     write_tables(
-        {
-            "buyers": buyers_view(spark, sf_dir),
-            "publishers": publishers_view(spark, sf_dir),
-            "ad_requests": requests_view(spark, sf_dir, hinge),
-            "bids": _bids_full(spark, sf_dir, partitions=n),
-        },
-        root, prefix, n, prepartitioned=("bids",),
+        {"buyers": buyers_view(spark, sf_dir), "publishers": publishers_view(spark, sf_dir), "ad_requests": requests},
+        root, prefix, n, time_partition=part,
     )
+    bids = _bids_full(spark, sf_dir, partitions=n)
+    if part:
+        # the period comes from the request (bucket-aligned join on request_id)
+        bids = bids.join(spark.table(f"{prefix}_ad_requests").select("request_id", part), "request_id", "left")
+    write_tables({"bids": bids}, root, prefix, n, prepartitioned=("bids",), time_partition=part)
     # Built from the stored, co-bucketed tables: the join runs bucket by
     # bucket and its output is already laid out in request_id buckets.
     stored = {name: spark.table(f"{prefix}_{name}") for name in ("ad_requests", "bids", "buyers")}
-    imp = _impressions_full(stored["ad_requests"], stored["bids"], stored["buyers"])
-    write_tables({"impressions": imp}, root, prefix, n, prepartitioned=("impressions",))
+    imp = _impressions_full(stored["ad_requests"], stored["bids"].drop(*carry), stored["buyers"], carry)
+    write_tables({"impressions": imp}, root, prefix, n, prepartitioned=("impressions",), time_partition=part)
     imp_full = spark.table(f"{prefix}_impressions")
-    write_tables({"sdk_events": _sdk_events(imp_full)}, root, prefix, n, prepartitioned=("sdk_events",))
+    write_tables({"sdk_events": _sdk_events(imp_full, carry)}, root, prefix, n, prepartitioned=("sdk_events",), time_partition=part)
     mark_ready(spark, root, n)
 
 
-def _build_and_publish(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str, n: int) -> int:
+def _build_and_publish(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str, n: int, unit: str | None) -> int:
     """Build the tables and make them visible all at once.
 
     On a file system with atomic rename (local, HDFS via a local mount) the
@@ -347,11 +357,11 @@ def _build_and_publish(spark: SparkSession, sf_dir: str, hinge: str, root: str,
     """
     parsed = urlparse(root)
     if parsed.scheme not in ("", "file"):
-        _build(spark, sf_dir, hinge, root, prefix, n)
+        _build(spark, sf_dir, hinge, root, prefix, n, unit)
         return n
     tag = uuid.uuid4().hex[:8]
     tmp_root, tmp_prefix = f"{root}.building-{tag}", f"{prefix}_b{tag}"
-    _build(spark, sf_dir, hinge, tmp_root, tmp_prefix, n)
+    _build(spark, sf_dir, hinge, tmp_root, tmp_prefix, n, unit)
     for name in (*FACTS, *DIMENSIONS):
         spark.sql(f"DROP TABLE IF EXISTS {tmp_prefix}_{name}")  # catalog entries only; files stay
     try:
@@ -367,6 +377,7 @@ def fixture_tables(
     hinge: str = FIXTURE_HINGE,
     materialize: bool = True,
     buckets: int | None = None,
+    time_unit: str | None = "year",
 ) -> AdTables:
     """The six views over ``{sf_dir}/*.parquet``.
 
@@ -382,20 +393,25 @@ def fixture_tables(
     # The source signature (a file listing on remote storage) is taken once
     # per application and path; a source rewritten while the application
     # runs is picked up by the next application.
-    memo = (_app_id(spark), os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, hinge)
+    memo = (_app_id(spark), os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, hinge, time_unit)
     with _BUILD_LOCK:
         if memo not in _MEMO:
             paths = [f"{sf_dir}/{n}.parquet" for n in SOURCES]
             sig = source_signature(paths, spark)
-            key = hashlib.sha1(f"{memo[1]}|{sig}|{hinge}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
-            _MEMO[memo] = _load_or_build(spark, sf_dir, hinge, key, buckets or choose_buckets(spark, source_bytes(paths)))
+            key = hashlib.sha1(f"{memo[1]}|{sig}|{hinge}|{time_unit}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
+            n = buckets or choose_buckets(spark, source_bytes(paths))
+            _MEMO[memo] = _load_or_build(spark, sf_dir, hinge, key, n, time_unit)
     return _MEMO[memo]
 
 
-def _load_or_build(spark: SparkSession, sf_dir: str, hinge: str, key: str, buckets: int) -> AdTables:
+def _load_or_build(spark: SparkSession, sf_dir: str, hinge: str, key: str, buckets: int, unit: str | None) -> AdTables:
     root, prefix = views_root(spark, key), f"al_{key}"
+    part = TIME_PARTITION if unit else None
     n = tables_ready(spark, root)
     if n is None:
-        n = _build_and_publish(spark, sf_dir, hinge, root, prefix, buckets)
-    register_tables(spark, root, prefix, [*FACTS, *DIMENSIONS], n)
-    return stored_tables(spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS}, winning_bid_in_request=True)
+        n = _build_and_publish(spark, sf_dir, hinge, root, prefix, buckets, unit)
+    register_tables(spark, root, prefix, [*FACTS, *DIMENSIONS], n, time_partition=part)
+    return stored_tables(
+        spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS},
+        winning_bid_in_request=True, time_partition=part, time_unit=unit or "year",
+    )

@@ -82,6 +82,15 @@ REFERENCE_ROW_COUNTS: dict[str, int] = {
 
 
 TABLE_NAMES = ("ad_requests", "bids", "impressions", "sdk_events", "buyers", "publishers")
+TIME_PARTITION = "request_period"
+
+
+def period_start(ts, unit: str):
+    """First day of the period (day, month or year) holding ``ts``, as a date."""
+    from pyspark.sql import functions as F
+
+    d = F.to_date(ts)
+    return d if unit == "day" else F.trunc(d, unit)
 
 
 @dataclass(frozen=True)
@@ -93,6 +102,11 @@ class AdTables:
     ``rule_winning_bid_other_request`` = 0). Operators then join impressions
     to bids on (request_id, bid_id), which tables bucketed by request_id
     answer without a shuffle; otherwise they join on the bid id alone.
+
+    ``time_partition`` names a partition column present on all four facts:
+    the first day of the request's period (``time_unit``: day, month or
+    year). Post-hinge operators add ``since(fact, hinge)``, a filter on it
+    implied by ``request_ts >= hinge``, so fact scans skip older partitions.
     """
 
     ad_requests: DataFrame
@@ -102,11 +116,22 @@ class AdTables:
     buyers: DataFrame
     publishers: DataFrame
     winning_bid_in_request: bool = False
+    time_partition: str | None = None
+    time_unit: str = "year"
     _dims: dict = field(default_factory=dict, repr=False, compare=False)
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_NAMES}
 
+    def since(self, fact: DataFrame, hinge: str) -> DataFrame:
+        """Partition pruning for facts of requests at or after ``hinge``: a
+        superset filter (the exact one stays on the requests side)."""
+        if not self.time_partition:
+            return fact
+        from pyspark.sql import functions as F
+
+        return fact.filter(F.col(self.time_partition) >= period_start(F.lit(hinge).cast("timestamp_ntz"), self.time_unit))
+
     def dimension(self, name: str, *cols: str) -> DataFrame:
         """A dimension projected to ``cols``, broadcast only if a count proves
         it small (``bounded_broadcast``); the count runs once per instance."""

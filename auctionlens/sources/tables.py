@@ -59,6 +59,7 @@ def write_tables(
     prefix: str,
     buckets: int | None = None,
     prepartitioned: tuple[str, ...] = (),
+    time_partition: str | None = None,
 ) -> None:
     """Write each table under ``{root}/{name}`` and register it in the session
     catalog as ``{prefix}_{name}``; facts bucketed by ``request_id``.
@@ -68,7 +69,9 @@ def write_tables(
     bucketed join that produced it). The physical plan is checked, and only
     then is the write done without another shuffle (one file per bucket).
     Otherwise, e.g. when a dimension was too large to broadcast and the
-    join re-partitioned the rows, it is repartitioned first.
+    join re-partitioned the rows, it is repartitioned first. With
+    ``time_partition`` facts are also partitioned by that column (one
+    folder per period, buckets inside).
     """
     spark = next(iter(tables.values())).sparkSession
     n = buckets or default_buckets(spark)
@@ -78,6 +81,8 @@ def write_tables(
             aligned = name in prepartitioned and hash_partitioned_on(df, BUCKET_KEY, n)
             src = df if aligned else df.repartition(n, BUCKET_KEY)
             w = src.write.bucketBy(n, BUCKET_KEY).sortBy(BUCKET_KEY)
+            if time_partition:
+                w = w.partitionBy(time_partition)
         else:
             w = df.coalesce(1).write
         spark.sql(f"DROP TABLE IF EXISTS {_table_name(prefix, name)}")
@@ -98,17 +103,23 @@ def tables_ready(spark: SparkSession, root: str) -> int | None:
     return int(row["buckets"]) if row else None
 
 
-def register_tables(spark: SparkSession, root: str, prefix: str, names: list[str], buckets: int) -> None:
-    """Register stored tables in this session's catalog (their bucket spec
-    is metadata, so it is restated here)."""
+def register_tables(
+    spark: SparkSession, root: str, prefix: str, names: list[str], buckets: int, time_partition: str | None = None
+) -> None:
+    """Register stored tables in this session's catalog (their bucket and
+    partition spec is metadata, so it is restated here)."""
     for name in names:
         tn = _table_name(prefix, name)
         if spark.catalog.tableExists(tn):
             continue
         schema = spark.read.parquet(f"{root}/{name}").schema
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        clustered = f"CLUSTERED BY ({BUCKET_KEY}) SORTED BY ({BUCKET_KEY}) INTO {buckets} BUCKETS" if name in FACTS else ""
-        spark.sql(f"CREATE TABLE {tn} ({cols}) USING parquet {clustered} LOCATION '{root}/{name}'")
+        fact = name in FACTS
+        parted = f"PARTITIONED BY ({time_partition})" if fact and time_partition else ""
+        clustered = f"CLUSTERED BY ({BUCKET_KEY}) SORTED BY ({BUCKET_KEY}) INTO {buckets} BUCKETS" if fact else ""
+        spark.sql(f"CREATE TABLE {tn} ({cols}) USING parquet {parted} {clustered} LOCATION '{root}/{name}'")
+        if parted:
+            spark.catalog.recoverPartitions(tn)
 
 
 def stored_tables(
@@ -117,6 +128,8 @@ def stored_tables(
     prefix: str,
     columns: Mapping[str, list[str]] | None = None,
     winning_bid_in_request: bool = False,
+    time_partition: str | None = None,
+    time_unit: str = "year",
 ) -> AdTables:
     """The six tables read from the catalog, optionally projected to the
     public columns (helper columns stay on disk and are pruned at the scan)."""
@@ -124,8 +137,10 @@ def stored_tables(
     for name in (*FACTS, *DIMENSIONS):
         df = spark.table(_table_name(prefix, name))
         cols = (columns or {}).get(name)
+        if cols and time_partition and name in FACTS:
+            cols = [*cols, time_partition]
         out[name] = df.select(*cols) if cols else df
-    return AdTables(**out, winning_bid_in_request=winning_bid_in_request)
+    return AdTables(**out, winning_bid_in_request=winning_bid_in_request, time_partition=time_partition, time_unit=time_unit)
 
 
 def load_reference_tables(spark: SparkSession, root: str) -> AdTables:

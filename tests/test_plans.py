@@ -96,3 +96,15 @@ def test_prepartitioned_write_is_verified_on_the_plan(spark, t001):
         assert not hash_partitioned_on(by_buyer, "request_id", n)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_post_hinge_scans_skip_older_partitions(t001):
+    """Time-partitioned facts: every fact scan of a post-hinge query carries
+    a partition filter from the hinge (pre-hinge years are never read)."""
+    assert t001.time_partition == "request_period"
+    for df in (mechanism.latency_vs_ttl(t001, hinge=H), mechanism.error_trail(t001, hinge=H)):
+        p = plan(df)
+        scans = [b for b in p.split("\n\n") if b.startswith("(") and "Scan parquet" in b.splitlines()[0] and "buyers" not in b]
+        assert scans
+        for b in scans:
+            assert "PartitionFilters: [isnotnull(request_period#" in b and ">= 1998-01-01)" in b, b
