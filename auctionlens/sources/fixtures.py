@@ -352,8 +352,8 @@ def _build_and_publish(spark: SparkSession, sf_dir: str, hinge: str, root: str,
     set is built in a private folder and renamed into place, so concurrent
     builders never see each other's partial output; the loser of a race
     adopts the winner's tables (its own private copy is left in place).
-    Elsewhere (object stores) it is built in
-    place, guarded by the ready marker written last.
+    Elsewhere (object stores) it is built in place, guarded by the ready
+    marker written last.
     """
     parsed = urlparse(root)
     if parsed.scheme not in ("", "file"):
@@ -382,11 +382,13 @@ def fixture_tables(
     """The six views over ``{sf_dir}/*.parquet``.
 
     With ``materialize`` (default) the views are derived once per source
-    signature, written under ``spark.checkpoint.dir`` as tables (facts
-    bucketed by ``request_id``) and read back; later calls, in this or
-    another application, reuse them. This is the load step: operators
-    then scan stored tables with pruning and pushdown, as they would in
-    production, instead of re-deriving lineitem windows per query.
+    signature, written under ``spark.checkpoint.dir`` as tables and read
+    back; later calls, in this or another application, reuse them. Facts
+    are partitioned by ``request_period`` (``time_unit``; None for no time
+    partitions) and bucketed by ``request_id`` inside each period. This is
+    the load step: operators then scan stored tables with pruning and
+    pushdown, as they would in production, instead of re-deriving lineitem
+    windows per query.
     """
     if not materialize:
         return derived_tables(spark, sf_dir, hinge)
