@@ -69,3 +69,18 @@ def test_command_line_writes_results(spark, tmp_path_factory, capsys):
     main(["--testdata", "/root/testdata/sf0.001", "--only", "error_trail,counterfactual_impact", "--out", out, "--rows", "3"])
     assert "== error_trail" in capsys.readouterr().out
     assert spark.read.parquet(f"{out}/counterfactual_impact").count() == 2
+
+
+def test_results_do_not_depend_on_the_time_layout(spark):
+    """No time partitions, yearly or monthly partitions: same answers (the
+    period filter is only ever a superset of the hinge filter)."""
+    from auctionlens.operators import impact, mechanism
+
+    sf = "/root/testdata/sf0.001"
+    outs = []
+    for unit in (None, "year", "month"):
+        t = fixture_tables(spark, sf, hinge=H, time_unit=unit)
+        assert t.time_partition == (None if unit is None else "request_period")
+        rows = impact.counterfactual_impact(t, hinge=H).collect() + mechanism.error_trail(t, hinge=H).collect()
+        outs.append(sorted(map(repr, rows)))
+    assert outs[0] == outs[1] == outs[2]
