@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from auctionlens.functions.naming import reference_names
 from auctionlens.operators import cohorts, decompose, funnel, guardrail, impact, mechanism, quality
 from auctionlens.sources.schema import REFERENCE_ROW_COUNTS, AdTables
 
@@ -64,6 +65,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--only", default="", help="comma-separated result names")
     ap.add_argument("--out", help="write each result as parquet under this folder")
     ap.add_argument("--rows", type=int, default=20, help="rows to show per result")
+    ap.add_argument("--reference-names", action="store_true", help="name version columns after the versions (n_v81, br_v82)")
     args = ap.parse_args(argv)
 
     from auctionlens.plans.session import get_session
@@ -80,6 +82,8 @@ def main(argv: list[str] | None = None) -> None:
     names = [n for n in args.only.split(",") if n] or list(results)
     for name in names:
         df = results[name]()
+        if args.reference_names:
+            df = reference_names(df, args.base, args.cand)
         print(f"== {name}")
         df.show(args.rows, truncate=False)
         if args.out:

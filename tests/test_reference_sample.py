@@ -95,3 +95,14 @@ def test_command_line_on_reference_shaped_tables(spark, sample, capsys):
     assert out["buyers"].ok and out["publishers"].ok  # the reference dimensions are complete
     assert out["ad_requests"].n == 6 and out["ad_requests"].expected == 2600 and out["ad_requests"].ok is False
     assert spark.read.parquet(f"{root}/out/funnel_daily").count() == 1
+
+
+def test_reference_style_version_names(sample):
+    from auctionlens.functions.naming import reference_names, version_tag
+    from auctionlens.operators import cohorts, impact
+
+    assert version_tag("8.1.0") == "v81" and version_tag("10.2") == "v102"
+    cols = reference_names(cohorts.cohort_version_compare(sample, min_n=0), "8.1.0", "8.2.0").columns
+    assert cols == ["os", "os_major", "ad_format", "n_v81", "n_v82", "br_v81", "br_v82", "delta", "worst_rank"]
+    cols = reference_names(impact.counterfactual_impact(sample), "8.1.0", "8.2.0").columns
+    assert "rendered_v82" in cols and "billable_v82" in cols
