@@ -403,7 +403,7 @@ UNION ALL SELECT 'impressions', (SELECT COUNT(*) FROM impressions), CAST(NULL AS
 UNION ALL SELECT 'sdk_events', (SELECT COUNT(*) FROM sdk_events), CAST(NULL AS BIGINT)
 UNION ALL SELECT 'buyers', (SELECT COUNT(*) FROM buyers), (SELECT COUNT(*) FROM supplier)
 UNION ALL SELECT 'publishers', (SELECT COUNT(*) FROM publishers), (SELECT COUNT(*) FROM nation)
-""").replace("\nSELECT 'ad_requests'", "\nSELECT t, CAST(n AS BIGINT) AS n, CAST(expected AS BIGINT) AS expected, n = expected AS ok FROM (\nSELECT 'ad_requests'") + ")"
+""").replace("\nSELECT 'ad_requests'", "\nSELECT t, CAST(n AS BIGINT) AS n, CAST(expected AS DOUBLE) AS expected, n = expected AS ok FROM (\nSELECT 'ad_requests'") + ")"
 
 # D01 cohort_pre_post
 QUERIES["cohort_pre_post"] = _q(f"""
