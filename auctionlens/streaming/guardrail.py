@@ -125,16 +125,24 @@ def start_guardrail_stream(
 
 def _write_time_slices(df: DataFrame, path: str, ts_col: str = "ts", slice_years: int = 1, files_per_slice: int = 2) -> None:
     """Write ``df`` as files in event-time order (one append per slice), so a
-    file source replays slices in time order. The slice list is bounded by
-    the span of years, not by the data size; within a slice file order is
-    arbitrary, which a watermark delay of at least one slice tolerates."""
-    yr = F.year(ts_col)
-    bounds = df.agg(F.min(yr).alias("lo"), F.max(yr).alias("hi")).first()
+    file source replays slices in time order; within a slice file order is
+    arbitrary, which a watermark delay of at least one slice tolerates.
+
+    The input is staged once, partitioned by slice, and each slice is then
+    copied from its own folder: two passes over the data whatever the
+    number of slices (bounded by the span of years).
+    """
+    staged = f"{path}_staged"
+    sliced = df.withColumn("_slice", (F.year(ts_col) / F.lit(slice_years)).cast("int") * F.lit(slice_years))
+    sliced.write.mode("overwrite").partitionBy("_slice").parquet(staged)
+    read = df.sparkSession.read
+    bounds = read.parquet(staged).agg(F.min("_slice").alias("lo"), F.max("_slice").alias("hi")).first()
     if bounds["lo"] is None:
         df.limit(0).write.mode("append").parquet(path)
         return
     for y in range(int(bounds["lo"]), int(bounds["hi"]) + 1, slice_years):
-        df.filter((yr >= y) & (yr < y + slice_years)).repartition(files_per_slice).write.mode("append").parquet(path)
+        part = read.parquet(staged).filter(F.col("_slice") == y).drop("_slice")  # partition pruning: reads one folder
+        part.repartition(files_per_slice).write.mode("append").parquet(path)
 
 
 def replay_guardrail(
