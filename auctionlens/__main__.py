@@ -66,8 +66,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", help="write each result as parquet under this folder")
     ap.add_argument("--rows", type=int, default=20, help="rows to show per result")
     ap.add_argument("--reference-names", action="store_true", help="name version columns after the versions (n_v81, br_v82)")
+    ap.add_argument("--explain", action="store_true", help="print each result's formatted physical plan instead of running it")
     args = ap.parse_args(argv)
 
+    from auctionlens.plans.inspect import formatted_plan
     from auctionlens.plans.session import get_session
     from auctionlens.sources.fixtures import FIXTURE_HINGE, fixture_tables
     from auctionlens.sources.tables import load_reference_tables
@@ -85,6 +87,9 @@ def main(argv: list[str] | None = None) -> None:
         if args.reference_names:
             df = reference_names(df, args.base, args.cand)
         print(f"== {name}")
+        if args.explain:
+            print(formatted_plan(df))
+            continue
         df.show(args.rows, truncate=False)
         if args.out:
             df.write.mode("overwrite").parquet(f"{args.out}/{name}")
