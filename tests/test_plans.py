@@ -108,3 +108,26 @@ def test_post_hinge_scans_skip_older_partitions(t001):
         assert scans
         for b in scans:
             assert "PartitionFilters: [isnotnull(request_period#" in b and ">= 1998-01-01)" in b, b
+
+
+def test_broadcast_only_below_the_checked_bound(spark):
+    """bounded_broadcast hints a dimension only when a count proves it small;
+    over the bound the join is left to the shuffle planner."""
+    from auctionlens.plans.joins import bounded_broadcast
+
+    fact = spark.range(1000).withColumnRenamed("id", "k")
+    dim = spark.range(10).withColumnRenamed("id", "k")
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = plan(fact.join(bounded_broadcast(dim, max_rows=10), "k"))
+        large = plan(fact.join(bounded_broadcast(dim, max_rows=9), "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert "BroadcastHashJoin" in small
+    assert "BroadcastHashJoin" not in large and "SortMergeJoin" in large
+
+
+def test_checked_dimension_is_counted_once(t001):
+    a = t001.dimension("buyers", "buyer_id", "billing_type")
+    assert t001.dimension("buyers", "buyer_id", "billing_type") is a
