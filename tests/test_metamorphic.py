@@ -54,3 +54,24 @@ def test_fixture_contracts_hold(t001):
 
     bad = contract_check(t001).filter((F.col("check_name") != "null_count") & (F.col("violations") > 0)).collect()
     assert bad == []
+
+
+def test_money_totals_independent_of_partitioning(spark, t001):
+    """Revenue is summed as an exact decimal, so eCPM, price and dollar
+    figures are bit-identical whatever the partitioning."""
+    from auctionlens.operators import impact
+
+    def run():
+        a = decompose.ecpm_decomposition(t001, hinge=H).collect()
+        b = impact.counterfactual_impact(t001, hinge=H).collect()
+        return [tuple(r) for r in a + b]
+
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    outs = []
+    try:
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            outs.append(run())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert outs[0] == outs[1]
