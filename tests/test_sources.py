@@ -84,3 +84,23 @@ def test_results_do_not_depend_on_the_time_layout(spark):
         rows = impact.counterfactual_impact(t, hinge=H).collect() + mechanism.error_trail(t, hinge=H).collect()
         outs.append(sorted(map(repr, rows)))
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_stored_facts_hold_one_file_per_bucket(t001):
+    """The load step writes each fact as one file per bucket and period: no
+    bucket id repeats inside a period folder (no task wrote a spread of
+    buckets, none was split)."""
+    import re
+    from collections import Counter
+
+    for name in ("ad_requests", "bids", "impressions", "sdk_events"):
+        files = getattr(t001, name).inputFiles()
+        assert files
+        per_dir = Counter()
+        for f in files:
+            folder, base = f.rsplit("/", 1)
+            assert "request_period=" in folder
+            m = re.search(r"_(\d{5})\.c000", base)
+            assert m, base
+            per_dir[(folder, m.group(1))] += 1
+        assert max(per_dir.values()) == 1, (name, per_dir.most_common(1))
