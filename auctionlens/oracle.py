@@ -397,13 +397,16 @@ FROM agg
 
 # A10 load_verification: each derived table against the source it came from
 QUERIES["load_verification"] = _q("""
-SELECT 'ad_requests' AS t, (SELECT COUNT(*) FROM ad_requests) AS n, (SELECT COUNT(*) FROM orders) AS expected
-UNION ALL SELECT 'bids', (SELECT COUNT(*) FROM bids), (SELECT COUNT(*) FROM lineitem)
-UNION ALL SELECT 'impressions', (SELECT COUNT(*) FROM impressions), CAST(NULL AS BIGINT)
-UNION ALL SELECT 'sdk_events', (SELECT COUNT(*) FROM sdk_events), CAST(NULL AS BIGINT)
-UNION ALL SELECT 'buyers', (SELECT COUNT(*) FROM buyers), (SELECT COUNT(*) FROM supplier)
-UNION ALL SELECT 'publishers', (SELECT COUNT(*) FROM publishers), (SELECT COUNT(*) FROM nation)
-""").replace("\nSELECT 'ad_requests'", "\nSELECT t, CAST(n AS BIGINT) AS n, CAST(expected AS DOUBLE) AS expected, n = expected AS ok FROM (\nSELECT 'ad_requests'") + ")"
+counts AS (
+  SELECT 'ad_requests' AS t, (SELECT COUNT(*) FROM ad_requests) AS n, (SELECT COUNT(*) FROM orders) AS expected
+  UNION ALL SELECT 'bids', (SELECT COUNT(*) FROM bids), (SELECT COUNT(*) FROM lineitem)
+  UNION ALL SELECT 'impressions', (SELECT COUNT(*) FROM impressions), CAST(NULL AS BIGINT)
+  UNION ALL SELECT 'sdk_events', (SELECT COUNT(*) FROM sdk_events), CAST(NULL AS BIGINT)
+  UNION ALL SELECT 'buyers', (SELECT COUNT(*) FROM buyers), (SELECT COUNT(*) FROM supplier)
+  UNION ALL SELECT 'publishers', (SELECT COUNT(*) FROM publishers), (SELECT COUNT(*) FROM nation)
+)
+SELECT t, CAST(n AS BIGINT) AS n, CAST(expected AS DOUBLE) AS expected, n = expected AS ok FROM counts
+""")
 
 # D01 cohort_pre_post
 QUERIES["cohort_pre_post"] = _q(f"""
