@@ -50,6 +50,35 @@ def enrich_with_requests(events: DataFrame, requests: DataFrame, keys: Sequence[
     return events.join(requests.select("request_id", "sdk_version", *keys), "request_id")
 
 
+def join_request_stream(
+    events: DataFrame,
+    requests: DataFrame,
+    keys: Sequence[str] = GUARDRAIL_KEYS,
+    max_delay: str = "1 hour",
+    watermark: str = "2 days",
+    ts_col: str = "ts",
+) -> DataFrame:
+    """S01 with both sides streaming: impressions (already watermarked on
+    ``ts_col``) joined to a stream of requests (``request_id``,
+    ``request_ts``, ``sdk_version``, keys) on request_id, with the
+    impression at most ``max_delay`` after its request.
+
+    Both watermarks and the time-range condition let Spark drop join state
+    once neither side can still match, so state stays bounded by traffic
+    within the delay instead of growing with history.
+    """
+    req = (
+        requests.select(F.col("request_id").alias("_rid"), F.col("request_ts").cast("timestamp").alias("_req_ts"), "sdk_version", *keys)
+        .withWatermark("_req_ts", watermark)
+    )
+    cond = (
+        (F.col("request_id") == F.col("_rid"))
+        & (F.col(ts_col) >= F.col("_req_ts"))
+        & (F.col(ts_col) <= F.col("_req_ts") + F.expr(f"INTERVAL {max_delay}"))
+    )
+    return events.join(req, cond).drop("_rid", "_req_ts")
+
+
 def start_guardrail_stream(
     spark: SparkSession,
     source_path: str,

@@ -108,3 +108,30 @@ def test_foreach_batch_alert_table(spark):
     alerts = spark.read.parquet(f"{run}/alerts").collect()
     assert sorted(r["window_start"].day for r in windows) == [1, 2]
     assert [(r["window_start"].day, r["alert"]) for r in alerts] == [(1, True)]
+
+
+def test_stream_stream_join_with_time_bound(spark):
+    """S01, both sides streaming: impressions meet their request within the
+    delay bound; one arriving after the bound finds no partner."""
+    from auctionlens.streaming.guardrail import guardrail_events, join_request_stream
+
+    run = f"{ensure_checkpoint_dir(spark)}/test_stream/{uuid.uuid4().hex}"
+    req_rows = [("R1", datetime(2026, 5, 1, 10), "8.1.0", "17.0", "rewarded_video"),
+                ("R2", datetime(2026, 5, 1, 11), "8.2.0", "17.0", "rewarded_video"),
+                ("R3", datetime(2026, 5, 1, 12), "8.2.0", "17.0", "rewarded_video")]
+    imp_rows = [("I1", "R1", datetime(2026, 5, 1, 10, 0, 2), True),
+                ("I2", "R2", datetime(2026, 5, 1, 11, 0, 3), False),
+                ("I3", "R3", datetime(2026, 5, 1, 14), True)]  # two hours after its request: beyond the bound
+    spark.createDataFrame(req_rows, "request_id string, request_ts timestamp_ntz, sdk_version string, os_version string, ad_format string") \
+        .coalesce(1).write.parquet(f"{run}/req")
+    spark.createDataFrame(imp_rows, "impression_id string, request_id string, ts timestamp_ntz, billable boolean") \
+        .coalesce(1).write.parquet(f"{run}/imp")
+    req = spark.readStream.schema(spark.read.parquet(f"{run}/req").schema).parquet(f"{run}/req")
+    imp = guardrail_events(spark.readStream.schema(spark.read.parquet(f"{run}/imp").schema).parquet(f"{run}/imp"), "1 day")
+    joined = join_request_stream(imp, req, max_delay="1 hour", watermark="1 day")
+    q = joined.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/ck") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = {r["impression_id"]: r for r in spark.read.parquet(f"{run}/out").collect()}
+    assert sorted(out) == ["I1", "I2"]
+    assert out["I2"]["sdk_version"] == "8.2.0" and out["I1"]["ad_format"] == "rewarded_video"
