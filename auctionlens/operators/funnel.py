@@ -53,13 +53,13 @@ def request_grain(t: AdTables, requests: DataFrame | None = None, extra: Sequenc
     return req.join(bids, "request_id", "left").join(imps, "request_id", "left")
 
 
-def funnel_rates(grain: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Funnel rates per ``keys`` from :func:`request_grain` rows.
+SUM_COLUMNS = ("_bids", "_did", "_reqs", "_won", "_imps", "_rendered", "_billable", "_rev")
 
-    Groups with no bid or no impression are dropped, as the reference's
-    inner join of the three per-grain tables does.
-    """
-    agg = grain.groupBy(*keys).agg(
+
+def funnel_sums(grain: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Additive funnel tallies per ``keys`` from :func:`request_grain` rows
+    (revenue stays an exact decimal), so they can be re-grouped exactly."""
+    return grain.groupBy(*keys).agg(
         F.sum("n_bids").alias("_bids"),
         F.sum("n_did_bid").alias("_did"),
         F.count(F.lit(1)).alias("_reqs"),
@@ -67,9 +67,19 @@ def funnel_rates(grain: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("n_imps").alias("_imps"),
         F.sum("n_rendered").alias("_rendered"),
         F.sum("n_billable_rendered").alias("_billable"),
-        F.sum("rev").cast("double").alias("_rev"),
+        F.sum("rev").alias("_rev"),
     )
-    agg = agg.filter((F.col("_bids") > 0) & (F.col("_imps") > 0))
+
+
+def regroup(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Roll :func:`funnel_sums` rows up to coarser ``keys`` (exact)."""
+    return sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS])
+
+
+def rates_from_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Funnel rates from tallies. Groups with no bid or no impression are
+    dropped, as the reference's inner join of the per-grain tables does."""
+    agg = sums.filter((F.col("_bids") > 0) & (F.col("_imps") > 0))
     for k in keys:
         agg = agg.filter(F.col(k).isNotNull())
     return agg.select(
@@ -78,24 +88,57 @@ def funnel_rates(grain: DataFrame, keys: Sequence[str]) -> DataFrame:
         ratio("_won", "_reqs").alias("win_rate"),
         ratio("_rendered", "_imps").alias("render_rate"),
         ratio("_billable", "_rendered").alias("billable_rate"),
-        (ratio("_rev", "_rendered") * F.lit(1000.0)).alias("ecpm"),
+        (ratio(F.col("_rev").cast("double"), "_rendered") * F.lit(1000.0)).alias("ecpm"),
     )
 
 
-def daily_funnel_raw(t: AdTables, ma_rows: int = 7, requests: DataFrame | None = None) -> DataFrame:
+def funnel_rates(grain: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Funnel rates per ``keys`` from :func:`request_grain` rows."""
+    return rates_from_sums(funnel_sums(grain, keys), keys)
+
+
+def tier_sums(t: AdTables, requests: DataFrame, keys: Sequence[str], tiers: Sequence[str] | None = None) -> DataFrame:
+    """Funnel tallies per ``keys`` (+ ``tier``) of publisher tiers.
+
+    Tallies are first grouped by publisher at fact scale, and only that
+    small result meets the publishers dimension; then it is rolled up by
+    tier. No fact row is shuffled by publisher, so a hot publisher or a
+    publishers table too large to broadcast costs nothing extra.
+    """
+    keys = list(keys)
+    sums = funnel_sums(request_grain(t, requests, extra=["publisher_id", *[k for k in keys if k != "d"]]), ["publisher_id", *keys])
+    pubs = t.dimension("publishers", "publisher_id", "tier")
+    if tiers is not None:
+        pubs = pubs.filter(F.col("tier").isin(list(tiers)))
+        sums = sums.join(pubs, "publisher_id")
+    else:
+        sums = sums.join(pubs, "publisher_id", "left")
+    return regroup(sums, ["tier", *keys])
+
+
+def daily_funnel_raw(
+    t: AdTables, ma_rows: int = 7, requests: DataFrame | None = None, tiers: Sequence[str] | None = None
+) -> DataFrame:
     """Unrounded daily funnel with the trailing ``ma_rows``-row mean of eCPM.
 
-    The moving average is a global window over days: its single partition
-    holds one row per calendar day, so it stays small at any data size.
+    ``tiers`` limits it to publishers of those tiers (D13). The moving
+    average is a global window over days: its single partition holds one
+    row per calendar day, so it stays small at any data size.
     """
-    daily = funnel_rates(request_grain(t, requests), ["d"])
+    if tiers is None:
+        daily = funnel_rates(request_grain(t, requests), ["d"])
+    else:
+        sums = tier_sums(t, requests if requests is not None else t.ad_requests, ["d"], tiers)
+        daily = rates_from_sums(regroup(sums, ["d"]), ["d"])
     w = Window.orderBy(F.col("d").asc_nulls_last()).rowsBetween(-(ma_rows - 1), 0)
     return daily.withColumn("ecpm_ma", F.avg("ecpm").over(w))
 
 
-def funnel_daily(t: AdTables, ma_rows: int = 7, requests: DataFrame | None = None) -> DataFrame:
+def funnel_daily(
+    t: AdTables, ma_rows: int = 7, requests: DataFrame | None = None, tiers: Sequence[str] | None = None
+) -> DataFrame:
     """Daily bid / win / render / billable rate, eCPM and its moving average."""
-    raw = daily_funnel_raw(t, ma_rows, requests)
+    raw = daily_funnel_raw(t, ma_rows, requests, tiers)
     return raw.select(
         "d",
         dround("bid_rate", 3).alias("bid_rate"),
@@ -107,17 +150,10 @@ def funnel_daily(t: AdTables, ma_rows: int = 7, requests: DataFrame | None = Non
     ).orderBy(F.col("d").asc_nulls_last())
 
 
-def tier_requests(t: AdTables, tiers: Sequence[str] = ("Tier-1",)) -> DataFrame:
-    """Requests of publishers in ``tiers`` (semi join to a checked-size dimension)."""
-    pubs = t.dimension("publishers", "publisher_id", "tier").filter(F.col("tier").isin(list(tiers))).select("publisher_id")
-    return t.ad_requests.join(pubs, "publisher_id", "left_semi")
-
-
 def publisher_scope(t: AdTables, hinge: str = REFERENCE_HINGE) -> DataFrame:
     """Funnel rates per publisher tier and era."""
-    pubs = t.dimension("publishers", "publisher_id", "tier")
-    req = t.ad_requests.join(pubs, "publisher_id", "left").withColumn("era", era("request_ts", hinge))
-    rates = funnel_rates(request_grain(t, req, extra=["tier", "era"]), ["tier", "era"])
+    req = t.ad_requests.withColumn("era", era("request_ts", hinge))
+    rates = rates_from_sums(tier_sums(t, req, ["era"]), ["tier", "era"])
     return rates.select(
         "tier", "era", *[dround(c, 4).alias(c) for c in ("bid_rate", "win_rate", "render_rate", "billable_rate", "ecpm")]
     ).orderBy(F.col("tier").asc_nulls_last(), F.col("era").asc_nulls_last())
