@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auctionlens.functions.exprs import case_label, count_if, dround, is_true, os_major, ratio, ts_lit, version_rate
+from auctionlens.functions.exprs import case_label, count_if, dround, is_true, os_major, ratio, ts_lit
 from auctionlens.operators.cohorts import DEFAULT_COHORT, _match, rendered_post
 from auctionlens.operators.funnel import BASE, CAND, REFERENCE_HINGE, join_winning_bid
 from auctionlens.sources.schema import AdTables
@@ -60,18 +60,31 @@ def billing_type_split(
     cohort: dict[str, str] | None = None,
 ) -> DataFrame:
     """Billable rate by buyer billing type and version, and the candidate's
-    viewable rate, inside a cohort (iOS interstitial by default)."""
+    viewable rate, inside a cohort (iOS interstitial by default).
+
+    Tallies are made per buyer first; only that result meets the buyers
+    dimension and is rolled up by billing type, so no fact row is shuffled
+    by buyer even when the dimension is too large to broadcast.
+    """
     x = _with_bid(rendered_post(t, hinge, _match(cohort or INTERSTITIAL_COHORT)), t, ["buyer_id"], hinge)
-    x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
-    n_b, br_b = version_rate("sdk_version", base, F.col("billable"))
-    n_c, br_c = version_rate("sdk_version", cand, F.col("billable"))
-    _, vr_c = version_rate("sdk_version", cand, is_true(F.col("viewable")))
-    return x.groupBy("billing_type").agg(
-        n_b.alias("n_base"),
-        n_c.alias("n_cand"),
-        dround(br_b, 3).alias("br_base"),
-        dround(br_c, 3).alias("br_cand"),
-        dround(vr_c, 3).alias("viewable_rate_cand"),
+    is_b, is_c, bill = F.col("sdk_version") == base, F.col("sdk_version") == cand, F.col("billable")
+    per_buyer = x.groupBy("buyer_id").agg(
+        count_if(is_b).alias("nb"),
+        count_if(is_b & bill).alias("bb"),
+        count_if(is_c).alias("nc"),
+        count_if(is_c & bill).alias("bc"),
+        count_if(is_c & is_true(F.col("viewable"))).alias("vc"),
+    )
+    g = per_buyer.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id").groupBy("billing_type").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("nb", "bb", "nc", "bc", "vc")]
+    )
+    return g.select(
+        "billing_type",
+        F.col("nb").alias("n_base"),
+        F.col("nc").alias("n_cand"),
+        dround(ratio("bb", "nb"), 3).alias("br_base"),
+        dround(ratio("bc", "nc"), 3).alias("br_cand"),
+        dround(ratio("vc", "nc"), 3).alias("viewable_rate_cand"),
     ).orderBy(F.col("billing_type").asc_nulls_last())
 
 
