@@ -184,34 +184,39 @@ def join_winning_bid(x: DataFrame, t: AdTables, cols: Sequence[str], how: str =
     return x.join(bids, keys, how)
 
 
-def impression_context(t: AdTables, request_cols: Sequence[str], with_buyer: bool = True, how: str = "inner") -> DataFrame:
-    """Impressions with request attributes, their winning bid's TTL / price and
-    (optionally) the buyer's billing type."""
-    req = t.ad_requests.select("request_id", *request_cols)
-    x = join_winning_bid(t.impressions.join(req, "request_id", how), t, ["bid_ttl_ms", "cleared_price", "buyer_id"], how)
-    if with_buyer:
-        x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id", how)
-    return x
-
-
 def leak_stage(t: AdTables, hinge: str = REFERENCE_HINGE, keys: Sequence[str] = ("sdk_version", "os", "ad_format")) -> DataFrame:
     """First failed post-win gate per impression, counts and shares per cohort.
 
     Gates in order: rendered, latency within the bid TTL, billing signal
-    present, billed. Left joins keep every impression, so the stage counts
-    of a cohort sum to its impressions.
+    present, billed. An impression's stage depends only on five flags and
+    its buyer's billing type. Impressions are first counted per cohort,
+    buyer and flag combination, and only those counts meet the buyers
+    dimension. Left joins keep every impression, so the stage counts of a
+    cohort sum to its impressions.
     """
-    x = impression_context(t, ["request_ts", *keys], how="left")
-    signal = _billing_signal(F.col("billing_type"), F.col("viewable"), F.col("video_completed"))
+    req = t.ad_requests.select("request_id", "request_ts", *keys)
+    x = join_winning_bid(t.impressions.join(req, "request_id", "left"), t, ["bid_ttl_ms", "buyer_id"], "left")
+    flags = {
+        "f_rendered": is_true(F.col("rendered")),
+        "f_expired": is_true(F.col("render_latency_ms") > F.col("bid_ttl_ms")),
+        "f_viewable": is_true(F.col("viewable")),
+        "f_completed": is_true(F.col("video_completed")),
+        "f_billed": is_true(F.col("billable")),
+    }
+    gk = ["era", *keys]
+    tallies = x.select(era("request_ts", hinge).alias("era"), *keys, "buyer_id", *[c.alias(n) for n, c in flags.items()]).groupBy(
+        *gk, "buyer_id", *flags
+    ).count()
+    y = tallies.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id", "left")
+    signal = _billing_signal(F.col("billing_type"), F.col("f_viewable"), F.col("f_completed"))
     stage = (
-        F.when(~is_true(F.col("rendered")), F.lit("not_rendered"))
-        .when(F.col("render_latency_ms") > F.col("bid_ttl_ms"), F.lit("expired"))
+        F.when(~F.col("f_rendered"), F.lit("not_rendered"))
+        .when(F.col("f_expired"), F.lit("expired"))
         .when(~is_true(signal), F.lit("signal_missing"))
-        .when(is_true(F.col("billable")), F.lit("billed"))
+        .when(F.col("f_billed"), F.lit("billed"))
         .otherwise(F.lit("unexplained"))
     )
-    gk = ["era", *keys]
-    counts = x.select(era("request_ts", hinge).alias("era"), *keys, stage.alias("stage")).groupBy(*gk, "stage").count()
+    counts = y.groupBy(*gk, stage.alias("stage")).agg(F.sum("count").alias("count"))
     total = F.sum("count").over(Window.partitionBy(*gk))
     return counts.select(
         *gk, "stage", F.col("count").cast("bigint").alias("n"), dround(ratio("count", total), 4).alias("share")
