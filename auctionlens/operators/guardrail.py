@@ -22,57 +22,65 @@ from auctionlens.sources.schema import AdTables
 GUARDRAIL_KEYS = ("os_version", "ad_format")
 
 
-def won_impressions(t: AdTables, keys: Sequence[str] = GUARDRAIL_KEYS) -> DataFrame:
+def won_impressions(t: AdTables, keys: Sequence[str] = GUARDRAIL_KEYS, with_buyer: bool = False) -> DataFrame:
     """Won impressions with event time ``ts``, version, cohort keys, billable
-    flag and render latency. ``billing_type`` may be a key: the buyer is then
-    attached through the winning bid (a viewable-only fault is diluted when
-    buyers of every billing type share one cohort)."""
+    flag and render latency (and ``buyer_id`` with ``with_buyer``).
+    ``billing_type`` may be a key: the buyer is then attached through the
+    winning bid (a viewable-only fault is diluted when buyers of every
+    billing type share one cohort)."""
     req_keys = [k for k in keys if k != "billing_type"]
     req = t.ad_requests.select("request_id", F.col("request_ts").alias("ts"), "sdk_version", *req_keys)
     x = t.impressions.select("impression_id", "request_id", "winning_bid_id", "billable", "render_latency_ms").join(req, "request_id")
-    if "billing_type" in keys:
+    if with_buyer or "billing_type" in keys:
         x = join_winning_bid(x, t, ["buyer_id"])
+    if "billing_type" in keys:
         x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
-    return x.select("impression_id", "request_id", "ts", "sdk_version", *keys, "billable", "render_latency_ms")
+    extra = ["buyer_id"] if with_buyer else []
+    return x.select("impression_id", "request_id", "ts", "sdk_version", *keys, *extra, "billable", "render_latency_ms")
 
 
-def guardrail_windows(
+TALLIES = ("n_base", "n_cand", "b_base", "b_cand")
+
+
+def guardrail_tallies(
     df: DataFrame,
     base: str = BASE,
     cand: str = CAND,
     keys: Sequence[str] = GUARDRAIL_KEYS,
     window: str = "1 day",
     slide: str | None = None,
-    min_n: int = 15,
-    tol: float = 0.3,
     ts_col: str = "ts",
-    z_min: float | None = None,
     latency_probs: Sequence[float] = (),
     accuracy: int = 10000,
 ) -> DataFrame:
-    """Per window and cohort: volume and conversion of each version, the pooled
-    two-proportion z-score of the drop, and the alert flag
-    ``n_base >= min_n AND n_cand >= min_n AND conv_cand < conv_base - tol``
-    (``AND z_score >= z_min`` when ``z_min`` is given).
-
-    Works on a batch or a streaming DataFrame with columns ``ts_col``,
-    ``sdk_version``, ``billable`` and ``keys``; ``latency_probs`` adds
-    approximate candidate render-latency percentiles (fixed-size state).
-    """
+    """Per event-time window ``w`` and cohort: additive counts of each
+    version's won and billed impressions (plus optional approximate
+    candidate latency percentiles, which are not additive)."""
     w = F.window(ts_col, window, slide) if slide else F.window(ts_col, window)
     is_b, is_c, bill = F.col("sdk_version") == base, F.col("sdk_version") == cand, F.col("billable")
-    lat_names = [f"p{int(round(p * 100))}_latency_cand" for p in latency_probs]
     lat = [
-        F.percentile_approx(F.when(is_c, F.col("render_latency_ms")), p, accuracy).alias(name)
-        for p, name in zip(latency_probs, lat_names)
+        F.percentile_approx(F.when(is_c, F.col("render_latency_ms")), p, accuracy).alias(f"p{int(round(p * 100))}_latency_cand")
+        for p in latency_probs
     ]
-    g = df.groupBy(w.alias("w"), *keys).agg(
+    return df.groupBy(w.alias("w"), *keys).agg(
         count_if(is_b).alias("n_base"),
         count_if(is_c).alias("n_cand"),
         count_if(is_b & bill).alias("b_base"),
         count_if(is_c & bill).alias("b_cand"),
         *lat,
     )
+
+
+def guardrail_finish(
+    g: DataFrame,
+    keys: Sequence[str] = GUARDRAIL_KEYS,
+    min_n: int = 15,
+    tol: float = 0.3,
+    z_min: float | None = None,
+    latency_probs: Sequence[float] = (),
+) -> DataFrame:
+    """Conversions, the pooled two-proportion z-score of the drop and the
+    alert flag from :func:`guardrail_tallies` rows."""
     conv_b, conv_c = ratio("b_base", "n_base"), ratio("b_cand", "n_cand")
     pooled = ratio(F.col("b_base") + F.col("b_cand"), F.col("n_base") + F.col("n_cand"))
     se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (ratio(F.lit(1.0), "n_base") + ratio(F.lit(1.0), "n_cand")))
@@ -89,13 +97,54 @@ def guardrail_windows(
         dround(conv_c, 4).alias("conv_cand"),
         dround(z, 3).alias("z_score"),
         F.coalesce(alert, F.lit(False)).alias("alert"),
-        *lat_names,
+        *[f"p{int(round(p * 100))}_latency_cand" for p in latency_probs],
     )
 
 
+def guardrail_windows(
+    df: DataFrame,
+    base: str = BASE,
+    cand: str = CAND,
+    keys: Sequence[str] = GUARDRAIL_KEYS,
+    window: str = "1 day",
+    slide: str | None = None,
+    min_n: int = 15,
+    tol: float = 0.3,
+    ts_col: str = "ts",
+    z_min: float | None = None,
+    latency_probs: Sequence[float] = (),
+    accuracy: int = 10000,
+) -> DataFrame:
+    """Per window and cohort: volume and conversion of each version, the pooled
+    two-proportion z-score of the drop, and the alert flag
+    ``n_base >= min_n AND n_cand >= min_n AND conv_cand < conv_base - tol``
+    (``AND z_score >= z_min`` when ``z_min`` is given).
+
+    Works on a batch or a streaming DataFrame with columns ``ts_col``,
+    ``sdk_version``, ``billable`` and ``keys``; ``latency_probs`` adds
+    approximate candidate render-latency percentiles (fixed-size state).
+    """
+    g = guardrail_tallies(df, base, cand, keys, window, slide, ts_col, latency_probs, accuracy)
+    return guardrail_finish(g, keys, min_n, tol, z_min, latency_probs)
+
+
 def guardrail_batch(t: AdTables, keys: Sequence[str] = GUARDRAIL_KEYS, **kw) -> DataFrame:
-    """D11 over the whole history: every window x cohort row with its flag."""
-    return guardrail_windows(won_impressions(t, keys), keys=keys, **kw)
+    """D11 over the whole history: every window x cohort row with its flag.
+
+    With ``billing_type`` as a key, windows are tallied per buyer first and
+    only those tallies meet the buyers dimension, then are rolled up by
+    billing type (counts are additive; latency percentiles are not, so
+    with ``latency_probs`` the buyer is attached row by row instead).
+    """
+    keys = list(keys)
+    if "billing_type" not in keys or kw.get("latency_probs"):
+        return guardrail_windows(won_impressions(t, keys), keys=keys, **kw)
+    finish = {k: kw.pop(k) for k in ("min_n", "tol", "z_min") if k in kw}
+    inner = [k for k in keys if k != "billing_type"]
+    g = guardrail_tallies(won_impressions(t, inner, with_buyer=True), keys=[*inner, "buyer_id"], **kw)
+    g = g.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
+    g = g.groupBy("w", *keys).agg(*[F.sum(c).alias(c) for c in TALLIES])
+    return guardrail_finish(g, keys, **finish)
 
 
 def first_alerts(windows: DataFrame, hinge: str = REFERENCE_HINGE, keys: Sequence[str] = GUARDRAIL_KEYS) -> DataFrame:
