@@ -67,16 +67,19 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--rows", type=int, default=20, help="rows to show per result")
     ap.add_argument("--reference-names", action="store_true", help="name version columns after the versions (n_v81, br_v82)")
     ap.add_argument("--explain", action="store_true", help="print each result's formatted physical plan instead of running it")
+    ap.add_argument("--store", help="with --tables: first lay the tables out for scale under this folder (bucketed, day-partitioned)")
     args = ap.parse_args(argv)
 
     from auctionlens.plans.inspect import formatted_plan
     from auctionlens.plans.session import get_session
     from auctionlens.sources.fixtures import FIXTURE_HINGE, fixture_tables
-    from auctionlens.sources.tables import load_reference_tables
+    from auctionlens.sources.tables import load_reference_tables, store_tables
 
     spark = get_session()
     if args.tables:
         t, hinge, expected = load_reference_tables(spark, args.tables), args.hinge or funnel.REFERENCE_HINGE, REFERENCE_ROW_COUNTS
+        if args.store:
+            t = store_tables(t, args.store)
     else:
         hinge = args.hinge or FIXTURE_HINGE
         t, expected = fixture_tables(spark, args.testdata, hinge=hinge), None

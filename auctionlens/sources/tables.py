@@ -184,3 +184,43 @@ def source_signature(paths: list[str], spark: SparkSession | None = None) -> str
 
 def views_root(spark: SparkSession, key: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/auctionlens_tables/{key}"
+
+
+def store_tables(
+    t: AdTables,
+    root: str,
+    prefix: str | None = None,
+    buckets: int | None = None,
+    time_unit: str | None = "day",
+    winning_bid_in_request: bool = False,
+) -> AdTables:
+    """Lay any six tables out for scale under ``root`` and return them stored.
+
+    Facts are bucketed by request_id; with ``time_unit`` every fact also
+    carries ``request_period`` (from its request, attached by a
+    bucket-aligned join to the stored requests) and is partitioned by it.
+    ``winning_bid_in_request`` may be declared once ``contract_check``
+    shows ``rule_winning_bid_other_request`` = 0.
+    """
+    from pyspark.sql import functions as F
+
+    from auctionlens.sources.schema import TIME_PARTITION, period_start
+
+    spark = t.ad_requests.sparkSession
+    n = buckets or default_buckets(spark)
+    prefix = prefix or "al_" + hashlib.sha1(root.encode()).hexdigest()[:12]
+    part = TIME_PARTITION if time_unit else None
+    requests = t.ad_requests
+    if part:
+        requests = requests.withColumn(part, period_start(F.col("request_ts"), time_unit))
+    write_tables({"ad_requests": requests, "buyers": t.buyers, "publishers": t.publishers}, root, prefix, n, time_partition=part)
+    periods = spark.table(_table_name(prefix, "ad_requests")).select("request_id", part) if part else None
+    for name in ("bids", "impressions", "sdk_events"):
+        df = getattr(t, name)
+        if periods is not None:
+            df = df.join(periods, "request_id", "left")
+        write_tables({name: df}, root, prefix, n, time_partition=part)
+    mark_ready(spark, root, n)
+    return stored_tables(
+        spark, root, prefix, winning_bid_in_request=winning_bid_in_request, time_partition=part, time_unit=time_unit or "year",
+    )
