@@ -95,6 +95,8 @@ def test_command_line_on_reference_shaped_tables(spark, sample, capsys):
     assert out["buyers"].ok and out["publishers"].ok  # the reference dimensions are complete
     assert out["ad_requests"].n == 6 and out["ad_requests"].expected == 2600 and out["ad_requests"].ok is False
     assert spark.read.parquet(f"{root}/out/funnel_daily").count() == 1
+    main(["--tables", root, "--store", f"{root}/stored", "--only", "funnel_daily", "--out", f"{root}/out2"])
+    assert spark.read.parquet(f"{root}/out2/funnel_daily").collect() == spark.read.parquet(f"{root}/out/funnel_daily").collect()
 
 
 def test_reference_style_version_names(sample):
