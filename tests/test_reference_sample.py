@@ -125,3 +125,6 @@ def test_store_tables_gives_the_same_answers(spark, sample):
     for op in (funnel.funnel_daily, mechanism.error_trail, impact.counterfactual_impact, quality.contract_check,
                lambda t: cohorts.cohort_version_compare(t, min_n=0)):
         assert sorted(map(repr, op(stored).collect())) == sorted(map(repr, op(sample).collect()))
+    flat = store_tables(sample, f"{root}-flat", buckets=3, time_unit=None)
+    assert flat.time_partition is None
+    assert funnel.funnel_daily(flat).collect() == funnel.funnel_daily(sample).collect()
