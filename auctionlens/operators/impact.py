@@ -43,9 +43,14 @@ def cohort_impact_agg(
 ) -> DataFrame:
     """Per labelled cohort (post hinge, rendered): candidate volume and billed
     count, base billable rate and base price per billable impression.
-    Rows in no cohort are dropped (a CASE without ELSE, then IS NOT NULL)."""
+    Rows in no cohort are dropped (a CASE without ELSE, then IS NOT NULL).
+
+    The default cohorts are tallied per buyer before the buyers join (see
+    :func:`_default_impact_agg`); custom ``cases`` may test any column, so
+    they label rows after a row-level buyers join.
+    """
     if cases is None:
-        cases, prefilter = default_impact_cohorts()
+        return _default_impact_agg(t, hinge, base, cand, with_days)
     x = _with_bid(rendered_post(t, hinge, prefilter), t, ["buyer_id"], hinge)
     x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     x = x.withColumn("cohort", case_label(cases)).filter(F.col("cohort").isNotNull())
@@ -64,6 +69,49 @@ def cohort_impact_agg(
     )
 
 
+def _default_impact_agg(t: AdTables, hinge: str, base: str, cand: str, with_days: bool) -> DataFrame:
+    """The default cohorts depend on request attributes and, for B, on the
+    buyer's billing type only. Impressions are tallied per (request-level
+    cohort flags, buyer[, day]) at fact scale; only those tallies meet the
+    buyers dimension, get their label, and are rolled up (counts and exact
+    decimal sums are additive; active days are the days with candidate
+    volume)."""
+    (label_a, _), (label_b, _) = default_impact_cohorts()[0]
+    ios = F.col("os") == "iOS"
+    a_req = ios & (os_major() == "17") & (F.col("ad_format") == "rewarded_video")
+    b_req = ios & (F.col("ad_format") == "interstitial")
+    x = _with_bid(rendered_post(t, hinge, any_of([a_req, b_req])), t, ["buyer_id"], hinge)
+    is_b, is_c, bill = F.col("sdk_version") == base, F.col("sdk_version") == cand, F.col("billable")
+    day = [F.to_date("request_ts").alias("_d")] if with_days else []
+    x = x.select(a_req.alias("_a"), b_req.alias("_b"), "buyer_id", *day, is_b.alias("_is_b"), is_c.alias("_is_c"), bill.alias("_bill"), money("revenue_usd").alias("_rev"))
+    keys = ["_a", "_b", "buyer_id", *(["_d"] if with_days else [])]
+    tallies = x.groupBy(*keys).agg(
+        count_if(F.col("_is_c")).alias("nc"),
+        count_if(F.col("_is_c") & F.col("_bill")).alias("bc"),
+        count_if(F.col("_is_b")).alias("nb"),
+        count_if(F.col("_is_b") & F.col("_bill")).alias("bb"),
+        F.sum(F.when(F.col("_is_b") & is_true(F.col("_bill")), F.col("_rev")).otherwise(F.lit(0).cast(MONEY_TYPE))).alias("rb"),
+    )
+    y = tallies.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
+    cohort = case_label([(label_a, F.col("_a")), (label_b, F.col("_b") & (F.col("billing_type") == "viewable"))])
+    y = y.withColumn("cohort", cohort).filter(F.col("cohort").isNotNull())
+    sums = [F.sum(c).alias(c) for c in ("nc", "bc", "nb", "bb", "rb")]
+    if with_days:
+        y = y.groupBy("cohort", "_d").agg(*sums)
+        extra = [count_if(F.col("nc") > 0).alias("active_days")]
+    else:
+        extra = []
+    g = y.groupBy("cohort").agg(*sums, *extra)
+    return g.select(
+        "cohort",
+        F.col("nc").cast("bigint").alias("rendered_cand"),
+        F.col("bc").cast("bigint").alias("billable_cand"),
+        ratio("bb", "nb").alias("baseline_br"),
+        ratio(F.col("rb").cast("double"), "bb").alias("price_base"),
+        *(["active_days"] if with_days else []),
+    )
+
+
 def _lost(agg: DataFrame) -> Column:
     return F.col("baseline_br") * F.col("rendered_cand") - F.col("billable_cand")
 
