@@ -182,25 +182,30 @@ def ttl_what_if(
     """Raise the bid TTL by each delta for a cohort's candidate traffic
     and recompute the billing rule; recovered impressions and revenue.
 
-    Each impression fans out to ``len(deltas_ms)`` scenario rows inside one
-    stage (``explode`` of a literal array), then one aggregate.
+    An impression's outcome depends only on its latency, TTL, viewable and
+    completed flags, billable flag and buyer, so impressions are tallied per
+    such combination (revenue summed exactly) before the buyers join, and
+    the ``len(deltas_ms)`` scenarios fan out over tallies, not impressions.
     """
     pred = _match(cohort or DEFAULT_COHORT) & (F.col("sdk_version") == cand)
     x = _with_bid(rendered_post(t, hinge, pred), t, ["bid_ttl_ms", "cleared_price", "buyer_id"], hinge)
-    x = x.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
-    signal = is_true(_billing_signal(F.col("billing_type"), F.col("viewable"), F.col("video_completed")))
-    x = x.select(
+    tallies = x.groupBy(
+        "buyer_id", "render_latency_ms", "bid_ttl_ms", "billable",
+        is_true(F.col("viewable")).alias("_v"), is_true(F.col("video_completed")).alias("_c"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(money(F.col("cleared_price") / 1000.0)).alias("rev"))
+    y = tallies.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
+    signal = is_true(_billing_signal(F.col("billing_type"), F.col("_v"), F.col("_c")))
+    y = y.select(
         F.explode(F.array(*[F.lit(int(d)) for d in deltas_ms])).alias("delta_ms"),
-        "render_latency_ms", "bid_ttl_ms", "cleared_price", "billable", signal.alias("signal"),
+        "render_latency_ms", "bid_ttl_ms", "billable", "n", "rev", signal.alias("signal"),
     )
-    would = (F.col("render_latency_ms") <= F.col("bid_ttl_ms") + F.col("delta_ms")) & F.col("signal")
-    recovered = is_true(would) & ~F.col("billable")
-    return x.groupBy("delta_ms").agg(
-        F.count(F.lit(1)).alias("n_rendered"),
-        count_if(F.col("billable")).alias("billable_now"),
-        count_if(would).alias("billable_whatif"),
-        count_if(recovered).alias("recovered_imps"),
-        dround(F.sum(F.when(recovered, money(F.col("cleared_price") / 1000.0)).otherwise(F.lit(0).cast(MONEY_TYPE))), 4).alias(
-            "recovered_revenue_usd"
-        ),
+    would = is_true((F.col("render_latency_ms") <= F.col("bid_ttl_ms") + F.col("delta_ms")) & F.col("signal"))
+    recovered = is_true(would & ~F.col("billable"))
+    zero = F.lit(0).cast(MONEY_TYPE)
+    return y.groupBy("delta_ms").agg(
+        F.sum("n").cast("bigint").alias("n_rendered"),
+        F.sum(F.when(is_true(F.col("billable")), F.col("n")).otherwise(0)).cast("bigint").alias("billable_now"),
+        F.sum(F.when(would, F.col("n")).otherwise(0)).cast("bigint").alias("billable_whatif"),
+        F.sum(F.when(recovered, F.col("n")).otherwise(0)).cast("bigint").alias("recovered_imps"),
+        dround(F.sum(F.when(recovered, F.col("rev")).otherwise(zero)), 4).alias("recovered_revenue_usd"),
     ).select(F.col("delta_ms").cast("bigint").alias("delta_ms"), "n_rendered", "billable_now", "billable_whatif", "recovered_imps", "recovered_revenue_usd")
