@@ -90,13 +90,19 @@ def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, alike in every block and task."""
+def span_hashes(buf: np.ndarray, spans) -> list[np.ndarray]:
+    """64-bit hashes of the bytes of (starts, ends) spans, one array for each
+    pair; alike in every block and task."""
     n = len(buf)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n + 1)[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_INV, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    back = _powers(_INV, n + 1)
+    return [mix((total[z] - total[a]) * back[a] + (z - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for a, z in spans]
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word's bytes."""
+    return span_hashes(buf, [(starts, ends)])[0]
 
 
 def hash_words(items: list[bytes]) -> np.ndarray:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auctionlens.llm import langid
+from auctionlens.llm import crf, langid
 from auctionlens.llm.common import crc_mod, stored
 
 
@@ -21,8 +21,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep(docs, langid.fit(docs, crc_mod("doc_id", 3) != 1))
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that are not predicted toxic (operator 3), learned
+    from the labels of the stage's own input."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return crf.keep(docs, crf.fit(docs, labels, crc_mod("doc_id", 5) != 0))
+
+
 STAGES = [
     ("language_id", language_id),
+    ("toxicity", toxicity),
 ]
 
 #: The stages hold trained models, which SQL cannot express.
