@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auctionlens.llm import crf, langid
+from auctionlens.llm import crf, langid, winnow
 from auctionlens.llm.common import crc_mod, stored
 
 
@@ -28,9 +28,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return crf.keep(docs, crf.fit(docs, labels, crc_mod("doc_id", 5) != 0))
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that hold no benchmark window (operator 1)."""
+    return winnow.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 STAGES = [
     ("language_id", language_id),
     ("toxicity", toxicity),
+    ("decontamination", decontamination),
 ]
 
 #: The stages hold trained models, which SQL cannot express.
