@@ -142,6 +142,31 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key)).limit(rows)
 
 
+FILTER_BITS = 1 << 26
+
+
+def filter_bits(hashes: DataFrame) -> np.ndarray:
+    """Bit filter of a single column of 64-bit hashes, sized by their number
+    up to FILTER_BITS (8 MB): a set that outgrows it lets more through."""
+    (name,) = hashes.columns
+    n = hashes.count()
+    size = 1 << 16
+    while size < min(32 * n, FILTER_BITS):
+        size *= 2
+    at = hashes.select(F.col(name).bitwiseAND(F.lit(size - 1)).alias("at"))  # the remainder by a power of two
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()  # at most FILTER_BITS / 64 rows
+    out = np.zeros(size // 64, np.int64)
+    for r in rows:
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``;
     a scratch folder only where it is unset and the master is local."""

@@ -11,7 +11,7 @@ all of them. An item shorter than a window is one fingerprint of its own
 length, looked up at every place.
 
 Scale: documents are read once; a bit filter of the benchmark's hashes, of
-at most ``FILTER_BITS`` bits whatever the benchmark's size, drops most
+at most ``common.FILTER_BITS`` bits whatever the benchmark's size, drops most
 fingerprints in the task, and a filter that passes too much costs time, not
 rows. The rest is joined by shuffle, salted on the document side, with
 benchmark contexts grouped first, so a passage that many documents or items
@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, gram_hashes, stored, text_blocks, word_hashes, words
+from .common import ALNUM, LOWER, filter_bits, gram_hashes, passes, stored, text_blocks, word_hashes, words
 
 WINDOW = 10
 K = 5
 W = WINDOW - K + 1
-FILTER_BITS = 1 << 26
 SALTS = 8
 
 _HIT = "array<struct<fp:bigint,kind:int,pos:int,lo:int,ctx:array<string>>>"
@@ -65,13 +64,6 @@ def _fingerprints(src: DataFrame, lengths: list[int], bits: np.ndarray | None, s
     all k-grams of these lengths too. ``short_items``: a text shorter than a
     window is one k-gram of its length."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    size = np.uint64(len(bits) * 64) if bits is not None else None
-
-    def passes(g: np.ndarray) -> np.ndarray:
-        if bits is None:
-            return np.ones(len(g), bool)
-        at = g % size
-        return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
     def run(batches):
         for b in batches:
@@ -95,7 +87,7 @@ def _fingerprints(src: DataFrame, lengths: list[int], bits: np.ndarray | None, s
                         if len(first):
                             found.append((n, n, first, gram_hashes(h, n)))
                 for kind, k, at, g in found:
-                    at = at[passes(g[at])]
+                    at = at if bits is None else at[passes(bits, g[at])]
                     for p in at.tolist():
                         r = int(row[p])
                         a, z = (max(p - W + 1, int(rows[r])), min(p + k + W - 1, int(rows[r + 1]))) if kind == 0 else (p, p + k)
@@ -106,22 +98,6 @@ def _fingerprints(src: DataFrame, lengths: list[int], bits: np.ndarray | None, s
     return src.mapInArrow(run, f"{fields}, n_words bigint, hits {_HIT}")
 
 
-def _filter_bits(fps: DataFrame) -> np.ndarray:
-    """Bit filter of the hashes, sized by their number up to FILTER_BITS."""
-    n = fps.count()
-    size = 1 << 16
-    while size < min(32 * n, FILTER_BITS):
-        size *= 2
-    # an unsigned remainder by a power of two is a mask
-    at = fps.select(F.col("fp").bitwiseAND(F.lit(size - 1)).alias("at"))
-    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(size // 64, np.int64)
-    for r in rows:
-        out[r["word"]] = r["bits"]
-    return out.view(np.uint64)
-
-
 def _lead(a: Column, b: Column) -> Column:
     """Number of equal leading words of two arrays."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -141,7 +117,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     """All documents (doc_id, _t: hash of the text, n_words), and of those
     with hits: doc_id, _t, n_hit, items (sorted as strings)."""
     items = stored(index_items(benchmark), "winnow-items")
-    bits = _filter_bits(items.select("fp"))
+    bits = filter_bits(items.select("fp"))
     lengths = sorted(r["kind"] for r in items.filter("kind > 0").select("kind").distinct().collect())  # 1 to WINDOW - 1
     src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("_text"))
     base = stored(_fingerprints(src, lengths, bits, False), "winnow-docs")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auctionlens.llm import crf, langid, winnow
+from auctionlens.llm import crf, langid, setsketch, winnow
 from auctionlens.llm.common import crc_mod, stored
 
 
@@ -28,6 +28,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return crf.keep(docs, crf.fit(docs, labels, crc_mod("doc_id", 5) != 0))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group (operator 5): five-word
+    shingles, similarity 0.8 or more."""
+    return setsketch.keep(docs, k=5)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no benchmark window (operator 1)."""
     return winnow.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -36,6 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 STAGES = [
     ("language_id", language_id),
     ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
 ]
 
