@@ -186,3 +186,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stream_groups(batches, keys: tuple[str, ...]):
+    """Arrow tables of the consecutive groups of equal integer ``keys`` in a
+    sorted partition; a group may span batches."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if not t.num_rows:
+            continue
+        marks = np.stack([t.column(c).to_numpy() for c in keys])
+        bounds = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist()]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(bounds[-1])
+    if rest is not None and rest.num_rows:
+        yield rest

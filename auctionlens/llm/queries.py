@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, langid, setsketch, winnow
+from . import crf, kmtree, langid, setsketch, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": winnow.op1,
         "op3_toxicity": crf.op3,
+        "op4_nearest_neighbours": kmtree.op4,
         "op5_near_duplicates": setsketch.op5,
         "op9_language_id": langid.op9,
     }
