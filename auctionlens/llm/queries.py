@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, kmtree, langid, licenses, setsketch, winnow
+from . import crf, kmtree, langid, licenses, setsketch, urltree, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": crf.op3,
         "op4_nearest_neighbours": kmtree.op4,
         "op5_near_duplicates": setsketch.op5,
+        "op7_url_filter": urltree.op7,
         "op9_language_id": langid.op9,
         "op10_license_scan": licenses.op10,
     }
