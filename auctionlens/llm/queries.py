@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, domtree, kmtree, langid, licenses, setsketch, urltree, winnow
+from . import brown, crf, domtree, kmtree, langid, licenses, setsketch, urltree, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": winnow.op1,
+        "op2_lm_score": brown.op2,
         "op3_toxicity": crf.op3,
         "op4_nearest_neighbours": kmtree.op4,
         "op5_near_duplicates": setsketch.op5,
