@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, crf, domtree, kmtree, langid, licenses, setsketch, urltree, winnow
+from . import brown, crf, domtree, kmtree, langid, licenses, setsketch, softmix, urltree, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": crf.op3,
         "op4_nearest_neighbours": kmtree.op4,
         "op5_near_duplicates": setsketch.op5,
+        "op6_mixing": softmix.op6,
         "op7_url_filter": urltree.op7,
         "op8_html_text": domtree.op8,
         "op9_language_id": langid.op9,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auctionlens.llm import crf, langid, setsketch, winnow
+from auctionlens.llm import crf, langid, setsketch, softmix, winnow
 from auctionlens.llm.common import crc_mod, stored
 
 
@@ -39,11 +39,20 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return winnow.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rates that meet the target weights (operator 6).
+    Returns the documents taken at least once, with n_tokens, p, domain, rate
+    and copies; those columns replace ones of the same name."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return softmix.take(softmix.mix(docs, labels, whole_rows=True))
+
+
 STAGES = [
     ("language_id", language_id),
     ("toxicity", toxicity),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
+    ("mixing", mixing),
 ]
 
 #: The stages hold trained models, which SQL cannot express.
