@@ -16,8 +16,9 @@ ERA_PRE = "1_pre"
 ERA_POST = "2_post"
 
 # Money is summed as a decimal so the total does not depend on row order
-# or partitioning. 12 decimals hold every revenue value exactly.
-MONEY_TYPE = "decimal(18,12)"
+# or partitioning. 12 decimals hold every revenue value exactly; 16 digits
+# before the point hold any single amount, and sums widen to decimal(38,12).
+MONEY_TYPE = "decimal(28,12)"
 
 ColumnOrName = Column | str
 

@@ -97,23 +97,31 @@ def funnel_rates(grain: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rates_from_sums(funnel_sums(grain, keys), keys)
 
 
-def tier_sums(t: AdTables, requests: DataFrame, keys: Sequence[str], tiers: Sequence[str] | None = None) -> DataFrame:
-    """Funnel tallies per ``keys`` (+ ``tier``) of publisher tiers.
+UNKNOWN_SCOPE = "unknown"
+
+
+def publisher_sums(
+    t: AdTables, requests: DataFrame, keys: Sequence[str], scope: str = "tier", values: Sequence[str] | None = None
+) -> DataFrame:
+    """Funnel tallies per ``keys`` and a publisher attribute (``scope``: tier or
+    region), optionally only of the given ``values``. Requests of publishers
+    that are not in the dimension, or lack the attribute, are counted under
+    ``unknown``.
 
     Tallies are first grouped by publisher at fact scale, and only that
     small result meets the publishers dimension; then it is rolled up by
-    tier. No fact row is shuffled by publisher, so a hot publisher or a
+    the attribute. No fact row is shuffled by publisher, so a hot publisher or a
     publishers table too large to broadcast costs nothing extra.
     """
     keys = list(keys)
     sums = funnel_sums(request_grain(t, requests, extra=["publisher_id", *[k for k in keys if k != "d"]]), ["publisher_id", *keys])
-    pubs = t.dimension("publishers", "publisher_id", "tier")
-    if tiers is not None:
-        pubs = pubs.filter(F.col("tier").isin(list(tiers)))
+    pubs = t.dimension("publishers", "publisher_id", scope)
+    if values is not None:
+        pubs = pubs.filter(F.col(scope).isin(list(values)))
         sums = sums.join(pubs, "publisher_id")
     else:
-        sums = sums.join(pubs, "publisher_id", "left")
-    return regroup(sums, ["tier", *keys])
+        sums = sums.join(pubs, "publisher_id", "left").withColumn(scope, F.coalesce(scope, F.lit(UNKNOWN_SCOPE)))
+    return regroup(sums, [scope, *keys])
 
 
 def daily_funnel_raw(
@@ -128,7 +136,7 @@ def daily_funnel_raw(
     if tiers is None:
         daily = funnel_rates(request_grain(t, requests), ["d"])
     else:
-        sums = tier_sums(t, requests if requests is not None else t.ad_requests, ["d"], tiers)
+        sums = publisher_sums(t, requests if requests is not None else t.ad_requests, ["d"], "tier", tiers)
         daily = rates_from_sums(regroup(sums, ["d"]), ["d"])
     w = Window.orderBy(F.col("d").asc_nulls_last()).rowsBetween(-(ma_rows - 1), 0)
     return daily.withColumn("ecpm_ma", F.avg("ecpm").over(w))
@@ -150,13 +158,13 @@ def funnel_daily(
     ).orderBy(F.col("d").asc_nulls_last())
 
 
-def publisher_scope(t: AdTables, hinge: str = REFERENCE_HINGE) -> DataFrame:
-    """Funnel rates per publisher tier and era."""
+def publisher_scope(t: AdTables, hinge: str = REFERENCE_HINGE, scope: str = "tier") -> DataFrame:
+    """Funnel rates per publisher tier (or region) and era."""
     req = t.ad_requests.withColumn("era", era("request_ts", hinge))
-    rates = rates_from_sums(tier_sums(t, req, ["era"]), ["tier", "era"])
+    rates = rates_from_sums(publisher_sums(t, req, ["era"], scope), [scope, "era"])
     return rates.select(
-        "tier", "era", *[dround(c, 4).alias(c) for c in ("bid_rate", "win_rate", "render_rate", "billable_rate", "ecpm")]
-    ).orderBy(F.col("tier").asc_nulls_last(), F.col("era").asc_nulls_last())
+        scope, "era", *[dround(c, 4).alias(c) for c in ("bid_rate", "win_rate", "render_rate", "billable_rate", "ecpm")]
+    ).orderBy(F.col(scope).asc_nulls_last(), F.col("era").asc_nulls_last())
 
 
 def _billing_signal(billing_type: Column, viewable: Column, video_completed: Column) -> Column:
@@ -224,8 +232,10 @@ def leak_stage(t: AdTables, hinge: str = REFERENCE_HINGE, keys: Sequence[str] =
 
 
 def decline_onset(t: AdTables, hinge: str = REFERENCE_HINGE, drop: float = 0.10, run: int = 7, ma_rows: int = 7) -> DataFrame:
-    """First day whose moving-average eCPM stays below ``(1 - drop)`` of the
-    pre-hinge mean daily eCPM for ``run`` consecutive rows (complete runs only)."""
+    """First day from the hinge on whose moving-average eCPM stays below
+    ``(1 - drop)`` of the pre-hinge mean daily eCPM for ``run`` consecutive rows
+    (complete runs only). Dips before the hinge are not the decline that the
+    hinge brought; without a run after it the onset is NULL."""
     raw = daily_funnel_raw(t, ma_rows)
     hinge_d = F.to_date(ts_lit(hinge))
     order = F.col("d").asc_nulls_last()
@@ -240,7 +250,7 @@ def decline_onset(t: AdTables, hinge: str = REFERENCE_HINGE, drop: float = 0.10,
     x = x.withColumn("run_ok", (F.min("below").over(ahead) == 1) & (F.count(F.lit(1)).over(ahead) == run))
     out = x.agg(
         F.max("baseline").alias("baseline_ecpm"),
-        F.min(F.when(F.col("run_ok"), F.col("d"))).alias("onset_day"),
+        F.min(F.when(F.col("run_ok") & (F.col("d") >= hinge_d), F.col("d"))).alias("onset_day"),
     )
     return out.select(
         dround("baseline_ecpm", 4).alias("baseline_ecpm"),

@@ -165,3 +165,34 @@ def first_alerts(windows: DataFrame, hinge: str = REFERENCE_HINGE, keys: Sequenc
 def guardrail_first_alert(t: AdTables, hinge: str = REFERENCE_HINGE, keys: Sequence[str] = GUARDRAIL_KEYS, **kw) -> DataFrame:
     """D11 summary: when each cohort would first have alerted."""
     return first_alerts(guardrail_batch(t, keys=keys, **kw), hinge, keys)
+
+
+def guardrail_versions(
+    t: AdTables,
+    incumbent: str = BASE,
+    keys: Sequence[str] = GUARDRAIL_KEYS,
+    window: str = "1 day",
+    slide: str | None = None,
+    min_n: int = 15,
+    tol: float = 0.3,
+    z_min: float | None = 3.0,
+) -> DataFrame:
+    """D11 for any number of versions: one row per window, cohort and version
+    other than the declared ``incumbent``, compared with the incumbent's traffic
+    of the same window and cohort. Tallies are made per version (and buyer, if
+    ``billing_type`` is a key) at fact scale; only they are joined."""
+    keys = list(keys)
+    inner = [k for k in keys if k != "billing_type"]
+    buyer = ["buyer_id"] if "billing_type" in keys else []
+    w = F.window("ts", window, slide) if slide else F.window("ts", window)
+    g = won_impressions(t, inner, with_buyer=bool(buyer)).groupBy(w.alias("w"), *inner, *buyer, "sdk_version").agg(
+        F.count(F.lit(1)).alias("n"), count_if(F.col("billable")).alias("b")
+    )
+    if buyer:
+        g = g.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
+        g = g.groupBy("w", *keys, "sdk_version").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    old = g.filter(F.col("sdk_version") == incumbent).select("w", *keys, F.col("n").alias("n_base"), F.col("b").alias("b_base"))
+    new = g.filter(F.col("sdk_version") != incumbent).select("w", *keys, "sdk_version", F.col("n").alias("n_cand"), F.col("b").alias("b_cand"))
+    x = new.join(old, ["w", *keys], "left")
+    x = x.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in TALLIES})
+    return guardrail_finish(x, [*keys, "sdk_version"], min_n, tol, z_min)

@@ -130,6 +130,45 @@ def counterfactual_impact(t: AdTables, hinge: str = REFERENCE_HINGE, base: str =
     ).orderBy(F.col("cohort").asc_nulls_last())
 
 
+def counterfactual_vs_control(
+    t: AdTables,
+    hinge: str = REFERENCE_HINGE,
+    cand: str = CAND,
+    os: str = "iOS",
+    control_os: str = "Android",
+) -> DataFrame:
+    """A09 with the control group's rate: billable impressions and dollars lost
+    had each ad format and billing type on ``os`` billed at the rate and price
+    of the same candidate version on ``control_os``. Formats without control
+    traffic report no baseline, 0 lost impressions and NULL dollars.
+
+    Tallied per buyer before the buyers join; both sides are one aggregate."""
+    on, ctl = F.col("os") == os, F.col("os") == control_os
+    pred = (on | ctl) & (F.col("sdk_version") == cand)
+    x = _with_bid(rendered_post(t, hinge, pred), t, ["buyer_id"], hinge)
+    bill, zero = is_true(F.col("billable")), F.lit(0).cast(MONEY_TYPE)
+    tallies = x.groupBy("buyer_id", "ad_format").agg(
+        count_if(on).alias("nt"),
+        count_if(on & bill).alias("bt"),
+        count_if(ctl).alias("nc"),
+        count_if(ctl & bill).alias("bc"),
+        F.sum(F.when(ctl & bill, money("revenue_usd")).otherwise(zero)).alias("rc"),
+    )
+    g = tallies.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id").groupBy("ad_format", "billing_type").agg(*[F.sum(c).alias(c) for c in ("nt", "bt", "nc", "bc", "rc")])
+    control = ratio("bc", "nc")
+    lost = control * F.col("nt") - F.col("bt")
+    return g.filter("nt > 0").select(
+        "ad_format",
+        "billing_type",
+        F.col("nt").cast("bigint").alias("rendered_cand"),
+        F.col("bt").cast("bigint").alias("billable_cand"),
+        F.col("nc").cast("bigint").alias("rendered_control"),
+        dround(control, 4).alias("control_br"),
+        dround(F.greatest(F.lit(0.0), lost), 2).alias("lost_billable_imps"),
+        dround(F.greatest(F.lit(0.0), lost) * ratio(F.col("rc").cast("double"), "bc"), 4).alias("lost_revenue_usd"),
+    )
+
+
 def relative_loss(t: AdTables, hinge: str = REFERENCE_HINGE, base: str = BASE, cand: str = CAND, **kw) -> DataFrame:
     """Lost share of the expected billable volume, and lost dollars per
     rendered candidate impression."""
