@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionlens.functions.exprs import count_if, is_true
-from auctionlens.plans.joins import bounded_broadcast
+from auctionlens.operators.funnel import _billing_signal
 from auctionlens.sources.schema import FOREIGN_KEYS, PRIMARY_KEYS, AdTables
 
 
@@ -84,24 +84,26 @@ def contract_check(t: AdTables) -> DataFrame:
     with its violation count (0 = holds).
 
     Every check is an exact distributed aggregate: a key is checked by a
-    ``groupBy`` on it, an orphan by a ``left_anti`` join, NULLs by one pass
-    per table.
+    ``groupBy`` on it, orphans by counts per key that meet the parent in a
+    ``left_anti`` join, NULLs and row rules by one pass per table. Bids are
+    shuffled once, by bid_id, for their key and the winning-bid rules; of a
+    bid_id that occurs twice, the rules see one bid.
     """
     tables = t.as_dict()
     parts: list[DataFrame] = []
     for name, key in PRIMARY_KEYS.items():
         df = tables[name]
+        if name == "bids":
+            continue  # with the winning bids below: one shuffle on bid_id serves both
         dup = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c"))
         parts.append(dup.agg(*_row("pk_duplicate", name, key, F.coalesce(F.sum(F.col("c") - 1), F.lit(0)))))
     for child, ck, parent, pk in FOREIGN_KEYS:
         if (child, ck) == ("impressions", "winning_bid_id"):
             continue  # one left join below covers this key and its rules
-        kids = tables[child].select(ck).filter(F.col(ck).isNotNull())
-        par = tables[parent].select(F.col(pk).alias(ck))
-        if parent in ("buyers", "publishers"):
-            par = bounded_broadcast(par)  # never shuffle a fact to check a dimension key
-        orphans = kids.join(par, ck, "left_anti")  # request_id keys: bucket-aligned, no shuffle
-        parts.append(orphans.agg(*_row("fk_orphan", child, ck, F.count(F.lit(1)))))
+        # counted per key first: a hot key is one row before any join
+        kids = tables[child].filter(F.col(ck).isNotNull()).groupBy(ck).agg(F.count(F.lit(1)).alias("c"))
+        orphans = kids.join(tables[parent].select(F.col(pk).alias(ck)), ck, "left_anti")
+        parts.append(orphans.agg(*_row("fk_orphan", child, ck, F.coalesce(F.sum("c"), F.lit(0)))))
     rules = _rules(t)
     for name, df in tables.items():
         model_cols = [cn for cn in df.columns if cn != t.time_partition]  # the partition column is layout, not data
@@ -109,9 +111,12 @@ def contract_check(t: AdTables) -> DataFrame:
         cols += [F.struct(*_row(chk, name, cn, count_if(p))) for chk, cn, p in rules.get(name, [])]
         parts.append(df.agg(F.array(*cols).alias("_r")).select(F.inline("_r")))
     # On the bid id alone: this verifies the same-request guarantee rather than assuming it.
-    bids = t.bids.select(
-        F.col("bid_id").alias("winning_bid_id"), F.col("request_id").alias("_bid_req"), "is_winner",
-        "bid_ttl_ms", "cleared_price", "buyer_id", F.lit(True).alias("_hit"),
+    one = ("request_id", "is_winner", "bid_ttl_ms", "cleared_price", "buyer_id")
+    by_id = t.bids.filter(F.col("bid_id").isNotNull()).groupBy("bid_id").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*one)).alias("b"))
+    parts.append(by_id.agg(*_row("pk_duplicate", "bids", "bid_id", F.coalesce(F.sum(F.col("c") - 1), F.lit(0)))))
+    bids = by_id.select(
+        F.col("bid_id").alias("winning_bid_id"), F.col("b.request_id").alias("_bid_req"), "b.is_winner",
+        "b.bid_ttl_ms", "b.cleared_price", "b.buyer_id", F.lit(True).alias("_hit"),
     )
     x = t.impressions.select(
         "winning_bid_id", "request_id", "rendered", "render_latency_ms", "viewable", "video_completed", "billable", "revenue_usd"
@@ -119,11 +124,7 @@ def contract_check(t: AdTables) -> DataFrame:
     x = x.join(bids, "winning_bid_id", "left").join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id", "left")
     # The billing rule: billable <=> rendered, rendered within the bid TTL, and
     # the buyer's billing signal present (viewable / completed / rendered).
-    signal = (
-        F.when(F.col("billing_type") == "render", F.lit(True))
-        .when(F.col("billing_type") == "viewable", F.col("viewable"))
-        .when(F.col("billing_type") == "complete", F.col("video_completed"))
-    )
+    signal = _billing_signal(F.col("billing_type"), F.col("viewable"), F.col("video_completed"))
     rule = is_true(F.col("rendered") & (F.col("render_latency_ms") <= F.col("bid_ttl_ms")) & is_true(signal))
     rev_off = F.abs(F.col("revenue_usd") - F.col("cleared_price") / 1000.0) > F.lit(1e-6)
     checks = [

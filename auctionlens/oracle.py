@@ -57,7 +57,7 @@ li AS (
   FROM lineitem
 ),
 b0 AS (
-  SELECT l_orderkey * 100 + rn AS bid_id, l_orderkey AS request_id, l_suppkey AS buyer_id,
+  SELECT l_orderkey * 100000 + rn AS bid_id, l_orderkey AS request_id, l_suppkey AS buyer_id,
          CASE WHEN l_tax < 0.07 THEN 1 ELSE 0 END AS did_bid,
          CASE WHEN l_tax < 0.07 THEN l_extendedprice / 10000.0 END AS bid_cpm,
          900 + 100 * (CAST(l_quantity AS INTEGER) % 12) AS bid_ttl_ms,
@@ -805,9 +805,12 @@ def _contract_sql() -> str:
 
 QUERIES["contract_check"] = _contract_sql()
 
-# D12 guardrail_stream: the D11 windows the stream closes, i.e. those ending at
-# or before the final watermark (latest event time minus the 366-day delay).
-QUERIES["guardrail_stream"] = _q(f"""{GUARD}
-SELECT * FROM w
-WHERE window_end <= (SELECT MAX(r.request_ts) FROM impressions i JOIN ad_requests r USING (request_id)) - INTERVAL 366 DAY
+# D12 guardrail_stream: every D11 window; closed once it ends at or before the
+# latest event less the 2-day watermark. The same rows come from a source that
+# delivers every impression twice, and from bare impressions joined to requests.
+_STREAM = _q(f"""{GUARD}
+SELECT *, window_end <= (SELECT MAX(r.request_ts) FROM impressions i JOIN ad_requests r USING (request_id)) - INTERVAL 2 DAY AS closed
+FROM w
 """)
+for _name in ("guardrail_stream", "guardrail_stream_dedup", "guardrail_stream_joined"):
+    QUERIES[_name] = _STREAM

@@ -5,31 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when a count proves it has at most this many
-# rows. Callers project the dimension to the join key plus one or two
-# attributes first, so 2M rows stay well under ~100 MB per executor.
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``dim`` with a broadcast hint if it has at most ``max_rows`` rows.
-
-    The count is a cheap job over a dimension (a parquet row count after
-    column pruning). Above the bound the hint is not added and the join
-    falls back to a shuffled join that AQE may still convert at runtime.
-    """
-    if max_rows <= 0:
-        return dim
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
-
-def join_dimension(
-    fact: DataFrame,
-    dim: DataFrame,
-    on,
-    how: str = "inner",
-    max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-) -> DataFrame:
+from auctionlens.plans.stats import plan_bytes
+
+# A dimension is broadcast only when the plan's statistics put it at no more
+# than this many bytes. Callers project it to the join key and one or two
+# attributes first. Above the bound nothing is hinted and the planner shuffles
+# (or adaptive execution converts the join once it has measured the side).
+BROADCAST_MAX_BYTES = 32 * 1024 * 1024
+
+
+def bounded_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Return ``dim`` with a broadcast hint if it has at most ``max_bytes`` bytes
+    by its statistics. No job runs while the plan is built."""
+    return F.broadcast(dim) if plan_bytes(dim) <= max_bytes else dim
+
+
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner", max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Fact-to-dimension join; the dimension is broadcast only when proven small."""
-    return fact.join(bounded_broadcast(dim, max_rows), on, how)
+    return fact.join(bounded_broadcast(dim, max_bytes), on, how)

@@ -44,8 +44,10 @@ def get_session(master: str | None = None, app: str = "auctionlens", conf: dict
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir``; only when it is unset and the master
+    is local (tests) a fresh scratch folder is created and registered. On a
+    cluster a folder of one machine would be no use to the others, so an
+    unset directory is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -55,6 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             d = None
     if d:
         return d.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="auctionlens-ckpt-", dir=os.environ.get("AUCTIONLENS_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", d)
     try:

@@ -11,8 +11,6 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
-import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +22,10 @@ from auctionlens.sources.tables import (
     DIMENSIONS,
     FACTS,
     choose_buckets,
+    co_partition,
+    count_periods,
     mark_ready,
+    new_folder,
     register_tables,
     source_bytes,
     source_signature,
@@ -136,8 +137,8 @@ def requests_view(spark: SparkSession, sf_dir: str, hinge: str = FIXTURE_HINGE)
 def _bids_full(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Bids with the helper columns the impression build needs.
 
-    Both windows partition by l_orderkey (at most a handful of lines per
-    order in TPC-H, so no window partition is large), so Spark plans one
+    Both windows partition by l_orderkey (an order has few lines: at most 17
+    at sf0.1; ids leave room for 99,999), so Spark plans one
     exchange and two sorts. With ``partitions`` that exchange is made
     explicit with the bucket count, so the result is already laid out in
     request_id buckets for the write.
@@ -161,7 +162,7 @@ def _bids_full(spark: SparkSession, sf_dir: str, partitions: int | None = None)
     )
     winner = (F.col("did_bid") == 1) & (F.col("l_orderkey") % 10 != 0) & (first == 1)
     return li.select(
-        (F.col("l_orderkey") * 100 + F.col("rn")).alias("bid_id"),
+        (F.col("l_orderkey") * 100000 + F.col("rn")).alias("bid_id"),
         F.col("l_orderkey").alias("request_id"),
         F.col("l_suppkey").alias("buyer_id"),
         "bid_cpm",
@@ -283,7 +284,7 @@ def _sdk_events(imp_full: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 SOURCES = ["supplier", "nation", "region", "orders", "customer", "lineitem"]
-FIXTURE_VERSION = "5"
+FIXTURE_VERSION = "6"
 _MEMO: dict[tuple, AdTables] = {}
 _BUILD_LOCK = threading.Lock()
 
@@ -316,7 +317,7 @@ def _app_id(spark: SparkSession) -> str:
 
 
 def _build(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str, n: int, unit: str | None) -> None:
-    """Derive and write the six tables under ``root``; the ready marker last.
+    """Derive and write the six tables under ``root``.
 
     With ``unit`` every fact carries ``request_period`` (the first day of its
     request's day / month / year) and is partitioned by it.
@@ -342,33 +343,6 @@ def _build(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str,
     write_tables({"impressions": imp}, root, prefix, n, prepartitioned=("impressions",), time_partition=part)
     imp_full = spark.table(f"{prefix}_impressions")
     write_tables({"sdk_events": _sdk_events(imp_full, carry)}, root, prefix, n, prepartitioned=("sdk_events",), time_partition=part)
-    mark_ready(spark, root, n)
-
-
-def _build_and_publish(spark: SparkSession, sf_dir: str, hinge: str, root: str, prefix: str, n: int, unit: str | None) -> int:
-    """Build the tables and make them visible all at once.
-
-    On a file system with atomic rename (local, HDFS via a local mount) the
-    set is built in a private folder and renamed into place, so concurrent
-    builders never see each other's partial output; the loser of a race
-    adopts the winner's tables (its own private copy is left in place).
-    Elsewhere (object stores) it is built in place, guarded by the ready
-    marker written last.
-    """
-    parsed = urlparse(root)
-    if parsed.scheme not in ("", "file"):
-        _build(spark, sf_dir, hinge, root, prefix, n, unit)
-        return n
-    tag = uuid.uuid4().hex[:8]
-    tmp_root, tmp_prefix = f"{root}.building-{tag}", f"{prefix}_b{tag}"
-    _build(spark, sf_dir, hinge, tmp_root, tmp_prefix, n, unit)
-    for name in (*FACTS, *DIMENSIONS):
-        spark.sql(f"DROP TABLE IF EXISTS {tmp_prefix}_{name}")  # catalog entries only; files stay
-    try:
-        os.rename(urlparse(tmp_root).path, parsed.path)
-    except OSError:
-        pass  # another builder published first
-    return tables_ready(spark, root) or n
 
 
 def fixture_tables(
@@ -392,26 +366,34 @@ def fixture_tables(
     """
     if not materialize:
         return derived_tables(spark, sf_dir, hinge)
-    # The source signature (a file listing on remote storage) is taken once
-    # per application and path; a source rewritten while the application
-    # runs is picked up by the next application.
-    memo = (_app_id(spark), os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, hinge, time_unit)
+    # The signature (size, file count, time of each source path) is part of
+    # the memo, so a source rewritten meanwhile is picked up by the next call;
+    # the session is, too, as the tables belong to its catalog.
+    path = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir
+    paths = [f"{sf_dir}/{n}.parquet" for n in SOURCES]
+    sig = source_signature(paths, spark)
+    memo = (_app_id(spark), id(spark), path, sig, hinge, time_unit)
     with _BUILD_LOCK:
         if memo not in _MEMO:
-            paths = [f"{sf_dir}/{n}.parquet" for n in SOURCES]
-            sig = source_signature(paths, spark)
-            key = hashlib.sha1(f"{memo[1]}|{sig}|{hinge}|{time_unit}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
-            n = buckets or choose_buckets(spark, source_bytes(paths))
-            _MEMO[memo] = _load_or_build(spark, sf_dir, hinge, key, n, time_unit)
+            key = hashlib.sha1(f"{path}|{sig}|{hinge}|{time_unit}|{FIXTURE_VERSION}".encode()).hexdigest()[:12]
+            _MEMO[memo] = _load_or_build(spark, sf_dir, hinge, key, buckets, time_unit)
     return _MEMO[memo]
 
 
-def _load_or_build(spark: SparkSession, sf_dir: str, hinge: str, key: str, buckets: int, unit: str | None) -> AdTables:
-    root, prefix = views_root(spark, key), f"al_{key}"
+def _load_or_build(spark: SparkSession, sf_dir: str, hinge: str, key: str, buckets: int | None, unit: str | None) -> AdTables:
+    root = views_root(spark, key)
     part = TIME_PARTITION if unit else None
-    n = tables_ready(spark, root)
-    if n is None:
-        n = _build_and_publish(spark, sf_dir, hinge, root, prefix, buckets, unit)
+    co_partition(spark)
+    ready = tables_ready(spark, root)
+    if ready is None:
+        folder = new_folder()
+        size = source_bytes([f"{sf_dir}/{n}.parquet" for n in SOURCES], spark)
+        n = buckets or choose_buckets(spark, size, count_periods(requests_view(spark, sf_dir, hinge), unit))
+        _build(spark, sf_dir, hinge, f"{root}/{folder}", f"al_{key}_{folder[4:]}", n, unit)
+        mark_ready(spark, root, n, folder)
+        ready = (n, folder)
+    n, folder = ready
+    root, prefix = f"{root}/{folder}", f"al_{key}_{folder[4:]}"
     register_tables(spark, root, prefix, [*FACTS, *DIMENSIONS], n, time_partition=part)
     return stored_tables(
         spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS},

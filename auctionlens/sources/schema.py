@@ -133,8 +133,8 @@ class AdTables:
         return fact.filter(F.col(self.time_partition) >= period_start(F.lit(hinge).cast("timestamp_ntz"), self.time_unit))
 
     def dimension(self, name: str, *cols: str) -> DataFrame:
-        """A dimension projected to ``cols``, broadcast only if a count proves
-        it small (``bounded_broadcast``); the count runs once per instance."""
+        """A dimension projected to ``cols``, broadcast only if its statistics
+        prove it small (``bounded_broadcast``)."""
         from auctionlens.plans.joins import bounded_broadcast
 
         key = (name, cols)

@@ -10,15 +10,17 @@ reload is idempotent (the reference drops and recreates its tables).
 from __future__ import annotations
 
 import hashlib
-import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from auctionlens.plans.inspect import hash_partitioned_on
 from auctionlens.plans.session import ensure_checkpoint_dir
-from auctionlens.sources.schema import SCHEMAS, AdTables
+from auctionlens.plans.stats import leaf_bytes
+from auctionlens.sources.schema import SCHEMAS, TIME_PARTITION, AdTables, period_start
 
 FACTS = ("ad_requests", "bids", "impressions", "sdk_events")
 DIMENSIONS = ("buyers", "publishers")
@@ -26,8 +28,8 @@ BUCKET_KEY = "request_id"
 READY_MARKER = "_tables_ready"
 
 
-TARGET_BUCKET_BYTES = 256 * 1024 * 1024
-MAX_BUCKETS = 1 << 16
+#: size that the bucket files of one period should have
+TARGET_FILE_BYTES = 256 * 1024 * 1024
 
 
 def default_buckets(spark: SparkSession) -> int:
@@ -39,14 +41,29 @@ def default_buckets(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def choose_buckets(spark: SparkSession, source_bytes: int) -> int:
-    """One bucket count for all facts (co-location needs the same count):
-    at least the cluster parallelism, else about 256 MB of source per
-    bucket, as a power of two, capped at 65536. A bucketed scan reads each
-    bucket as one task, so buckets must stay task-sized at any scale."""
-    n = max(1, -(-source_bytes // TARGET_BUCKET_BYTES))
-    pow2 = 1 << (n - 1).bit_length()
-    return max(default_buckets(spark), min(pow2, MAX_BUCKETS))
+def choose_buckets(spark: SparkSession, source_bytes: int, periods: int = 1) -> int:
+    """One bucket count for all facts (co-location needs the same count).
+
+    Every period folder holds one file per bucket, so the count follows the
+    bytes of one period: about TARGET_FILE_BYTES a file, as a power of two and
+    without an upper limit, and at least the cluster's parallelism. A query
+    over p periods reads p such files in each task; choose the period (month,
+    year) so that the usual range is a few of them."""
+    n = max(1, -(-source_bytes // (TARGET_FILE_BYTES * max(1, periods))))
+    return max(default_buckets(spark), 1 << (n - 1).bit_length())
+
+
+def count_periods(requests: DataFrame, unit: str | None) -> int:
+    """Number of periods that the requests span (1 without time partitions)."""
+    if not unit:
+        return 1
+    return max(1, requests.select(period_start(F.col("request_ts"), unit).alias("p")).agg(F.count_distinct("p")).first()[0])
+
+
+def co_partition(spark: SparkSession) -> None:
+    """Let joins on (request_id, x) use tables bucketed by request_id alone.
+    Set on whatever session loads the tables: the plans rely on it."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
 def _table_name(prefix: str, name: str) -> str:
@@ -84,23 +101,30 @@ def write_tables(
             if time_partition:
                 w = w.partitionBy(time_partition)
         else:
-            w = df.coalesce(1).write
+            w = df.hint("rebalance").write  # as many files as its size asks for
         spark.sql(f"DROP TABLE IF EXISTS {_table_name(prefix, name)}")
         w.mode("overwrite").format("parquet").option("path", f"{root}/{name}").saveAsTable(_table_name(prefix, name))
 
 
-def mark_ready(spark: SparkSession, root: str, buckets: int) -> None:
-    """Written last: a table set without this marker is rebuilt."""
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{root}/{READY_MARKER}")
+def mark_ready(spark: SparkSession, root: str, buckets: int, folder: str = ".") -> None:
+    """Written last: publishes the table set in ``{root}/{folder}``. Each build
+    writes a folder of its own, so concurrent builders never see each other's
+    files and nothing is renamed; of several complete sets the last marker
+    wins, and any of them is right."""
+    spark.createDataFrame([(buckets, folder)], "buckets int, folder string").coalesce(1).write.mode("overwrite").json(f"{root}/{READY_MARKER}")
 
 
-def tables_ready(spark: SparkSession, root: str) -> int | None:
-    """Bucket count of a complete table set under ``root``, else None."""
+def tables_ready(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Bucket count and folder of the published table set under ``root``, else None."""
     try:
-        row = spark.read.json(f"{root}/{READY_MARKER}").first()
+        row = spark.read.schema("buckets int, folder string").json(f"{root}/{READY_MARKER}").first()
     except AnalysisException:
         return None
-    return int(row["buckets"]) if row else None
+    return (int(row["buckets"]), row["folder"]) if row else None
+
+
+def new_folder() -> str:
+    return f"set-{uuid.uuid4().hex[:8]}"
 
 
 def register_tables(
@@ -133,6 +157,7 @@ def stored_tables(
 ) -> AdTables:
     """The six tables read from the catalog, optionally projected to the
     public columns (helper columns stay on disk and are pruned at the scan)."""
+    co_partition(spark)
     out = {}
     for name in (*FACTS, *DIMENSIONS):
         df = spark.table(_table_name(prefix, name))
@@ -149,36 +174,29 @@ def load_reference_tables(spark: SparkSession, root: str) -> AdTables:
     return AdTables(**{name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}") for name in SCHEMAS})
 
 
-def source_bytes(paths: list[str]) -> int:
-    """Total size of local source files (0 where they cannot be listed)."""
-    total = 0
-    for p in paths:
-        if os.path.isdir(p):
-            for dirpath, _, files in os.walk(p):
-                total += sum(os.path.getsize(os.path.join(dirpath, f)) for f in files)
-        elif os.path.exists(p):
-            total += os.path.getsize(p)
-    return total
+def _summary(spark: SparkSession, path: str) -> tuple[int, int, int] | None:
+    """(bytes, files, modification time) of a path through Spark's own file
+    system for its scheme; None if it does not exist. No file list is made."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return None
+    s = fs.getContentSummary(p)
+    return int(s.getLength()), int(s.getFileCount()), int(fs.getFileStatus(p).getModificationTime())
+
+
+def source_bytes(paths: list[str], spark: SparkSession) -> int:
+    """Total size of source files or folders on any file system Spark reads."""
+    return sum(s[0] for s in (_summary(spark, p) for p in paths) if s)
 
 
-def source_signature(paths: list[str], spark: SparkSession | None = None) -> str:
-    """Signature of the source files: size + mtime of local files; for paths
-    the local file system cannot see (object stores, HDFS) the names of the
-    data files Spark lists, which change whenever the data is rewritten."""
+def source_signature(paths: list[str], spark: SparkSession) -> str:
+    """Signature of the sources: size, file count and modification time of
+    each path, which change when the data is rewritten."""
     h = hashlib.sha1()
     for p in sorted(paths):
-        h.update(p.encode())
-        if not os.path.exists(p) and spark is not None:
-            for f in sorted(spark.read.parquet(p).inputFiles()):
-                h.update(f.encode())
-        elif os.path.isdir(p):
-            for dirpath, _, files in sorted(os.walk(p)):
-                for f in sorted(files):
-                    st = os.stat(os.path.join(dirpath, f))
-                    h.update(f"{f}:{st.st_size}:{st.st_mtime_ns}".encode())
-        elif os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{st.st_size}:{st.st_mtime_ns}".encode())
+        h.update(f"{p}:{_summary(spark, p)}".encode())
     return h.hexdigest()[:12]
 
 
@@ -191,7 +209,7 @@ def store_tables(
     root: str,
     prefix: str | None = None,
     buckets: int | None = None,
-    time_unit: str | None = "day",
+    time_unit: str | None = "month",
     winning_bid_in_request: bool = False,
 ) -> AdTables:
     """Lay any six tables out for scale under ``root`` and return them stored.
@@ -202,12 +220,10 @@ def store_tables(
     ``winning_bid_in_request`` may be declared once ``contract_check``
     shows ``rule_winning_bid_other_request`` = 0.
     """
-    from pyspark.sql import functions as F
-
-    from auctionlens.sources.schema import TIME_PARTITION, period_start
-
     spark = t.ad_requests.sparkSession
-    n = buckets or default_buckets(spark)
+    co_partition(spark)
+    size = max(leaf_bytes(getattr(t, name)) for name in FACTS)
+    n = buckets or choose_buckets(spark, size, count_periods(t.ad_requests, time_unit))
     prefix = prefix or "al_" + hashlib.sha1(root.encode()).hexdigest()[:12]
     part = TIME_PARTITION if time_unit else None
     requests = t.ad_requests

@@ -40,14 +40,24 @@ def guardrail_events(
     return ev.dropDuplicatesWithinWatermark([id_col]) if dedup else ev
 
 
-def enrich_with_requests(events: DataFrame, requests: DataFrame, keys: Sequence[str] = GUARDRAIL_KEYS) -> DataFrame:
+def enrich_with_requests(
+    events: DataFrame,
+    requests: DataFrame,
+    keys: Sequence[str] = GUARDRAIL_KEYS,
+    since: str | None = None,
+    keep_unmatched: bool = False,
+) -> DataFrame:
     """Attach version and cohort keys from the requests table to a bare
-    impression stream (a stateless stream-static inner join on request_id).
+    impression stream (a stateless stream-static join on request_id).
 
     Use it when the telemetry does not carry the cohort attributes itself;
-    each micro-batch joins only its own rows, so state does not grow.
+    each micro-batch joins only its own rows, so state does not grow. ``since``
+    bounds the requests that every trigger reads (pushed to their scan). With
+    ``keep_unmatched`` impressions whose request is not stored yet stay, with
+    NULL version and keys, and can be counted or sent to a side table.
     """
-    return events.join(requests.select("request_id", "sdk_version", *keys), "request_id")
+    req = requests if since is None else requests.filter(F.col("request_ts") >= F.lit(since).cast("timestamp_ntz"))
+    return events.join(req.select("request_id", "sdk_version", *keys), "request_id", "left" if keep_unmatched else "inner")
 
 
 def join_request_stream(
@@ -89,10 +99,11 @@ def start_guardrail_stream(
     cand: str = CAND,
     keys: Sequence[str] = GUARDRAIL_KEYS,
     window: str = "1 day",
+    slide: str | None = None,
     watermark: str = "2 days",
     min_n: int = 15,
     tol: float = 0.3,
-    max_files_per_trigger: int | None = 1,
+    max_files_per_trigger: int | None = None,
     available_now: bool = True,
     processing_time: str | None = None,
     requests: DataFrame | None = None,
@@ -102,7 +113,41 @@ def start_guardrail_stream(
     dedup: bool = True,
     state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Start the guardrail stream; returns the running query.
+    """:func:`start_guardrail` on a folder of parquet files. A trigger takes all
+    new files unless ``max_files_per_trigger`` limits it."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return start_guardrail(
+        reader.parquet(source_path), output_path, checkpoint_path, base=base, cand=cand, keys=keys, window=window, slide=slide,
+        watermark=watermark, min_n=min_n, tol=tol, available_now=available_now, processing_time=processing_time, requests=requests,
+        z_min=z_min, latency_probs=latency_probs, alerts_path=alerts_path, dedup=dedup, state_partitions=state_partitions,
+    )
+
+
+def start_guardrail(
+    stream: DataFrame,
+    output_path: str,
+    checkpoint_path: str,
+    base: str = BASE,
+    cand: str = CAND,
+    keys: Sequence[str] = GUARDRAIL_KEYS,
+    window: str = "1 day",
+    slide: str | None = None,
+    watermark: str = "2 days",
+    min_n: int = 15,
+    tol: float = 0.3,
+    available_now: bool = True,
+    processing_time: str | None = None,
+    requests: DataFrame | None = None,
+    z_min: float | None = None,
+    latency_probs: Sequence[float] = (),
+    alerts_path: str | None = None,
+    dedup: bool = True,
+    state_partitions: int | None = None,
+) -> StreamingQuery:
+    """Start the guardrail on any streaming DataFrame of won impressions; returns
+    the running query. ``slide`` makes the windows overlap.
 
     ``available_now`` processes what is in the folder and stops (for batch
     schedulers and tests); otherwise a processing-time trigger keeps it
@@ -120,13 +165,11 @@ def start_guardrail_stream(
     partitions suffice; the dedup state grows with traffic and wants the
     session's larger default.
     """
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = guardrail_events(reader.parquet(source_path), watermark, dedup=dedup)
+    spark = stream.sparkSession
+    ev = guardrail_events(stream, watermark, dedup=dedup)
     if requests is not None:
         ev = enrich_with_requests(ev, requests, keys)
-    out = guardrail_windows(ev, base, cand, keys, window=window, min_n=min_n, tol=tol, z_min=z_min, latency_probs=latency_probs)
+    out = guardrail_windows(ev, base, cand, keys, window=window, slide=slide, min_n=min_n, tol=tol, z_min=z_min, latency_probs=latency_probs)
     if alerts_path is None:
         w = (
             out.writeStream.outputMode("append")
@@ -137,8 +180,14 @@ def start_guardrail_stream(
     else:
 
         def write_batch(batch: DataFrame, epoch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{output_path}/batch_id={epoch_id}")
-            batch.filter("alert").write.mode("overwrite").parquet(f"{alerts_path}/batch_id={epoch_id}")
+            batch.persist()  # two sinks, one run of the stateful plan
+            try:
+                if batch.isEmpty():
+                    return
+                batch.write.mode("overwrite").parquet(f"{output_path}/batch_id={epoch_id}")
+                batch.filter("alert").write.mode("overwrite").parquet(f"{alerts_path}/batch_id={epoch_id}")
+            finally:
+                batch.unpersist()
 
         w = out.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
@@ -152,65 +201,60 @@ def start_guardrail_stream(
         spark.conf.set("spark.sql.shuffle.partitions", prev)
 
 
-def _write_time_slices(df: DataFrame, path: str, ts_col: str = "ts", slice_years: int = 1, files_per_slice: int = 2) -> None:
-    """Write ``df`` as files in event-time order (one append per slice), so a
-    file source replays slices in time order; within a slice file order is
-    arbitrary, which a watermark delay of at least one slice tolerates.
-
-    The input is staged once, partitioned by slice, and each slice is then
-    copied from its own folder: two passes over the data whatever the
-    number of slices (bounded by the span of years).
-    """
-    staged = f"{path}_staged"
-    sliced = df.withColumn("_slice", (F.year(ts_col) / F.lit(slice_years)).cast("int") * F.lit(slice_years))
-    sliced.write.mode("overwrite").partitionBy("_slice").parquet(staged)
-    read = df.sparkSession.read
-    bounds = read.parquet(staged).agg(F.min("_slice").alias("lo"), F.max("_slice").alias("hi")).first()
-    if bounds["lo"] is None:
-        df.limit(0).write.mode("append").parquet(path)
-        return
-    for y in range(int(bounds["lo"]), int(bounds["hi"]) + 1, slice_years):
-        part = read.parquet(staged).filter(F.col("_slice") == y).drop("_slice")  # partition pruning: reads one folder
-        part.repartition(files_per_slice).write.mode("append").parquet(path)
-
-
 def replay_guardrail(
     won: DataFrame,
     keys: Sequence[str] = GUARDRAIL_KEYS,
     window: str = "1 day",
-    watermark: str = "366 days",
+    watermark: str = "2 days",
     min_n: int = 15,
     tol: float = 0.3,
     base: str = BASE,
     cand: str = CAND,
+    dedup: bool = False,
+    requests: DataFrame | None = None,
+    files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Replay a batch of won impressions through the streaming guardrail and
-    return the emitted (closed) windows as a batch DataFrame.
-
-    The input is landed in yearly event-time slices under the checkpoint
-    folder and the stream runs with ``availableNow``, one slice's files per
-    trigger, so state carries across micro-batches. The watermark delay
-    must cover one slice (366 days) for no replayed row to count as late.
-    Windows still open at the final watermark are not emitted, by design of
-    append mode.
+    return every window, with ``closed``: whether the watermark of the data
+    itself (latest event less the delay) has passed the window's end.
+
+    The input is landed by one parallel write and read as a stream, by default
+    in one trigger. A last row, far beyond the data and without any version,
+    then moves the watermark past all windows, so append mode emits them all;
+    that row's own window never closes. ``dedup`` is for sources that may
+    deliver an impression twice. With ``requests`` the source is bare
+    impressions and the attributes come from that table (S01).
     """
     spark = won.sparkSession
     run = f"{ensure_checkpoint_dir(spark)}/auctionlens_stream/{uuid.uuid4().hex}"
-    src = won.select("impression_id", "ts", "sdk_version", *keys, "billable")
+    if requests is None:
+        src = won.select("impression_id", "ts", "sdk_version", *keys, "billable")
+    else:
+        src = won.select("impression_id", "request_id", "ts", "billable")
     prev_tz = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "UTC")  # windows align to UTC midnight
     try:
-        _write_time_slices(src, f"{run}/source")
+        src.write.parquet(f"{run}/source")
+        landed = spark.read.parquet(f"{run}/source")
+        last = landed.agg(F.max("ts").alias("ts")).first()["ts"]
+        if last is not None:
+            beyond = F.lit(last).cast("timestamp") + F.expr(f"INTERVAL {watermark}") + F.expr(f"INTERVAL {window}") + F.expr(f"INTERVAL {window}")
+            # no request has this id; a NULL one would be filtered out before the watermark
+            end = {"ts": beyond.cast(src.schema["ts"].dataType), "request_id": F.lit("-1")}
+            mark = spark.range(1).select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in src.schema.fields])
+            mark.write.mode("append").parquet(f"{run}/source")
         q = start_guardrail_stream(
             spark, f"{run}/source", src.schema, f"{run}/out", f"{run}/checkpoint",
             base=base, cand=cand, keys=keys, window=window, watermark=watermark, min_n=min_n, tol=tol,
-            max_files_per_trigger=2,
-            dedup=False,  # replaying a table whose impression_id is a checked primary key
-            state_partitions=8,  # state is open windows x cohorts only
+            max_files_per_trigger=files_per_trigger, dedup=dedup, requests=requests,
         )
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev_tz)
-    return spark.read.parquet(f"{run}/out")
+    out = spark.read.parquet(f"{run}/out")
+    if last is None:
+        return out.withColumn("closed", F.lit(False))
+    passed = F.lit(last).cast("timestamp_ntz") - F.expr(f"INTERVAL {watermark}")
+    return out.withColumn("closed", F.col("window_end") <= passed)

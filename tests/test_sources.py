@@ -38,8 +38,12 @@ def test_stored_tables_are_reused(spark, t001):
 def test_bucket_count_tracks_data_size(spark):
     base = spark.sparkContext.defaultParallelism
     assert choose_buckets(spark, 10 * 1024 * 1024) == base
-    assert choose_buckets(spark, 100 * 1024**4) == 1 << 16  # 100 TB: capped, ~1.5 GB per bucket
     assert choose_buckets(spark, 64 * 1024**3) == 256
+    # 100 TB in 24 months: no cap, files of at most 256 MB, none far smaller
+    for periods in (1, 24):
+        n = choose_buckets(spark, 100 * 1024**4, periods)
+        size = 100 * 1024**4 / n / periods
+        assert 128 * 1024**2 <= size <= 256 * 1024**2, (periods, n, size)
 
 
 def test_approx_percentiles_close_to_exact(t001):
