@@ -163,7 +163,8 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = 15) -> np
             rest[old] -= out
             rest[:, old] -= into
             rest[old, old] -= own
-            row, col = rest.sum(1), rest.sum(0)
+            # class totals with the atom's neighbours: they stay wherever it goes
+            row, col = rest.sum(1) + into, rest.sum(0) + out
             # gain of each class d that the atom could join
             joined_row, joined_col = rest + out, rest + into[:, None]
             gain = (_xlogx(joined_row) - _xlogx(rest)).sum(1) + (_xlogx(joined_col) - _xlogx(rest)).sum(0)
