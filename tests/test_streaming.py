@@ -50,7 +50,7 @@ def test_watermark_late_rows_and_duplicates(spark):
     assert dropped == 1
 
 
-def test_replay_equals_batch_on_closed_windows(spark, t001):
+def test_replay_returns_every_window_and_marks_closed_ones(spark, t001):
     from auctionlens.operators.guardrail import won_impressions
 
     won = won_impressions(t001)
@@ -58,9 +58,10 @@ def test_replay_equals_batch_on_closed_windows(spark, t001):
     stream = replay_guardrail(won, watermark="366 days", **kw)
     cut = won.agg(F.max("ts")).first()[0]
     batch = guardrail_windows(won, **kw)
-    closed = batch.filter(F.col("window_end") <= F.lit(cut) - F.expr("INTERVAL 366 DAYS"))
+    batch = batch.withColumn("closed", F.col("window_end") <= F.lit(cut) - F.expr("INTERVAL 366 DAYS"))
     key = lambda df: sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
-    assert key(stream) == key(closed)
+    assert key(stream) == key(batch)
+    assert {r["closed"] for r in stream.select("closed").distinct().collect()} == {True, False}
 
 
 def test_stream_static_enrichment_and_latency_percentiles(spark):
