@@ -61,7 +61,7 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 HOLDERS = frozenset("ul ol menu dl table body html article section div nav aside header footer main form".split())
 
 FRAME = frozenset("html body".split())
-CONTAINERS = frozenset("article aside body center dialog div footer form header main menu nav section table".split())
+CONTAINERS = frozenset("article aside body center dialog div dl footer form header main menu nav ol section table ul".split())
 
 # Elements and class words that name a role (True: content).
 ROLES = {"article": True, "main": True, "nav": False, "footer": False, "aside": False, "form": False, "header": False, "menu": False, "button": False}
@@ -416,6 +416,7 @@ def labelled_pages() -> list[str]:
     for i, text in enumerate(_SENTENCES):  # pages that are hardly more than a text
         alone = f"<p class='keep'>{text}</p>"
         pages += [alone, f"<h1 class='keep'>Flood</h1>{alone}<p class='keep'>{_SENTENCES[i - 1]}</p>", f"<body><div class='keep'>{text}</div></body>", f"<body>{_mark_chrome(i)}{alone}</body>"]
+        pages += [f"<article class='keep'><p>{text}</p><p>So</p></article>", f"<body><main class='keep'><h2>And so on</h2><p>{text[:20]}</p></main></body>"]
     return pages
 
 
