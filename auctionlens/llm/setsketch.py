@@ -13,14 +13,16 @@ registers. Steps:
    similarity 0.8 share no bucket with probability (1 - 0.8^5)^30 < 1e-5.
 3. In each bucket one class (by the hash of id and key) is the hub. Each
    class is compared with the hubs of its buckets by the joint likelihood
-   of the two sketches given both set sizes; the likeliest hub is verified
-   on the full sets, and links join into components.
+   of the two sketches given both set sizes; in ``HUB_ROUNDS`` rounds the
+   likeliest hub outside its component is verified on the full sets, and
+   links join into components.
 4. Buckets that still hold several components are compared in blocks: each
-   class outside the bucket's largest component against all classes of other
-   components; only pairs whose estimate is within 4.5 standard errors of
-   the threshold leave the task, and are verified on full sets. So no link
-   between two components is lost, and copies are never paired with each
-   other.
+   class outside the bucket's largest component against the classes of other
+   components. What leaves the task are (class, component) relations in which
+   some estimate is within 4.5 standard errors of the threshold; each class
+   is then verified against the component's members on full sets, in blocks
+   again, and one link is kept. So no link between two components is lost,
+   copies are never paired with each other, and no list of pairs is made.
 
 Full sets are made again from the texts of the classes in question only.
 Hot buckets and groups: copies collapse before any join, hubs make work
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, VISIBLE, filter_bits, gram_hashes, mix, passes, stored, text_blocks, word_hashes, words
+from .common import LOWER, VISIBLE, filter_bits, gram_hashes, mix, passes, stored, stream_groups, text_blocks, word_hashes, words
 from .components import components
 
 ROWS, BANDS = 5, 30
@@ -49,6 +51,7 @@ BASE, RATE, Q = 1.001, 20.0, 65534
 PERCENT = 80
 CUT = PERCENT / 100 - 4.5 * float(np.sqrt(0.8 * 0.2 / M))
 BLOCK = 4096
+HUB_ROUNDS = 3
 SALTS = 8
 
 _rng = np.random.default_rng(20210)
@@ -159,55 +162,77 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, est double")
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Rows (key, i, j, side, id, comp, n, regs), grouped by (key, i, j) within
-    the partition: pairs of a side-1 row and a row of another component whose
-    likelihood puts them at CUT or above."""
+def _block_relations(rows: DataFrame) -> DataFrame:
+    """Rows (key, i, j, side, id, comp, n, regs), sorted by (key, i, j): each
+    side-1 row with the other components in its block that have a member
+    whose likelihood puts the pair at CUT or above."""
     kind = rows.schema["id"].dataType.simpleString()
 
-    def group(t: pa.Table):
-        side = t.column("side").to_numpy() == 1
-        if not side.any() or side.all():
-            return None
-        n, regs = t.column("n").to_numpy(), _matrix(t.column("regs"))
-        comp, ids = t.column("comp").to_numpy(zero_copy_only=False), t.column("id").to_numpy(zero_copy_only=False)
-        other = np.flatnonzero(~side)
-        a, b = [], []
-        for s in np.flatnonzero(side):
-            fit = other[(comp[other] != comp[s]) & (np.minimum(n[other], n[s]) * 100 >= np.maximum(n[other], n[s]) * PERCENT)]
-            if len(fit):
-                above, below = (regs[s] > regs[fit]).sum(1), (regs[s] < regs[fit]).sum(1)
-                hit = fit[likelihood_slope(above, below, np.float64(n[s]), n[fit].astype(float), CUT) >= 0]
-                a += [ids[s]] * len(hit)
-                b += ids[hit].tolist()
-        return (a, b) if a else None
+    def run(batches):
+        for t in stream_groups(batches, ("key", "i", "j")):
+            side = t.column("side").to_numpy() == 1
+            if not side.any() or side.all():
+                continue
+            n, regs = t.column("n").to_numpy(), _matrix(t.column("regs"))
+            comp, ids = t.column("comp").to_numpy(), t.column("id").to_numpy()
+            other = np.flatnonzero(~side)
+            a, b = [], []
+            for s in np.flatnonzero(side):
+                fit = other[(comp[other] != comp[s]) & (np.minimum(n[other], n[s]) * 100 >= np.maximum(n[other], n[s]) * PERCENT)]
+                if len(fit):
+                    above, below = (regs[s] > regs[fit]).sum(1), (regs[s] < regs[fit]).sum(1)
+                    hit = fit[likelihood_slope(above, below, np.float64(n[s]), n[fit].astype(float), CUT) >= 0]
+                    near = np.unique(comp[hit])
+                    a += [ids[s]] * len(near)
+                    b += near.tolist()
+            if a:
+                own = t.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(a, own), pa.array(b, own)], names=["id", "comp"])
+
+    return rows.mapInArrow(run, f"id {kind}, comp {kind}")
+
+
+def _block_links(rows: DataFrame) -> DataFrame:
+    """Rows (key, i, j, side, id, s), sorted by (key, i, j): each side-1 row
+    with one side-0 row of its block whose full set reaches the threshold."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        rest = None
-        for x in batches:
-            t = pa.Table.from_batches([x])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            if not t.num_rows:
+        for t in stream_groups(batches, ("key", "i", "j")):
+            side = t.column("side").to_numpy() == 1
+            if not side.any() or side.all():
                 continue
-            marks = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-            cut = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
-            bounds = [0, *cut.tolist()]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo > 1 and (found := group(t.slice(lo, hi - lo))):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0], x.schema.field("id").type), pa.array(found[1], x.schema.field("id").type)], names=["a", "b"])
-            rest = t.slice(bounds[-1])
-        if rest is not None and rest.num_rows > 1 and (found := group(rest)):
-            kind_id = rest.schema.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], kind_id), pa.array(found[1], kind_id)], names=["a", "b"])
+            ids, lists = t.column("id").to_numpy(), t.column("s").combine_chunks()
+            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            other = np.flatnonzero(~side)
+            size = np.diff(bounds)
+            values = np.concatenate([flat[bounds[x] : bounds[x + 1]] for x in other])
+            owner = np.repeat(np.arange(len(other)), size[other])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            a, b = [], []
+            for x in np.flatnonzero(side):
+                own = flat[bounds[x] : bounds[x + 1]]
+                lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                times = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                common = np.bincount(owner[at], minlength=len(other))
+                good = np.flatnonzero((common * 100 >= (size[x] + size[other] - common) * PERCENT) & (ids[other] != ids[x]))
+                if len(good):
+                    a.append(ids[x])
+                    b.append(ids[other[good[0]]])
+            if a:
+                kind_id = t.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind_id), pa.array(b, kind_id)], names=["a", "b"])
 
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; ``texts``: id, text."""
+def full_sets(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(id, s: sorted shingle hashes) of the given ids, made from the texts
+    (id, text). A bit filter of the ids drops most texts before the shuffle."""
     kind = texts.schema["id"].dataType.simpleString()
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    bits = filter_bits(nodes.select(F.xxhash64("id").alias("h")))
+    bits = filter_bits(ids.select(F.xxhash64("id").alias("h")))
 
     def run(batches):
         for x in batches:
@@ -223,12 +248,57 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
     sets = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, f"id {kind}, s array<bigint>")
-    sets = stored(sets.join(nodes, "id", "left_semi"), "setsketch-sets")
+    return stored(sets.join(ids, "id", "left_semi"), "setsketch-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return both.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * PERCENT).select("a", "b")
 
 
+def _with_root(df: DataFrame, comps: DataFrame, column: str, root: str) -> DataFrame:
+    """``df`` with the component of ``column`` (itself, if it has no link)."""
+    c = comps.select(F.col("node").alias(column), F.col("root").alias(root))
+    return df.join(c, column, "left").withColumn(root, F.coalesce(root, column))
+
+
+def _every(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _own(n: str):
+    return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+
+def _blocks(count, size: int):
+    return F.ceil(count / size).cast("int")
+
+
+def _remaining(rows: DataFrame, comps: DataFrame, sketch: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Step 4: links between components that share a bucket."""
+    own = stored(_with_root(rows.select("key", "id", "size"), comps, "id", "comp"), "setsketch-own")
+    parts = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    left = own.join(mixed, "key").join(sketch, "id").withColumn("nb", _blocks(F.col("size"), BLOCK))
+    cols = ["key", "id", "comp", "n", "regs"]
+    ones = left.filter("comp <> big").select(*cols, F.lit(1).alias("side"), _own("nb").alias("i"), _every("nb").alias("j"))
+    alls = left.select(*cols, F.lit(0).alias("side"), _every("nb").alias("i"), _own("nb").alias("j"))
+    grid = ones.unionByName(alls).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    related = stored(_block_relations(grid).distinct(), "setsketch-related")
+
+    asked = related.select("comp").distinct()
+    members = asked.join(comps, F.col("comp") == F.col("root"), "left").select("comp", F.coalesce("node", "comp").alias("id")).distinct()
+    sets = full_sets(related.select("id").union(members.select("id")).distinct(), texts, k)
+    split = related.groupBy("comp").agg(_blocks(F.count("*"), BLOCK // 4).alias("bi")).join(members.groupBy("comp").agg(_blocks(F.count("*"), BLOCK // 4).alias("bj")), "comp")
+    key = F.xxhash64("comp").alias("key")  # two components under one key only share a block
+    ones = related.join(split, "comp").select(key, _own("bi").alias("i"), _every("bj").alias("j"), F.lit(1).alias("side"), "id")
+    alls = members.join(split, "comp").select(key, _every("bi").alias("i"), _own("bj").alias("j"), F.lit(0).alias("side"), "id")
+    grid = ones.unionByName(alls).join(sets, "id").select("key", "i", "j", "side", "id", "s")
+    return _block_links(grid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id (smallest id reachable) and kept."""
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -247,33 +317,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: s
     stars = stars.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
     stars = stars.join(sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
     stars = stars.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    best = _estimated(stars).filter(F.col("est") >= CUT - 0.02).groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-    first = stored(verified(stored(best, "setsketch-best"), texts, k), "setsketch-links")
-    comps = components(first, "setsketch-first")
-
-    own = rows.join(comps, rows["id"] == comps["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("comp"))
-    own = stored(own, "setsketch-own")
-    parts = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    left = own.join(mixed, "key").join(sketch, "id")
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["key", "id", "comp", "n", "regs"]
-    ones = left.filter("comp <> big").select(*cols, F.lit(1).alias("side"), F.col("at").alias("i"), every.alias("j"))
-    alls = left.select(*cols, F.lit(0).alias("side"), every.alias("i"), F.col("at").alias("j"))
-    grid = ones.unionByName(alls).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = _block_pairs(grid).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = verified(stored(more, "setsketch-more"), texts, k)
+    likely = stored(_estimated(stars).filter(F.col("est") >= CUT - 0.02), "setsketch-likely")
+    sets = full_sets(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct(), texts, k)
+    links = comps = None
+    for _ in range(HUB_ROUNDS):
+        pairs = likely
+        if comps is not None:
+            pairs = _with_root(_with_root(likely, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb")
+        best = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "setsketch-best")
+        found = stored(verified(best, sets), "setsketch-links")
+        links = found if links is None else links.union(found)
+        comps = components(links, "setsketch-components")
+        likely = likely.join(best, ["a", "b"], "left_anti")
+
+    second = _remaining(rows, comps, sketch, texts, k)
     # links between components found so far join them
-    to_root = comps.select(F.col("node"), F.col("root"))
-    second = second.join(to_root.withColumnRenamed("root", "ra"), F.col("a") == F.col("node"), "left").drop("node").join(to_root.withColumnRenamed("root", "rb"), F.col("b") == F.col("node"), "left").drop("node")
-    links = first.union(second.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    final = components(links, "setsketch-final")
+    second = _with_root(_with_root(second, comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = comps.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    final = components(roots.union(second), "setsketch-final")
 
     # classes whose documents are not all their own component; salted, as a
     # class can hold a third of all documents
-    moved = classes.select(*sig, "id", "copies").join(final, F.col("id") == F.col("node"), "left").select(*sig, F.coalesce("root", "id").alias("component_id"), (F.col("copies") > 1).alias("many"), (F.col("root") < F.col("id")).alias("up"))
-    moved = moved.filter("many or up").select(*sig, "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    moved = _with_root(classes.select(*sig, "id", "copies"), final, "id", "component_id").filter((F.col("copies") > 1) | (F.col("component_id") < F.col("id")))
+    moved = moved.select(*sig, "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = base.select("id", *sig, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(moved, [*sig, "salt"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
