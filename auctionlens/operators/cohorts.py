@@ -73,7 +73,7 @@ def cohort_version_compare(
         dround(delta, 3).alias("delta"),
         "worst_rank",
     )
-    order = [F.col("delta").asc_nulls_last(), F.col("worst_rank").asc()] + [F.col(x).asc_nulls_last() for x in keys]
+    order = [F.col("delta").asc_nulls_last(), F.col("worst_rank").asc_nulls_last()] + [F.col(x).asc_nulls_last() for x in keys]
     return out.orderBy(*order).limit(k)
 
 

@@ -151,7 +151,7 @@ def error_trail(
     ).select("request_id", error_label(os, cases, other).alias("cohort"))
     ev = t.since(t.sdk_events, hinge).filter(F.col("error_code").isNotNull()).select("request_id", "error_code")
     out = ev.join(req, "request_id").groupBy("cohort", "error_code").agg(F.count(F.lit(1)).alias("n"))
-    return out.orderBy(F.col("cohort").asc_nulls_last(), F.col("n").desc())
+    return out.orderBy(F.col("cohort").asc_nulls_last(), F.col("n").desc_nulls_last())
 
 
 def error_rate_vs_control(

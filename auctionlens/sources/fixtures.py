@@ -158,7 +158,7 @@ def _bids_full(spark: SparkSession, sf_dir: str, partitions: int | None = None)
         (F.lit(900) + F.lit(100) * (F.col("l_quantity").cast("int") % 12)).alias("bid_ttl_ms"),
     )
     first = F.row_number().over(
-        by_order.orderBy(F.col("did_bid").desc(), F.col("bid_cpm").desc_nulls_last(), F.col("rn").asc())
+        by_order.orderBy(F.col("did_bid").desc_nulls_last(), F.col("bid_cpm").desc_nulls_last(), F.col("rn").asc_nulls_last())
     )
     winner = (F.col("did_bid") == 1) & (F.col("l_orderkey") % 10 != 0) & (first == 1)
     return li.select(

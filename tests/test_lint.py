@@ -7,6 +7,8 @@ import re
 from pathlib import Path
 
 PKG = Path(__file__).resolve().parents[1] / "auctionlens"
+# the ad-yield library; the optional text operators have their own rules
+FILES = [f for f in PKG.rglob("*.py") if f.parent.name != "llm"]
 
 
 def _calls(src: str, name: str):
@@ -20,17 +22,17 @@ def _calls(src: str, name: str):
 
 def test_every_sort_names_null_placement():
     bad = []
-    for f in PKG.rglob("*.py"):
+    for f in FILES:
         src = f.read_text()
         for args in _calls(src, "orderBy"):
             for arg in [a.strip() for a in re.split(r",(?![^(]*\))", args) if a.strip()]:
-                ok = any(k in arg for k in ("nulls_last", "nulls_first", ".desc()", ".asc()")) or arg in ("order", "*order")
+                ok = "nulls_last" in arg or "nulls_first" in arg or arg in ("order", "*order")
                 if not ok:
                     bad.append(f"{f.name}: {arg}")
     assert bad == []
 
 
 def test_no_python_udfs_in_library():
-    for f in PKG.rglob("*.py"):
+    for f in FILES:
         src = f.read_text()
         assert not re.search(r"\bF\.udf\b|@udf\b|pandas_udf|applyInPandas|mapInPandas|\.rdd\b", src), f.name
