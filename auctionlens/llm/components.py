@@ -8,22 +8,24 @@ logarithmic in practice. Links stay in Spark; each round starts from files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import stored
 
+#: links that one task of a round's last step takes at most, about
+TASK_LINKS = 500_000
+
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    moved = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,11 +33,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``links`` (a, b) to (node, root): the smallest node that each node
     with a link to another one reaches."""
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    e = stored(e, name)
-    before = None
+    before, tasks = None, None
     while True:
-        e = stored(_small(_large(e)), name)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # count and hash of the links are taken while they are written
+        seen = Observation()
+        e = e if tasks is None else e.coalesce(tasks)
+        e = stored(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+        state = (seen.get["n"], seen.get["h"])
         if state == before or not state[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before, tasks = state, 1 + state[0] // TASK_LINKS
+        # both stars keep the larger node first
+        e = _small(_large(e))

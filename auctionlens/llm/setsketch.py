@@ -51,7 +51,7 @@ BASE, RATE, Q = 1.001, 20.0, 65534
 PERCENT = 80
 CUT = PERCENT / 100 - 4.5 * float(np.sqrt(0.8 * 0.2 / M))
 BLOCK = 4096
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 SALTS = 8
 
 _rng = np.random.default_rng(20210)
