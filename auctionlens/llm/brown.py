@@ -194,21 +194,32 @@ def fit(docs: DataFrame, train_filter: Column, text: str = "text") -> tuple[dict
     """The model and the table of all training words' counts (h, e, c)."""
     training = docs.filter(F.coalesce(train_filter, F.lit(False))).select(F.col(text).alias("text"))
     counts = stored(word_counts(training), "brown-counts")
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()  # at most HEAD rows
-    h, e, c = (head.column(i).to_numpy() for i in range(3))
-    top = h[:TOP_WORDS].astype(np.int64).view(np.uint64)
-    least = c[TOP_WORDS - 1] if len(c) > TOP_WORDS else 0
+    # the frequent words: all whose count is in the top classes of counts, as
+    # far down as HEAD rows reach; nothing is sorted in one task
+    level = F.floor(F.log2(F.col("c")) * 8)
+    sizes = counts.groupBy(level.alias("l")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("l")).collect()  # a row for each eighth of a doubling
+    floor, room = None, HEAD
+    for r in sizes:
+        if r["n"] > room:
+            break
+        floor, room = r["l"], room - r["n"]
+    head = counts.filter(level >= floor if floor is not None else F.lit(False)).toArrow()  # at most HEAD rows
+    h, c = head.column("h").to_numpy(), head.column("c").to_numpy()
+    at = np.lexsort((h, -c))
+    h, c = h[at].astype(np.int64), c[at].astype(np.int64)
+    top = h[:TOP_WORDS].view(np.uint64)
     atoms = Atoms(top)
-    if len(h) > TOP_WORDS:
-        last = int(h[TOP_WORDS - 1])
-        rare = counts.filter((F.col("c") < int(least)) | ((F.col("c") == int(least)) & (F.col("h") > last)))
+    n, v = sum(r["c"] for r in sizes), sum(r["n"] for r in sizes)
+    rows = []
+    if v > len(top):
+        rare = counts
+        if len(top):
+            least, last = int(c[len(top) - 1]), int(h[len(top) - 1])
+            rare = counts.filter((F.col("c") < least) | ((F.col("c") == least) & (F.col("h") > last)))
         rows = rare.groupBy("e").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # at most ENDINGS rows
-    else:
-        rows = []
     own = np.zeros((2, ENDINGS))
     for r in rows:
         own[:, r["e"]] = r["n"], r["v"]
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     big = bigram_counts(training, atoms)
     cls = exchange(big)
     onehot = np.eye(CLASSES)[cls]
@@ -217,14 +228,13 @@ def fit(docs: DataFrame, train_filter: Column, text: str = "text") -> tuple[dict
     follow = (pairs + 2.0 * unigram) / (pairs.sum(1, keepdims=True) + 2.0)
     mass = big.sum(0) + 0.5
     emit = mass / (onehot.T @ mass)[cls]
-    n, v = total["n"] or 0, total["v"] or 0
     model = {
         "top": top,
         "cls": cls,
         "follow": np.log10(follow),
         "emit": np.log10(emit),
         "ending": np.log10(own[0] + 0.5 * (own[1] + 1)),
-        "head": h.astype(np.int64).view(np.uint64),
+        "head": h.view(np.uint64),
         "head_c": c.astype(np.float64),
         "n": int(n),
         "base": float(np.log10(n + 0.5 * (v + 1))),
@@ -281,7 +291,7 @@ def _scored(src: DataFrame, model: dict) -> DataFrame:
 
 def score(docs: DataFrame, model: dict, counts: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score (log10) and perplexity by token."""
+    base_score and score (log10)."""
     src = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.xxhash64(text).alias("_t"), F.length(text).alias("_n"), F.col(text).alias("_text"))
     rows = stored(_scored(src, model), "brown-scored")
     key = ["doc_id", "_t", "_n"]
