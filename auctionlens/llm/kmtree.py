@@ -12,8 +12,8 @@ the smallest number of leaves that holds ``target`` of them is taken. A query wi
 
 Queries meet the vectors of their leaves in blocks: a leaf with more than
 ``BLOCK`` vectors or queries is split on both sides, so a very common vector
-does not fill one task; each block keeps k rows a query, and the last
-ranking reads only those. Similarities are preselected by a matrix product
+does not fill one task; each task keeps k rows a query, and the last ranking
+reads only those. Similarities are preselected by a matrix product
 and then computed in double precision, in one fixed order, from the original
 vectors, so equal vectors tie exactly.
 
@@ -36,10 +36,11 @@ from pyspark.sql.window import Window
 from .common import hash_sample, stored, stream_groups
 
 BRANCH = 8
-LEAF = 48
+LEAF = 256
 SAMPLE_ROWS = 20_000
 CALIBRATION = 300
 BLOCK = 4096
+MERGE_ROWS = 200_000
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -157,6 +158,22 @@ def _usable(embedding: Column) -> Column:
     return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest scores of each query, ties to the smaller vec_id; a
+    vec_id counts once a query."""
+    order = np.lexsort((-s, v, q))
+    q, v, s = q[order], v[order], s[order]
+    first = np.ones(len(q), bool)
+    first[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
+    q, v, s = q[first], v[first], s[first]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.concatenate([start, [len(q)]])))
+    top = rank < k
+    return q[top], v[top], s[top]
+
+
 def _array(column) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -216,42 +233,35 @@ def search(table: DataFrame, is_query: Column, k: int = 5, target: float = 0.95,
     grid = q.unionByName(c).repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
 
     def compare(batches):
+        kept, size = [], 0
         for t in stream_groups(batches, ("leaf", "i", "j")):
             side, ids = t.column("side").to_numpy() == 1, t.column("id").to_numpy()
             if not side.any() or side.all():
                 continue
             v = _array(t.column("v"))
-            norm = np.sqrt((v * v).sum(1))
-            unit_v = _unit(v)
+            norm, unit_v = np.sqrt((v * v).sum(1)), _unit(v)
             qs, cs = np.flatnonzero(side), np.flatnonzero(~side)
-            out = ([], [], [])
             for a in range(0, len(qs), 256):
-                near = unit_v[qs[a : a + 256]] @ unit_v[cs].T
-                for row, s in zip(qs[a : a + 256], near, strict=True):
-                    s[ids[cs] == ids[row]] = -np.inf
-                    if len(s) > k:
-                        least = np.partition(s, len(s) - k)[len(s) - k]
-                        some = cs[(s >= least - 1e-9) & (s > -np.inf)]
-                    else:
-                        some = cs[s > -np.inf]
-                    if not len(some):
-                        continue
-                    exact = (v[some] * v[row]).sum(1) / (norm[some] * norm[row])
-                    odd = ~np.isfinite(exact)
-                    if odd.any():  # squares out of range
-                        exact[odd] = (unit_v[some[odd]] * unit_v[row]).sum(1)
-                    order = np.lexsort((ids[some], -exact))
-                    seen = set()
-                    for o in order:
-                        if ids[some[o]] not in seen:
-                            seen.add(ids[some[o]])
-                            out[0].append(int(ids[row]))
-                            out[1].append(int(ids[some[o]]))
-                            out[2].append(float(exact[o]))
-                            if len(seen) == k:
-                                break
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2])], names=["query_id", "vec_id", "score"])
+                part = qs[a : a + 256]
+                near = unit_v[part] @ unit_v[cs].T
+                near[ids[part][:, None] == ids[cs][None, :]] = -np.inf
+                least = np.partition(near, len(cs) - k, axis=1)[:, len(cs) - k] if len(cs) > k else np.full(len(part), -2.0)
+                row, col = np.nonzero((near >= least[:, None] - 1e-9) & (near > -np.inf))
+                row, col = part[row], cs[col]
+                exact = (v[col] * v[row]).sum(1) / (norm[col] * norm[row])
+                odd = ~np.isfinite(exact)
+                if odd.any():  # squares out of range
+                    exact[odd] = (unit_v[col[odd]] * unit_v[row[odd]]).sum(1)
+                kept.append((ids[row], ids[col], exact))
+                size += len(row)
+            if size > MERGE_ROWS:  # what the task has found so far, k rows a query
+                kept = [_best(*map(np.concatenate, zip(*kept, strict=True)), k)]
+                size = len(kept[0][0])
+                if size > MERGE_ROWS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[0]], names=["query_id", "vec_id", "score"])
+                    kept, size = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(*map(np.concatenate, zip(*kept, strict=True)), k)], names=["query_id", "vec_id", "score"])
 
     found = grid.mapInArrow(compare, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
