@@ -1,22 +1,30 @@
 """Operator 2: language-model scores by a Brown class bigram model.
 
-Every token of the corpus has a class. The most frequent training words are
-atoms of their own; every other word belongs to the atom of its ending (last
-three bytes, hashed), known and unknown words alike. Exchange clustering
-moves one atom at a time to the class that raises the likelihood of the
-class bigrams most, until nothing moves. A text's probability is
+Every token of the corpus has a class. Exchange clustering of a seed, on the
+driver, moves one atom at a time to the class that raises the likelihood of
+the class bigrams most, until nothing moves: atoms are the ``TOP_WORDS`` most
+frequent training words, and the endings (last three bytes, hashed) of all
+others. Every further training word that occurs ``FLOOR`` times or more then
+leaves its ending and gets its own best class, in Spark, from the counts of
+the seed classes before and after it: the class with the highest likelihood
+of those neighbours and the word itself. Only words that occur less often,
+and unknown words, have their ending's class; they estimate the chance of an
+unseen word. The class bigrams are counted anew with the final classes. A
+text's probability is
 
     product of  P(class | class before) * P(atom | class) * P(word | atom)
 
-with the end token's class before the first token. All three factors are
-smoothed and each sums to one: classes towards their unigram, atoms by an
-added constant, words by (c + 0.5) / (N_atom + 0.5 (V_atom + 1)), which
-leaves every ending atom the chance of an unseen word.
+with the end token's class before the first token; the further words of a
+class are one atom of it. All three factors are smoothed and each sums to
+one: classes towards their unigram, atoms by an added constant, the words of
+an ending by (c + 0.5) / (N_atom + 0.5 (V_atom + 1)), which leaves every
+ending atom the chance of an unseen word; further words are c / N_atom.
 
 All counts cover all training documents: one pass counts words, one counts
-atom bigrams (at most ``ATOMS ** 2`` cells, whatever the corpus), one
-scores. Counts of the ``HEAD`` most frequent words, a bounded table, go to
-the tasks; counts of all others are joined by shuffle, a row for each
+atom bigrams (at most ``ATOMS ** 2`` cells, for the seed alone), one the
+neighbours of each further word, one the final class bigrams, and one scores.
+Counts and classes of the ``HEAD`` most frequent words, a bounded table, go to
+the tasks; those of all others are joined by shuffle, a row for each
 document and distinct word, so very common words are never shuffled by key
 and the vocabulary is never collected.
 
@@ -31,15 +39,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, VISIBLE, crc_mod, hash_words, span_hashes, stored, text_blocks, words
+from .common import LOWER, VISIBLE, crc_mod, hash_words, row_sums, span_hashes, stored, text_blocks, words
 
 TOP_WORDS = 1024
 ENDINGS = 512
 ATOMS = TOP_WORDS + ENDINGS
 CLASSES = 48
+FLOOR = 2  # a word that occurs once tells the chance of an unseen one
 HEAD = 1 << 17
 END = hash_words([b"\n"])  # no word holds a line break
 
@@ -135,6 +145,80 @@ def bigram_counts(texts: DataFrame, atoms: Atoms) -> np.ndarray:
     return out.reshape(ATOMS, ATOMS)
 
 
+def word_classes(texts: DataFrame, atoms: Atoms, cls: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """h, cls: the best class of each training word that is no top word and
+    occurs FLOOR times or more, by its neighbours' seed classes ``cls``;
+    ``pairs`` are the seed's class bigrams."""
+    _, follow = _follow(pairs)
+    follow, size = np.log(follow), np.log(pairs.sum(0) + 0.5)
+    gain = np.concatenate([follow, follow.T])  # from each class before, to each class after
+
+    def merged(parts):
+        h, code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.lexsort((code, h))
+        h, code = h[at], code[at]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])]))
+        return h[first], code[first], np.add.reduceat(n[at], first)
+
+    def neighbours(batches):
+        def out(x):
+            return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int16)), pa.array(x[2])], names=["h", "code", "n"])
+
+        parts, size = [], 0
+        for b in batches:
+            for _, _, raw, offs in text_blocks(b.column(0)):
+                h, e, bounds = _tokens(raw, offs)
+                a = atoms.of(h, e)
+                c = cls[a].astype(np.int16)
+                before, after = np.roll(c, 1), np.roll(c, -1)
+                before[bounds[:-1]], after[bounds[1:] - 1] = c[bounds[1:] - 1], c[bounds[:-1]]
+                rare = a >= TOP_WORDS
+                if not rare.any():
+                    continue
+                code = np.concatenate([before[rare], after[rare] + np.int16(CLASSES)])
+                parts.append(merged([(np.tile(h[rare], 2), code, np.ones(len(code), np.int64))]))
+                size += len(parts[-1][0])
+                if size > MERGE_TOKENS:
+                    x = merged(parts)
+                    parts, size = [x], len(x[0])
+                    if size > MERGE_TOKENS // 2:
+                        yield out(x)
+                        parts, size = [], 0
+        if parts:
+            yield out(merged(parts))
+
+    def best(h, code, n):
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        word = np.cumsum(new) - 1
+        seen = np.bincount(word * 2 * CLASSES + code, weights=n, minlength=(word[-1] + 1) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+        times = seen[:, :CLASSES].sum(1)
+        chosen = (seen @ gain - times[:, None] * size).argmax(1)
+        keep = times >= FLOOR
+        return pa.RecordBatch.from_arrays([pa.array(h[new][keep]), pa.array(chosen[keep].astype(np.int32))], names=["h", "cls"])
+
+    def choose(batches):
+        rest = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            if not b.num_rows:
+                continue
+            got = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, b.columns, strict=True)]
+            cut = int(np.searchsorted(got[0], got[0][-1]))  # the last word may go on
+            rest = [x[cut:] for x in got]
+            if cut:
+                yield best(*(x[:cut] for x in got))
+        if len(rest[0]):
+            yield best(*rest)
+
+    rows = texts.select("text").mapInArrow(neighbours, "h bigint, code smallint, n bigint")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(choose, "h bigint, cls int")
+
+
+def _follow(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed unigram of the classes and chances of each class after each."""
+    unigram = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
+    return unigram, (pairs + 2.0 * unigram) / (pairs.sum(1, keepdims=True) + 2.0)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -210,110 +294,191 @@ def fit(docs: DataFrame, train_filter: Column, text: str = "text") -> tuple[dict
     top = h[:TOP_WORDS].view(np.uint64)
     atoms = Atoms(top)
     n, v = sum(r["c"] for r in sizes), sum(r["n"] for r in sizes)
-    rows = []
-    if v > len(top):
-        rare = counts
-        if len(top):
-            least, last = int(c[len(top) - 1]), int(h[len(top) - 1])
-            rare = counts.filter((F.col("c") < least) | ((F.col("c") == least) & (F.col("h") > last)))
-        rows = rare.groupBy("e").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # at most ENDINGS rows
-    own = np.zeros((2, ENDINGS))
-    for r in rows:
-        own[:, r["e"]] = r["n"], r["v"]
     big = bigram_counts(training, atoms)
-    cls = exchange(big)
-    onehot = np.eye(CLASSES)[cls]
-    pairs = onehot.T @ big @ onehot
-    unigram = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
-    follow = (pairs + 2.0 * unigram) / (pairs.sum(1, keepdims=True) + 2.0)
-    mass = big.sum(0) + 0.5
-    emit = mass / (onehot.T @ mass)[cls]
+    seed = exchange(big)
+    onehot = np.eye(CLASSES)[seed]
+    classes = word_classes(training, atoms, seed, onehot.T @ big @ onehot)
+    counts = stored(counts.join(classes, "h", "left").select("h", "e", "c", "cls"), "brown-classes")
+    found = counts.filter(level >= floor if floor is not None else F.lit(False)).select("h", F.coalesce("cls", F.lit(-1)).alias("cls")).toArrow()  # the head again
+    at = np.argsort(found.column("h").to_numpy())
+    by = np.argsort(h)
+    head_cls = np.empty(len(h), np.int64)
+    head_cls[by] = found.column("cls").to_numpy()[at]
+    # tokens and words that each ending keeps, tokens of each class's further words
+    own, members = np.zeros((2, ENDINGS)), np.zeros(CLASSES)
+    rare = counts
+    if len(top):
+        least, last = int(c[len(top) - 1]), int(h[len(top) - 1])
+        rare = counts.filter((F.col("c") < least) | ((F.col("c") == least) & (F.col("h") > last)))
+    kept = F.when(F.col("cls").isNull(), F.col("e"))
+    for r in rare.groupBy(kept.alias("e"), "cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most ENDINGS + CLASSES rows
+        if r["cls"] is None:
+            own[:, r["e"]] = r["n"], r["v"]
+        else:
+            members[r["cls"]] = r["n"]
+    cls = np.concatenate([seed, np.arange(CLASSES)])
+    mass = np.zeros(ATOMS + CLASSES)
+    mass[: len(top)] = c[: len(top)]
+    mass[TOP_WORDS:ATOMS], mass[ATOMS:] = own[0], members
+    mass += 0.5
+    emit = mass / np.bincount(cls, mass, CLASSES)[cls]
     model = {
         "top": top,
         "cls": cls,
-        "follow": np.log10(follow),
         "emit": np.log10(emit),
         "ending": np.log10(own[0] + 0.5 * (own[1] + 1)),
+        "members": np.log10(np.maximum(members, 1)),
         "head": h.view(np.uint64),
         "head_c": c.astype(np.float64),
+        "head_cls": head_cls,
         "n": int(n),
         "base": float(np.log10(n + 0.5 * (v + 1))),
     }
+    model["follow"] = np.log10(_follow(class_bigrams(_coded(training, model, counts), model))[1])
     return model, counts
 
 
-def _scored(src: DataFrame, model: dict) -> DataFrame:
-    """Last column (text) replaced by n_tokens, known, base and score as far
-    as the head words go, and the rest as ``tail`` (hash and times)."""
+TAIL = 255  # the code of a token that the head does not hold
+
+
+def _word_terms(model: dict, c: np.ndarray, own: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and log10 P(atom | class) P(word | atom) of words that are no top
+    words: their counts, own classes (-1: none) and endings."""
+    has, atom = own >= 0, np.where(own >= 0, ATOMS + own, TOP_WORDS + e)
+    word = np.where(has, np.log10(np.maximum(c, 1)) - model["members"][np.maximum(own, 0)], np.log10(c + 0.5) - model["ending"][e])
+    return model["cls"][atom], model["emit"][atom] + word
+
+
+def _coded(src: DataFrame, model: dict, counts: DataFrame) -> DataFrame:
+    """Last column (text) replaced by what it holds: n_known, base and word
+    (sums over its head words), codes (a byte a token: its class or TAIL),
+    places (for each TAIL token, in order, the place of its word in ends), ends
+    (the endings of the distinct words that the head does not hold) and found
+    (place, count and class of those words that training has)."""
+    row = "_row"
+    keys = src.columns[:-1]
+    src = src.select(F.monotonically_increasing_id().alias(row), *(src[k] for k in src.columns))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     atoms = Atoms(model["top"])
     by = np.argsort(model["head"])
-    head, head_c = model["head"][by], model["head_c"][by]
-    end = int(atoms.of(END, np.zeros(1, np.int64))[0])
-    tail_type = pa.list_(pa.struct([("h", pa.int64()), ("t", pa.int32())]))
+    head, head_c, head_cls = model["head"][by], model["head_c"][by], model["head_cls"][by]
 
     def run(batches):
         for b in batches:
             for lo, hi, raw, offs in text_blocks(b.column(b.num_columns - 1)):
                 h, e, bounds = _tokens(raw, offs)
                 a = atoms.of(h, e)
-                c = model["cls"][a]
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[bounds[:-1]] = model["cls"][end]
-                score = model["follow"][before, c] + model["emit"][a]
-                rare = a >= TOP_WORDS
-                score[rare] -= model["ending"][a[rare] - TOP_WORDS]
                 at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 in_head = head[at] == h if len(head) else np.zeros(len(h), bool)
                 seen = np.where(in_head, head_c[at], 0.0) if len(head) else np.zeros(len(h))
-                share = np.log10(seen + 0.5)  # 0.5 for words whose count is not known here
-                score += np.where(rare & in_head, share, 0.0)
-                base = np.where(in_head, share, 0.0) - model["base"]
+                own = np.where(in_head, head_cls[at], -1) if len(head) else np.full(len(h), -1)
+                cls, word = _word_terms(model, seen, own, e)
+                top = a < TOP_WORDS
+                cls[top], word[top] = model["cls"][a[top]], model["emit"][a[top]]
+                codes = np.where(in_head, cls, TAIL).astype(np.uint8)
                 first = bounds[:-1]
-                n = np.diff(bounds)
                 known = np.add.reduceat(in_head.astype(np.int64), first)
-                # what the head does not hold: a row for each text and word
+                base = np.add.reduceat(np.where(in_head, np.log10(seen + 0.5), 0.0) - model["base"], first)
+                word = np.add.reduceat(np.where(in_head, word, 0.0), first)
+                # what the head does not hold: a place for each text and word
                 out = np.flatnonzero(~in_head)
-                row = np.searchsorted(bounds, out, "right") - 1
-                order = np.lexsort((h[out], row))
-                row, ho = row[order], h[out][order]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (ho[1:] != ho[:-1])])) if len(ho) else np.zeros(0, int)
-                times = np.diff(np.concatenate([new, [len(ho)]]))
-                cut = np.searchsorted(row[new], np.arange(len(n) + 1))
-                items = pa.StructArray.from_arrays([pa.array(ho[new].view(np.int64)), pa.array(times.astype(np.int32))], names=["h", "t"])
-                tail = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), items)
-                keys = [col.slice(lo, hi - lo) for col in b.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(n), pa.array(known), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first)), tail.cast(tail_type)], names=[*b.schema.names[:-1], "n_tokens", "n_known", "base", "score", "tail"])
+                row_of = np.searchsorted(bounds, out, "right") - 1
+                order = np.lexsort((h[out], row_of))
+                sr, sh = row_of[order], h[out][order]
+                new = np.concatenate([[True], (sr[1:] != sr[:-1]) | (sh[1:] != sh[:-1])]) if len(sh) else np.zeros(0, bool)
+                cut = np.searchsorted(sr[new], np.arange(len(first) + 1))
+                places = np.empty(len(out), np.int32)
+                places[order] = np.cumsum(new) - 1 - cut[sr] if len(sh) else 0
+                offsets = pa.array(cut.astype(np.int32))
+                tail_at = pa.array(np.searchsorted(row_of, np.arange(len(first) + 1)).astype(np.int32))
+                arrays = [
+                    *(col.slice(lo, hi - lo) for col in b.columns[:-1]),
+                    pa.array(known),
+                    pa.array(base),
+                    pa.array(word),
+                    pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(codes)]),
+                    pa.ListArray.from_arrays(tail_at, pa.array(places)),
+                    pa.ListArray.from_arrays(offsets, pa.array(e[out][order][new].astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(sh[new].view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[:-1], *CODED, "hashes"])
+
+    rows = stored(src.mapInArrow(run, f"{fields}, n_known bigint, base double, word double, codes binary, places array<int>, ends array<int>, hashes array<bigint>"), "brown-coded")
+    left = rows.select(row, F.posexplode("hashes").alias("place", "h"))
+    found = left.join(counts.select("h", "c", "cls"), "h").groupBy(row).agg(F.collect_list(F.struct("place", F.col("c").cast("double").alias("c"), F.coalesce("cls", F.lit(-1)).alias("cls"))).alias("found"))
+    return rows.drop("hashes").join(found, row, "left").select(*keys, *CODED, "found")
+
+
+CODED = ["n_known", "base", "word", "codes", "places", "ends"]
+
+
+def _filled(b: pa.RecordBatch, model: dict) -> tuple[np.ndarray, ...]:
+    """Of a batch of ``_coded`` rows: the class of each token, the rows' bounds,
+    and n_known, base and word of whole rows."""
+    col = {k: b.column(i + b.num_columns - len(CODED) - 1) for i, k in enumerate([*CODED, "found"])}
+    codes = col["codes"].cast(pa.large_binary())
+    bounds = np.frombuffer(codes.buffers()[1], np.int64)[codes.offset : codes.offset + len(codes) + 1]
+    cls = np.frombuffer(codes.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].astype(np.int64)
+    bounds = bounds - bounds[0]
+
+    def spread(x):
+        sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy()
+        return np.concatenate([[0], np.cumsum(sizes)]), x.flatten()
+
+    tail_bounds, places = spread(col["places"])
+    word_bounds, e = spread(col["ends"])
+    found_bounds, found = spread(col["found"])
+    e = e.to_numpy()
+    c, own = np.zeros(len(e)), np.full(len(e), -1)
+    at = np.repeat(word_bounds[:-1], np.diff(found_bounds)) + found.field("place").to_numpy()
+    c[at], own[at] = found.field("c").to_numpy(), found.field("cls").to_numpy()
+    word_cls, word = _word_terms(model, c, own, e)
+    at = np.repeat(word_bounds[:-1], np.diff(tail_bounds)) + places.to_numpy()
+    cls[cls == TAIL] = word_cls[at]
+    sums = [x.to_numpy() + row_sums(y[at], tail_bounds) for x, y in ((col["n_known"], c > 0), (col["base"], np.log10(c + 0.5)), (col["word"], word))]
+    return cls, bounds, *sums
+
+
+def _before(cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Class before each token: before the first stands that of the end token,
+    a text's last."""
+    before = np.roll(cls, 1)
+    before[bounds[:-1]] = cls[bounds[1:] - 1]
+    return before
+
+
+def class_bigrams(coded: DataFrame, model: dict) -> np.ndarray:
+    """CLASSES x CLASSES counts of neighbouring classes, by the final classes."""
+
+    def run(batches):
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            if b.num_rows:
+                cls, bounds, *_ = _filled(b, model)
+                total += np.bincount(_before(cls, bounds) * CLASSES + cls, minlength=CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES, dtype=np.int32)), pa.array(total)], names=["cell", "c"])
 
-    return src.mapInArrow(run, f"{fields}, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<h:bigint,t:int>>")
+    out = np.zeros(CLASSES * CLASSES)
+    for r in coded.mapInArrow(run, "cell int, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).collect():  # CLASSES ** 2 rows
+        out[r["cell"]] = r["c"]
+    return out.reshape(CLASSES, CLASSES)
 
 
 def score(docs: DataFrame, model: dict, counts: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score and score (log10)."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.xxhash64(text).alias("_t"), F.length(text).alias("_n"), F.col(text).alias("_text"))
-    rows = stored(_scored(src, model), "brown-scored")
-    key = ["doc_id", "_t", "_n"]
-    words_left = rows.select(*key, F.explode("tail").alias("x")).select(*key, "x.h", "x.t")
-    joined = words_left.join(counts.select("h", "c"), "h", "left").select(*key, "t", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = joined.groupBy(*key).agg(F.sum("t").alias("all_t"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("known_t"), F.sum(F.col("t") * F.log10(F.col("c") + 0.5)).alias("share"))
-    sums = sums.select(*(F.col(k).alias("_k" + k) for k in key), "known_t", "share", "all_t")
-    same = F.lit(True)
-    for k in key:
-        same = same & rows[k].eqNullSafe(F.col("_k" + k))
-    full = rows.withColumn("_tail", F.aggregate("tail", F.lit(0).cast("bigint"), lambda a, x: a + x["t"])).drop("tail").join(sums, same, "left")
-    # the sums hold all rows with the key; a row's part is its share of them
-    part = F.coalesce(F.col("_tail") / F.col("all_t"), F.lit(0.0))
-    return full.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce(F.round(F.col("known_t") * part), F.lit(0)).cast("bigint")).alias("n_known"),
-        F.lit(model["n"]).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("share") * part, F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce(F.col("share") * part, F.lit(0.0))).alias("score"),
-    )
+    src = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:2])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                cls, bounds, known, base, word = _filled(b, model)
+                total = word + row_sums(model["follow"][_before(cls, bounds), cls], bounds)
+                arrays = [*b.columns[:2], pa.array(np.diff(bounds)), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(known), model["n"])), pa.array(base), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return _coded(src, model, counts).mapInArrow(run, f"{fields}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

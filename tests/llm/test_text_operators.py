@@ -139,6 +139,32 @@ def test_brown_factors_sum_to_one(spark):
         assert abs((10 ** model["emit"][model["cls"] == c]).sum() - 1) < 1e-9
 
 
+def test_brown_words_of_one_ending_get_their_own_classes(spark, documents):
+    """Words beyond the top ones that share an ending but stand in different
+    places are told apart; a word below the floor has no class of its own."""
+    rng = random.Random(8)
+    fill = [[f"{i}{k}{i % 7}" for i in range(600)] for k in "uv"]  # they take turns
+    kinds = [[f"{k}{i}xyz" for i in range(20)] for k in "ab"]
+    rows = []
+    for i in range(400):
+        w = [rng.choice(fill[j % 2]) for j in range(60)]
+        if i < 60:
+            w[20], w[31] = kinds[0][i % 20], kinds[1][i % 20]
+        rows.append((i, " ".join(w)))
+    rows.append((600, "1v1 oncexyz 2v2"))
+    model, table = brown.fit(documents(rows), F.lit(True))
+    key = lambda w: int(brown.hash_words([w.encode()]).view("int64")[0])
+    top = set(model["top"].view("int64").tolist())
+    assert not set(map(key, kinds[0] + kinds[1])) & top
+    place = [f"{fill[0][1]} {{}} {fill[0][2]}", f"{fill[1][1]} {{}} {fill[1][2]}"]  # of the second kind, of the first
+    tests = [(4 * i + 2 * j + k, place[j].format(kinds[k][i])) for i in range(20) for j in range(2) for k in range(2)]
+    got = {r["doc_id"]: r["score"] for r in brown.score(documents(tests), model, table, F.lit(True)).collect()}
+    assert all(got[4 * i + 1] > got[4 * i] and got[4 * i + 2] > got[4 * i + 3] for i in range(20))
+    rows = {r["h"]: r for r in table.collect()}
+    assert rows[key("oncexyz")]["cls"] is None
+    assert all((r["cls"] is None) == (h in top or r["c"] < brown.FLOOR) for h, r in rows.items())
+
+
 def test_exchange_reaches_a_local_optimum():
     """No single move of an atom raises the class bigram likelihood, found by
     trying all of them; atoms that alternate between two kinds are parted."""
