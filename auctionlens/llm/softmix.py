@@ -16,9 +16,11 @@ a document's rate depends only on its own tokens and the residuals so far,
 so nothing but K numbers goes to the driver and nothing is kept by document
 between passes.
 
-Targets are weights of the domains; those of domains that the labels lack,
-or that no document can fill, are spread over the rest. The total is the
-number of words of all documents.
+Targets are weights of the domains; those of domains that the labels lack are
+spread over the rest. A domain whose target is more than ``MOST`` times its
+expected tokens cannot be filled: it is asked for the tokens that it has, and
+the weight left over is spread over the rest too. The total is the number of
+words of all documents.
 
 Defined cases: null or empty texts have no tokens, the posteriors of an empty
 bag and rate 1; every input row gives one output row; without labels there is
@@ -39,6 +41,7 @@ BUCKETS = 1 << 14
 SAMPLE_ROWS = 2000
 ROUNDS = 40
 TOLERANCE = 1e-4
+MOST = 10.0  # target tokens over expected tokens of a domain
 
 #: default weights by (quality, toxic)
 TARGETS = {"q1t0": 0.8, "q0t0": 0.12, "q1t1": 0.07, "q0t1": 0.01}
@@ -136,6 +139,20 @@ def _rates(n: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return np.where(n > 0, r, 1.0)
 
 
+def _target(weight: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Target tokens by domain, of as many in all as the expected ones."""
+    short = np.zeros(len(now), bool)
+    while True:
+        rest = np.where(short, 0.0, weight)
+        if not rest.sum() > 0:
+            return now.copy()  # nothing can be asked for
+        target = np.where(short, now, rest / rest.sum() * now[~short].sum())
+        more = ~short & (target > MOST * now)
+        if not more.any():
+            return target
+        short |= more
+
+
 def solve(table: DataFrame, domains: list[str], targets: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps of the projected gradient, the target and the reached tokens."""
     k = len(domains)
@@ -157,10 +174,7 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], round
         return out
 
     gram, now = reached([], True).reshape(k, k), reached([], False)
-    weight = np.array([targets.get(d, 0.0) for d in domains])
-    weight = np.where(now > 1e-12 * max(now.sum(), 1e-300), weight, 0.0)
-    weight = weight / weight.sum() if weight.sum() > 0 else now / max(now.sum(), 1e-300)
-    target = weight * now.sum()
+    target = _target(np.array([targets.get(d, 0.0) for d in domains]), now)
     w = np.linalg.pinv(gram + 1e-10 * np.trace(gram) / max(k, 1) * np.eye(k)) if now.sum() > 0 else np.zeros((k, k))
     steps: list[np.ndarray] = []
     for _ in range(rounds):

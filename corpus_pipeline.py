@@ -39,12 +39,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return winnow.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+_CLEAN = {d: w for d, w in softmix.TARGETS.items() if d.endswith("t0")}
+#: the default targets of the domains without toxic documents, renormalised
+CLEAN_TARGETS = {d: w / sum(_CLEAN.values()) for d, w in _CLEAN.items()}
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Domain posteriors and rates that meet the target weights (operator 6).
+    The domains are the clean ones: the toxicity stage has taken out the others,
+    so there is nothing to fill their targets with.
     Returns the documents taken at least once, with n_tokens, p, domain, rate
     and copies; those columns replace ones of the same name."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return softmix.take(softmix.mix(docs, labels, whole_rows=True))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 0")
+    return softmix.take(softmix.mix(docs, labels, CLEAN_TARGETS, whole_rows=True))
 
 
 STAGES = [

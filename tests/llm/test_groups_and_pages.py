@@ -187,6 +187,33 @@ def test_mixing_edge_rows_and_missing_labels(spark, documents):
     assert softmix.mix(documents([]), labels).count() == 0
 
 
+def test_mixing_gives_up_targets_that_cannot_be_filled(spark):
+    rng = np.random.default_rng(4)
+    n = rng.integers(50, 400, 400)
+    p = np.concatenate([rng.dirichlet([6, 2], 400), np.zeros((400, 1))], 1) * 0.999
+    p[:, 2] = 0.001
+    p[0] = [0.05, 0.05, 0.9]  # one document that slipped through
+    table = spark.createDataFrame([(int(a), (b / b.sum()).tolist()) for a, b in zip(n, p, strict=True)], "n_tokens bigint, p array<double>")
+    steps, target, reached = softmix.solve(table, ["a", "b", "c"], {"a": 0.7, "b": 0.22, "c": 0.08})
+    p /= p.sum(1, keepdims=True)
+    r = softmix._rates(n, p, steps)
+    assert (r > 0).mean() > 0.95 and r[0] < 2
+    assert np.isclose(target[2], n @ p[:, 2]) and np.isclose(target[0] / target[1], 0.7 / 0.22) and np.isclose(target.sum(), n.sum())
+    assert np.abs(reached - target).max() <= 1e-3 * target.sum()
+
+
+def test_pipeline_mixing_keeps_clean_documents(spark):
+    """Clean documents and one toxic one that slipped through: what the stage
+    takes is about as much as there is, and most documents are in it."""
+    folder = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = labels.filter("toxic = 1").select("doc_id").orderBy("doc_id")
+    docs = docs.join(toxic.offset(1), "doc_id", "left_anti")
+    taken = corpus_pipeline.mixing(spark, docs, folder).toPandas()
+    assert len(taken) > 0.5 * docs.count()
+    assert set(taken["domain"]) <= {"q0t0", "q1t0"}
+
+
 # --- operator 7 -----------------------------------------------------------
 
 
