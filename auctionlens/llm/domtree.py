@@ -15,8 +15,12 @@ labelled pages: ``LABELLED`` below (each block element marked), and at most
 name their role (``ROLES``).
 
 Tags are read with a tolerant tokenizer: unclosed and crossing tags,
-unquoted attributes, comments, raw text of scripts and styles, truncated
-pages. Character references are decoded, white space in a block becomes one
+unquoted attributes, comments, truncated pages. Only scripts, styles,
+textareas, titles and iframes hold raw text, which is no text of the page and
+ends at their end tag. Selects, objects, noscript and templates are elements of
+the tree, of which the model judges; drawings and formulas are part of the block
+around them, and so is their text. Any of these six without an end tag of its
+own holds nothing, and "/>" closes drawings, formulas and what is in them. Character references are decoded, white space in a block becomes one
 space (``<br>`` is white space), blocks are joined by one newline in page
 order. Nothing is cut.
 
@@ -30,6 +34,7 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +58,10 @@ _WORD = re.compile(r"[a-z]+")
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe".split())  # their content is no markup
+FOREIGN = frozenset("svg math".split())
+PAIRED = FOREIGN | frozenset("select object noscript template".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | FOREIGN
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: start tag -> open tags that it closes, up to the element that holds them
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",)}
@@ -109,6 +116,17 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 blocks.append(leaf)
         linked = 0
 
+    edges: dict[str, tuple[list[int], list[bool]]] = {}  # where tags of an element stand, and which are end tags
+
+    def closed(tag: str) -> bool:
+        """Whether the next tag of that name is an end tag."""
+        if tag not in edges:
+            found = list(re.finditer(rf"<(/?){tag}(?=[\s/>])([^>]*)", page, re.I))
+            found = [x for x in found if x[1] or tag not in FOREIGN or not x[2].endswith("/")]
+            edges[tag] = [x.start() for x in found], [bool(x[1]) for x in found]
+        at = bisect_left(edges[tag][0], pos)
+        return at < len(edges[tag][0]) and edges[tag][1][at]
+
     links = 0
     while pos < n:
         m = _TOKEN.match(page, pos)
@@ -122,7 +140,16 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if tag is None:
             continue
         tag = tag.lower()
-        if m["end"] or m["end2"]:
+        ends, attrs = bool(m["end"] or m["end2"]), m["attrs"] if m["tag"] else m["attrs2"]
+        if stack[-1].tag in FOREIGN and tag != stack[-1].tag:
+            # what is drawn is no element of the page; blocks end the drawing
+            if tag in CLOSES_P or tag in SIBLINGS or tag in PAIRED or tag in HOLDERS:
+                if not ends:
+                    stack.pop()
+            elif ends or tag not in RAW or attrs.endswith("/"):
+                pieces.append(" ")
+                continue
+        if ends:
             if not any(x.tag == tag for x in stack[1:]):
                 continue
             if tag in INLINE and tag not in ("a",) and stack[-1].tag != tag:
@@ -136,6 +163,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 continue
             if tag not in INLINE:
                 flush()
+            elif tag in FOREIGN:
+                pieces.append(" ")
             while len(stack) > 1:
                 x = stack.pop()
                 links -= x.tag == "a"
@@ -144,10 +173,17 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
-            if tag in ("select", "object", "textarea", "iframe", "svg", "math"):
+            if tag in ("textarea", "iframe"):
                 pieces.append(" ")
             pos = close.end() if close else n
             continue
+        if tag in PAIRED:
+            if tag in FOREIGN:
+                pieces.append(" ")
+                if attrs.endswith("/"):
+                    continue
+            if not closed(tag):
+                continue
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):
                 if tag == "br":
@@ -174,7 +210,6 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 elif open_tag not in INLINE and (open_tag in HOLDERS or tag not in SIBLINGS):
                     break
         flush()
-        attrs = m["attrs"] if m["tag"] else m["attrs2"]
         words = _words_of(attrs) if "=" in attrs else ()
         up = holder()
         if tag in ("html", "body") and any(x.tag == tag for x in stack):
@@ -383,6 +418,8 @@ _CHROME = [
     ("div", "id='comments' class='comment replies'", "<div class='comment'><p>My uncle worked at that mill for thirty years. Sad to see it go.</p></div>"),
     ("footer", "", "&copy; The Daily Paper &middot; All rights reserved."),
     ("footer", "class='site footer'", "<p>Contact us, imprint and privacy.</p>" + _LINKS),
+    ("noscript", "", "<p>Please turn on JavaScript to see all of this site.</p>"),
+    ("select", "", "<option>English</option><option>Deutsch</option><option>Other languages</option>"),
     ("div", "class='footer'", "<p>&copy; 2020 The Daily Paper. Printed on the hill.</p>"),
 ]
 _HOLDERS = [("article", ""), ("main", ""), ("div", "class='content'"), ("div", "id='article body'"), ("div", "class='post entry text'"), ("section", "class='story'"), ("div", "")]

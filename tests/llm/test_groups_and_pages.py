@@ -310,6 +310,22 @@ def test_messages_equal_enumeration():
     assert all(abs(f - math.log(m[1] / m[0])) < 1e-9 for f, m in zip(full, mass, strict=True))
 
 
+def test_elements_that_do_not_swallow_the_page():
+    model = domtree.fit_pages([])
+    first = "The river rose after three days of rain, and the lower fields stood under water by noon."
+    last = "Repairs will take until spring, the council said, because the bridge has to be closed first."
+    page = "<body><nav><a href='/'>Start</a></nav><article><h1>Flood</h1><p>{}</p>{}<p>{}</p></article></body>"
+    both = f"Flood\n{first}\n{last}"
+    assert domtree.extract(model, page.format(first, "", last)) == both
+    for cut in ("<svg class='icon'/>", "<math/>", "<svg>", "<math>", "<select><option>", "<object data='x'>", "<noscript>", "<template>", "<svg><path d='M0'/>", "<svg/><p><svg><path d='x'/></svg></p>", "<svg><title/><path></svg>"):
+        assert domtree.extract(model, page.format(first, cut, last)) == both, cut
+        assert domtree.extract(model, page.format(first, cut, last + "<svg><g></g></svg>")) == both, cut
+    assert domtree.extract(model, page.format(first, "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, they <svg><path></svg> said.</p>", last)) == f"Flood\n{first}\nSo x = 2 holds, they said.\n{last}"
+    assert domtree.extract(model, page.format(first, f"<object data='film'><p>{last}</p></object>", last)) == f"{both}\n{last}"
+    assert domtree.extract(model, page.format(first, "<script>if (a) '<p>no</p>'</script><textarea><p>no</textarea><iframe><p>no</iframe>", last)) == both
+    assert "JavaScript" not in domtree.extract(model, "<body><noscript>You need JavaScript to see this page.</noscript>" + page.format(first, "", last)[6:])
+
+
 # --- the pipeline -----------------------------------------------------------
 
 
