@@ -5,9 +5,11 @@ are the byte 2-, 3- and 4-grams of its words with their borders (ASCII
 lower-cased); each falls in one of ``BUCKETS`` buckets per length with an
 embedding of ``DIM`` numbers. The mean of the embeddings goes through a
 linear softmax; both are trained by stochastic gradient descent in numpy on
-a bounded sample of labelled texts (``sample_rows``). A part of the sample
-is held back to fit the temperature and the confidence below which a text
-is rejected.
+a bounded sample of labelled texts (``sample_rows``). One more class learns
+from junk made of the sample: shuffled characters, random letters, random
+characters of any script (``_junk``). A part of both is held back to fit the
+temperature and the confidence below which a text is rejected: that which all
+but a set share of the rightly labelled texts reach.
 
 As the model is linear after the mean, a task sums one row of
 ``embedding @ weights`` per subword: whole texts, no per-word Python.
@@ -32,6 +34,7 @@ SIZES = (2, 3, 4)
 BUCKETS = 1 << 12
 DIM = 16
 SAMPLE_ROWS = 2000
+JUNK_CHARS = 2000  # of a made text
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -76,25 +79,42 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.5, coverage: float = 0.995, ceiling: float = 0.4, seed: int = 7) -> dict:
+def _junk(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Texts in no language, from every second text in turn."""
+    out = []
+    for i, t in enumerate(texts[::2]):
+        c = np.frombuffer(t[:JUNK_CHARS].encode("utf-32-le", "replace"), np.uint32).copy()
+        space = c == 32
+        if i % 3 == 0:
+            rng.shuffle(c)
+        elif i % 3 == 1:
+            c = np.where(space, 32, rng.integers(97, 123, len(c))).astype(np.uint32)
+        else:
+            low = int(rng.integers(0x100, 0x9F00))  # a script's worth of characters
+            c = np.where(space, 32, rng.integers(low, low + 64, len(c))).astype(np.uint32)
+        out.append(c.tobytes().decode("utf-32-le", "replace"))
+    return out
+
+
+def train(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.5, coverage: float = 0.995, seed: int = 7) -> dict:
     """Model from labelled texts; deterministic. ``coverage``: share of the
-    rightly labelled held-back texts that the rejection must accept;
-    ``ceiling``: no text with more confidence than that is rejected."""
+    rightly labelled held-back texts that the rejection must accept."""
     names = sorted(set(langs))
     if not names:
         return {"langs": [], "table": np.zeros((BUCKETS * len(SIZES), 0), np.float32), "bias": np.zeros(0), "temperature": 1.0, "floor": 0.0}
     rng = np.random.default_rng(seed)
-    x = _counts(texts)
-    y = np.array([names.index(v) for v in langs])
-    back = np.arange(len(y)) % 5 == 4
-    if len(y) < 20:
+    junk = _junk(texts, rng)
+    x = _counts(texts + junk)
+    y = np.array([names.index(v) for v in langs] + [len(names)] * len(junk))
+    back = np.concatenate([np.arange(n) % 5 == 4 for n in (len(texts), len(junk))])
+    if len(texts) < 20:
         back[:] = False
     xs, ys = x[~back], y[~back]
-    onehot = np.eye(len(names), dtype=np.float32)[ys]
+    onehot = np.eye(len(names) + 1, dtype=np.float32)[ys]
     scale = 100.0  # shares are small; the mean embedding is trained at this scale
     emb = rng.normal(0, 0.1, (x.shape[1], DIM)).astype(np.float32)
-    w = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32)
-    bias = np.zeros(len(names), np.float32)
+    w = rng.normal(0, 0.1, (DIM, len(names) + 1)).astype(np.float32)
+    bias = np.zeros(len(names) + 1, np.float32)
     for epoch in range(epochs):
         step = np.float32(rate * (1 - epoch / epochs))
         order = rng.permutation(len(ys))
@@ -117,10 +137,10 @@ def train(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.
         grid = np.geomspace(0.25, 8, 25)
         loss = [-np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
-        p = _softmax(z / temperature)
+        p = _softmax(z / temperature)[:, :-1]
         right = p.max(1)[p.argmax(1) == truth]
         if len(right):
-            floor = float(min(ceiling, np.quantile(right, 1 - coverage)))
+            floor = float(np.quantile(right, 1 - coverage))
     return {"langs": names, "table": table, "bias": bias.astype(np.float64), "temperature": temperature, "floor": floor}
 
 
@@ -150,15 +170,15 @@ def score_texts(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     best, score = np.full(len(column), -1, np.int64), np.zeros(len(column))
     if not langs:
         return best, score
-    cols = [np.ascontiguousarray(table[:, j]) for j in range(langs)]
+    cols = [np.ascontiguousarray(c) for c in table.T]  # the languages, and junk
     for lo, hi, buf, offs in text_blocks(column):
-        sums, n = np.zeros((hi - lo, langs)), np.zeros(hi - lo)
+        sums, n = np.zeros((hi - lo, len(cols))), np.zeros(hi - lo)
         for idx, ok, m in _subwords(buf, offs):
             ends = np.minimum(offs, m)
             n += row_sums(ok, ends)
-            for j in range(langs):
+            for j in range(len(cols)):
                 sums[:, j] += row_sums(np.where(ok, cols[j][idx], np.float32(0)), ends)
-        p = _softmax((sums / np.maximum(n, 1)[:, None] + model["bias"]) / model["temperature"])
+        p = _softmax((sums / np.maximum(n, 1)[:, None] + model["bias"]) / model["temperature"])[:, :langs]
         ascii_letter = np.zeros(len(buf), bool)
         lower = LOWER[buf]
         np.logical_and(lower >= 97, lower <= 122, out=ascii_letter)

@@ -285,6 +285,22 @@ def test_language_id_edge_rows(spark, documents):
     assert langid.keep(documents(odd), model).columns == documents(odd).columns
 
 
+def test_language_id_rejects_junk(spark, documents):
+    folder = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    held = crc_mod("doc_id", 3) == 1
+    model = langid.fit(docs, ~held)
+    texts = [r["text"] for r in docs.filter(held).orderBy("doc_id").collect()]
+    rng = random.Random(6)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in w) for w in t.split()[:200]) for t in texts]
+    junk += ["".join(rng.sample(t[:1500], len(t[:1500]))) for t in texts]
+    junk += ["Η γλώσσα αυτή δεν είναι γνωστή στο μοντέλο, και το κείμενο πρέπει να απορριφθεί.", "これは日本語の文章です。この言語は学習されていません。"]
+    kept = langid.keep(documents(list(enumerate(texts))), model).count()
+    assert kept >= 0.97 * len(texts)
+    passed = langid.keep(documents(list(enumerate(junk))), model).count()
+    assert passed <= 0.05 * len(junk), (passed, len(junk))
+
+
 # --- operator 10 ----------------------------------------------------------
 
 
