@@ -6,7 +6,8 @@ token automaton (epsilon moves past optional regions, counted wildcard moves
 for replaceable ones) which accepts a run of words whose mandatory wording
 matches exactly, word for word, after ASCII lower-casing; punctuation and
 layout play no part, as words leave them out. A template must begin with two
-mandatory words; these start an attempt.
+mandatory words; these start an attempt. ``TEXTS`` hold all the wording of a
+license, ``NOTICES`` its headers and the sentences that refer to it.
 
 Base phrases are found as places where their words stand consecutively. The
 hash of each word pair is compared with the pairs that start a phrase or a
@@ -39,22 +40,23 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Public license wordings, with markup.
-TEMPLATES = {
+# Whole public license texts, from the grant to the end of the
+# disclaimer, with markup.
+TEXTS = {
+    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and [associated] documentation files [the software] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors [or copyright holders] be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+    "isc": ["permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {author:1-12} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {author:1-12} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "bsd-2-clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by {holder:1-20} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {holder:1-20} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"],
+    "bsd-3-clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [3] neither the name of {holder:1-12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by {holder:1-20} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {holder:1-20} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors [or copyright holders] be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+}
+
+# Headers and notices that name a license, with markup; for the
+# licenses that TEXTS lacks they are all that is known.
+NOTICES = {
     "mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and [associated] documentation files [the software] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software",
         "released under the [terms of the] mit license",
         "licensed under the [terms of the] mit license",
     ],
-    "isc": [
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    ],
-    "bsd-2-clause": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by",
-    ],
-    "bsd-3-clause": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [3] neither the name of {holder:1-12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    ],
     "apache-2": [
         "licensed under the apache license version 2 0 [the license] you may not use this file except in compliance with the license you may obtain a copy of the license at",
         "licensed under the apache license version 2 0",
@@ -76,9 +78,10 @@ TEMPLATES = {
     "cc-by-sa": ["licensed under [a] [the] [creative commons] cc by sa {version:1-1} 0"],
     "cc-by-nc": ["licensed under [a] [the] [creative commons] cc by nc {version:1-1} 0"],
     "cc0": ["to the extent possible under law {author:1-12} has waived all copyright and related or neighboring rights to"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 
+TEMPLATES = {label: TEXTS.get(label, []) + NOTICES.get(label, []) for label in dict.fromkeys([*TEXTS, *NOTICES])}
+
 # Words that speak of licenses, for the score of texts without a match.
 VOCABULARY = ["license", "licensed", "licenses", "licence", "copyright", "permission", "redistribution", "warranty", "gnu", "apache", "sublicense"]
 

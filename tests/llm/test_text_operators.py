@@ -344,6 +344,25 @@ def test_license_templates(spark, documents, text, label, found):
     assert (row["score"] == 1.0) is found
 
 
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
+MIT_REST = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+
+
+def test_license_texts_are_compared_to_their_end(spark, documents):
+    fill = lambda t: re.sub(r"\{\w+:\d+-\d+\}", "the Holder and Others", re.sub(r"\[[^\]]*\]", "", t))
+    docs, want = [(0, MIT_GRANT + MIT_REST), (1, MIT_GRANT), (2, MIT_GRANT + MIT_REST.replace("IN NO EVENT", "IN ANY EVENT"))], {0: "mit", 1: "", 2: ""}
+    for i, (label, many) in enumerate(licenses.TEXTS.items()):
+        for j, t in enumerate(many):
+            t = fill(t).split()
+            whole, cut, changed = " ".join(t), " ".join(t[:-1]), " ".join([*t[:-12], "not", *t[-12:]])
+            for k, (text, labels) in enumerate(((whole, label), (cut, ""), (changed, ""))):
+                docs.append((100 * i + 10 * j + k + 10, text))
+                want[docs[-1][0]] = labels
+    got = {r["doc_id"]: (r["labels"], r["score"] == 1.0) for r in licenses.scan(documents(docs), ["doc_id"]).collect()}
+    assert got == {i: (x, x != "") for i, x in want.items()}
+    assert set(licenses.TEXTS) >= {"mit", "isc", "bsd-2-clause", "bsd-3-clause"}
+
+
 def test_template_automaton():
     a = licenses.compile_template("a b [c [d]] {x:1-2} e")
     for text, end in (("a b q e", 4), ("a b c q e", 5), ("a b c d q r e", 7), ("a b e", None), ("a b c d e", 5), ("a b q r s e", None)):
