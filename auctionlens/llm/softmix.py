@@ -11,7 +11,11 @@ it is taken. The rates minimise
 
 by projected gradient from r = 1 in the variables sqrt(n) r, so that a
 document's rate follows its posteriors and not its length. W is the inverse
-of the sum of n p p', which makes a step of length 1 safe. Every iteration is one pass over the posteriors that returns one number a domain;
+of the sum of n p p', which makes a step of length 1 safe; steps start with
+some momentum, which is dropped whenever the distance grows. Rounds go on until
+all domains are within ``TOLERANCE`` of the total, or the least distance of
+``WINDOW`` rounds is not ``STALL`` below the least before; ``mixed`` returns the
+target and reached tokens, and ``mix`` warns where they differ. Every iteration is one pass over the posteriors that returns one number a domain;
 a document's rate depends only on its own tokens and the residuals so far,
 so nothing but K numbers goes to the driver and nothing is kept by document
 between passes.
@@ -30,6 +34,9 @@ domain; an empty table has no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,7 +46,7 @@ from .common import LOWER, VISIBLE, hash_sample, row_sums, stored, text_blocks,
 
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 2000
-ROUNDS = 40
+WINDOW, STALL = 20, 0.01
 TOLERANCE = 1e-4
 MOST = 10.0  # target tokens over expected tokens of a domain
 
@@ -131,11 +138,12 @@ def _arrays(n, p) -> tuple[np.ndarray, np.ndarray]:
     return n.to_numpy(), p.flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
 
 
-def _rates(n: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents after the given steps: r = max(0, r - p . step)."""
-    r = np.ones(len(p))
-    for s in steps:
-        r = np.maximum(0.0, r - p @ s)
+def _rates(n: np.ndarray, p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """Rates of documents after the given steps (momentum, step):
+    r = max(0, r + momentum * (r - r before) - p . step)."""
+    r = old = np.ones(len(p))
+    for momentum, s in steps:
+        old, r = r, np.maximum(0.0, r + momentum * (r - old) - p @ s)
     return np.where(n > 0, r, 1.0)
 
 
@@ -153,11 +161,11 @@ def _target(weight: np.ndarray, now: np.ndarray) -> np.ndarray:
         short |= more
 
 
-def solve(table: DataFrame, domains: list[str], targets: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(table: DataFrame, domains: list[str], targets: dict[str, float], tolerance: float = TOLERANCE) -> tuple[list[tuple[float, np.ndarray]], np.ndarray, np.ndarray]:
     """Steps of the projected gradient, the target and the reached tokens."""
     k = len(domains)
 
-    def reached(steps: list[np.ndarray], square: bool) -> np.ndarray:
+    def reached(steps: list[tuple[float, np.ndarray]], square: bool) -> np.ndarray:
         width = k * k if square else k
 
         def run(batches):
@@ -176,12 +184,21 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], round
     gram, now = reached([], True).reshape(k, k), reached([], False)
     target = _target(np.array([targets.get(d, 0.0) for d in domains]), now)
     w = np.linalg.pinv(gram + 1e-10 * np.trace(gram) / max(k, 1) * np.eye(k)) if now.sum() > 0 else np.zeros((k, k))
-    steps: list[np.ndarray] = []
-    for _ in range(rounds):
-        if np.abs(now - target).max() <= tolerance * max(target.sum(), 1e-300):
-            break
-        steps.append(w @ (now - target))
-        now = reached(steps, False)
+    steps: list[tuple[float, np.ndarray]] = []
+    far: list[float] = []  # distances
+    before, speed, best = now, 1.0, ([], now)
+    while np.abs(now - target).max() > tolerance * max(target.sum(), 1e-300):
+        far.append(float((now - target) @ w @ (now - target)))
+        if far[-1] <= min(far):
+            best = list(steps), now
+        if len(far) > WINDOW and min(far[-WINDOW:]) > (1 - STALL) * min(far[:-WINDOW]):
+            return best[0], target, best[1]
+        if len(far) > 1 and far[-1] > far[-2]:
+            speed = 1.0
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        momentum, speed = (speed - 1) / faster, faster
+        steps.append((momentum, w @ (now + momentum * (now - before) - target)))
+        before, now = now, reached(steps, False)
     return steps, target, now
 
 
@@ -191,10 +208,20 @@ OUTPUT = ["n_tokens", "p", "domain", "rate"]
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, whole_rows: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The id (``whole_rows``: all columns; those named as in OUTPUT are
     replaced) plus n_tokens, p (posteriors), domain (likeliest) and rate, a row
-    per input row."""
+    per input row. Warns of domains whose targets the rates do not reach."""
+    rows, totals = mixed(docs, labels, targets, whole_rows, doc_id, text)
+    all_tokens = sum(x["target"] for x in totals)
+    missed = [f"{x['domain']} {x['reached']:.0f} of {x['target']:.0f}" for x in totals if abs(x["reached"] - x["target"]) > TOLERANCE * all_tokens]
+    if missed:
+        warnings.warn(f"mixing rates do not reach the target tokens: {', '.join(missed)}", stacklevel=2)
+    return rows
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, whole_rows: bool = False, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[dict]]:
+    """The rows of ``mix``, and of each domain its target and reached tokens."""
     model = fit(docs, labels, doc_id=doc_id, text=text)
     table = stored(posteriors(docs, model, [F.col(doc_id).alias("doc_id")], text), "softmix-posteriors")
-    steps, _, _ = solve(table, model["domains"], targets or TARGETS)
+    steps, target, now = solve(table, model["domains"], targets or TARGETS)
     if whole_rows:
         table = posteriors(docs, model, [F.col(c) for c in docs.columns if c not in (*OUTPUT, "copies")], text)
     names = np.array(model["domains"], dtype=object)
@@ -207,7 +234,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
                 n, p = _arrays(b.column(width - 2), b.column(width - 1))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[p.argmax(1)].tolist(), pa.string()), pa.array(_rates(n, p, steps))], names=[*b.schema.names, "domain", "rate"])
 
-    return table.mapInArrow(run, f"{fields}, domain string, rate double")
+    totals = [{"domain": d, "target": float(a), "reached": float(b)} for d, a, b in zip(model["domains"], target, now, strict=True)]
+    return table.mapInArrow(run, f"{fields}, domain string, rate double"), totals
 
 
 def take(mixed: DataFrame, seed: int = 1, doc_id: str = "doc_id") -> DataFrame:

@@ -187,6 +187,21 @@ def test_mixing_edge_rows_and_missing_labels(spark, documents):
     assert softmix.mix(documents([]), labels).count() == 0
 
 
+def test_mixing_goes_on_until_targets_are_met_or_says_so(spark):
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 400, 500)
+    p = rng.dirichlet([6, 2, 1], 500)
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens bigint, p array<double>").coalesce(1).cache()
+    steps, target, reached = softmix.solve(table, ["a", "b", "c"], {"a": 0.4, "b": 0.2, "c": 0.4})
+    assert np.abs(reached - target).max() <= softmix.TOLERANCE * target.sum()
+    assert np.allclose((softmix._rates(n, p, steps) * n) @ p, reached)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    with pytest.warns(UserWarning, match="do not reach the target tokens: .*q1t0"):
+        softmix.mix(docs, labels, {"q1t0": 0.001, "q0t0": 0.999 / 3, "q1t1": 0.999 / 3, "q0t1": 0.999 / 3})
+    _, totals = softmix.mixed(docs, labels)
+    assert {x["domain"] for x in totals} <= set(softmix.TARGETS) and all(x["reached"] >= 0 for x in totals)
+
+
 def test_mixing_gives_up_targets_that_cannot_be_filled(spark):
     rng = np.random.default_rng(4)
     n = rng.integers(50, 400, 400)
