@@ -15,8 +15,8 @@ it; the rest is judged by a tree of path templates per host:
   the weight of ``SMOOTH`` urls, the host's towards that of all labelled
   urls; a template is rejected where the purity is at least ``BLOCK_AT``.
 
-Templates deeper than ``DEPTH`` segments keep the rest of the path as one
-segment. Siblings are summed by partial aggregation and joined back, with no
+Levels go down to the deepest labelled path; below it no branch holds a label,
+so all merge and purities stay. Siblings are summed by partial aggregation and joined back, with no
 window over a hot host; verdicts meet the urls by a salted join.
 
 Defined cases: a null url, or one without ``://``, has empty host and path
@@ -39,7 +39,6 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-DEPTH = 6
 Z = 1.96
 SMOOTH = 5.0
 BLOCK_AT = 0.8
@@ -68,13 +67,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def template(path: Column) -> Column:
     """The path's segments with variable ones as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, F.lit(DEPTH), F.size(parts)), "/")))).otherwise(parts)
     kind = lambda s: (
         F.when(s.rlike(r"^\d+$"), F.lit("{n}"))
         .when(s.rlike(r"^\d{4}-\d{2}(-\d{2})?$"), F.lit("{date}"))
         .when(s.rlike(r"^\d+\.[A-Za-z]+$"), F.regexp_replace(s, r"^\d+", "{n}"))
         .when(s.rlike(r"^(?=.*\d)[0-9a-fA-F-]{8,}$"), F.lit("{id}"))
-        .when(s.rlike(r"/"), F.lit("{rest}"))
         .otherwise(s)
     )
     return F.transform(parts, kind)
@@ -92,11 +89,12 @@ def _differs(block, labelled, all_block, all_labelled) -> Column:
 def purities(templates: DataFrame) -> DataFrame:
     """(host, segs, n, labelled, block) to (host, segs, node, purity)."""
     templates = stored(templates, "urltree-templates")
-    top = templates.agg(F.sum("block").alias("b"), F.sum("labelled").alias("l"), F.max(F.size("segs")).alias("d")).first()
+    top = templates.agg(F.sum("block").alias("b"), F.sum("labelled").alias("l"), F.max(F.when(F.col("labelled") > 0, F.size("segs"))).alias("d")).first()
     prior = (top["b"] + 1.0) / (top["l"] + 2.0) if top["l"] else 0.0
     host = templates.groupBy("host").agg(((F.sum("block") + SMOOTH * prior) / (F.sum("labelled") + SMOOTH)).alias("purity"))
     t = templates.join(host, "host").withColumn("node", F.lit(""))
-    for level in range(1, (top["d"] or 0) + 1):
+    deepest = top["d"] or 0
+    for level in range(1, deepest + 1):
         own = F.element_at("segs", level) if level == 1 else F.try_element_at("segs", F.lit(level))
         t = t.withColumn("seg", F.when(F.size("segs") >= level, own))
         sums = [F.sum("block").alias("cb"), F.sum("labelled").alias("cl")]
@@ -109,6 +107,8 @@ def purities(templates: DataFrame) -> DataFrame:
         inner = t.filter("seg is not null").groupBy("host", "next").agg(((F.sum("block") + SMOOTH * F.first("purity")) / (F.sum("labelled") + SMOOTH)).alias("deeper"))
         t = t.join(inner, ["host", "next"], "left").withColumn("purity", F.when(F.col("seg").isNotNull(), F.col("deeper")).otherwise(F.col("purity")))
         t = stored(t.select("host", "segs", "n", "labelled", "block", "purity", F.col("next").alias("node")), "urltree-level")
+    below = F.greatest(F.size("segs") - F.lit(deepest), F.lit(0))
+    t = t.withColumn("node", F.concat("node", F.repeat(F.lit("/{*}"), below)))
     return t.select("host", "segs", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("node"), "purity")
 
 

@@ -269,6 +269,17 @@ def test_url_tree_rejects_branches_like_their_labelled_siblings(spark):
     assert by["http://a.net/shop/250"]["template"].startswith("/shop/") and by["http://a.net/other/1"]["template"].startswith("/{*}")
 
 
+def test_url_tree_tells_deep_branches_apart(spark):
+    deep = "/a/b/c/d/e/f/g"
+    rules = [("block", "a.net", f"{deep}/shop/1"), ("allow", "a.net", f"{deep}/news/1")]
+    urls = [f"http://a.net{deep}/{k}/{i}" for k in ("shop", "news") for i in range(100, 300)] + ["http://a.net/" + "x/" * 40]
+    rows = urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules).collect()
+    by = {urls[r["page_id"]]: r for r in rows}
+    assert len(rows) == len(urls) and by[urls[-1]]["verdict"] == "allow" and by[urls[-1]]["template"].count("/") == 40
+    assert by[f"http://a.net{deep}/shop/250"]["rule"] is None and by[f"http://a.net{deep}/shop/250"]["verdict"] == "block"
+    assert by[f"http://a.net{deep}/news/250"]["verdict"] == "allow"
+
+
 # --- operator 8 -----------------------------------------------------------
 
 
