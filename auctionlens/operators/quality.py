@@ -87,7 +87,7 @@ def contract_check(t: AdTables) -> DataFrame:
     ``groupBy`` on it, orphans by counts per key that meet the parent in a
     ``left_anti`` join, NULLs and row rules by one pass per table. Bids are
     shuffled once, by bid_id, for their key and the winning-bid rules; of a
-    bid_id that occurs twice, the rules see one bid.
+    bid_id that occurs twice, every copy counts that breaks a rule.
     """
     tables = t.as_dict()
     parts: list[DataFrame] = []
@@ -112,11 +112,12 @@ def contract_check(t: AdTables) -> DataFrame:
         parts.append(df.agg(F.array(*cols).alias("_r")).select(F.inline("_r")))
     # On the bid id alone: this verifies the same-request guarantee rather than assuming it.
     one = ("request_id", "is_winner", "bid_ttl_ms", "cleared_price", "buyer_id")
-    by_id = t.bids.filter(F.col("bid_id").isNotNull()).groupBy("bid_id").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*one)).alias("b"))
+    copies = t.bids.filter(F.col("bid_id").isNotNull()).select("bid_id", *one).repartition("bid_id").groupBy("bid_id", *one).agg(F.count(F.lit(1)).alias("c"))
+    by_id = copies.groupBy("bid_id").agg(F.sum("c").alias("c"))
     parts.append(by_id.agg(*_row("pk_duplicate", "bids", "bid_id", F.coalesce(F.sum(F.col("c") - 1), F.lit(0)))))
-    bids = by_id.select(
-        F.col("bid_id").alias("winning_bid_id"), F.col("b.request_id").alias("_bid_req"), "b.is_winner",
-        "b.bid_ttl_ms", "b.cleared_price", "b.buyer_id", F.lit(True).alias("_hit"),
+    bids = copies.select(
+        F.col("bid_id").alias("winning_bid_id"), F.col("request_id").alias("_bid_req"), "is_winner",
+        "bid_ttl_ms", "cleared_price", "buyer_id", F.col("c").alias("_copies"),
     )
     x = t.impressions.select(
         "winning_bid_id", "request_id", "rendered", "render_latency_ms", "viewable", "video_completed", "billable", "revenue_usd"
@@ -128,13 +129,14 @@ def contract_check(t: AdTables) -> DataFrame:
     rule = is_true(F.col("rendered") & (F.col("render_latency_ms") <= F.col("bid_ttl_ms")) & is_true(signal))
     rev_off = F.abs(F.col("revenue_usd") - F.col("cleared_price") / 1000.0) > F.lit(1e-6)
     checks = [
-        ("fk_orphan", "winning_bid_id", F.col("_hit").isNull()),
+        ("fk_orphan", "winning_bid_id", F.col("_copies").isNull()),
         ("rule_winning_bid_other_request", "winning_bid_id", F.col("_bid_req") != F.col("request_id")),
         ("rule_winning_bid_not_winner", "winning_bid_id", F.col("is_winner") != 1),
         ("rule_billing_mismatch", "billable", rule != is_true(F.col("billable"))),
         ("rule_revenue_not_cleared_price", "revenue_usd", is_true(F.col("billable")) & F.col("revenue_usd").isNotNull() & rev_off),
     ]
-    parts.append(x.agg(F.array(*[F.struct(*_row(n, "impressions", cn, count_if(p))) for n, cn, p in checks]).alias("_r")).select(F.inline("_r")))
+    broken = lambda p: F.coalesce(F.sum(F.when(p, F.coalesce("_copies", F.lit(1)))), F.lit(0))
+    parts.append(x.agg(F.array(*[F.struct(*_row(n, "impressions", cn, broken(p))) for n, cn, p in checks]).alias("_r")).select(F.inline("_r")))
     # video_completed is NULL exactly on non-video formats (request_id join: bucket-aligned)
     v = t.impressions.select("request_id", "video_completed").join(t.ad_requests.select("request_id", "ad_format"), "request_id")
     no_video = F.col("ad_format").isin("banner", "native")

@@ -229,6 +229,22 @@ def test_contract_check_counts_violations(micro):
     assert out[("pk_duplicate", "ad_requests", "request_id")] == 0
 
 
+def test_contract_check_counts_every_copy_of_a_winning_bid(micro):
+    good = {"bid_id": "B1", "request_id": "R1", "is_winner": 1, "cleared_price": 4.0}
+    bad = {"bid_id": "B1", "request_id": "R2", "is_winner": 0, "cleared_price": 8.0, "bid_ttl_ms": 100}
+    t = micro(
+        requests=[{"request_id": "R1"}, {"request_id": "R2"}],
+        bids=[good, good, bad, bad, bad],
+        impressions=[{"impression_id": "I1", "request_id": "R1", "winning_bid_id": "B1"}, {"impression_id": "I2", "request_id": "R1", "winning_bid_id": "B9"}],
+    )
+    out = {(r["check_name"], r["column_name"]): r["violations"] for r in rows(quality.contract_check(t)) if r["table_name"] in ("bids", "impressions")}
+    assert out[("pk_duplicate", "bid_id")] == 4 and out[("fk_orphan", "winning_bid_id")] == 1
+    assert out[("rule_winning_bid_other_request", "winning_bid_id")] == 3
+    assert out[("rule_winning_bid_not_winner", "winning_bid_id")] == 3
+    assert out[("rule_revenue_not_cleared_price", "revenue_usd")] == 3
+    assert out[("rule_billing_mismatch", "billable")] == 3 + 1  # no bid: nothing to bill
+
+
 def test_load_verification_literal_and_frame_expectations(micro, spark):
     t = micro(requests=[{"request_id": "R1"}, {"request_id": "R2"}])
     out = {r["t"]: r for r in rows(quality.load_verification(t.as_dict(), {"ad_requests": 2, "buyers": spark.range(3)}))}
