@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, crf, domtree, kmtree, langid, licenses, setsketch, softmix, urltree, winnow
+from . import brown, crf, domtree, kmtree, langid, licenses, pivotal, setsketch, simhash, softmix, turntrie, urltree, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,15 @@ def queries() -> dict[str, Query]:
         "op8_html_text": domtree.op8,
         "op9_language_id": langid.op9,
         "op10_license_scan": licenses.op10,
+        "op11_prefix_trie": turntrie.op11,
+        "op12_spelling_variants": pivotal.op12,
+        "op13_simhash_duplicates": simhash.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": winnow.ORACLE,
+        "op11_prefix_trie": turntrie.ORACLE,
+        "op12_spelling_variants": pivotal.ORACLE,
     }
