@@ -18,16 +18,23 @@ registers. Steps:
    links join into components.
 4. Buckets that still hold several components are compared in blocks: each
    class outside the bucket's largest component against the classes of other
-   components. What leaves the task are (class, component) relations in which
-   some estimate is within 4.5 standard errors of the threshold; each class
-   is then verified against the component's members on full sets, in blocks
-   again, and one link is kept. So no link between two components is lost,
-   copies are never paired with each other, and no list of pairs is made.
+   components, by the joint likelihood. What leaves the task is a forest over
+   the block's components that joins those with an estimate within 4.5 standard
+   errors of the threshold: fewer links than components. Joined over all
+   buckets, these make groups outside of which there is nothing left to link.
+5. In a group each class outside its largest component meets the classes of
+   other components once more, in blocks, with its full set. Intersections are
+   counted exactly and what leaves the task is again a forest, now of verified
+   links. So links between two components that share a bucket are only lost
+   where the estimate errs by more than 4.5 standard errors (the bands' loss
+   stands above), copies are never paired with each other, and no list of pairs
+   is made.
 
 Full sets are made again from the texts of the classes in question only.
 Hot buckets and groups: copies collapse before any join, hubs make work
-linear in a bucket's size, block sizes are bounded (``BLOCK``), joins on hubs
-are inner sort-merge joins that adaptive execution splits.
+linear in a bucket's size, blocks are bounded by rows (``BLOCK``) and by bytes
+of full sets (``SET_BYTES``), joins on hubs are inner sort-merge joins that
+adaptive execution splits.
 
 Defined cases: documents without words or text have the empty set and link
 with nothing; rows that share an id are one node; rows with a null id link
@@ -50,7 +57,8 @@ M = ROWS * BANDS
 BASE, RATE, Q = 1.001, 20.0, 65534
 PERCENT = 80
 CUT = PERCENT / 100 - 4.5 * float(np.sqrt(0.8 * 0.2 / M))
-BLOCK = 4096
+BLOCK = 2048
+SET_BYTES = 1 << 24
 HUB_ROUNDS = 2
 SALTS = 8
 
@@ -162,10 +170,23 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, est double")
 
 
-def _block_relations(rows: DataFrame) -> DataFrame:
-    """Rows (key, i, j, side, id, comp, n, regs), sorted by (key, i, j): each
-    side-1 row with the other components in its block that have a member
-    whose likelihood puts the pair at CUT or above."""
+def _forest(label: np.ndarray, rows: np.ndarray, near):
+    """Joins rows of different labels: yields (row, near row) for each label
+    that ``near(row)`` still finds, and makes the labels one. So fewer links
+    than labels, whatever the number of near rows."""
+    for s in rows:
+        hit = near(s)
+        _, first = np.unique(label[hit], return_index=True)
+        for other in hit[first]:
+            if label[other] != label[s]:
+                yield s, other
+                label[label == label[other]] = label[s]
+
+
+def _likely_forest(rows: DataFrame) -> DataFrame:
+    """Rows (key, i, j, side, id, comp, n, regs), sorted by (key, i, j): links
+    (a, b) of a forest over the block's components, which joins those that have
+    a pair of classes whose likelihood puts them at CUT or above."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -173,28 +194,70 @@ def _block_relations(rows: DataFrame) -> DataFrame:
             side = t.column("side").to_numpy() == 1
             if not side.any() or side.all():
                 continue
-            n, regs = t.column("n").to_numpy(), _matrix(t.column("regs"))
-            comp, ids = t.column("comp").to_numpy(), t.column("id").to_numpy()
+            n, regs, comp = t.column("n").to_numpy(), _matrix(t.column("regs")), t.column("comp").to_numpy()
+            label = np.unique(comp, return_inverse=True)[1]
             other = np.flatnonzero(~side)
-            a, b = [], []
-            for s in np.flatnonzero(side):
-                fit = other[(comp[other] != comp[s]) & (np.minimum(n[other], n[s]) * 100 >= np.maximum(n[other], n[s]) * PERCENT)]
-                if len(fit):
-                    above, below = (regs[s] > regs[fit]).sum(1), (regs[s] < regs[fit]).sum(1)
-                    hit = fit[likelihood_slope(above, below, np.float64(n[s]), n[fit].astype(float), CUT) >= 0]
-                    near = np.unique(comp[hit])
-                    a += [ids[s]] * len(near)
-                    b += near.tolist()
-            if a:
-                own = t.schema.field("id").type
-                yield pa.RecordBatch.from_arrays([pa.array(a, own), pa.array(b, own)], names=["id", "comp"])
 
-    return rows.mapInArrow(run, f"id {kind}, comp {kind}")
+            def near(s, n=n, regs=regs, label=label, other=other):
+                fit = other[(label[other] != label[s]) & (np.minimum(n[other], n[s]) * 100 >= np.maximum(n[other], n[s]) * PERCENT)]
+                above, below = (regs[s] > regs[fit]).sum(1), (regs[s] < regs[fit]).sum(1)
+                return fit[likelihood_slope(above, below, np.float64(n[s]), n[fit].astype(float), CUT) >= 0]
 
+            found = [(comp[s], comp[o]) for s, o in _forest(label, np.flatnonzero(side), near)]
+            if found:
+                own = t.schema.field("comp").type
+                yield pa.RecordBatch.from_arrays([pa.array(c, own) for c in zip(*found, strict=True)], names=["a", "b"])
 
-def _block_links(rows: DataFrame) -> DataFrame:
-    """Rows (key, i, j, side, id, s), sorted by (key, i, j): each side-1 row
-    with one side-0 row of its block whose full set reaches the threshold."""
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def common_sizes(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of the sorted sets of ``a`` and ``b``: elements that
+    many sets hold by a matrix product, the others by counting their pairs."""
+    sides = []
+    for sets in (a, b):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sides.append((np.concatenate(sets), owner))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return out.astype(np.int64)
+    entries, times = [], []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        keep = both[at] == values
+        order = np.argsort(at[keep], kind="stable")
+        entries.append((at[keep][order], owner[keep][order]))
+        times.append(np.bincount(at[keep], minlength=len(both)))
+    dense = times[0] * times[1] * 64 >= len(a) * len(b)
+    rank = np.cumsum(dense) - 1
+    for lo in range(0, int(dense.sum()), 1024):
+        parts = []
+        for (at, owner), sets in zip(entries, (a, b), strict=True):
+            pick = dense[at] & (rank[at] >= lo) & (rank[at] < lo + 1024)
+            x = np.zeros((len(sets), 1024), np.float32)
+            x[owner[pick], rank[at[pick]] - lo] = 1
+            parts.append(x)
+        out += parts[0] @ parts[1].T
+    out = out.astype(np.int64).ravel()
+    (at, owner), (at2, owner2) = entries
+    begin = np.concatenate([[0], np.cumsum(times[1])])
+    at, owner = at[~dense[at]], owner[~dense[at]]
+    total = np.cumsum(times[1][at])
+    lo = 0
+    while lo < len(at):  # some four million pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 22), "right")))
+        n = times[1][at[lo:hi]]
+        second = np.repeat(begin[at[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(owner[lo:hi], n) * len(b) + owner2[second], minlength=len(out))
+        lo = hi
+    return out.reshape(len(a), len(b))
+
+
+def _verified_forest(rows: DataFrame) -> DataFrame:
+    """Rows (key, i, j, side, id, comp, s), sorted by (key, i, j): links (a, b)
+    of a forest over the block's components, which joins those that have a pair
+    of full sets reaching the threshold."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -204,26 +267,20 @@ def _block_links(rows: DataFrame) -> DataFrame:
                 continue
             ids, lists = t.column("id").to_numpy(), t.column("s").combine_chunks()
             bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            other = np.flatnonzero(~side)
             size = np.diff(bounds)
-            values = np.concatenate([flat[bounds[x] : bounds[x + 1]] for x in other])
-            owner = np.repeat(np.arange(len(other)), size[other])
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            a, b = [], []
-            for x in np.flatnonzero(side):
-                own = flat[bounds[x] : bounds[x + 1]]
-                lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-                times = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                common = np.bincount(owner[at], minlength=len(other))
-                good = np.flatnonzero((common * 100 >= (size[x] + size[other] - common) * PERCENT) & (ids[other] != ids[x]))
-                if len(good):
-                    a.append(ids[x])
-                    b.append(ids[other[good[0]]])
-            if a:
-                kind_id = t.schema.field("id").type
-                yield pa.RecordBatch.from_arrays([pa.array(a, kind_id), pa.array(b, kind_id)], names=["a", "b"])
+            one, other = np.flatnonzero(side), np.flatnonzero(~side)
+            common = common_sizes(*([flat[bounds[x] : bounds[x + 1]] for x in part] for part in (one, other)))
+            good = common * 100 >= (size[one][:, None] + size[other][None, :] - common) * PERCENT
+            place = dict(zip(one.tolist(), range(len(one)), strict=True))
+            label = np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
+
+            def near(s, good=good, place=place, label=label, other=other):
+                return other[good[place[int(s)]] & (label[other] != label[s])]
+
+            found = [(ids[s], ids[o]) for s, o in _forest(label, one, near)]
+            if found:
+                own = t.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(c, own) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -277,7 +334,7 @@ def _blocks(count, size: int):
 
 
 def _remaining(rows: DataFrame, comps: DataFrame, sketch: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Step 4: links between components that share a bucket."""
+    """Steps 4 and 5: links between components that share a bucket."""
     own = stored(_with_root(rows.select("key", "id", "size"), comps, "id", "comp"), "setsketch-own")
     parts = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
@@ -286,17 +343,20 @@ def _remaining(rows: DataFrame, comps: DataFrame, sketch: DataFrame, texts: Data
     ones = left.filter("comp <> big").select(*cols, F.lit(1).alias("side"), _own("nb").alias("i"), _every("nb").alias("j"))
     alls = left.select(*cols, F.lit(0).alias("side"), _every("nb").alias("i"), _own("nb").alias("j"))
     grid = ones.unionByName(alls).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    related = stored(_block_relations(grid).distinct(), "setsketch-related")
-
-    asked = related.select("comp").distinct()
-    members = asked.join(comps, F.col("comp") == F.col("root"), "left").select("comp", F.coalesce("node", "comp").alias("id")).distinct()
-    sets = full_sets(related.select("id").union(members.select("id")).distinct(), texts, k)
-    split = related.groupBy("comp").agg(_blocks(F.count("*"), BLOCK // 4).alias("bi")).join(members.groupBy("comp").agg(_blocks(F.count("*"), BLOCK // 4).alias("bj")), "comp")
-    key = F.xxhash64("comp").alias("key")  # two components under one key only share a block
-    ones = related.join(split, "comp").select(key, _own("bi").alias("i"), _every("bj").alias("j"), F.lit(1).alias("side"), "id")
-    alls = members.join(split, "comp").select(key, _every("bi").alias("i"), _own("bj").alias("j"), F.lit(0).alias("side"), "id")
-    grid = ones.unionByName(alls).join(sets, "id").select("key", "i", "j", "side", "id", "s")
-    return _block_links(grid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+    groups = components(_likely_forest(grid), "setsketch-groups").select(F.col("node").alias("comp"), F.col("root").alias("key"))
+
+    # the classes of the components that may be one, each once
+    members = groups.join(comps, F.col("comp") == F.col("root"), "left").select("key", "comp", F.coalesce("node", "comp").alias("id")).distinct()
+    members = stored(members.join(sketch.select("id", "n"), "id"), "setsketch-members")
+    big = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("key")
+    blocks = F.greatest(_blocks(F.sum("c"), BLOCK // 2), _blocks(F.sum("n") * 8, SET_BYTES))
+    left = members.join(big.agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), blocks.alias("nb")), "key")
+    cols = ["key", "id", "comp"]
+    ones = left.filter("comp <> big").select(*cols, F.lit(1).alias("side"), _own("nb").alias("i"), _every("nb").alias("j"))
+    alls = left.select(*cols, F.lit(0).alias("side"), _every("nb").alias("i"), _own("nb").alias("j"))
+    sets = full_sets(members.select("id"), texts, k)
+    grid = ones.unionByName(alls).join(sets, "id").select("key", "i", "j", "side", "id", "comp", "s")
+    return _verified_forest(grid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,14 +406,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: s
 
 
 def keep(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest id, unchanged."""
+    """One document of each group: the one with the smallest id, unchanged.
+    Rows that share a kept id stay, once for each text."""
     gone = near_duplicates(docs, k, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_d")).distinct()
     rest = docs.join(gone, docs[doc_id] == gone["_d"], "left_anti")
-    twice = docs.groupBy(doc_id).count().filter(F.col("count") > 1).limit(1).count()
-    if twice:  # repeated rows of one id: one of them stays
-        known = rest.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-        rest = known.union(rest.filter(F.col(doc_id).isNull()))
-    return rest
+    if docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter(F.col("count") > 1).isEmpty():
+        return rest  # no id repeats, so there is nothing to compare texts for
+    known = rest.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text])
+    return known.union(rest.filter(F.col(doc_id).isNull()))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

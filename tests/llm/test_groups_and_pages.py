@@ -375,3 +375,84 @@ def test_pipeline_stages_on_edge_rows(spark, documents):
         out = stage(spark, docs, SF)
         assert out.count() <= len(rows)
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_common_sizes_equal_sets():
+    rng = np.random.default_rng(6)
+    for few in (40, 5000):  # elements that all sets hold, and ones that hardly any two do
+        a, b = ([np.unique(rng.integers(0, few, rng.integers(1, 60))) for _ in range(n)] for n in (37, 21))
+        want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+        assert setsketch.common_sizes(a, b).tolist() == want
+    assert setsketch.common_sizes([np.array([1])], [np.array([2])]).tolist() == [[0]]
+
+
+def test_near_duplicates_of_many_small_components(spark, documents, monkeypatch):
+    """One bucket's classes that hardly link with hubs: forests, in several blocks."""
+    monkeypatch.setattr(setsketch, "BLOCK", 64)
+    monkeypatch.setattr(setsketch, "SET_BYTES", 1 << 14)
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(260):  # of one text, each with other changes: pairs straddle the threshold
+        w = list(base)
+        for _ in range(rng.choice([2, 5, 8])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    got = setsketch.near_duplicates(documents(rows), k=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _groups(rows, 2)
+
+
+def _nnls(a, t):
+    """Lawson and Hanson's active sets: min |a r - t| over r >= 0."""
+    r, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(200):
+        slope = a.T @ (t - a @ r)
+        if on.all() or slope[~on].max() <= 1e-9 * np.abs(a).max() * np.abs(t).max():
+            break
+        on[np.flatnonzero(~on)[slope[~on].argmax()]] = True
+        while True:
+            z = np.zeros(len(r))
+            z[on] = np.linalg.lstsq(a[:, on], t, rcond=None)[0]
+            if (z[on] >= -1e-12).all():
+                r = np.maximum(z, 0)
+                break
+            down = on & (z < 0)
+            f = (r[down] / (r[down] - z[down])).min()
+            r = r + f * (z - r)
+            on &= r > 1e-12
+    return a @ r
+
+
+def test_mixing_totals_equal_nonnegative_least_squares(spark):
+    """Ten target sets, some of which no rates meet; asked totals are followed."""
+    rng = np.random.default_rng(12)
+    n = rng.integers(1, 400, 500)
+    p = rng.dirichlet([4, 2, 1, 0.7], 500) * 0.8 + 0.05  # no document is of one domain alone
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens bigint, p array<double>").coalesce(2).cache()
+    names, met = list("abcd"), 0
+    for weights in [(1, 1, 1, 1), (5, 2, 1, 1), (80, 12, 7, 1), (1, 0, 0, 0), (0, 0, 0, 1), (0.5, 0.05, 0.3, 0.15), (1, 1, 0, 0), (2, 8, 1, 1), (1, 1, 1, 9), (0, 1, 2, 0)]:
+        targets = dict(zip(names, map(float, weights), strict=True))
+        steps, target, reached = softmix.solve(table, names, targets, most=np.inf)
+        assert np.allclose(target, np.array(weights) / sum(weights) * n.sum())
+        want = _nnls((n[:, None] * p).T, target)
+        assert np.abs(reached - want).max() <= 0.01 * target.sum()
+        assert np.allclose((softmix._rates(n, p, steps) * n) @ p, reached, rtol=1e-6)
+        met += np.abs(reached - target).max() <= softmix.TOLERANCE * target.sum()
+    assert 2 <= met <= 8
+
+
+def test_mixing_reports_what_was_asked(spark, documents):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    targets = {"q0t1": 0.8, "q1t0": 0.2}
+    _, totals = softmix.mixed(docs, labels, targets)
+    by = {x["domain"]: x for x in totals}
+    total = sum(x["asked"] for x in totals)
+    assert np.isclose(by["q0t1"]["asked"], 0.8 * total) and by["q0t1"]["target"] < by["q0t1"]["asked"]
+    with pytest.warns(UserWarning, match=f"q0t1 .* of {by['q0t1']['asked']:.0f}"):
+        softmix.mix(docs, labels, targets)
+
+
+def test_kept_rows_of_one_id_keep_their_texts(spark, documents):
+    rows = [(1, "a b c d e f"), (1, "wholly other words in here"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in setsketch.keep(documents(rows)).collect())
+    assert got == Counter({rows[0]: 1, rows[1]: 1, rows[4]: 1, rows[5]: 1})
