@@ -8,6 +8,7 @@ Python string a word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -182,6 +183,40 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+BATCH_ROWS = 1500
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's rows per Arrow batch to ``rows``: rows that hold
+    texts are some kilobytes wide, and a batch exists in the JVM, in the worker
+    and as a result at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def release() -> None:
+    """Gives memory that Arrow and numpy have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` (for mapInArrow), giving back the memory it has freed when a
+    task ends: the worker stays for later tasks, of other steps too."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``;
     a scratch folder only where it is unset and the master is local."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, crc_mod, hash_sample, span_hashes, text_blocks, words
+from .common import ALNUM, LOWER, crc_mod, hash_sample, release, span_hashes, text_blocks, tidy, words
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 1500
@@ -226,11 +226,12 @@ def score_texts(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
         row = np.searchsorted(bounds, hit, "right") - 1
         np.add.at(count, lo + row, 1)
         prev = (-2, -1)
+        chars, of = None, -1  # characters before each byte of a row: a byte 10xxxxxx goes on with one
         for i, r in zip(hit.tolist(), row.tolist(), strict=True):
-            text = raw[offs[r] : offs[r + 1]]
             p = float(1 / (1 + np.exp(-min(odds[i], _CLIP))))
-            a = len(bytes(text[: starts[i] - offs[r]]).decode("utf-8", "replace"))
-            z = a + len(bytes(raw[starts[i] : ends[i]]).decode("utf-8", "replace"))
+            if r != of:
+                chars, of = np.concatenate([[0], np.cumsum((raw[offs[r] : offs[r + 1]] & 0xC0) != 0x80, dtype=np.int32)]), r
+            a, z = (int(chars[x - offs[r]]) for x in (starts[i], ends[i]))
             own = spans[lo + r]
             if prev == (r, i - 1):
                 own[-1] = (own[-1][0], z, max(own[-1][2], p))
@@ -258,7 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_filter, sample_rows: int = SAM
         .collect()
     )
     stands_for = {k: max(1.0, n / sample_rows) for k, n in total.items()}
-    return train([r["t"] for r in rows], [r["_toxic"] for r in rows], stands_for.get(0, 1.0) / stands_for.get(1, 1.0))
+    model = train([r["t"] for r in rows], [r["_toxic"] for r in rows], stands_for.get(0, 1.0) / stands_for.get(1, 1.0))
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: dict, keys: list, text: str = "text") -> DataFrame:
@@ -275,7 +278,7 @@ def predict(docs: DataFrame, model: dict, keys: list, text: str = "text") -> Dat
             out = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(count), found]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def keep(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -287,7 +290,7 @@ def keep(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             score, _, _ = score_texts(model, b.column(at))
             yield b.filter(pa.array(score < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

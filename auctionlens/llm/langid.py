@@ -5,7 +5,7 @@ are the byte 2-, 3- and 4-grams of its words with their borders (ASCII
 lower-cased); each falls in one of ``BUCKETS`` buckets per length with an
 embedding of ``DIM`` numbers. The mean of the embeddings goes through a
 linear softmax; both are trained by stochastic gradient descent in numpy on
-a bounded sample of labelled texts (``sample_rows``). One more class learns
+a bounded sample of labelled texts (``sample_rows``, ``sample_bytes``). One more class learns
 from junk made of the sample: shuffled characters, random letters, random
 characters of any script (``_junk``). A part of both is held back to fit the
 temperature and the confidence below which a text is rejected: that which all
@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, crc_mod, hash_sample, row_sums, text_blocks
+from .common import LOWER, crc_mod, hash_sample, release, row_sums, text_blocks, tidy, within_bytes
 
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 12
 DIM = 16
 SAMPLE_ROWS = 2000
+SAMPLE_BYTES = 64 << 20  # of texts; a sample ends before the text that exceeds them
 JUNK_CHARS = 2000  # of a made text
 UNKNOWN = "und"
 
@@ -63,15 +64,26 @@ def _subwords(buf: np.ndarray, offs: np.ndarray):
         yield (h >> np.uint32(20)).astype(np.int64) + k * BUCKETS, ok, m
 
 
-def _counts(texts: list[str]) -> np.ndarray:
-    """Share of each bucket among a text's subwords."""
-    out = np.zeros((len(texts), BUCKETS * len(SIZES)), dtype=np.float32)
-    for lo, hi, buf, offs in text_blocks(pa.array(texts, pa.string())):
-        for i in range(lo, hi):
-            a, z = offs[i - lo], offs[i - lo + 1]
-            for idx, ok, _ in _subwords(buf[a:z], np.array([0, z - a])):
-                out[i] += np.bincount(idx[ok], minlength=out.shape[1])
-    return out / np.maximum(out.sum(1, keepdims=True), 1)
+class _Shares:
+    """Share of each bucket among a text's subwords: buckets and shares by
+    text, made dense only for the rows that are asked for."""
+
+    def __init__(self, texts: list[str]):
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        for text in texts:
+            total = np.zeros(BUCKETS * len(SIZES), np.float32)
+            for _, _, buf, offs in text_blocks(pa.array([text], pa.string())):
+                for idx, ok, _ in _subwords(buf, offs):
+                    total += np.bincount(idx[ok], minlength=len(total))
+            used = np.flatnonzero(total).astype(np.int32)
+            self.rows.append((used, total[used] / max(total.sum(), np.float32(1))))
+
+    def dense(self, pick: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(pick), BUCKETS * len(SIZES)), np.float32)
+        for r, i in enumerate(pick):
+            used, share = self.rows[i]
+            out[r, used] = share
+        return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -104,23 +116,23 @@ def train(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.
         return {"langs": [], "table": np.zeros((BUCKETS * len(SIZES), 0), np.float32), "bias": np.zeros(0), "temperature": 1.0, "floor": 0.0}
     rng = np.random.default_rng(seed)
     junk = _junk(texts, rng)
-    x = _counts(texts + junk)
+    x = _Shares(texts + junk)
     y = np.array([names.index(v) for v in langs] + [len(names)] * len(junk))
     back = np.concatenate([np.arange(n) % 5 == 4 for n in (len(texts), len(junk))])
     if len(texts) < 20:
         back[:] = False
-    xs, ys = x[~back], y[~back]
-    onehot = np.eye(len(names) + 1, dtype=np.float32)[ys]
+    learn = np.flatnonzero(~back)
+    onehot = np.eye(len(names) + 1, dtype=np.float32)[y[learn]]
     scale = 100.0  # shares are small; the mean embedding is trained at this scale
-    emb = rng.normal(0, 0.1, (x.shape[1], DIM)).astype(np.float32)
+    emb = rng.normal(0, 0.1, (BUCKETS * len(SIZES), DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, len(names) + 1)).astype(np.float32)
     bias = np.zeros(len(names) + 1, np.float32)
     for epoch in range(epochs):
         step = np.float32(rate * (1 - epoch / epochs))
-        order = rng.permutation(len(ys))
+        order = rng.permutation(len(learn))
         for a in range(0, len(order), 32):
             pick = order[a : a + 32]
-            xb = xs[pick] * np.float32(scale)
+            xb = x.dense(learn[pick]) * np.float32(scale)
             mean = xb @ emb
             err = (_softmax(mean @ w + bias) - onehot[pick]) / len(pick)
             grad_mean = err @ w.T
@@ -128,11 +140,15 @@ def train(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.
             bias -= step * err.sum(0)
             used = np.flatnonzero(xb.any(0))
             emb[used] -= step / np.float32(scale) * (xb[:, used].T @ grad_mean)
-    emb[~xs.any(0)] = 0
+    seen = np.zeros(len(emb), bool)
+    for i in learn:
+        seen[x.rows[i][0]] = True
+    emb[~seen] = 0
     table = (emb @ w * np.float32(scale)).astype(np.float32)
     temperature, floor = 1.0, 0.0
     if back.any():
-        z = x[back] @ table + bias
+        held = np.flatnonzero(back)
+        z = np.concatenate([x.dense(held[a : a + 256]) @ table for a in range(0, len(held), 256)]) + bias
         truth = y[back]
         grid = np.geomspace(0.25, 8, 25)
         loss = [-np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
@@ -144,11 +160,13 @@ def train(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.
     return {"langs": names, "table": table, "bias": bias.astype(np.float64), "temperature": temperature, "floor": floor}
 
 
-def fit(docs: DataFrame, train_filter, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
-    """Train on at most ``sample_rows`` labelled texts that ``train_filter``
-    lets in, taken by the id's hash. Ids are picked first; only their texts
-    come to the driver."""
-    ids = hash_sample(docs.filter(train_filter & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id")), "_id", sample_rows).distinct()
+def fit(docs: DataFrame, train_filter, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
+    """Train on at most ``sample_rows`` labelled texts of at most
+    ``sample_bytes`` in all that ``train_filter`` lets in, taken by the id's
+    hash. Ids are picked first; only their texts come to the driver."""
+    size = F.octet_length(text).alias("_size")
+    ids = hash_sample(docs.filter(train_filter & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), size), "_id", sample_rows)
+    ids = within_bytes(ids, sample_bytes).distinct()
     rows = (
         docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"), F.col(lang).alias("l"))
         .join(F.broadcast(ids), "_id")  # at most sample_rows ids
@@ -157,7 +175,9 @@ def fit(docs: DataFrame, train_filter, sample_rows: int = SAMPLE_ROWS, doc_id: s
         .limit(sample_rows)
         .collect()
     )
-    return train([r["t"] for r in rows], [r["l"] for r in rows])
+    model = train([r["t"] for r in rows], [r["l"] for r in rows])
+    release()
+    return model
 
 
 def _has_letter(raw: bytes) -> bool:
@@ -202,7 +222,7 @@ def predict(docs: DataFrame, model: dict, keys: list, text: str = "text") -> Dat
             out = [pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array((best < 0) | (score < model["floor"]))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def keep(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -214,7 +234,7 @@ def keep(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             best, score = score_texts(model, b.column(at))
             yield b.filter(pa.array((best >= 0) & (score >= model["floor"])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, VISIBLE, filter_bits, gram_hashes, mix, passes, stored, stream_groups, text_blocks, word_hashes, words
+from .common import LOWER, VISIBLE, filter_bits, gram_hashes, mix, passes, stored, stream_groups, text_blocks, tidy, word_hashes, words
 from .components import components
 
 ROWS, BANDS = 5, 30
@@ -148,7 +148,7 @@ def _documents(src: DataFrame, k: int) -> DataFrame:
                         regs.append(b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())], names=names)
 
-    return src.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, keys array<bigint>, regs binary")
+    return src.mapInArrow(tidy(run), f"id {kind}, n bigint, s1 bigint, s2 bigint, keys array<bigint>, regs binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -167,7 +167,7 @@ def _estimated(pairs: DataFrame) -> DataFrame:
                 est = estimate(_matrix(x.column("ra")), _matrix(x.column("rb")), na, nb)
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(est)], names=["a", "b", "est"])
 
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}, est double")
+    return pairs.mapInArrow(tidy(run), f"a {kind}, b {kind}, est double")
 
 
 def _forest(label: np.ndarray, rows: np.ndarray, near):
@@ -208,7 +208,7 @@ def _likely_forest(rows: DataFrame) -> DataFrame:
                 own = t.schema.field("comp").type
                 yield pa.RecordBatch.from_arrays([pa.array(c, own) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def common_sizes(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -282,7 +282,7 @@ def _verified_forest(rows: DataFrame) -> DataFrame:
                 own = t.schema.field("id").type
                 yield pa.RecordBatch.from_arrays([pa.array(c, own) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def full_sets(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -304,7 +304,7 @@ def full_sets(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 sets += [shingles(h[rows[r] : rows[r + 1]], k).view(np.int64) for r in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    sets = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, f"id {kind}, s array<bigint>")
+    sets = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(tidy(run), f"id {kind}, s array<bigint>")
     return stored(sets.join(ids, "id", "left_semi"), "setsketch-sets")
 
 

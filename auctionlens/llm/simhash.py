@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .components import components
 
 BITS = 2
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "t
             fp = np.array([fingerprint(t.as_py() or b"", k) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, fp bigint")
+    return src.mapInArrow(tidy(run), f"id {src.schema[0].dataType.simpleString()}, fp bigint")
 
 
 def _bit_count(x: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def _forests(postings: DataFrame) -> DataFrame:
         if held:
             yield links(*(np.concatenate(c, axis=-1) for c in zip(*held, strict=True)))
 
-    return postings.mapInArrow(run, f"a {kind}, b {kind}")
+    return postings.mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def _postings(rows: DataFrame, lists: list[tuple[int, ...]]) -> Column:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, VISIBLE, hash_sample, row_sums, stored, text_blocks, within_bytes, word_hashes, words
+from .common import LOWER, VISIBLE, hash_sample, release, row_sums, stored, text_blocks, tidy, within_bytes, word_hashes, words
 
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 2000
@@ -114,8 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     ``sample_bytes`` in all, by the id's hash."""
     named = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
     marks = labels.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), named.alias("_domain")).filter("_domain is not null").groupBy("_id").agg(F.min("_domain").alias("_domain"))
-    sizes = docs.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.coalesce(F.octet_length(text), F.lit(0))).cast("bigint").alias("_size"))
-    ids = hash_sample(marks.join(sizes, "_id"), "_id", sample_rows)
+    marks = marks.join(docs.select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
+    ids = hash_sample(marks, "_id", sample_rows)
+    sizes = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("_size")).join(F.broadcast(ids.select("_id")), "_id")
+    ids = ids.join(sizes.groupBy("_id").agg(F.max("_size").alias("_size")), "_id")
     ids = ids.select("_id", "_domain").join(within_bytes(ids, sample_bytes), "_id")
     rows = (
         docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
@@ -124,7 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
         .limit(sample_rows)
         .collect()
     )
-    return train([r["t"] for r in rows], [r["_domain"] for r in rows])
+    model = train([r["t"] for r in rows], [r["_domain"] for r in rows])
+    release()
+    return model
 
 
 def posteriors(docs: DataFrame, model: dict, keys: list[Column], text: str = "text") -> DataFrame:
@@ -148,7 +152,7 @@ def posteriors(docs: DataFrame, model: dict, keys: list[Column], text: str = "te
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(cols)), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), flat], names=[*b.schema.names[:-1], "n_tokens", "p"])
 
-    return src.mapInArrow(run, f"{fields}, n_tokens bigint, p array<double>")
+    return src.mapInArrow(tidy(run), f"{fields}, n_tokens bigint, p array<double>")
 
 
 def _arrays(n, p) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +206,7 @@ def _measured(table: DataFrame, k: int, steps: list[np.ndarray], trials: list[np
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["i", "v"])
 
     out = np.zeros(len(trials) * width)
-    for r in table.select("n_tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # len(out) rows
+    for r in table.select("n_tokens", "p").mapInArrow(tidy(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # len(out) rows
         out[r["i"]] = r["v"]
     return [(x[0], x[1 : 1 + k], x[1 + k :].reshape(k, k)) for x in out.reshape(len(trials), width)]
 
@@ -274,7 +278,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[p.argmax(1)].tolist(), pa.string()), pa.array(_rates(n, p, steps))], names=[*b.schema.names, "domain", "rate"])
 
     totals = [{"domain": d, "asked": float(w), "target": float(a), "reached": float(b)} for d, w, a, b in zip(model["domains"], wanted, target, now, strict=True)]
-    return table.mapInArrow(run, f"{fields}, domain string, rate double"), totals
+    return table.mapInArrow(tidy(run), f"{fields}, domain string, rate double"), totals
 
 
 def take(mixed: DataFrame, seed: int = 1, doc_id: str = "doc_id") -> DataFrame:

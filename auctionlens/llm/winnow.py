@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, filter_bits, gram_hashes, passes, stored, text_blocks, word_hashes, words
+from .common import ALNUM, LOWER, filter_bits, gram_hashes, passes, stored, text_blocks, tidy, word_hashes, words
 
 WINDOW = 10
 K = 5
@@ -95,7 +95,7 @@ def _fingerprints(src: DataFrame, lengths: list[int], bits: np.ndarray | None, s
                         hits[lo + r].append({"fp": int(g[p].view(np.int64)), "kind": kind, "pos": p - int(rows[r]), "lo": p - a, "ctx": ctx})
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(count), pa.array(hits, _HIT_ARROW)], names=[*b.schema.names[:-1], "n_words", "hits"])
 
-    return src.mapInArrow(run, f"{fields}, n_words bigint, hits {_HIT}")
+    return src.mapInArrow(tidy(run), f"{fields}, n_words bigint, hits {_HIT}")
 
 
 def _lead(a: Column, b: Column) -> Column:

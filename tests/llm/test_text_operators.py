@@ -6,10 +6,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,3 +372,17 @@ def test_template_automaton():
     for bad in ("[a] b", "a [b", "{x:1-2} a b"):
         with pytest.raises((ValueError, IndexError)):
             licenses.compile_template(bad)
+
+
+def test_crf_offsets_of_a_long_text_are_linear():
+    """Five megabytes with many toxic tokens: character offsets, in seconds."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(2, 5) for _ in range(60)) for _ in range(200)]
+    model = crf.train([t + " grblx" * (i % 2) + " ende" for i, t in enumerate(texts)], [i % 2 for i in range(200)])
+    text = "é中 grblx; " + texts[0] + "\n"
+    n = 5_000_000 // len(text)
+    begin = time.monotonic()
+    score, count, spans = crf.score_texts(model, pa.array(["before", text * n, None]))
+    assert time.monotonic() - begin < 60
+    assert count[1] == len(spans[1]) == n and spans[0] == spans[2] == [] and score[1] > 0.5
+    assert [x[:2] for x in spans[1]] == [(i * len(text) + 3, i * len(text) + 8) for i in range(n)]
