@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auctionlens.llm import crf, langid, setsketch, softmix, winnow
-from auctionlens.llm.common import crc_mod, stored
+from auctionlens.llm.common import crc_mod, small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from the labelled part of the stage's own input. Null
     texts and texts without a letter go."""
+    small_batches(spark)
     return langid.keep(docs, langid.fit(docs, crc_mod("doc_id", 3) != 1))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not predicted toxic (operator 3), learned
     from the labels of the stage's own input."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return crf.keep(docs, crf.fit(docs, labels, crc_mod("doc_id", 5) != 0))
 
@@ -31,11 +33,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (operator 5): five-word
     shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return setsketch.keep(docs, k=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no benchmark window (operator 1)."""
+    small_batches(spark)
     return winnow.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -50,6 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     so there is nothing to fill their targets with.
     Returns the documents taken at least once, with n_tokens, p, domain, rate
     and copies; those columns replace ones of the same name."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 0")
     return softmix.take(softmix.mix(docs, labels, CLEAN_TARGETS, whole_rows=True))
 
