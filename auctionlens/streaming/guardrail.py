@@ -67,6 +67,7 @@ def join_request_stream(
     max_delay: str = "1 hour",
     watermark: str = "2 days",
     ts_col: str = "ts",
+    keep_unmatched: bool = False,
 ) -> DataFrame:
     """S01 with both sides streaming: impressions (already watermarked on
     ``ts_col``) joined to a stream of requests (``request_id``,
@@ -76,6 +77,11 @@ def join_request_stream(
     Both watermarks and the time-range condition let Spark drop join state
     once neither side can still match, so state stays bounded by traffic
     within the delay instead of growing with history.
+
+    ``keep_unmatched`` makes it a left outer join with a column ``matched``:
+    an impression whose request is missing, too early or later than the
+    watermark comes out once the watermark leaves no request for it, with
+    NULL version and keys.
     """
     req = (
         requests.select(F.col("request_id").alias("_rid"), F.col("request_ts").cast("timestamp").alias("_req_ts"), "sdk_version", *keys)
@@ -86,9 +92,78 @@ def join_request_stream(
         & (F.col(ts_col) >= F.col("_req_ts"))
         & (F.col(ts_col) <= F.col("_req_ts") + F.expr(f"INTERVAL {max_delay}"))
     )
+    if keep_unmatched:
+        return events.join(req, cond, "left").withColumn("matched", F.col("_rid").isNotNull()).drop("_rid", "_req_ts")
     return events.join(req, cond).drop("_rid", "_req_ts")
 
 
+def start_matching(
+    events: DataFrame, requests: DataFrame, output_path: str, unmatched_path: str, checkpoint_path: str, keys: Sequence[str] = GUARDRAIL_KEYS, watermark: str = "2 days", **kw
+) -> StreamingQuery:
+    """Runs the outer :func:`join_request_stream` on all that has arrived:
+    impressions with their request go to ``output_path``, the others to the side
+    table ``unmatched_path``, both by ``batch_id=<epoch>`` and overwritten by a
+    retried batch (exactly once with the checkpoint)."""
+    out = join_request_stream(guardrail_events(events, watermark, dedup=False), requests, keys, watermark=watermark, keep_unmatched=True, **kw)
+
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        batch.persist()  # two sinks, one run of the stateful plan
+        try:
+            for path, rows in ((output_path, batch.filter("matched")), (unmatched_path, batch.filter("not matched"))):
+                rows.drop("matched").write.mode("overwrite").parquet(f"{path}/batch_id={epoch_id}")
+        finally:
+            batch.unpersist()
+
+    w = out.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+    return w.trigger(availableNow=True).start()
+
+
+def replay_matching(
+    events: DataFrame, requests: DataFrame, late: DataFrame | None = None, keys: Sequence[str] = GUARDRAIL_KEYS, watermark: str = "2 days", max_delay: str = "1 hour"
+) -> tuple[DataFrame, DataFrame]:
+    """Replays bare impressions (impression_id, request_id, ts, billable) and
+    requests through :func:`start_matching`; returns matched and unmatched
+    impressions. They arrive in two lots by time, the query restarting from its
+    checkpoint between them; then rows far beyond the data move the watermark
+    past all of them, and the ``late`` requests arrive behind it."""
+    spark = events.sparkSession
+    run = f"{ensure_checkpoint_dir(spark)}/auctionlens_matching/{uuid.uuid4().hex}"
+    req = requests.select("request_id", "request_ts", "sdk_version", *keys)
+    prev_tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        events.write.parquet(f"{run}/landed")
+        landed = spark.read.parquet(f"{run}/landed")
+        first, last = landed.agg(F.min("ts"), F.max("ts")).first()
+        if last is None:
+            return landed, landed
+        half = F.lit(first).cast("timestamp_ntz") + (F.lit(last).cast("timestamp_ntz") - F.lit(first).cast("timestamp_ntz")) / 2
+
+        def mark(df: DataFrame, ts: str, name: str, ahead: int) -> None:
+            at = F.lit(last).cast("timestamp") + ahead * (F.expr(f"INTERVAL {watermark}") + F.expr(f"INTERVAL {watermark}") + F.expr(f"INTERVAL {max_delay}"))
+            own = {ts: at, "request_id": F.lit("-1")}  # a NULL id would be filtered out before the watermark
+            row = spark.range(1).select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+            row.write.mode("append").parquet(f"{run}/{name}")
+
+        lots = [(landed.filter(F.col("ts") < half), req.filter(F.col("request_ts") < half)), (landed.filter(F.col("ts") >= half), req.filter(F.col("request_ts") >= half)), (None, None)]
+        lots += [(None, late.select(*req.columns))] if late is not None else []
+        for i, (e, r) in enumerate(lots):
+            for name, df in (("events", e), ("requests", r)):
+                if df is not None:
+                    df.write.mode("append").parquet(f"{run}/{name}")
+            if i >= 2:
+                mark(landed, "ts", "events", i)
+                mark(req, "request_ts", "requests", i)
+            sources = [spark.readStream.schema(df.schema).parquet(f"{run}/{name}") for name, df in (("events", landed), ("requests", req))]
+            q = start_matching(*sources, f"{run}/out", f"{run}/unmatched", f"{run}/checkpoint", keys, watermark, max_delay=max_delay)
+            q.awaitTermination()
+            if q.exception() is not None:
+                raise RuntimeError(str(q.exception()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev_tz)
+    return tuple(spark.read.parquet(f"{run}/{x}").filter("impression_id is not null").drop("batch_id") for x in ("out", "unmatched"))
+
+
 def start_guardrail_stream(
     spark: SparkSession,
     source_path: str,
