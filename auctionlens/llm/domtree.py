@@ -46,8 +46,9 @@ from .common import hash_sample
 SAMPLE_ROWS = 100
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
+    # a quote opens a value only after an equals sign
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|</?[a-zA-Z][^>]*\Z"
     r"|(?P<text>[^<]+|<)",
@@ -88,28 +89,56 @@ def _words_of(attrs: str) -> tuple:
     return tuple(dict.fromkeys(found))
 
 
+class _Open(list):
+    """Open elements, the root first; how many there are of each name, and what
+    holds the text of each, are kept, so that no step looks through all of them."""
+
+    def __init__(self, nodes):
+        super().__init__(nodes)
+        self._count: dict[str, int] = {}
+        self._holders = list(nodes)
+
+    def append(self, node) -> None:
+        self._count[node.tag] = self._count.get(node.tag, 0) + 1
+        self._holders.append(self._holders[-1] if node.tag in INLINE else node)
+        super().append(node)
+
+    def pop(self):
+        node = super().pop()
+        self._count[node.tag] -= 1
+        self._holders.pop()
+        return node
+
+    def drop(self, lo: int, hi: int) -> None:
+        """Takes out elements: inline ones, or all from ``lo`` on."""
+        for x in self[lo:hi]:
+            self._count[x.tag] -= 1
+        del self[lo:hi], self._holders[lo:hi]
+
+    def has(self, tag: str) -> bool:
+        """Whether one of that name is open, besides the root."""
+        return self._count.get(tag, 0) > 0
+
+    def holder(self):
+        return self._holders[-1]
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """Root and text blocks (in page order) of a page."""
     root = Node("html", (), None)
     blocks: list[Node] = []
-    stack: list[Node] = [root]  # open elements; inline ones too
+    stack = _Open([root])  # open elements; inline ones too
     pieces: list[str] = []
     linked = 0
     pos, n = 0, len(page)
 
-    def holder() -> Node:
-        for x in reversed(stack):
-            if x.tag not in INLINE:
-                return x
-        return root
-
     def flush():
         nonlocal linked
         if pieces:
             text = " ".join(htmllib.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                up = holder()
+                up = stack.holder()
                 leaf = Node("#text", (), up)
                 leaf.text, leaf.linked = text, min(linked, len(text))
                 up.kids.append(leaf)
@@ -150,13 +179,13 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 pieces.append(" ")
                 continue
         if ends:
-            if not any(x.tag == tag for x in stack[1:]):
+            if not stack.has(tag):
                 continue
             if tag in INLINE and tag not in ("a",) and stack[-1].tag != tag:
                 # a crossing inline end tag closes that element alone
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i]
+                        stack.drop(i, i + 1)
                         break
                     if stack[i].tag not in INLINE:
                         break
@@ -198,21 +227,22 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 flush()
             continue
         if tag in CLOSES_P or tag in SIBLINGS:
-            for i in range(len(stack) - 1, 0, -1):
+            ended = (*SIBLINGS.get(tag, ()), *(("p",) if tag in CLOSES_P else ()))
+            for i in range(len(stack) - 1, 0, -1) if any(map(stack.has, ended)) else ():
                 open_tag = stack[i].tag
                 if (open_tag == "p" and tag in CLOSES_P) or open_tag in SIBLINGS.get(tag, ()):
                     flush()
                     for x in stack[i:]:
                         links -= x.tag == "a"
-                    del stack[i:]
+                    stack.drop(i, len(stack))
                     if open_tag == "p":
                         break
                 elif open_tag not in INLINE and (open_tag in HOLDERS or tag not in SIBLINGS):
                     break
         flush()
         words = _words_of(attrs) if "=" in attrs else ()
-        up = holder()
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        up = stack.holder()
+        if tag in ("html", "body") and (tag == "html" or stack.has(tag)):
             continue
         node = Node(tag, words, up)
         up.kids.append(node)
@@ -393,6 +423,24 @@ _SHORT = "<p>Short note.</p><p>More follows soon, and it is worth the wait.</p>"
 _LINKS = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>World news</a></li><li><a href='/c'>Sport</a></li></ul>"
 _BODY = "<h1>Flood reaches the old mill</h1>" + _PROSE + "<h2>What comes next</h2>" + _SHORT + "<blockquote>It took the door, she said.</blockquote><ul><li>The mill is shut.</li><li>The bridge is closed, too.</li></ul>"
 
+# Parts of articles of the built-in labelled pages, besides plain prose.
+_PARTS = [
+    "<p>See <a href='/a'>the whole report of the council on the flood</a></p>",
+    "<p><a href='/a'>The report on the flood</a></p>",
+    "<table><tr><th>Day</th><th>Metres</th></tr><tr><td>Monday</td><td>3.1</td></tr><tr><td>Tuesday, at noon</td><td>2.9</td></tr></table>",
+    "<dl><dt>Mill</dt><dd>A house that grinds corn.</dd><dt>Weir</dt><dd>A low dam</dd></dl>",
+    "<ul><li><a href='/m'>The old mill</a></li><li><a href='/b'>The bridge</a> is closed.</li></ul>",
+    "<blockquote><p>It took the door, she said.</p></blockquote>",
+    "<figure><img src='m.png'><figcaption>The mill before the flood</figcaption></figure>",
+    "<div><p>The church was dry.</p><p>It stands on the hill, above the river.</p></div>",
+    "<details><summary>How it was measured</summary><p>With a rod, at the bridge.</p></details>",
+    "<pre>level 3.1\nlevel 2.9</pre>",
+    "<section><h3>The bridge</h3><p>It is a hundred years old.</p></section>",
+    "<ol><li>Rain</li><li>Flood, by noon</li></ol>",
+    "<h2><a href='/x'>What the council says</a></h2>",
+    "<p>So</p>",
+]
+
 # Boilerplate of the built-in labelled pages (tag, attributes, inner html).
 _CHROME = [
     ("nav", "", _LINKS),
@@ -437,7 +485,8 @@ def _mark_chrome(i: int) -> str:
 def labelled_pages() -> list[str]:
     """Built-in pages: an article in several holders, or in the body itself,
     among boilerplate of every kind, before, after and inside it, elements
-    marked keep or drop."""
+    marked keep or drop; articles of many parts: links, tables, lists of every
+    kind, quotes, figures, nested divisions."""
     pages = []
     for i in range(len(_CHROME) * 3):
         picks = [i * 5 + 7 * j for j in range(4)] + [i]
@@ -450,6 +499,11 @@ def labelled_pages() -> list[str]:
             tag, attrs = _HOLDERS[i % len(_HOLDERS)]
             middle = f"<{tag} {_mark(attrs, 'keep')}>{body}{inner}</{tag}>"
         pages.append(f"<html><body>{chrome[0]}{chrome[1]}{middle}{chrome[2]}{chrome[3]}</body></html>")
+    for i in range(len(_HOLDERS) * len(_PARTS)):  # articles of many parts
+        tag, attrs = _HOLDERS[i % len(_HOLDERS)]
+        parts = [_PARTS[(i // len(_HOLDERS) + 5 * j) % len(_PARTS)] for j in range(i % 4 + 1)]
+        middle = "<h1>Flood reaches the old mill</h1>" + _PROSE + "".join(parts) + (_PROSE if i % 3 else "")
+        pages.append(f"<html><body>{_mark_chrome(i)}<{tag} {_mark(attrs, 'keep')}>{middle}</{tag}>{_mark_chrome(i * 5 + 3)}</body></html>")
     for i, text in enumerate(_SENTENCES):  # pages that are hardly more than a text
         alone = f"<p class='keep'>{text}</p>"
         pages += [alone, f"<h1 class='keep'>Flood</h1>{alone}<p class='keep'>{_SENTENCES[i - 1]}</p>", f"<body><div class='keep'>{text}</div></body>", f"<body>{_mark_chrome(i)}{alone}</body>"]

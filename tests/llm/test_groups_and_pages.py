@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -456,3 +457,40 @@ def test_kept_rows_of_one_id_keep_their_texts(spark, documents):
     rows = [(1, "a b c d e f"), (1, "wholly other words in here"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)]
     got = Counter((r["doc_id"], r["text"]) for r in setsketch.keep(documents(rows)).collect())
     assert got == Counter({rows[0]: 1, rows[1]: 1, rows[4]: 1, rows[5]: 1})
+
+
+_PARTS = {
+    "link": ('<p>See <a href="/a">the very long link text of it</a></p>', ["See the very long link text of it"]),
+    "table": ("<table><tr><td>Cell one</td><td>2</td></tr><tr><td>Cell three</td><td>4</td></tr></table>", ["Cell one", "2", "Cell three", "4"]),
+    "figure": ("<figure><img src=x><figcaption>A caption here</figcaption></figure>", ["A caption here"]),
+    "dl": ("<dl><dt>Term</dt><dd>What it means</dd></dl>", ["Term", "What it means"]),
+    "ul": ("<ul><li><a href=/x>Linked item</a></li><li>Plain item</li></ul>", ["Linked item", "Plain item"]),
+    "quote": ("<blockquote><p>She said so.</p></blockquote>", ["She said so."]),
+    "div": ("<div><p>An inner paragraph, with a comma.</p></div>", ["An inner paragraph, with a comma."]),
+    "details": ("<details><summary>More</summary><p>It is hidden at first.</p></details>", ["More", "It is hidden at first."]),
+    "apostrophe": ("<p><a href=/a title=it's>the link</a> and they don't know.</p>", ["the link and they don't know."]),
+    "comment": ("<!--><p>After an empty comment, this stays.</p>", ["After an empty comment, this stays."]),
+}
+
+
+def test_articles_of_many_parts_are_whole(spark):
+    """Each part in each place of an article, in several holders; on op8's own way."""
+    prose = ["The committee met on Tuesday, and it spoke for hours about the road.", "Nobody knew what would come of it; the plan was old, and money was short.", "In the end they voted, five to four, to wait until the autumn."]
+    given = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(100).collect()]
+    model, rows = domtree.fit_pages(given), []
+    for hold in ("article", 'div class="content"', "main", 'section class="post"'):
+        for name, (part, text) in _PARTS.items():
+            for at in range(1, 4):
+                body = "".join([*(f"<p>{x}</p>" for x in prose[:at]), part, *(f"<p>{x}</p>" for x in prose[at:])])
+                page = f'<html><body><nav><a href="/">Home</a> <a href="/n">News</a></nav><{hold}><h1>A heading</h1>{body}</{hold.split()[0]}><footer>&copy; 2020 Us</footer></body></html>'
+                rows.append((len(rows), f"{hold} {name} {at}", page, "\n".join(["A heading", *prose[:at], *text, *prose[at:]])))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = domtree.extract_text(df, model, ["page_id", "url", "want"]).collect()
+    assert [r["url"] for r in got if r["text"] != r["want"]] == [] and len(got) == len(rows)
+
+
+def test_broken_markup_is_read_in_linear_time():
+    for piece in ("<b>x</i>", "<i><b>x</i>", "<div><p>some text</p></em>", "<p>a<p>b</div>", '<a href="x>y</a>'):
+        begin = time.monotonic()
+        _, blocks = domtree.parse(piece * (1_000_000 // len(piece)))
+        assert blocks and time.monotonic() - begin < 10
