@@ -815,6 +815,12 @@ FROM w
 for _name in ("guardrail_stream", "guardrail_stream_dedup", "guardrail_stream_joined"):
     QUERIES[_name] = _STREAM
 
+# Every impression in the three windows of 90 days that hold it
+QUERIES["guardrail_stream_sliding"] = (
+    _STREAM.replace("time_bucket(INTERVAL '90 days', ts, TIMESTAMP '1970-01-01')", "time_bucket(INTERVAL '30 days', ts, TIMESTAMP '1970-01-01') - to_days(CAST(30 * k AS INTEGER))")
+    .replace("FROM x GROUP BY ALL", "FROM x, range(3) s(k) GROUP BY ALL")
+)
+
 
 def _recursive(sql: str) -> str:
     return sql.replace("WITH", "WITH RECURSIVE", 1)

@@ -288,6 +288,7 @@ def replay_guardrail(
     dedup: bool = False,
     requests: DataFrame | None = None,
     files_per_trigger: int | None = None,
+    slide: str | None = None,
 ) -> DataFrame:
     """Replay a batch of won impressions through the streaming guardrail and
     return every window, with ``closed``: whether the watermark of the data
@@ -297,7 +298,7 @@ def replay_guardrail(
     in one trigger. A last row, far beyond the data and without any version,
     then moves the watermark past all windows, so append mode emits them all;
     that row's own window never closes. ``dedup`` is for sources that may
-    deliver an impression twice. With ``requests`` the source is bare
+    deliver an impression twice, ``slide`` makes the windows overlap. With ``requests`` the source is bare
     impressions and the attributes come from that table (S01).
     """
     spark = won.sparkSession
@@ -320,7 +321,7 @@ def replay_guardrail(
             mark.write.mode("append").parquet(f"{run}/source")
         q = start_guardrail_stream(
             spark, f"{run}/source", src.schema, f"{run}/out", f"{run}/checkpoint",
-            base=base, cand=cand, keys=keys, window=window, watermark=watermark, min_n=min_n, tol=tol,
+            base=base, cand=cand, keys=keys, window=window, slide=slide, watermark=watermark, min_n=min_n, tol=tol,
             max_files_per_trigger=files_per_trigger, dedup=dedup, requests=requests,
         )
         q.awaitTermination()
