@@ -439,6 +439,9 @@ _PARTS = [
     "<ol><li>Rain</li><li>Flood, by noon</li></ol>",
     "<h2><a href='/x'>What the council says</a></h2>",
     "<p>So</p>",
+    "<div><p>It will rain again.</p></div>",
+    "<div class='row'><div><p>Nobody was hurt, the doctor said.</p></div></div>",
+    "<div>Two boats were lost; one was found at the weir.</div>",
 ]
 
 # Boilerplate of the built-in labelled pages (tag, attributes, inner html).
