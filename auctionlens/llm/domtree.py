@@ -206,6 +206,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 pieces.append(" ")
             pos = close.end() if close else n
             continue
+        if tag in ("option", "optgroup") and not stack.has("select"):
+            continue  # of a select that never ends
         if tag in PAIRED:
             if tag in FOREIGN:
                 pieces.append(" ")
