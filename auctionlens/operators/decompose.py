@@ -4,6 +4,7 @@ D02 log attribution, D03 mix standardisation."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,3 +192,75 @@ def mix_standardized(
             )
         )
     return g.select(F.inline(F.array(*rows)))
+
+
+def mix_shapley(
+    t: AdTables,
+    hinge: str = REFERENCE_HINGE,
+    variables: Sequence[str] = ("country", "os", "os_version", "ad_format"),
+) -> DataFrame:
+    """D03 for several mix variables at once: what each contributes to the mix
+    effect of ``mix_standardized`` over the same strata, whatever their order.
+
+    ``g(S)`` is the post total with the traffic shares of the variables in ``S`` put
+    back to those before the hinge, and the others as they are after it, given those in
+    ``S``: over the groups of ``S``, the pre share times the post rate. So
+    ``g({})`` is the post total and ``g({}) - g(all)`` the mix effect. A variable's
+    part is its Shapley value: what putting it back takes off ``g``, averaged over
+    all orders of the variables. ``within`` and the parts add up to the change.
+    A group without post rows keeps its pre rate.
+
+    Impressions are tallied by all variables once; the cube is taken over those
+    tallies, and its ``2 ** len(variables)`` totals are weighted in one aggregate.
+    """
+    variables = list(variables)
+    d = len(variables)
+    if not 1 <= d <= 10:
+        raise ValueError(f"from 1 to 10 variables, not {d}")
+    x = _imps_with_request(t, hinge, variables)
+    pre, post = F.col("era") == ERA_PRE, F.col("era") == ERA_POST
+    rendered = F.col("rendered")
+    sums = {
+        "n0": count_if(pre & rendered), "n1": count_if(post & rendered),
+        "b0": count_if(pre & rendered & F.col("billable")), "b1": count_if(post & rendered & F.col("billable")),
+        "v0": F.sum(F.when(pre, money("revenue_usd"))), "v1": F.sum(F.when(post, money("revenue_usd"))),
+    }
+    cells = x.groupBy(*variables).agg(*[e.alias(c) for c, e in sums.items()])
+    cube = cells.cube(*variables).agg(*[F.sum(c).alias(c) for c in sums], F.grouping_id().alias("_gid"))
+    rates = {"ecpm": ("v", 1000.0), "billable_rate": ("b", 1.0)}
+    totals = []
+    for m, (c, unit) in rates.items():
+        r0, r1 = ratio(f"{c}0", "n0") * unit, ratio(f"{c}1", "n1") * unit
+        totals.append(ratio(F.sum(F.col("n0") * F.coalesce(r1, r0, F.lit(0.0))), F.sum("n0")).alias(f"{m}_g"))
+        # the row of no variable holds the totals themselves
+        totals += [F.max(r0).alias(f"{m}_pre"), F.max(r1).alias(f"{m}_post")]
+    g = cube.groupBy("_gid").agg(*totals)
+    none = 2**d - 1  # a bit of the grouping id is set for a variable left out
+
+    def weight(i: int, gid: int) -> float:
+        left_out = gid >> (d - 1 - i) & 1
+        size = d - bin(gid).count("1")
+        others = size if left_out else size - 1
+        w = factorial(others) * factorial(d - 1 - others) / factorial(d)
+        return w if left_out else -w
+
+    cols = []
+    for m in rates:
+        cols += [F.max(F.when(F.col("_gid") == none, F.col(f"{m}_{e}"))).alias(f"{m}_{e}") for e in ("pre", "post")]
+        cols.append(F.max(F.when(F.col("_gid") == 0, F.col(f"{m}_g"))).alias(f"{m}_cross"))
+        for i, v in enumerate(variables):
+            weights = F.array(*[F.lit(weight(i, gid)) for gid in range(2**d)])
+            g_of_none = F.when(F.col("_gid") == none, F.col(f"{m}_post")).otherwise(F.col(f"{m}_g"))
+            cols.append(F.sum(F.element_at(weights, F.col("_gid").cast("int") + 1) * g_of_none).alias(f"{m}_of_{v}"))
+    rows = [
+        F.struct(
+            F.lit(m).alias("metric"),
+            dround(f"{m}_pre", 4).alias("total_pre"), dround(f"{m}_post", 4).alias("total_post"),
+            dround(F.col(f"{m}_post") - F.col(f"{m}_pre"), 4).alias("total_change"),
+            dround(F.col(f"{m}_cross") - F.col(f"{m}_pre"), 4).alias("within"),
+            dround(F.col(f"{m}_post") - F.col(f"{m}_cross"), 4).alias("mix"),
+            *[dround(f"{m}_of_{v}", 4).alias(f"mix_{v}") for v in variables],
+        )
+        for m in rates
+    ]
+    return g.agg(*cols).select(F.inline(F.array(*rows)))

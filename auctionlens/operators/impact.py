@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auctionlens.functions.exprs import MONEY_TYPE, any_of, case_label, count_if, dround, is_true, money, os_major, ratio
@@ -211,6 +211,18 @@ def exposure(
     )
 
 
+def _ttl_tallies(t: AdTables, hinge: str, cand: str, cohort: dict[str, str] | None) -> tuple[DataFrame, Column]:
+    """Impressions and exact revenue per outcome of the billing rule, and its signal."""
+    pred = _match(cohort or DEFAULT_COHORT) & (F.col("sdk_version") == cand)
+    x = _with_bid(rendered_post(t, hinge, pred), t, ["bid_ttl_ms", "cleared_price", "buyer_id"], hinge)
+    tallies = x.groupBy(
+        "buyer_id", "render_latency_ms", "bid_ttl_ms", "billable",
+        is_true(F.col("viewable")).alias("_v"), is_true(F.col("video_completed")).alias("_c"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(money(F.col("cleared_price") / 1000.0)).alias("rev"))
+    y = tallies.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
+    return y, is_true(_billing_signal(F.col("billing_type"), F.col("_v"), F.col("_c")))
+
+
 def ttl_what_if(
     t: AdTables,
     hinge: str = REFERENCE_HINGE,
@@ -226,14 +238,7 @@ def ttl_what_if(
     such combination (revenue summed exactly) before the buyers join, and
     the ``len(deltas_ms)`` scenarios fan out over tallies, not impressions.
     """
-    pred = _match(cohort or DEFAULT_COHORT) & (F.col("sdk_version") == cand)
-    x = _with_bid(rendered_post(t, hinge, pred), t, ["bid_ttl_ms", "cleared_price", "buyer_id"], hinge)
-    tallies = x.groupBy(
-        "buyer_id", "render_latency_ms", "bid_ttl_ms", "billable",
-        is_true(F.col("viewable")).alias("_v"), is_true(F.col("video_completed")).alias("_c"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum(money(F.col("cleared_price") / 1000.0)).alias("rev"))
-    y = tallies.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
-    signal = is_true(_billing_signal(F.col("billing_type"), F.col("_v"), F.col("_c")))
+    y, signal = _ttl_tallies(t, hinge, cand, cohort)
     y = y.select(
         F.explode(F.array(*[F.lit(int(d)) for d in deltas_ms])).alias("delta_ms"),
         "render_latency_ms", "bid_ttl_ms", "billable", "n", "rev", signal.alias("signal"),
@@ -248,3 +253,49 @@ def ttl_what_if(
         F.sum(F.when(recovered, F.col("n")).otherwise(0)).cast("bigint").alias("recovered_imps"),
         dround(F.sum(F.when(recovered, F.col("rev")).otherwise(zero)), 4).alias("recovered_revenue_usd"),
     ).select(F.col("delta_ms").cast("bigint").alias("delta_ms"), "n_rendered", "billable_now", "billable_whatif", "recovered_imps", "recovered_revenue_usd")
+
+
+def ttl_frontier(
+    t: AdTables,
+    hinge: str = REFERENCE_HINGE,
+    cand: str = CAND,
+    cohort: dict[str, str] | None = None,
+    budget_ms: int = 1500,
+    width_ms: int = 250,
+) -> DataFrame:
+    """D15 for every TTL: what each raise recovers, not only those of a list.
+
+    What a raise recovers changes only where it reaches some unbilled impression whose
+    signal is there, at ``latency - ttl``. One row per such raise (above 0): the impressions
+    and revenue recovered in all and by it alone, their share of all recoverable revenue,
+    and ``best`` for the raise that recovers most within ``budget_ms``.
+    Without any recoverable impression there is no row.
+
+    Raises are tallied first, then summed up in two steps: inside ranges of
+    ``width_ms`` in parallel, and over the ranges' totals.
+    """
+    y, signal = _ttl_tallies(t, hinge, cand, cohort)
+    raise_ms = F.col("render_latency_ms") - F.col("bid_ttl_ms")
+    late = y.filter(signal & ~is_true(F.col("billable")) & (raise_ms > 0))
+    steps = late.groupBy(raise_ms.cast("bigint").alias("delta_ms")).agg(F.sum("n").cast("bigint").alias("n"), F.sum("rev").cast("decimal(38,12)").alias("rev"))
+    steps = steps.withColumn("_range", F.floor(F.col("delta_ms") / width_ms))
+    ranges = steps.groupBy("_range").agg(F.sum("n").alias("_n"), F.sum("rev").cast("decimal(38,12)").alias("_rev"), F.max(F.when(F.col("delta_ms") <= budget_ms, F.col("delta_ms"))).alias("_last"))
+    before = Window.orderBy(F.col("_range").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    ranges = ranges.select(
+        "_range",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum("_rev").over(before), F.lit(0)).cast("decimal(38,12)").alias("_rev"),
+        F.sum("_rev").over(everything).cast("double").alias("_all"),
+        F.max("_last").over(everything).alias("_best"),
+    )
+    inside = Window.partitionBy("_range").orderBy(F.col("delta_ms").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = steps.withColumns({"_in": F.sum("n").over(inside), "_rev_in": F.sum("rev").over(inside).cast("decimal(38,12)")}).join(ranges, "_range")
+    total = (F.col("_rev") + F.col("_rev_in")).cast("double")
+    return sums.select(
+        "delta_ms", F.col("n").alias("imps_at"), dround(F.col("rev").cast("double"), 4).alias("revenue_at_usd"),
+        (F.col("_n") + F.col("_in")).cast("bigint").alias("recovered_imps"),
+        dround(total, 4).alias("recovered_revenue_usd"),
+        dround(ratio(total, "_all"), 4).alias("revenue_share"),
+        F.coalesce(F.col("delta_ms") == F.col("_best"), F.lit(False)).alias("best"),
+    )

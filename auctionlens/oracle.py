@@ -8,6 +8,8 @@ mistake in one engine is not copied to the other.
 
 from __future__ import annotations
 
+import itertools
+
 HINGE = "1998-07-01"
 
 FIXTURE_CTES = f"""
@@ -736,7 +738,8 @@ FROM s GROUP BY delta_ms
 
 
 # D14 contract_check: PK duplicates, FK orphans, NULL counts, conditional rules
-def _contract_sql() -> str:
+def _contract_sql(of: str = "", ctes: str = "") -> str:
+    """``of`` ends the names of the six relations that are checked, ``ctes`` defines them."""
     # The model's keys and columns, stated here once more so that
     # a key lost in the library does not vanish from both sides.
     columns = {
@@ -762,14 +765,14 @@ def _contract_sql() -> str:
 
     parts = []
     for table, key in ((t, c.split()[0]) for t, c in columns.items()):
-        src = f"(SELECT {key}, COUNT(*) AS c FROM {table} WHERE {key} IS NOT NULL GROUP BY {key})"
+        src = f"(SELECT {key}, COUNT(*) AS c FROM {table}{of} WHERE {key} IS NOT NULL GROUP BY {key})"
         parts.append(row("pk_duplicate", table, key, "COALESCE(SUM(c - 1), 0)", src))
     for child, ck, parent, pk in foreign:
-        src = f"{child} c WHERE c.{ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{ck})"
+        src = f"{child}{of} c WHERE c.{ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent}{of} p WHERE p.{pk} = c.{ck})"
         parts.append(row("fk_orphan", child, ck, "COUNT(*)", src))
     for table, names in columns.items():
         for name in names.split():
-            parts.append(row("null_count", table, name, f"COUNT(*) FILTER (WHERE {name} IS NULL)", table))
+            parts.append(row("null_count", table, name, f"COUNT(*) FILTER (WHERE {name} IS NULL)", table + of))
     rules = [
         ("rule_cpm_null_iff_no_bid", "bids", "bid_cpm", "(bid_cpm IS NULL) <> (did_bid = 0)"),
         ("rule_cleared_iff_winner", "bids", "cleared_price", "(cleared_price IS NOT NULL) <> (is_winner = 1)"),
@@ -781,16 +784,16 @@ def _contract_sql() -> str:
          "NOT COALESCE(billable, FALSE) AND COALESCE(revenue_usd, 0.0) <> 0.0"),
     ]
     for check, table, column, pred in rules:
-        parts.append(row(check, table, column, f"COUNT(*) FILTER (WHERE {pred})", table))
+        parts.append(row(check, table, column, f"COUNT(*) FILTER (WHERE {pred})", table + of))
     parts.append(row("rule_complete_ts_null_iff_not_rendered", "impressions", "render_complete_ts",
-                     "COUNT(*) FILTER (WHERE (render_complete_ts IS NULL) <> (NOT COALESCE(rendered, FALSE)))", "impressions"))
-    wb = "impressions i JOIN bids b ON i.winning_bid_id = b.bid_id"
+                     "COUNT(*) FILTER (WHERE (render_complete_ts IS NULL) <> (NOT COALESCE(rendered, FALSE)))", f"impressions{of}"))
+    wb = f"impressions{of} i JOIN bids{of} b ON i.winning_bid_id = b.bid_id"
     parts.append(row("rule_winning_bid_other_request", "impressions", "winning_bid_id",
                      "COUNT(*) FILTER (WHERE b.request_id <> i.request_id)", wb))
     parts.append(row("rule_winning_bid_not_winner", "impressions", "winning_bid_id",
                      "COUNT(*) FILTER (WHERE b.is_winner <> 1)", wb))
-    wby = ("impressions i LEFT JOIN bids b ON i.winning_bid_id = b.bid_id "
-           "LEFT JOIN buyers y ON b.buyer_id = y.buyer_id WHERE i.winning_bid_id IS NOT NULL")
+    wby = (f"impressions{of} i LEFT JOIN bids{of} b ON i.winning_bid_id = b.bid_id "
+           f"LEFT JOIN (SELECT DISTINCT buyer_id, billing_type FROM buyers{of}) y ON b.buyer_id = y.buyer_id WHERE i.winning_bid_id IS NOT NULL")
     expected = f"COALESCE(i.rendered AND i.render_latency_ms <= b.bid_ttl_ms AND {SIGNAL}, FALSE)"
     parts.append(row("rule_billing_mismatch", "impressions", "billable",
                      f"COUNT(*) FILTER (WHERE {expected} <> COALESCE(i.billable, FALSE))", wby))
@@ -799,12 +802,42 @@ def _contract_sql() -> str:
                      "AND ABS(i.revenue_usd - b.cleared_price / 1000.0) > 0.000001)", wby))
     parts.append(row("rule_video_null_iff_not_video_format", "impressions", "video_completed",
                      "COUNT(*) FILTER (WHERE (i.video_completed IS NULL) <> (r.ad_format IN ('banner', 'native')))",
-                     "impressions i JOIN ad_requests r USING (request_id)"))
-    return _q("\nUNION ALL\n".join(parts))
+                     f"impressions{of} i JOIN ad_requests{of} r USING (request_id)"))
+    return _q(ctes + "\nUNION ALL\n".join(parts))
 
 
 QUERIES["contract_check"] = _contract_sql()
 
+
+# D14 contract_check_planted: the same over relations that break every contract
+def _copied(table: str, key: str, where: str, replaced: str = "") -> str:
+    changed = f"SELECT * {replaced} FROM {table}"
+    rest = f"SELECT * REPLACE (CASE WHEN {key} % 97 <> 4 THEN {key} END AS {key})"
+    return f"{table}_planted AS ({rest} FROM ({changed}) UNION ALL {rest} FROM ({changed}) WHERE {key} % {where})"
+
+
+_PLANTED = ",\n".join([
+    _copied("publishers", "publisher_id", "5 = 3"),
+    _copied("buyers", "buyer_id", "5 = 3"),
+    _copied("ad_requests", "request_id", "97 = 3", "REPLACE (IF(request_id % 101 = 5, -1, publisher_id) AS publisher_id)"),
+    _copied("bids", "bid_id", "97 = 3", """REPLACE (
+      IF(bid_id % 89 = 1 AND did_bid = 1, NULL, bid_cpm) AS bid_cpm,
+      CASE WHEN bid_id % 83 = 3 AND is_winner = 1 AND bid_id % 89 <> 4 THEN 2 * IF(bid_id % 89 = 1 AND did_bid = 1, NULL, bid_cpm)
+           WHEN bid_id % 89 = 2 AND is_winner = 1 THEN NULL ELSE cleared_price END AS cleared_price,
+      IF(bid_id % 89 = 4, 0, is_winner) AS is_winner, IF(bid_id % 89 = 5, -request_id, request_id) AS request_id,
+      IF(bid_id % 89 = 6, -1, buyer_id) AS buyer_id)"""),
+    _copied("impressions", "impression_id", "97 = 3", """REPLACE (
+      IF(impression_id % 83 = 1, NULL, render_latency_ms) AS render_latency_ms,
+      IF(impression_id % 79 = 7 AND billable <> (impression_id % 83 = 5), FALSE, rendered) AS rendered,
+      IF(impression_id % 83 = 3, NULL, render_complete_ts) AS render_complete_ts, IF(impression_id % 83 = 4, -1, winning_bid_id) AS winning_bid_id,
+      billable <> (impression_id % 83 = 5) AS billable, IF(impression_id % 83 = 7, NULL, video_completed) AS video_completed,
+      IF(impression_id % 83 = 8, -1, request_id) AS request_id,
+      IF(impression_id % 83 = 2 AND NOT billable, 1.0, revenue_usd)
+        + IF(impression_id % 79 = 6 AND billable <> (impression_id % 83 = 5), 1.0, 0.0) AS revenue_usd)"""),
+    _copied("sdk_events", "event_id", "97 = 3", "REPLACE (IF(event_id % 79 = 2, -5, request_id) AS request_id)"),
+]) + "\n"
+QUERIES["contract_check_planted"] = _contract_sql("_planted", _PLANTED)
+
 # D12 guardrail_stream: every D11 window; closed once it ends at or before the
 # latest event less the 2-day watermark. The same rows come from a source that
 # delivers every impression twice, and from bare impressions joined to requests.
@@ -928,3 +961,133 @@ FROM fell
 
 QUERIES["ecpm_segments"] = _segments_sql((), 30)
 QUERIES["ecpm_segments_by_cohort"] = _segments_sql(("os", "ad_format"), 90)
+
+
+# D03 mix_shapley: the post total with each subset of the variables at its pre
+# shares, subset by subset, then all 24 orders of the four variables
+_MIX = ("country", "os", "os_version", "ad_format")
+
+
+def _mix_sql() -> str:
+    totals, ways = [], []
+    for subset in range(16):
+        by = [v for i, v in enumerate(_MIX) if subset >> i & 1]
+        group = f"GROUP BY {', '.join(by)}" if by else "GROUP BY ()"
+        totals.append(f"""SELECT {subset} AS s, metric, SUM(n0 * COALESCE(p1, p0, 0)) / SUM(n0) AS g FROM (
+          SELECT metric, SUM(n0) AS n0, {div("SUM(a0)", "SUM(n0)")} * MAX(unit) AS p0, {div("SUM(a1)", "SUM(n1)")} * MAX(unit) AS p1
+          FROM cells {group.replace("GROUP BY ()", "GROUP BY metric") if not by else group + ", metric"}) GROUP BY metric""")
+    for order in itertools.permutations(range(4)):
+        done = 0
+        for i in order:
+            ways.append((i, done, done | 1 << i))
+            done |= 1 << i
+    steps = ", ".join(f"({i}, {a}, {b})" for i, a, b in ways)
+    parts = ", ".join(f"{r(f'(SELECT AVG(a.g - b.g) FROM steps JOIN g a ON a.s = before AND a.metric = z.metric JOIN g b ON b.s = after AND b.metric = z.metric WHERE v = {i})', 4)} AS mix_{v}" for i, v in enumerate(_MIX))
+    own = "metric, SUM(a0)::DOUBLE / NULLIF(SUM(n0), 0) * MAX(unit) AS e0, SUM(a1)::DOUBLE / NULLIF(SUM(n1), 0) * MAX(unit) AS e1"
+    return _q(f"""
+x AS (
+  SELECT {", ".join(_MIX)}, {ERA} = '2_post' AS late, i.rendered, i.billable, {REV} AS rev FROM impressions i JOIN ad_requests r USING (request_id)
+),
+cells AS (
+  SELECT 'ecpm' AS metric, 1000 AS unit, {", ".join(_MIX)}, {cnt("rendered AND NOT late")} AS n0, {cnt("rendered AND late")} AS n1,
+         SUM(rev) FILTER (WHERE NOT late) AS a0, SUM(rev) FILTER (WHERE late) AS a1 FROM x GROUP BY ALL
+  UNION ALL
+  SELECT 'billable_rate', 1, {", ".join(_MIX)}, {cnt("rendered AND NOT late")}, {cnt("rendered AND late")},
+         {cnt("rendered AND billable AND NOT late")}, {cnt("rendered AND billable AND late")} FROM x GROUP BY ALL
+),
+g AS ({" UNION ALL ".join(totals)}),
+steps(v, before, after) AS (VALUES {steps}),
+z AS (SELECT {own} FROM cells GROUP BY metric)
+SELECT z.metric, {r("e0", 4)} AS total_pre, {r("e1", 4)} AS total_post, {r("e1 - e0", 4)} AS total_change,
+       {r("g.g - e0", 4)} AS within, {r("e1 - g.g", 4)} AS mix, {parts}
+FROM z JOIN g ON g.metric = z.metric AND g.s = 15
+""")
+
+
+QUERIES["mix_shapley"] = _mix_sql()
+
+# D01 cohort_lattice: every cohort as its list of items; refinements, implied items
+# and coarser descriptions are found by comparing the lists
+QUERIES["cohort_lattice"] = _q(f"""{FACT},
+shown AS (SELECT ver, paid, os, major AS os_major, fmt AS ad_format, country FROM fact WHERE {LATE} AND ver IN ('8.1.0', '8.2.0')),
+named AS (
+  SELECT ver, paid, ['ad_format=' || COALESCE(ad_format, '(null)'), 'country=' || COALESCE(country, '(null)'),
+                     'os=' || COALESCE(os, '(null)'), 'os_major=' || COALESCE(os_major, '(null)')] AS every FROM shown
+),
+sides AS (
+  SELECT [every[j + 1] FOR j IN range(4) IF (bits // CAST(pow(2, j) AS INT)) % 2 = 1] AS items,
+         {cnt("ver = '8.1.0'")} AS nb, {cnt("ver = '8.2.0'")} AS nc, {cnt("ver = '8.1.0' AND paid")} AS kb, {cnt("ver = '8.2.0' AND paid")} AS kc
+  FROM named, range(16) t(bits) GROUP BY 1
+),
+c AS (
+  SELECT *, len(items) AS k, kc::DOUBLE / nc - kb::DOUBLE / nb AS delta,
+         sqrt((kb + 1.0) / (nb + 2.0) * (1 - (kb + 1.0) / (nb + 2.0)) / nb + (kc + 1.0) / (nc + 2.0) * (1 - (kc + 1.0) / (nc + 2.0)) / nc) AS se
+  FROM sides WHERE nb >= 15 AND nc >= 15
+),
+whole AS (
+  SELECT *, [y.i FOR y IN (SELECT list({{'i': list_filter(f.items, lambda e: NOT list_contains(o.items, e))[1]}}) FROM c f
+             WHERE f.k = o.k + 1 AND list_has_all(f.items, o.items) AND f.nb + f.nc = o.nb + o.nc)] AS implied
+  FROM c o WHERE delta <= -0.1 AND delta / se <= -4
+    AND NOT EXISTS (SELECT 1 FROM c f WHERE f.k = o.k + 1 AND list_has_all(f.items, o.items) AND f.delta - f.se > 0.5 * o.delta)
+),
+full_ AS (SELECT *, list_concat(items, COALESCE(implied, [])) AS closure, array_to_string(items, ', ') AS cohort FROM whole),
+told AS (
+  SELECT * FROM full_ o WHERE NOT EXISTS (
+    SELECT 1 FROM full_ a WHERE list_has_all(o.closure, a.items) AND (len(a.closure), a.k, a.cohort) < (len(o.closure), o.k, o.cohort))
+),
+own AS (
+  SELECT told.cohort, {cnt("ver = '8.1.0'")} AS nb, {cnt("ver = '8.2.0'")} AS nc, {cnt("ver = '8.1.0' AND paid")} AS kb, {cnt("ver = '8.2.0' AND paid")} AS kc
+  FROM told JOIN named ON list_has_all(every, items)
+  WHERE NOT EXISTS (SELECT 1 FROM told a WHERE list_has_all(every, a.items) AND (a.delta / a.se, a.cohort) < (told.delta / told.se, told.cohort)) GROUP BY 1
+),
+own_change AS (
+  SELECT cohort, kc::DOUBLE / nc - kb::DOUBLE / nb AS own_delta,
+         sqrt((kb + 1.0) / (nb + 2.0) * (1 - (kb + 1.0) / (nb + 2.0)) / nb + (kc + 1.0) / (nc + 2.0) * (1 - (kc + 1.0) / (nc + 2.0)) / nc) AS own_se
+  FROM own WHERE nb >= 15 AND nc >= 15
+),
+last_ AS (SELECT * FROM told JOIN own_change USING (cohort) WHERE own_delta <= -0.1 AND own_delta / own_se <= -4)
+SELECT cohort, k AS n_keys, array_to_string(list_sort(COALESCE(implied, [])), ', ') AS implied, nb AS n_base, nc AS n_cand,
+       {r("kb::DOUBLE / nb", 3)} AS br_base, {r("kc::DOUBLE / nc", 3)} AS br_cand, {r("delta", 3)} AS delta, {r("delta / se", 3)} AS z,
+       {r("own_delta", 3)} AS own_delta, (SELECT COUNT(*) FROM last_ w WHERE w.delta / w.se < last_.delta / last_.se) + 1 AS worst_rank
+FROM last_
+""")
+
+# D08 error_spikes: the tail by the power series alone (exact to 1e-16, the result
+# has six places), q-values as the least over all tests as large or larger
+QUERIES["error_spikes"] = _q(f"""
+req AS (
+  SELECT r.request_id, r.sdk_version = '8.2.0' AS new, r.os, {OSM} AS os_major, r.ad_format FROM ad_requests r
+  WHERE r.sdk_version IN ('8.1.0', '8.2.0') AND {POST}
+),
+shown AS (SELECT os, os_major, ad_format, {cnt("NOT new")} AS ib, {cnt("new")} AS ic FROM impressions JOIN req USING (request_id) GROUP BY ALL HAVING ib > 0 AND ic > 0),
+told AS (SELECT os, os_major, ad_format, error_code, {cnt("NOT new")} AS eb, {cnt("new")} AS ec FROM sdk_events JOIN req USING (request_id) WHERE error_code IS NOT NULL GROUP BY ALL),
+x AS (SELECT shown.*, error_code, eb, ec, ic::DOUBLE / (ib + ic) AS part FROM shown JOIN told USING (os, os_major, ad_format)),
+tests AS (SELECT (SELECT COUNT(*) FROM shown) * (SELECT COUNT(DISTINCT error_code) FROM x) AS m),
+z AS (SELECT *, (ec - (eb + ec) * part - 0.5) / sqrt((eb + ec) * part * (1 - part)) AS z FROM x),
+s AS (
+  SELECT *, list_sum([exp((2 * k + 1) * ln(abs(z)) - list_sum([ln(2.0 * j + 1) FOR j IN range(k + 1)])) FOR k IN range(200)]) * sign(z) AS series FROM z
+),
+p AS (SELECT *, CASE WHEN z > 7 THEN 0.0 ELSE 0.5 - series * exp(-z * z / 2) / sqrt(2 * pi()) END AS p FROM s),
+q AS (
+  SELECT *, (SELECT MIN(least(1.0, o.p * m / (SELECT COUNT(*) FROM p u WHERE u.p <= o.p))) FROM p o, tests WHERE o.p >= p.p) AS q FROM p
+)
+SELECT os, os_major, ad_format, error_code, eb AS n_base, ec AS n_cand, ib AS imps_base, ic AS imps_cand,
+       {r("1000 * (eb::DOUBLE / ib)", 3)} AS per_1000_base, {r("1000 * (ec::DOUBLE / ic)", 3)} AS per_1000_cand,
+       {r("z", 3)} AS z, {r("p", 6)} AS p_value, {r("q", 6)} AS q_value, q <= 0.05 AS spike
+FROM q
+""")
+
+# D15 ttl_frontier: every raise that some impression needs, each summed up anew
+QUERIES["ttl_frontier"] = _q(f"""
+x AS (
+  SELECT i.render_latency_ms - b.bid_ttl_ms AS up, CAST(b.cleared_price / 1000.0 AS DECIMAL(28,12)) AS usd
+  FROM impressions i JOIN ad_requests r USING (request_id) JOIN bids b ON i.winning_bid_id = b.bid_id JOIN buyers y ON b.buyer_id = y.buyer_id
+  WHERE i.rendered AND {POST} AND {A_COHORT} AND r.sdk_version = '8.2.0' AND {SIGNAL} AND NOT i.billable AND i.render_latency_ms > b.bid_ttl_ms
+)
+SELECT CAST(o.up AS BIGINT) AS delta_ms, (SELECT COUNT(*) FROM x WHERE up = o.up) AS imps_at,
+       {r("CAST((SELECT SUM(usd) FROM x WHERE up = o.up) AS DOUBLE)", 4)} AS revenue_at_usd, (SELECT COUNT(*) FROM x WHERE up <= o.up) AS recovered_imps,
+       {r("CAST((SELECT SUM(usd) FROM x WHERE up <= o.up) AS DOUBLE)", 4)} AS recovered_revenue_usd,
+       {r("CAST((SELECT SUM(usd) FROM x WHERE up <= o.up) AS DOUBLE) / CAST((SELECT SUM(usd) FROM x) AS DOUBLE)", 4)} AS revenue_share,
+       COALESCE(o.up = (SELECT MAX(up) FROM x WHERE up <= 1500), FALSE) AS best
+FROM (SELECT DISTINCT up FROM x) o
+""")

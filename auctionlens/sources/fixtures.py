@@ -399,3 +399,39 @@ def _load_or_build(spark: SparkSession, sf_dir: str, hinge: str, key: str, bucke
         spark, root, prefix, {"bids": BID_COLUMNS, "impressions": IMPRESSION_COLUMNS},
         winning_bid_in_request=True, time_partition=part, time_unit=unit or "year",
     )
+
+
+def planted_tables(t: AdTables) -> AdTables:
+    """The fixture tables with violations of every contract planted by id: repeated,
+    missing and unknown keys, and rows that break each rule. Some plants break
+    several rules, as real faults do."""
+    c = F.col
+
+    def with_copies(df: DataFrame, key: str, of: Column) -> DataFrame:
+        return df.unionByName(df.filter(of)).withColumn(key, F.when(c(key) % 97 != 4, c(key)))
+
+    def put(df: DataFrame, key: str, modulus: int, **at: tuple[int, Column, Column]) -> DataFrame:
+        """Column -> (remainder of the key, further condition, value)."""
+        return df.withColumns({name: F.when((c(key) % modulus == lot) & cond, value.cast(df.schema[name].dataType)).otherwise(c(name)) for name, (lot, cond, value) in at.items()})
+
+    yes, none = F.lit(True), F.lit(None)
+    won = c("is_winner") == 1
+    requests = put(t.ad_requests, "request_id", 101, publisher_id=(5, yes, F.lit(-1)))
+    bids = put(t.bids, "bid_id", 89, bid_cpm=(1, c("did_bid") == 1, none), cleared_price=(2, won, none), is_winner=(4, won, F.lit(0)), request_id=(5, yes, -c("request_id")), buyer_id=(6, yes, F.lit(-1)))
+    bids = put(bids, "bid_id", 83, cleared_price=(3, won, c("bid_cpm") * 2))
+    imps = put(
+        t.impressions, "impression_id", 83,
+        render_latency_ms=(1, c("rendered"), none), revenue_usd=(2, ~c("billable"), F.lit(1.0)), render_complete_ts=(3, yes, none),
+        winning_bid_id=(4, yes, F.lit(-1)), billable=(5, yes, ~c("billable")), video_completed=(7, yes, none), request_id=(8, yes, F.lit(-1)),
+    )
+    imps = put(imps, "impression_id", 79, revenue_usd=(6, c("billable"), c("revenue_usd") + 1.0), rendered=(7, c("billable"), F.lit(False)))
+    events = put(t.sdk_events, "event_id", 79, request_id=(2, yes, F.lit(-5)))
+    return AdTables(
+        ad_requests=with_copies(requests, "request_id", c("request_id") % 97 == 3),
+        bids=with_copies(bids, "bid_id", c("bid_id") % 97 == 3),
+        impressions=with_copies(imps, "impression_id", c("impression_id") % 97 == 3),
+        sdk_events=with_copies(events, "event_id", c("event_id") % 97 == 3),
+        buyers=with_copies(t.buyers, "buyer_id", c("buyer_id") % 5 == 3),
+        publishers=with_copies(t.publishers, "publisher_id", c("publisher_id") % 5 == 3),
+        time_partition=t.time_partition,
+    )
