@@ -32,6 +32,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": winnow.ORACLE,
+        "op5_near_duplicates": setsketch.ORACLE,
         "op11_prefix_trie": turntrie.ORACLE,
         "op12_spelling_variants": pivotal.ORACLE,
     }

@@ -416,6 +416,25 @@ def keep(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text"
     return known.union(rest.filter(F.col(doc_id).isNull()))
 
 
+# All pairs of different sets by the shingles that they share: for the given small
+# tables, since it grows with the square of a shingle's documents.
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) END AS s FROM worded),
+classes AS MATERIALIZED (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+held AS MATERIALIZED (SELECT id, n, unnest(s) AS shingle FROM classes),
+links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM held a JOIN held b ON a.shingle = b.shingle AND a.id <> b.id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT id, id AS other FROM classes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+roots AS (SELECT id, min(other) AS root FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, coalesce(r.root, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN roots r ON r.id = c.id
+"""
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents, by 2-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)

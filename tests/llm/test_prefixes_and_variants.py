@@ -1,4 +1,4 @@
-"""Operators 11, 12 and 13 against brute force and their SQL, and on edge rows."""
+"""Operators 11, 12 and 13 against brute force, registered SQL (operator 5 too), edge rows."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = re.compile(r"[^\x20\x09-\x0d]+")
 
 
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_spelling_variants"])
+@pytest.mark.parametrize("name", ["op5_near_duplicates", "op11_prefix_trie", "op12_spelling_variants"])
 def test_registered_queries_equal_their_sql(spark, name):
     got, want = queries()[name](spark, SF).toPandas(), duck(SF).execute(oracle_sql()[name]).fetchdf()
     assert len(got) > 50
