@@ -69,8 +69,12 @@ def cohort_impact_agg(
     )
 
 
-def _default_impact_agg(t: AdTables, hinge: str, base: str, cand: str, with_days: bool) -> DataFrame:
-    """The default cohorts depend on request attributes and, for B, on the
+def default_impact_tallies(t: AdTables, hinge: str, base: str, cand: str, with_days: bool) -> DataFrame:
+    """Tallies of the default cohorts, per cohort, buyer and, with ``with_days``,
+    day ``_d``: rendered and billable impressions of the candidate (nc, bc) and the
+    base (nb, bb), and the base's revenue (rb).
+
+    The default cohorts depend on request attributes and, for B, on the
     buyer's billing type only. Impressions are tallied per (request-level
     cohort flags, buyer[, day]) at fact scale; only those tallies meet the
     buyers dimension, get their label, and are rolled up (counts and exact
@@ -94,7 +98,11 @@ def _default_impact_agg(t: AdTables, hinge: str, base: str, cand: str, with_days
     )
     y = tallies.join(t.dimension("buyers", "buyer_id", "billing_type"), "buyer_id")
     cohort = case_label([(label_a, F.col("_a")), (label_b, F.col("_b") & (F.col("billing_type") == "viewable"))])
-    y = y.withColumn("cohort", cohort).filter(F.col("cohort").isNotNull())
+    return y.withColumn("cohort", cohort).filter(F.col("cohort").isNotNull())
+
+
+def _default_impact_agg(t: AdTables, hinge: str, base: str, cand: str, with_days: bool) -> DataFrame:
+    y = default_impact_tallies(t, hinge, base, cand, with_days)
     sums = [F.sum(c).alias(c) for c in ("nc", "bc", "nb", "bb", "rb")]
     if with_days:
         y = y.groupBy("cohort", "_d").agg(*sums)

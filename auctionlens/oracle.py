@@ -1091,3 +1091,94 @@ SELECT CAST(o.up AS BIGINT) AS delta_ms, (SELECT COUNT(*) FROM x WHERE up = o.up
        COALESCE(o.up = (SELECT MAX(up) FROM x WHERE up <= 1500), FALSE) AS best
 FROM (SELECT DISTINCT up FROM x) o
 """)
+
+
+# D05 / A09 with intervals: every impression is counted as often as its day is drawn;
+# a day's number is the count of steps of the Poisson distribution under its hash
+def _drawn(days: str) -> str:
+    return f"""
+steps AS (SELECT floor(4294967296 * list_sum([exp(-1.0) / factorial(j::INT) FOR j IN range(i + 1)])) AS step FROM range(13) t(i)),
+hashed AS (
+  SELECT day, rep, CAST('0x' || substr(md5(strftime(day, '%Y-%m-%d') || ':' || rep), 1, 8) AS BIGINT) AS u
+  FROM (SELECT DISTINCT day FROM {days}), range(1, 201) t(rep)
+),
+draws AS (
+  SELECT day, 0 AS rep, 1 AS w FROM (SELECT DISTINCT day FROM {days})
+  UNION ALL SELECT day, rep, CAST((SELECT COUNT(*) FROM steps WHERE u >= step) AS INT) FROM hashed
+)"""
+
+
+def _at(stat: str, p: float) -> str:
+    drawn = f"list_sort(list({stat}) FILTER (rep > 0 AND {stat} IS NOT NULL))"
+    return f"({drawn})[CAST(greatest(1, ceil({cnt(f'rep > 0 AND {stat} IS NOT NULL')} * CAST({p!r} AS DOUBLE))) AS BIGINT)]"
+
+
+_LO, _HI = (1.0 - 0.95) / 2, (1.0 + 0.95) / 2
+_CELLS = {f"{a}_{b}": f"os = '{o}' AND ver = '{v}'" for a, o in (("treated", "iOS"), ("control", "Android")) for b, v in (("base", "8.1.0"), ("cand", "8.2.0"))}
+_OWN = lambda c: f"MAX({c}) FILTER (rep = 0)"
+QUERIES["control_diff_intervals"] = _q(f"""{FACT},
+shown AS (SELECT fmt, os, ver, paid, moment::DATE AS day FROM fact WHERE {LATE} AND os IN ('iOS', 'Android') AND ver IN ('8.1.0', '8.2.0')),
+{_drawn("shown").strip()},
+cells AS (
+  SELECT fmt, rep, {", ".join(f"COALESCE(SUM(w) FILTER ({on}), 0) AS n_{c}, COALESCE(SUM(w) FILTER ({on} AND paid), 0) AS k_{c}" for c, on in _CELLS.items())}
+  FROM shown JOIN draws USING (day) WHERE w > 0 GROUP BY fmt, rep
+),
+z AS (
+  SELECT *, ({div("k_treated_cand", "n_treated_cand")} - {div("k_treated_base", "n_treated_base")})
+          - ({div("k_control_cand", "n_control_cand")} - {div("k_control_base", "n_control_base")}) AS did FROM cells
+),
+b AS (
+  SELECT fmt, {", ".join(f"CAST({_OWN(f'n_{c}')} AS BIGINT) AS n_{c}" for c in _CELLS)}, {_OWN("did")} AS did, {_at("did", _LO)} AS lo, {_at("did", _HI)} AS hi,
+         {cnt("rep > 0 AND did IS NOT NULL")} AS n_replicates FROM z GROUP BY fmt
+)
+SELECT fmt AS ad_format, {", ".join(f"n_{c}" for c in _CELLS)}, {r("did", 3)} AS did, {r("lo", 3)} AS did_lo, {r("hi", 3)} AS did_hi,
+       n_replicates, COALESCE(lo > 0 OR hi < 0, FALSE) AS clear
+FROM b
+""")
+QUERIES["impact_intervals"] = _q(f"""{FACT},
+shown AS (
+  SELECT 'A: iOS17 rewarded_video (latency/TTL)' AS cohort, ver, paid, usd, moment::DATE AS day FROM fact WHERE {IOS17_REWARDED}
+  UNION ALL
+  SELECT 'B: iOS interstitial, viewable buyers (OMID)', ver, paid, usd, moment::DATE FROM fact WHERE {IOS_INTERSTITIAL} AND pays_on = 'viewable'
+),
+{_drawn("shown").strip()},
+cells AS (
+  SELECT cohort, rep, COALESCE(SUM(w) FILTER (ver = '8.2.0'), 0) AS nc, COALESCE(SUM(w) FILTER (ver = '8.2.0' AND paid), 0) AS bc,
+         COALESCE(SUM(w) FILTER (ver = '8.1.0'), 0) AS nb, COALESCE(SUM(w) FILTER (ver = '8.1.0' AND paid), 0) AS bb,
+         SUM(usd * CAST(w AS DECIMAL(3,0))) FILTER (ver = '8.1.0' AND paid) AS rb
+  FROM shown JOIN draws USING (day) WHERE w > 0 GROUP BY cohort, rep
+),
+y AS (SELECT *, {div("bb", "nb")} * nc::DOUBLE - bc::DOUBLE AS lost FROM cells),
+z AS (SELECT *, lost * {div("rb", "bb")} AS usd FROM y),
+b AS (
+  SELECT cohort, CAST({_OWN("nc")} AS BIGINT) AS rendered_cand, {_OWN("lost")} AS lost, {_at("lost", _LO)} AS lost_lo, {_at("lost", _HI)} AS lost_hi,
+         {_OWN("usd")} AS usd, {_at("usd", _LO)} AS usd_lo, {_at("usd", _HI)} AS usd_hi, {cnt("rep > 0 AND lost IS NOT NULL")} AS n_replicates
+  FROM z GROUP BY cohort
+)
+SELECT cohort, rendered_cand, {", ".join(f"{r(f'lost{e}', 2)} AS lost_billable_imps{e}" for e in ("", "_lo", "_hi"))},
+       {", ".join(f"{r(f'usd{e}', 4)} AS lost_revenue_usd{e}" for e in ("", "_lo", "_hi"))}, n_replicates, COALESCE(lost_lo > 0, FALSE) AS clear
+FROM b
+""")
+
+# D07 rollout_curve: the rising fit of a day is the largest, over all starts up to it, of
+# the least mean over all ends from it on; days of one fit are a block
+QUERIES["rollout_curve"] = _q(f"""
+daily AS (
+  SELECT os, CAST(request_ts AS DATE) AS d, COUNT(*) AS n, {cnt("sdk_version = '8.2.0'")} AS k FROM ad_requests WHERE request_ts IS NOT NULL GROUP BY 1, 2
+),
+s AS (
+  SELECT *, row_number() OVER w AS i, SUM(n) OVER w AS cn, SUM(k) OVER w AS ck, greatest(0.0, COALESCE(lag(k::DOUBLE / n) OVER w - k::DOUBLE / n, 0.0)) AS fell
+  FROM daily WINDOW w AS (PARTITION BY os ORDER BY d)
+),
+runs AS (SELECT a.os, a.i AS a, b.i AS b, (b.ck - a.ck + a.k)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS mean FROM s a JOIN s b ON a.os = b.os AND b.i >= a.i),
+low AS (SELECT os, b AS i, MIN(mean) OVER (PARTITION BY os, a ORDER BY b DESC) AS m FROM runs),
+fits AS (SELECT os, i, MAX(m) AS fit FROM low GROUP BY os, i),
+blocks AS (
+  SELECT os, fit, MIN(d) AS first_day, MAX(d) AS last_day, COUNT(*) AS n_days, SUM(n) AS n, SUM(k) AS k, {cnt("fell > 0")} AS n_falls, MAX(fell) AS worst
+  FROM s JOIN fits USING (os, i) GROUP BY os, fit
+)
+SELECT os, row_number() OVER (PARTITION BY os ORDER BY fit) AS block, CAST(first_day AS TIMESTAMP) AS first_day, CAST(last_day AS TIMESTAMP) AS last_day, n_days,
+       CAST(n AS BIGINT) AS n_requests, CAST(k AS BIGINT) AS n_cand, {r("fit", 4)} AS share, n_falls, {r("worst", 4)} AS worst_fall,
+       COALESCE(fit = MIN(fit) FILTER (fit >= 0.5) OVER (PARTITION BY os), FALSE) AS majority
+FROM blocks
+""")
