@@ -837,6 +837,8 @@ _PLANTED = ",\n".join([
     _copied("sdk_events", "event_id", "97 = 3", "REPLACE (IF(event_id % 79 = 2, -5, request_id) AS request_id)"),
 ]) + "\n"
 QUERIES["contract_check_planted"] = _contract_sql("_planted", _PLANTED)
+# D14 / R02 contract_profiles: loads that are summed up give the checks of all rows
+QUERIES["contract_profiles"] = QUERIES["contract_check_planted"]
 
 # D12 guardrail_stream: every D11 window; closed once it ends at or before the
 # latest event less the 2-day watermark. The same rows come from a source that
