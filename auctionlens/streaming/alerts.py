@@ -23,8 +23,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from auctionlens.operators.alerts import ESCALATE_AFTER, OPEN_AT, QUIET
 from auctionlens.operators.guardrail import GUARDRAIL_KEYS
 from auctionlens.plans.session import ensure_checkpoint_dir
+from auctionlens.streaming.state import state_on_disk
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("s", "alert", "opened", "escalated", "last")])
 NOT_OPEN = -1
 
@@ -138,13 +138,8 @@ def start_alerts(
     out = ev.groupBy(*keys).transformWithStateInPandas(machine, schema, "Append", "EventTime")
     w = out.writeStream.outputMode("append").format("parquet").option("path", output_path).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
-    try:
-        return w.start()  # the stream runs on a clone of the session taken here
-    finally:
-        spark.conf.set(name, before)
+    with state_on_disk(spark):
+        return w.start()
 
 
 def replay_alerts(scores: DataFrame, keys: Sequence[str] = GUARDRAIL_KEYS, runs: int = 2, quiet: str = QUIET, escalate_after: str = ESCALATE_AFTER, **kw) -> DataFrame:

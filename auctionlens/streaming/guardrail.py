@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from auctionlens.operators.funnel import BASE, CAND
 from auctionlens.operators.guardrail import GUARDRAIL_KEYS, guardrail_windows
 from auctionlens.plans.session import ensure_checkpoint_dir
+from auctionlens.streaming.state import partitions_for, state_on_disk
 
 
 def guardrail_events(
@@ -33,7 +34,7 @@ def guardrail_events(
     State sizes: the window aggregate keeps one row per open window x
     cohort, which is small; the dedup keeps one key per impression seen
     within the watermark delay, which grows with traffic. That is why the
-    session default is the RocksDB state store (disk, not heap). Use
+    streams are started with the RocksDB state store (disk, not heap). Use
     ``dedup=False`` for a source that already delivers exactly once.
     """
     ev = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
@@ -98,12 +99,13 @@ def join_request_stream(
 
 
 def start_matching(
-    events: DataFrame, requests: DataFrame, output_path: str, unmatched_path: str, checkpoint_path: str, keys: Sequence[str] = GUARDRAIL_KEYS, watermark: str = "2 days", **kw
+    events: DataFrame, requests: DataFrame, output_path: str, unmatched_path: str, checkpoint_path: str, keys: Sequence[str] = GUARDRAIL_KEYS, watermark: str = "2 days", state_partitions: int | None = None, **kw
 ) -> StreamingQuery:
     """Runs the outer :func:`join_request_stream` on all that has arrived:
     impressions with their request go to ``output_path``, the others to the side
     table ``unmatched_path``, both by ``batch_id=<epoch>`` and overwritten by a
-    retried batch (exactly once with the checkpoint)."""
+    retried batch (exactly once with the checkpoint). The rows that may still
+    match are the state: it lies on disk, in ``state_partitions`` parts."""
     out = join_request_stream(guardrail_events(events, watermark, dedup=False), requests, keys, watermark=watermark, keep_unmatched=True, **kw)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
@@ -115,7 +117,8 @@ def start_matching(
             batch.unpersist()
 
     w = out.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
-    return w.trigger(availableNow=True).start()
+    with state_on_disk(out.sparkSession, state_partitions):
+        return w.trigger(availableNow=True).start()
 
 
 def replay_matching(
@@ -134,9 +137,10 @@ def replay_matching(
     try:
         events.write.parquet(f"{run}/landed")
         landed = spark.read.parquet(f"{run}/landed")
-        first, last = landed.agg(F.min("ts"), F.max("ts")).first()
+        first, last, n_events = landed.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
         if last is None:
             return landed, landed
+        parts = partitions_for(spark, n_events + req.count())
         half = F.lit(first).cast("timestamp_ntz") + (F.lit(last).cast("timestamp_ntz") - F.lit(first).cast("timestamp_ntz")) / 2
 
         def mark(df: DataFrame, ts: str, name: str, ahead: int) -> None:
@@ -155,7 +159,7 @@ def replay_matching(
                 mark(landed, "ts", "events", i)
                 mark(req, "request_ts", "requests", i)
             sources = [spark.readStream.schema(df.schema).parquet(f"{run}/{name}") for name, df in (("events", landed), ("requests", req))]
-            q = start_matching(*sources, f"{run}/out", f"{run}/unmatched", f"{run}/checkpoint", keys, watermark, max_delay=max_delay)
+            q = start_matching(*sources, f"{run}/out", f"{run}/unmatched", f"{run}/checkpoint", keys, watermark, parts, max_delay=max_delay)
             q.awaitTermination()
             if q.exception() is not None:
                 raise RuntimeError(str(q.exception()))
@@ -266,14 +270,8 @@ def start_guardrail(
 
         w = out.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
-    if state_partitions is None:
+    with state_on_disk(spark, state_partitions):
         return w.start()
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        return w.start()  # the stream runs on a clone of the session taken here
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
 
 
 def replay_guardrail(
@@ -312,7 +310,7 @@ def replay_guardrail(
     try:
         src.write.parquet(f"{run}/source")
         landed = spark.read.parquet(f"{run}/source")
-        last = landed.agg(F.max("ts").alias("ts")).first()["ts"]
+        last, n_landed = landed.agg(F.max("ts"), F.count(F.lit(1))).first()
         if last is not None:
             beyond = F.lit(last).cast("timestamp") + F.expr(f"INTERVAL {watermark}") + F.expr(f"INTERVAL {window}") + F.expr(f"INTERVAL {window}")
             # no request has this id; a NULL one would be filtered out before the watermark
@@ -323,6 +321,7 @@ def replay_guardrail(
             spark, f"{run}/source", src.schema, f"{run}/out", f"{run}/checkpoint",
             base=base, cand=cand, keys=keys, window=window, slide=slide, watermark=watermark, min_n=min_n, tol=tol,
             max_files_per_trigger=files_per_trigger, dedup=dedup, requests=requests,
+            state_partitions=partitions_for(spark, n_landed) if dedup else None,
         )
         q.awaitTermination()
         if q.exception() is not None:
