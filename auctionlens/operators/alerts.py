@@ -66,15 +66,26 @@ def events_of(
     x = x.withColumn("last", F.lead("window_end").over(of).isNull())
     x = x.withColumn("alert", F.sum(F.when((F.col("on") == 1) & (F.col("was") == 0), 1).otherwise(0)).over(by)).filter("on = 1 or was = 1")
 
-    event = F.when(F.col("was") == 0, "open").when(F.col("on") == 0, "recovered").otherwise("update")
-    rows = x.select(*keys, "alert", event.alias("event"), F.col("window_end").alias("at"), F.col("s").alias("score"))
-    quiet_at = x.filter("last and on = 1").select(*keys, "alert", F.lit("silent").alias("event"), _after(F.col("window_end"), quiet).alias("at"), F.lit(None).cast("bigint").alias("score"))
-    rows = rows.unionByName(quiet_at)
+    def event(name: Column, at: Column, score: Column) -> Column:
+        return F.struct(name.alias("event"), at.alias("at"), score.alias("score"))
+
+    def timer(name: str, at: Column) -> Column:
+        return event(F.lit(name), at, F.lit(None).cast("bigint"))
+
+    # Every step stays in the one sorted stream of a cohort: the windows' sorts are made once.
+    name = F.when(F.col("was") == 0, "open").when(F.col("on") == 0, "recovered").otherwise("update")
+    own = event(name, F.col("window_end"), F.col("s"))
+    silent = timer("silent", _after(F.col("window_end"), quiet))
+    rows = x.select(*keys, "alert", F.inline(F.when(F.col("last") & (F.col("on") == 1), F.array(own, silent)).otherwise(F.array(own))))
     # every alert opens once and closes once
-    due = _after(F.min(F.when(F.col("event") == "open", F.col("at"))), escalate_after)
-    ends = F.max(F.when(F.col("event").isin("recovered", "silent"), F.col("at")))
-    late = rows.groupBy(*keys, "alert").agg(due.alias("at"), ends.alias("ends")).filter(F.col("at") <= F.col("ends"))
-    return rows.unionByName(late.select(*keys, "alert", F.lit("escalate").alias("event"), "at", F.lit(None).cast("bigint").alias("score"))).withColumn("alert", F.col("alert").cast("bigint"))
+    alert = Window.partitionBy(*keys, "alert")
+    due = _after(F.min(F.when(F.col("event") == "open", F.col("at"))).over(alert), escalate_after)
+    ends = F.max(F.when(F.col("event").isin("recovered", "silent"), F.col("at"))).over(alert)
+    rows = rows.withColumns({"due": due, "ends": ends})
+    own = event(F.col("event"), F.col("at"), F.col("score"))
+    late = (F.col("event") == "open") & (F.col("due") <= F.col("ends"))
+    rows = rows.select(*keys, "alert", F.inline(F.when(late, F.array(own, timer("escalate", F.col("due")))).otherwise(F.array(own))))
+    return rows.withColumn("alert", F.col("alert").cast("bigint"))
 
 
 def alert_events(
