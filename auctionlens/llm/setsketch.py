@@ -321,12 +321,20 @@ def _with_root(df: DataFrame, comps: DataFrame, column: str, root: str) -> DataF
     return df.join(c, column, "left").withColumn(root, F.coalesce(root, column))
 
 
-def _every(n: str):
-    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+def _cells(left: DataFrame, cols: list[str]) -> DataFrame:
+    """``left`` (with comp, big, nb) in the blocks (i, j) of its group: each row as
+    one of all (side 0) in the blocks of its column, and outside the largest
+    component as one to be compared (side 1) in those of its row. The rows are
+    made in one pass: a union would run all that leads to ``left`` twice."""
+    own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
 
+    def cell(side: int, i, j):
+        return F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
 
-def _own(n: str):
-    return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    alls = F.transform(every, lambda e: cell(0, e, own))
+    ones = F.transform(every, lambda e: cell(1, own, e))
+    return left.select(*cols, F.inline(F.when(F.col("comp") != F.col("big"), F.concat(alls, ones)).otherwise(alls)))
 
 
 def _blocks(count, size: int):
@@ -339,10 +347,7 @@ def _remaining(rows: DataFrame, comps: DataFrame, sketch: DataFrame, texts: Data
     parts = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     left = own.join(mixed, "key").join(sketch, "id").withColumn("nb", _blocks(F.col("size"), BLOCK))
-    cols = ["key", "id", "comp", "n", "regs"]
-    ones = left.filter("comp <> big").select(*cols, F.lit(1).alias("side"), _own("nb").alias("i"), _every("nb").alias("j"))
-    alls = left.select(*cols, F.lit(0).alias("side"), _every("nb").alias("i"), _own("nb").alias("j"))
-    grid = ones.unionByName(alls).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    grid = _cells(left, ["key", "id", "comp", "n", "regs"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     groups = components(_likely_forest(grid), "setsketch-groups").select(F.col("node").alias("comp"), F.col("root").alias("key"))
 
     # the classes of the components that may be one, each once
@@ -351,11 +356,8 @@ def _remaining(rows: DataFrame, comps: DataFrame, sketch: DataFrame, texts: Data
     big = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("key")
     blocks = F.greatest(_blocks(F.sum("c"), BLOCK // 2), _blocks(F.sum("n") * 8, SET_BYTES))
     left = members.join(big.agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), blocks.alias("nb")), "key")
-    cols = ["key", "id", "comp"]
-    ones = left.filter("comp <> big").select(*cols, F.lit(1).alias("side"), _own("nb").alias("i"), _every("nb").alias("j"))
-    alls = left.select(*cols, F.lit(0).alias("side"), _every("nb").alias("i"), _own("nb").alias("j"))
     sets = full_sets(members.select("id"), texts, k)
-    grid = ones.unionByName(alls).join(sets, "id").select("key", "i", "j", "side", "id", "comp", "s")
+    grid = _cells(left, ["key", "id", "comp"]).join(sets, "id").select("key", "i", "j", "side", "id", "comp", "s")
     return _verified_forest(grid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
 
 
